@@ -5,8 +5,8 @@ sequence) is an item. The histogram of item lengths, in classes of ``UNIT`` ids
 size, is a cutting-stock problem: its linear program is solved by column generation, where an
 unbounded-knapsack dynamic program prices new patterns. The patterns' counts are rounded down and
 assigned to the items by their rank within their class, by arithmetic on a table of patterns. The
-few items that rounding leaves (their number depends on the classes, not on the input) go into
-sequences by best fit.
+few items that rounding leaves (their number depends on the classes, not on the input) stand one
+after another and are cut where a sequence is full, so only the last sequence has much padding.
 
 Ranks are counted within each input part and shifted by the parts before it: no class, however
 common, is ordered in one task.
@@ -17,7 +17,6 @@ like any row; an empty table gives no pieces.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,17 +33,46 @@ END = 1
 _ROWS = 256
 
 
-def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 2e-4, rounds: int = 6000) -> tuple[np.ndarray, np.ndarray]:
+def greedy_basis(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """A first basis: patterns that take the longest lengths with demand left, each until it uses one up.
+
+    The pattern that uses a length up stands in that length's row, so the basis is triangular; a
+    length that ends together with another gets the pattern of its own copies, unused.
+    """
+    m = len(lengths)
+    patterns, x = np.diag(capacity // lengths), np.zeros(m)
+    left, alive = demand.astype(float).copy(), list(np.argsort(lengths))
+    while alive:
+        sizes = lengths[alive]
+        column, room = np.zeros(m, np.int64), capacity
+        while (k := int(np.searchsorted(sizes, room, side="right"))) > 0:
+            i = alive[k - 1]
+            copies = int(min(room // lengths[i], max(1, left[i] // 1)))
+            column[i] += copies
+            room -= copies * lengths[i]
+            if copies < room // lengths[i] + copies and room >= lengths[i]:
+                sizes = sizes[: k - 1]  # no more of it than there is demand
+        used = np.flatnonzero(column)
+        times = left[used] / column[used]
+        j = used[int(times.argmin())]
+        x[j], patterns[j] = times.min(), column
+        left[used] -= times.min() * column[used]
+        left[j] = 0
+        alive = [i for i in alive if left[i] > 1e-9]
+    return patterns, x
+
+
+def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 2e-4, rounds: int = 800) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (one a row, counts by length) and how often the linear program uses each.
 
     A revised simplex over the restricted master problem: its basis always meets the demand
-    exactly. It ends when no pattern prices in, or within ``gap`` of the dual bound.
+    exactly. It ends when no pattern prices in, within ``gap`` of a lower bound (the duals' or
+    the lengths' sum), or after ``rounds`` patterns; any basis gives a right packing.
     """
     m = len(lengths)
-    patterns = np.zeros((m, m), np.int64)
-    patterns[np.arange(m), np.arange(m)] = capacity // lengths
-    inverse = np.diag(1.0 / np.diag(patterns)) if m else np.zeros((0, 0))
-    x = demand / np.diag(patterns) if m else np.zeros(0)
+    patterns, x = greedy_basis(lengths, demand, capacity)
+    inverse = np.linalg.inv(patterns.T.astype(float)) if m else np.zeros((0, 0))
+    least = float((lengths * demand).sum()) / capacity
     order = np.argsort(lengths)
     sizes = lengths[order]
     for _ in range(rounds if m else 0):
@@ -59,7 +87,7 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 2
                 best = int(gain.argmax())
                 if gain[best] > value[c] + 1e-12:
                     value[c], pick[c] = gain[best], best
-        if value[capacity] <= 1 + 1e-7 or x.sum() * (1 - 1 / value[capacity]) <= gap * x.sum():
+        if value[capacity] <= 1 + 1e-7 or x.sum() <= (1 + gap) * max(least, x.sum() / value[capacity]):
             break
         column, c = np.zeros(m, np.int64), capacity
         while c > 0:
@@ -81,23 +109,43 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 2
     return patterns, x
 
 
-def best_fit(sizes: list[int], capacity: int) -> list[int]:
-    """The bin of each item: longest first, each into the fullest bin that has room."""
-    room: list[tuple[int, int]] = []
-    out, bins = [0] * len(sizes), 0
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        at = bisect_left(room, (sizes[i], -1))
-        if at == len(room):
-            left, out[i] = capacity - sizes[i], bins
-            bins += 1
+def cut_stream(sizes: list[int], may_cut: list[bool], capacity: int) -> list[list[tuple[int, int]]]:
+    """For each item its pieces (sequence, length): items one after another, cut where a sequence is full."""
+    out: list[list[tuple[int, int]]] = []
+    bin_, room = 0, capacity
+    for size, cut in zip(sizes, may_cut, strict=True):
+        if size <= room:
+            out.append([(bin_, size)])
+        elif cut and room:
+            out.append([(bin_, room), (bin_ + 1, size - room)])
+            bin_, room = bin_ + 1, capacity + room
         else:
-            left, out[i] = room.pop(at)
-            left -= sizes[i]
-        if left:
-            insort(room, (left, out[i]))
+            out.append([(bin_ + 1, size)])
+            bin_, room = bin_ + 1, capacity
+        room -= size
     return out
 
 
+def _cut_crcs(wanted: dict[tuple[int, int, int], int], tokenizer: str, end: int, length: int):
+    """Checksums of both pieces of the cut leftovers; wanted: (doc_id, n, crc) of a leftover to where it is cut."""
+    schema = util.arrow_schema("doc_id bigint, n bigint, crc bigint, first bigint, second bigint")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encode.encoder(tokenizer)
+        for b in batches:
+            values, off = enc.encode(b.column(1), end)
+            view, rows = memoryview(values).cast("B"), []
+            for d, lo, hi in zip(b.column(0).to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
+                n, lo = hi - lo, hi - (hi - lo) % length
+                crc = encode.crc(view[4 * lo : 4 * hi])
+                if (at := wanted.get((d, n, crc))) is not None:
+                    rows.append((d, n, crc, encode.crc(view[4 * lo : 4 * (lo + at)]), encode.crc(view[4 * (lo + at) : 4 * hi])))
+            cols = zip(*rows, strict=True) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema, strict=True)], schema=schema)
+
+    return run
+
+
 _ITEMS = "part int, doc_id bigint, n bigint, class int, rank bigint, whole_before bigint, crcs array<bigint>"
 
 
@@ -198,12 +246,21 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
     limit = F.create_map(*[F.lit(v) for kv in taken.items() for v in kv]) if taken else F.create_map(F.lit(0), F.lit(0))
     rest = ranked.where((F.col("class") > 0) & (F.col("rank") >= limit[F.col("class")])).select("doc_id", "n", F.element_at("crcs", -1).alias("crc"), "class", "rank").orderBy("class", "rank").toArrow()
     doc, n, crc = (rest[c].to_pylist() for c in ("doc_id", "n", "crc"))
-    sizes = [v % length for v in n]
+    pieces = cut_stream([v % length for v in n], [d is not None for d in doc], length)
+    wanted = {(d, t, c): p[0][1] for d, t, c, p in zip(doc, n, crc, pieces, strict=True) if len(p) == 2}
+    crcs: dict[tuple, tuple[int, int]] = {}
+    if wanted:  # a document for each of those sequences at most
+        some = rows.where(F.col("doc_id").isin(sorted({d for d, *_ in wanted})))
+        found = some.mapInArrow(_cut_crcs(wanted, tokenizer, end, length), "doc_id bigint, n bigint, crc bigint, first bigint, second bigint")
+        crcs = {(r["doc_id"], r["n"], r["crc"]): (r["first"], r["second"]) for r in found.collect()}
     used: dict[int, int] = {}
     tail = []
-    for d, t, c, size, bin_ in zip(doc, n, crc, sizes, best_fit(sizes, length), strict=True):
-        tail.append((d, t - size, size, c, t, n_whole + slots.sequences + bin_, used.get(bin_, 0)))
-        used[bin_] = used.get(bin_, 0) + size
+    for d, t, c, parts in zip(doc, n, crc, pieces, strict=True):
+        at = t - t % length
+        for (bin_, size), checksum in zip(parts, crcs[d, t, c] if len(parts) == 2 else (c,), strict=True):
+            tail.append((d, at, size, checksum, t, n_whole + slots.sequences + bin_, used.get(bin_, 0)))
+            used[bin_] = used.get(bin_, 0) + size
+            at += size
     schema = util.struct("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
     return placed.unionByName(spark.createDataFrame(tail, schema))
 
