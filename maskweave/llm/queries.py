@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, dedup, jaccard, packing, pii, quality, tokenio
+from . import decontam, dedup, jaccard, packing, pii, quality, secretscan, tokenio, toxicity
 from .util import table
 
 
@@ -31,6 +31,13 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), toxicity.score(docs, model).alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
 def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenio.round_trip(table(spark, sf_dir, "documents"))
 
@@ -39,6 +46,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.duplicate_spans(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.digest(secretscan.detect(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
