@@ -43,6 +43,8 @@ FREQUENT = 1 << 18
 BLOCK = 2_000_000
 #: Rows of candidates that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Two linked sets of n shingles share 1 + n // SHARED of their prefixes.
+SHARED = 8
 _COUNTED = 4_000_000
 
 
@@ -71,7 +73,7 @@ def shingle_sets(c: K.Chunk, k: int = WORDS) -> list[np.ndarray]:
 
 def shared(n):
     """Prefix shingles that two linked sets of n and more share at least."""
-    return 1 + n // 20
+    return 1 + n // SHARED
 
 
 def needed(n):
@@ -402,7 +404,7 @@ def class_links(rows: DataFrame, classes: DataFrame) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by_word = lambda d, *keys: d.repartition(n, "w").sortWithinPartitions("w", *keys)
     met = util.written(by_word(prefixes, "sig").mapInArrow(_met, "w bigint, sig bigint, n int"), "met")
-    enough = met.groupBy("sig", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= 1 + F.floor(F.ceil(F.col("n") * 3 / 4) / 20)).select("sig")
+    enough = met.groupBy("sig", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= 1 + F.floor(F.ceil(F.col("n") * 3 / 4) / SHARED)).select("sig")
     left = met.join(enough, "sig")
     stars = by_word(left.select("w", "n", "sig"), "n", "sig").mapInArrow(_stars, "a bigint, b bigint").distinct()
     comps = util.components(stars, "a", "b").select(F.col("node").alias("sig"), F.col("component").alias("comp"))
