@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, dedup, jaccard, packing, pii, quality, secretscan, tokenio, toxicity
+from . import decontam, dedup, htmltext, jaccard, packing, pii, quality, secretscan, tokenio, toxicity
 from .util import table
 
 
@@ -42,6 +42,10 @@ def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenio.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op8_html_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.duplicate_spans(table(spark, sf_dir, "documents"))
 
