@@ -42,6 +42,8 @@ SUPPORT = 2
 MIN_TERM = 3
 BLOCK = 2_000_000
 _BITS = 24
+#: Terms of texts that a task counts together.
+_HELD = 4_000_000
 _DIGIT = re.compile("[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -157,6 +159,14 @@ def _term_counts(bitmap: np.ndarray):
     schema = util.arrow_schema("t bigint, c bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # a term for each text that holds it, since the last flush
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            t, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+            held.clear()
+            return K.batch(schema, t=K.signed(t), c=n)
+
         for b in batches:
             for c in K.chunks(b.column(0)):
                 first, last, by_row = c.words(K.NOT_ALNUM)
@@ -164,9 +174,17 @@ def _term_counts(bitmap: np.ndarray):
                 at = h >> np.uint64(64 - _BITS)
                 ok = (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
                 row = np.repeat(np.arange(len(c)), np.diff(by_row))[ok]
-                once = np.unique(np.stack([h[ok], row.astype(np.uint64)], 1), axis=0)[:, 0] if ok.any() else h[:0]
-                t, n = np.unique(once, return_counts=True)
-                yield K.batch(schema, t=K.signed(t), c=n)
+                if len(row):
+                    order = np.lexsort((h[ok], row))
+                    t, row = h[ok][order], row[order]
+                    new = np.ones(len(t), bool)
+                    new[1:] = (t[1:] != t[:-1]) | (row[1:] != row[:-1])
+                    held.append(t[new])
+                    size += len(held[-1])
+                if size > _HELD:
+                    yield flush()
+                    size = 0
+        yield flush()
 
     return run
 
