@@ -19,6 +19,11 @@ def empty(kind: str = MATCH) -> Column:
     return F.array().cast(kind)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value made once: an expression written inside a lambda is made again for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _positions(x: Column, last_group: bool) -> Column:
     """start, end, value from a struct of matches m, gaps g and values v: matches and gaps alternate."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..plans.rules import AMBIGUOUS, DANGEROUS_PAIRS, DIGIT_SHAPED, DOB_WORDS, MIN_BRANDED_KEY, REFERENCE_PHRASES, Rule, RuleSet
+from ..plans.rules import AMBIGUOUS, DANGEROUS_PAIRS, DIGIT_SHAPED, DOB_WORDS, MIN_BRANDED_KEY, REFERENCE_PHRASES, RULES, Rule, RuleSet
 from ..sources.staging import fence
 from .validate import VALIDATORS
 
@@ -35,7 +35,8 @@ def _table(rules: RuleSet, which: list[Rule], bare_dates: set[int] = frozenset()
             text(alternation(generic) or None).alias("generic"), F.lit(i in bare_dates).alias("bare"),
         )
 
-    return F.array(*[row(i, r) for i, r in enumerate(which)])
+    rows = [row(i, r) for i, r in enumerate(which)]
+    return F.array(*rows) if rows else F.filter(F.array(row(0, RULES[0])), lambda r: F.lit(False))
 
 
 def strength(kind: Column, v: Column) -> Column:
@@ -217,5 +218,5 @@ def resolve(df: DataFrame) -> DataFrame:
         return alike & overlap & (i != j) & wins
 
     numbered = F.transform("scored", lambda e, i: F.struct(e.alias("e"), i.alias("i")))
-    kept = F.filter(numbered, lambda x: ~F.exists(numbered, lambda y: beats(y["e"], x["e"], x["i"], y["i"])))
+    kept = X.let(numbered, lambda n: F.filter(n, lambda x: ~F.exists(n, lambda y: beats(y["e"], x["e"], x["i"], y["i"]))))
     return df.withColumn("resolved", F.transform(kept, lambda x: x["e"])).drop("scored")

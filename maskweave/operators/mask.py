@@ -53,13 +53,13 @@ def plan(df: DataFrame, safe_splice: bool = False) -> DataFrame:
     high = F.exists("resolved", lambda e: e["sensitivity"].isin("HIGH", "CRITICAL"))
     ordered = F.transform(F.sort_array(F.transform("resolved", lambda e, i: F.struct((-e["start"]).alias("s"), i.alias("i"), e.alias("e")))), lambda x: x["e"])
 
-    def build(e: Column, i: Column) -> Column:
+    def build(e: Column, i: Column, high: Column) -> Column:
         s = strategy_of(e, high)
         new = F.when(s == "full", full_mask(e["value"])).when(s == "partial", partial_mask(e["value"], e["entity_type"]))
         return F.struct(*[e[k].alias(k) for k in ("entity_type", "value", "start", "end", "sensitivity", "score", "action")], s.alias("strategy"), i.alias("seq"), new.alias("replacement"))
 
     df = df.withColumn("_sorted", ordered)
-    df = df.withColumn("planned", F.transform("_sorted", build).cast(PLANNED)).drop("_sorted")
+    df = df.withColumn("planned", X.let(F.struct(F.col("_sorted").alias("all"), high.alias("high")), lambda x: F.transform(x["all"], lambda e, i: build(e, i, x["high"]))).cast(PLANNED)).drop("_sorted")
     if safe_splice:
         inside = lambda x: F.exists("planned", lambda y: is_masked(y) & (y["seq"] != x["seq"]) & (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & ((y["end"] - y["start"] > x["end"] - x["start"]) | (y["seq"] < x["seq"])))
         df = df.withColumn("planned", F.filter("planned", lambda x: ~is_masked(x) | ~inside(x)))

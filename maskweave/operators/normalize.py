@@ -65,8 +65,8 @@ def dashes_to_drop(t: Column) -> Column:
 
 
 def _pick(t: Column, indexes: Column) -> Column:
-    chars = F.split(t, "")
-    return F.array_join(F.transform(indexes, lambda i: F.element_at(chars, i + 1)), "")
+    both = F.struct(F.split(t, "").alias("chars"), indexes.alias("at"))
+    return X.let(both, lambda x: F.array_join(F.transform(x["at"], lambda i: F.element_at(x["chars"], i + 1)), ""))
 
 
 def context_type(t: Column) -> Column:
@@ -92,7 +92,7 @@ def normalize(df: DataFrame, text: str = "text", keep_digits: bool = False, type
     df = df.withColumn("_kept", F.when(n.rlike(RUN) | n.rlike(r"(?U)\d-\d"), F.array_except(F.sequence(F.lit(0), F.length(n) - 1), blanks_to_close(n))))
     df = df.withColumn("_closed", F.when(F.col("_kept").isNotNull(), _pick(n, F.col("_kept"))))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_kept") - 1), dashes_to_drop(F.col("_closed")))
-    df = df.withColumn("_map", F.when(F.col("_kept").isNotNull(), F.transform(stay, lambda i: F.element_at("_kept", i + 1))))
+    df = df.withColumn("_map", F.when(F.col("_kept").isNotNull(), X.let(F.struct(stay.alias("stay"), F.col("_kept").alias("kept")), lambda x: F.transform(x["stay"], lambda i: F.element_at(x["kept"], i + 1)))))
     df = df.withColumn("despaced_map", F.when(F.size("_map") < F.length(n), F.col("_map")))
     df = df.withColumn("despaced", F.when(F.col("despaced_map").isNotNull(), _pick(n, F.col("despaced_map"))).otherwise(n))
     steps = F.array(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..plans.rules import RuleSet
 from ..sources.staging import staged
 from . import anomaly, detect, instruct, mask, normalize, registry
@@ -45,13 +46,19 @@ def protect(df: DataFrame, text: str = "text", session: str | None = None, order
 def local_tokens(planned: str):
     """Tokens where a row is its own session: numbered in order of masking, by type and distinct value."""
     wanted = F.filter(planned, lambda p: p["strategy"] == "tokenize")
+
     # the first appearance of each value, in order; ranks count firsts of its type up to it
-    firsts = F.filter(F.transform(wanted, lambda p, i: F.struct(p["value"].alias("v"), p["entity_type"].alias("t"), i.alias("i"), F.exists(F.slice(wanted, F.lit(1), i), lambda q: q["value"] == p["value"]).alias("again"))), lambda x: ~x["again"])
+    def firsts(w):
+        marked = F.transform(w, lambda p, i: F.struct(p["value"].alias("v"), p["entity_type"].alias("t"), i.alias("i"), F.exists(F.slice(w, F.lit(1), i), lambda q: q["value"] == p["value"]).alias("again")))
+        return F.filter(marked, lambda x: ~x["again"])
+
+    def token(value, all_):
+        def name(f):
+            n = F.size(F.filter(all_, lambda x: (x["t"] == f["t"]) & (x["i"] <= f["i"])))
+            label = F.when(f["t"] == "ML_FLAGGED_ANOMALY", "ML_SECRET").otherwise(registry.label_of(f["t"]))
+            return F.concat(F.lit("<"), label, F.lit("_"), n.cast("string"), F.lit(">"))
 
-    def token(value):
-        f = F.element_at(F.filter(firsts, lambda x: x["v"] == value), 1)
-        n = F.size(F.filter(firsts, lambda x: (x["t"] == f["t"]) & (x["i"] <= f["i"])))
-        label = F.when(f["t"] == "ML_FLAGGED_ANOMALY", "ML_SECRET").otherwise(registry.label_of(f["t"]))
-        return F.concat(F.lit("<"), label, F.lit("_"), n.cast("string"), F.lit(">"))
+        return F.element_at(F.transform(F.filter(all_, lambda x: x["v"] == value), name), 1)
 
-    return F.transform(planned, lambda p: p.withField("replacement", F.when(p["strategy"] == "tokenize", token(p["value"])).otherwise(p["replacement"])))
+    put = lambda all_: F.transform(planned, lambda p: p.withField("replacement", F.when(p["strategy"] == "tokenize", token(p["value"], all_)).otherwise(p["replacement"])))
+    return F.when(F.size(wanted) > 0, X.let(X.let(wanted, firsts), put)).otherwise(F.col(planned))
