@@ -141,7 +141,7 @@ def _accept(candidates: Column) -> Column:
 
 
 def detect(df: DataFrame, rules: RuleSet | None = None) -> DataFrame:
-    """Adds entities: accepted ones in order of start, with three of the four score factors.
+    """Adds _detected: accepted ones in order of start, with three of the four score factors.
 
     Needs the columns of ``normalize``. Patterns run over the normalised text, then over the
     despaced copy where there is one, then those of names. Row-local: no exchange.
@@ -165,8 +165,8 @@ def detect(df: DataFrame, rules: RuleSet | None = None) -> DataFrame:
     free = lambda pool: lambda c: F.when(c["container"], F.length(c["value"]) >= 3).otherwise(~inside(pool)(c))
     df = df.withColumn("_all", F.concat(F.filter("_c1", free("_k1")), F.filter("_c2", free("_k2")), F.col("_c3")))
     df = df.withColumn("_acc", F.when(some("_all"), _accept(F.col("_all"))).otherwise(X.empty(f"array<{ENTITY}>")))
-    df = df.withColumn("entities", F.transform(F.array_sort(F.transform("_acc", lambda e: F.struct(e["start"].alias("s"), e["ord"].alias("o"), e.alias("e")))), lambda x: x["e"]))
-    df = df.withColumn("entities", fence(F.col("entities")))
+    df = df.withColumn("_detected", F.transform(F.array_sort(F.transform("_acc", lambda e: F.struct(e["start"].alias("s"), e["ord"].alias("o"), e.alias("e")))), lambda x: x["e"]))
+    df = df.withColumn("_detected", fence(F.col("_detected")))
     return df.drop("_f1", "_f2", "_f3", "_c1", "_c2", "_c3", "_k1", "_k2", "_all", "_acc")
 
 
@@ -179,13 +179,13 @@ def action_of(points: Column) -> Column:
 
 
 def score(df: DataFrame) -> DataFrame:
-    """Replaces entities by scored: co-occurrence, points (hundredths), score, level, action, breakdown, final sensitivity.
+    """Replaces _detected by _scored: co-occurrence, points (hundredths), score, level, action, breakdown, final sensitivity.
 
     Co-occurrence looks at all other raw entities, those that lose an overlap later included.
     """
 
     def gather(e: Column) -> Column:
-        return F.struct(e.alias("e"), F.array_distinct(F.transform(F.filter("entities", lambda o: o["ord"] != e["ord"]), lambda o: o["entity_type"])).alias("others"))
+        return F.struct(e.alias("e"), F.array_distinct(F.transform(F.filter("_detected", lambda o: o["ord"] != e["ord"]), lambda o: o["entity_type"])).alias("others"))
 
     def build(x: Column) -> Column:
         raised = F.coalesce(F.arrays_overlap(F.try_element_at(_map(_RAISED), x["e"]["entity_type"]), x["others"]), F.lit(False))
@@ -202,12 +202,12 @@ def score(df: DataFrame) -> DataFrame:
         detail = F.struct((e["strength"] / 100).alias("pattern_strength"), (e["proximity"] / 100).alias("keyword_proximity"), (e["together"] / 100).alias("co_occurrence"), (form / 100).alias("format_validity"), (points / 100).alias("total"), F.when(e["raised"], "CRITICAL").alias("elevated_by_cooccur"))
         return F.struct(e["entity_type"].alias("entity_type"), e["value"].alias("value"), e["start"].alias("start"), e["end"].alias("end"), F.when(e["raised"], "CRITICAL").otherwise(e["sensitivity"]).alias("sensitivity"), e["category"].alias("category"), e["match_quality"].alias("match_quality"), points.alias("points"), (points / 100).alias("score"), level_of(points).alias("level"), action_of(points).alias("action"), detail.alias("breakdown"), e["ord"].alias("ord"))
 
-    df = df.withColumn("_with", F.transform(F.transform(F.transform("entities", gather), build), points_of))
-    return df.withColumn("scored", F.transform("_with", finish)).drop("_with", "entities")
+    df = df.withColumn("_with", F.transform(F.transform(F.transform("_detected", gather), build), points_of))
+    return df.withColumn("_scored", F.transform("_with", finish)).drop("_with", "_detected")
 
 
 def resolve(df: DataFrame) -> DataFrame:
-    """Replaces scored by resolved: of overlapping entities of one type or an ambiguous pair, the beaten go."""
+    """Replaces _scored by resolved: of overlapping entities of one type or an ambiguous pair, the beaten go."""
 
     def beats(y: Column, x: Column, i: Column, j: Column) -> Column:
         alike = (x["entity_type"] == y["entity_type"]) | _ambiguous(x["entity_type"], y["entity_type"])
@@ -217,6 +217,6 @@ def resolve(df: DataFrame) -> DataFrame:
         wins = (y["points"] > x["points"]) | ((y["points"] == x["points"]) & F.when(j < i, long_y >= long_x).otherwise(long_y > long_x))
         return alike & overlap & (i != j) & wins
 
-    numbered = F.transform("scored", lambda e, i: F.struct(e.alias("e"), i.alias("i")))
+    numbered = F.transform("_scored", lambda e, i: F.struct(e.alias("e"), i.alias("i")))
     kept = X.let(numbered, lambda n: F.filter(n, lambda x: ~F.exists(n, lambda y: beats(y["e"], x["e"], x["i"], y["i"]))))
-    return df.withColumn("resolved", F.transform(kept, lambda x: x["e"])).drop("scored")
+    return df.withColumn("resolved", F.transform(kept, lambda x: x["e"])).drop("_scored")
