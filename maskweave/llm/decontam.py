@@ -52,9 +52,9 @@ def seed_hashes(h: np.ndarray, first: np.ndarray, mask: str) -> tuple[np.ndarray
     begin = np.cumsum(count) - count
     at = np.repeat(first[:-1] - begin, count) + np.arange(int(count.sum()))
     acc = np.full(len(at), hash_of(mask), np.uint64)
-    for j, keep in enumerate(mask):
+    for j, (keep, w) in enumerate(zip(mask, K.weights(span), strict=True)):
         if keep == "1":
-            acc += h[at + j] * np.uint64((2 * j + 3) * 0xA0761D6478BD642F % (1 << 64) | 1)
+            acc += h[at + j] * w
     return K.mix(acc), at
 
 
@@ -168,16 +168,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     return out
 
 
+def _overlaps(test: TestSet):
+    @arrow_udf(util.sql_type("boolean"))
+    def run(column: pa.Array) -> pa.Array:
+        out = np.zeros(len(column), bool)
+        out[[r for r, *_ in test.overlaps(column)]] = True
+        return pa.array(out)
+
+    return run
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs without any overlap, with all their columns."""
     util.ship(docs.sparkSession)
     for test in test_blocks(benchmark):
-
-        @arrow_udf(util.sql_type("boolean"))
-        def overlaps(column: pa.Array, test: TestSet = test) -> pa.Array:
-            out = np.zeros(len(column), bool)
-            out[[r for r, *_ in test.overlaps(column)]] = True
-            return pa.array(out)
-
-        docs = docs.where(~overlaps(F.col(text)))
+        docs = docs.where(~_overlaps(test)(F.col(text)))
     return docs

@@ -7,6 +7,7 @@ continuation bytes are never below 0x80. Hashes are 64-bit and the same in every
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -109,6 +110,22 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, off.astype(np.int64)
 
 
+_calls = 0
+
+
+def trim() -> None:
+    """Gives a worker's freed memory back now and then; numpy's buffers would stay with the process."""
+    global _calls
+    _calls += 1
+    if _calls % 8:
+        return
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
 def chunks(column: pa.Array, size: int = _CHUNK) -> Iterator[Chunk]:
     """The rows in runs of about ``size`` bytes; a longer text is a chunk alone, and whole."""
     n = len(column)
@@ -121,6 +138,12 @@ def chunks(column: pa.Array, size: int = _CHUNK) -> Iterator[Chunk]:
         to = min(to, n)
         yield Chunk(np.arange(at, to), buf[off[at] : off[to]], off[at : to + 1] - off[at])
         at = to
+    trim()
+
+
+def weights(n: int, salt: int = 0) -> np.ndarray:
+    """n odd multipliers without small integer relations: equal sums of words in another order would collide."""
+    return mix(np.arange(1, n + 1, dtype=U64) * U64(0x2545F4914F6CDD1D) + U64(salt)) | U64(1)
 
 
 def windows(h: np.ndarray, first: np.ndarray, k: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,8 +155,8 @@ def windows(h: np.ndarray, first: np.ndarray, k: int, salt: int = 0) -> tuple[np
     if n < k:
         return np.zeros(0, U64), np.zeros(0, np.int64), bounds
     acc = np.zeros(n - k + 1, U64)
-    for j in range(k):
-        acc += h[j : n - k + 1 + j] * U64(((j + 1 + salt) * 0xA0761D6478BD642F | 1) & (1 << 64) - 1)
+    for j, w in enumerate(weights(k, salt)):
+        acc += h[j : n - k + 1 + j] * w
     ok = np.zeros(n - k + 1, bool)
     at = np.repeat(first[:-1] - bounds[:-1], count) + np.arange(bounds[-1])
     ok[at] = True
