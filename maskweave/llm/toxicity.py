@@ -31,17 +31,17 @@ from . import util
 
 GRAMS = (3, 4, 5)
 BUCKET_BITS = 18
-DIM = 8
-PASSAGE = 48
+DIM = 4
+PASSAGE = 8
 #: Labelled rows of each label that are learnt from, at most.
-SAMPLE = 1500
-#: Bytes of a training text that are read at most: passages are drawn, scoring always reads all.
-TRAIN_PASSAGES = 40
-STEPS = 120
+SAMPLE = 800
+#: Passages of a training text that are learnt from at most, drawn at random; scoring always reads all.
+TRAIN_PASSAGES = 100
+STEPS = 100
 #: An n-gram is learnt if so many texts of the sample hold it.
-MIN_TEXTS = 5
+MIN_TEXTS = 8
 #: How far the embedding with the largest gradient moves in a step, and the decay of all.
-STRIDE = 4.0
+STRIDE = 8.0
 DECAY = 0.002
 
 
@@ -120,9 +120,9 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, steps: int = STEP
     size = 1 << BUCKET_BITS
     if not len(labels) or share in (0.0, 1.0):
         return Model(np.zeros(size), prior if len(labels) else -20.0)
-    # distinct words, their n-grams, and the distinct words of each passage
+    # distinct words, their n-grams, and the words of each passage
     vocab: dict[bytes, int] = {}
-    w_of, p_of, weight, owner, n_pass = [], [], [], [], 0
+    ids, passages, owner, n_pass = [], [], [], 0
     for i, t in enumerate(texts):
         raw = np.frombuffer(t.encode(), np.uint8)
         words = np.where(K.NOT_ALNUM[raw], np.uint8(32), K.LOWER[raw]).tobytes().split()
@@ -130,26 +130,37 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, steps: int = STEP
         if len(starts) > TRAIN_PASSAGES:
             starts = np.sort(rng.choice(starts, TRAIN_PASSAGES, replace=False))
         for s in starts.tolist() or [0]:
-            part = words[s : s + PASSAGE]
-            for w in part:
-                w_of.append(vocab.setdefault(w, len(vocab)))
-                p_of.append(n_pass)
-                weight.append(1 / len(part))
+            part = np.array([vocab.setdefault(w, len(vocab)) for w in words[s : s + PASSAGE]], np.int32)
+            ids.append(part)
+            passages.append(np.full(len(part), n_pass, np.int32))
             owner.append(i)
             n_pass += 1
-    bucket, word, _ = subwords(next(K.chunks(pa.array([b" ".join(vocab).decode()], pa.large_string()))))
-    w_of, p_of, weight, owner = np.array(w_of, np.int64), np.array(p_of), np.array(weight), np.array(owner)
-    n_words = len(vocab)
-    grams = np.maximum(np.bincount(word, minlength=n_words), 1)
+    w_of, p_of, owner = np.concatenate(ids), np.concatenate(passages), np.array(owner, np.int32)
+    del ids, passages
+    weight = (1 / np.maximum(np.bincount(p_of, minlength=n_pass), 1))[p_of]
+    bucket, word, at = [], [], 0
+    names = list(vocab)
+    for i in range(0, len(names), 20_000):
+        g, w, _ = subwords(next(K.chunks(pa.array([b" ".join(names[i : i + 20_000]).decode()], pa.large_string()))))
+        bucket.append(g)
+        word.append((w + at).astype(np.int32))
+        at += len(names[i : i + 20_000])
+    bucket, word = np.concatenate(bucket), np.concatenate(word)
+    n_words = len(names)
+    per_word = np.bincount(word, minlength=n_words)
+    grams = np.maximum(per_word, 1)
     # an n-gram of few texts tells those texts apart and nothing else: its row stays zero
-    seen = np.unique(np.stack([w_of, owner[p_of]], 1), axis=0)
-    order = np.argsort(word, kind="stable")
-    starts = np.searchsorted(word[order], seen[:, 0])
-    lengths = np.bincount(word, minlength=n_words)[seen[:, 0]]
-    each = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
-    pairs = np.unique(bucket[order[each]].astype(np.int64) * len(texts) + np.repeat(seen[:, 1], lengths))
-    live = np.bincount(pairs // len(texts), minlength=size) >= MIN_TEXTS
-    del seen, each, pairs, order
+    order = np.argsort(word, kind="stable").astype(np.int32)
+    starts = np.cumsum(per_word) - per_word
+    found = np.zeros(size, np.int32)
+    doc_of = owner[p_of]
+    edges = np.searchsorted(doc_of, np.arange(len(texts) + 1))
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        mine = np.unique(w_of[lo:hi])
+        n = per_word[mine]
+        found[np.unique(bucket[order[np.repeat(starts[mine] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]])] += 1
+    live = found >= MIN_TEXTS
+    del order, vocab, names
     emb, u, b = rng.normal(0, 0.01, (size, DIM)), rng.normal(0, 0.5, DIM), prior
     emb[~live] = 0
     m_e, m_u, v_u, m_b, v_b = np.zeros_like(emb), np.zeros(DIM), np.zeros(DIM), 0.0, 0.0
