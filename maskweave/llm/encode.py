@@ -148,7 +148,7 @@ class Encoder:
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by ``end``, and the offsets of the texts; a null is empty."""
         parts, counts = [], []
-        for c in K.chunks(column):
+        for c in K.chunks(column, 1 << 20):
             ids, n = self._chunk(c)
             off = np.cumsum(n)
             parts.append(np.insert(ids, off, end))

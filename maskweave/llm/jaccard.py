@@ -45,7 +45,7 @@ BLOCK = 2_000_000
 BROADCAST_ROWS = 500_000
 #: Two linked sets of n shingles share 1 + n // SHARED of their prefixes.
 SHARED = 8
-_COUNTED = 4_000_000
+_COUNTED = 1_500_000
 
 
 def set_hash(s: np.ndarray) -> int:

@@ -43,7 +43,7 @@ MIN_TERM = 3
 BLOCK = 2_000_000
 _BITS = 24
 #: Terms of texts that a task counts together.
-_HELD = 4_000_000
+_HELD = 1_000_000
 _DIGIT = re.compile("[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
