@@ -33,4 +33,4 @@ def fence(c: Column) -> Column:
     A filter on a column that a deep row-local expression makes would be rewritten in terms of the
     input, with the expression copied into it at every use.
     """
-    return F.when(F.monotonically_increasing_id() >= 0, c)
+    return F.when(F.rand(0) >= 0, c)

@@ -44,8 +44,7 @@ def number_tokens(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
                 text = text[: p["start"]] + new + text[p["end"] :]
         out.append((key[0], int(r.prompt), text, r.overall_risk, ",".join(sorted(known.values()))))
     state.update((known, counts))
-    if state._timeout_conf == GroupStateTimeout.ProcessingTimeTimeout:  # the session ends after a day without prompts
-        state.setTimeoutDuration(24 * 3600 * 1000)
+    state.setTimeoutDuration(24 * 3600 * 1000)  # the session ends after a day without prompts
     yield pd.DataFrame(out, columns=["session", "prompt", "masked_text", "overall_risk", "tokens"])
 
 
