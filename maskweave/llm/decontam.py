@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import arrow_udf
 
 from . import kernel as K
 from . import util
@@ -168,19 +167,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     return out
 
 
-def _overlaps(test: TestSet):
-    @arrow_udf(util.sql_type("boolean"))
-    def run(column: pa.Array) -> pa.Array:
-        out = np.zeros(len(column), bool)
-        out[[r for r, *_ in test.overlaps(column)]] = True
-        return pa.array(out)
-
-    return run
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs without any overlap, with all their columns."""
     util.ship(docs.sparkSession)
+    at = docs.columns.index(text)
+
+    def without(test: TestSet):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                free = np.ones(len(b), bool)
+                free[[r for r, *_ in test.overlaps(b.column(at))]] = False
+                yield b.filter(pa.array(free))
+
+        return run
+
     for test in test_blocks(benchmark):
-        docs = docs.where(~_overlaps(test)(F.col(text)))
+        docs = docs.mapInArrow(without(test), docs.schema)
     return docs

@@ -196,6 +196,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out[-1] = False
         yield K.batch(schema, w=w[out], sig=sig[out], n=n[out].astype(np.int32))
         last = (w[-1], sig[-1], n[-1], bool(met[-1]))
+        K.trim()
     if last is not None and last[3]:
         yield K.batch(schema, w=[last[0]], sig=[last[1]], n=[int(last[2])])
 
@@ -217,6 +218,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edge = np.unique(np.stack([np.minimum(head, sig), np.maximum(head, sig)], 1)[head != sig], axis=0)
         yield K.batch(schema, a=np.ascontiguousarray(edge[:, 0]), b=np.ascontiguousarray(edge[:, 1]))
         last = (w[-1], head[-1], n[-1])
+        K.trim()
 
 
 class _Node:
@@ -367,6 +369,7 @@ def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if out:
             yield K.batch(schema, a=[x for x, _ in out], b=[x for _, x in out])
             out.clear()
+        K.trim()
     close()
     yield K.batch(schema, a=[x for x, _ in out], b=[x for _, x in out])
 

@@ -11,8 +11,8 @@ and PMI / IC is the share of the entity's information that the term gives away.
 
 Counts of pairs come from documents with entities only; n(t) of the few terms that pass the support
 is counted over all texts, with a bitmap of fixed size (no false negatives) before the shuffle. The
-pairs over a threshold go to the workers in blocks of ``BLOCK`` hashes: more pairs mean more passes
-over the rows, not more memory.
+pairs over a threshold go to the workers in blocks of ``BLOCK`` hashes, a pass over the rows for each
+block; ``sanitise`` rewrites each row once and so holds all blocks, 8 bytes a pair, in a worker.
 
 Defined cases: a null text has no spans; null ids are kept; repeated rows each have their spans;
 an empty table gives an empty result; terms are compared with ASCII letters lower-cased.
@@ -213,17 +213,16 @@ _SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Str
 _ARROW_SPAN = pa.list_(pa.struct([(f, pa.int32()) for f in ("start", "kind", "end", "level")]))
 
 
-def _spans(weak: np.ndarray, strong: np.ndarray, with_base: bool):
+def _finder(weak: np.ndarray, strong: np.ndarray, with_base: bool):
     """Spans of texts: base ones (level 2) and terms of the sorted pair hashes (weak: level 1, strong: 2)."""
 
     def has(sorted_: np.ndarray, h: int) -> bool:
         at = int(np.searchsorted(sorted_, np.uint64(h)))
         return at < len(sorted_) and int(sorted_[at]) == h
 
-    @arrow_udf(_SPAN)
-    def spans(text: pa.Array) -> pa.Array:
+    def find(texts: list[str | None]) -> list[list[dict]]:
         out = []
-        for s in text.to_pylist():
+        for s in texts:
             base = base_spans(s)
             mine = [(a, k, z, 2) for a, k, z in base] if with_base else []
             if base and (len(weak) or len(strong)):
@@ -234,23 +233,34 @@ def _spans(weak: np.ndarray, strong: np.ndarray, with_base: bool):
                     level[a, z] = max(level.get((a, z), 0), found)
                 mine += [(a, 4, z, v) for (a, z), v in level.items() if v]
             out.append([dict(zip(("start", "kind", "end", "level"), m, strict=True)) for m in sorted(mine)])
-        return pa.array(out, _ARROW_SPAN)
+        return out
+
+    return find
+
+
+def _spans(find):
+    @arrow_udf(_SPAN)
+    def spans(text: pa.Array) -> pa.Array:
+        return pa.array(find(text.to_pylist()), _ARROW_SPAN)
 
     return spans
 
 
-def span_column(docs: DataFrame, text: str, generalise: float, remove: float) -> Column:
-    """All spans of a row's text, sorted by start and kind."""
+def finders(docs: DataFrame, text: str, generalise: float, remove: float) -> Iterator:
+    """A function from texts to spans for each block of disclosing pairs; the first finds the base spans too."""
     util.ship(docs.sparkSession)
     pairs = disclosing_pairs(docs.select(F.col(text).alias("text")), generalise, remove)
     blocks = max(1, math.ceil(pairs.count() / BLOCK))
-    column = None
     for b in range(blocks):
         block = pairs.where(F.pmod("pair", F.lit(blocks)) == b).toArrow()
         h, strong = block["pair"].to_numpy().view(np.uint64), block["ratio"].to_numpy() >= remove
-        part = _spans(np.sort(h[~strong]), np.sort(h[strong]), with_base=b == 0)(F.col(text))
-        column = part if column is None else F.concat(column, part)
-    return F.array_sort(column) if blocks > 1 else column
+        yield _finder(np.sort(h[~strong]), np.sort(h[strong]), b == 0)
+
+
+def span_column(docs: DataFrame, text: str, generalise: float, remove: float) -> Column:
+    """All spans of a row's text, sorted by start and kind."""
+    parts = [_spans(find)(F.col(text)) for find in finders(docs, text, generalise, remove)]
+    return F.array_sort(F.concat(*parts)) if len(parts) > 1 else parts[0]
 
 
 def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
@@ -265,35 +275,44 @@ def sanitise(docs: DataFrame, text: str = "text", length: str | None = "n_chars"
     Where spans overlap, the first and longest stands for all that it touches. The column
     ``length``, if there is one, counts the new text.
     """
-    out = docs.withColumn("_spans", span_column(docs, text, generalise, remove))
-    out = out.withColumn(text, F.when(F.size("_spans") > 0, rewrite(F.col(text), F.col("_spans"))).otherwise(F.col(text)))
-    if length in docs.columns:
-        out = out.withColumn(length, F.when(F.size("_spans") > 0, F.length(text)).otherwise(F.col(length)).cast(docs.schema[length].dataType))
-    return out.select(*docs.columns)
-
-
-@arrow_udf(T.StringType())
-def rewrite(text: pa.Array, spans: pa.Array) -> pa.Array:
-    out = []
-    for s, found in zip(text.to_pylist(), spans.to_pylist(), strict=True):
-        if not s or not found:
-            out.append(s)
+    names = docs.columns
+    at = names.index(text)
+    at_length = names.index(length) if length in names else -1
+    found = list(finders(docs, text, generalise, remove))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = list(b.columns)
+            texts = columns[at].to_pylist()
+            spans = [sorted(sum(s, []), key=lambda m: (m["start"], m["kind"], m["end"])) for s in zip(*(find(texts) for find in found), strict=True)]
+            new = [rewrite(s, m) for s, m in zip(texts, spans, strict=True)]
+            columns[at] = pa.array(new, columns[at].type)
+            if at_length >= 0:
+                old = columns[at_length].to_pylist()
+                columns[at_length] = pa.array([len(t) if m else n for t, m, n in zip(new, spans, old, strict=True)], columns[at_length].type)
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def rewrite(s: str | None, found: list[dict]) -> str | None:
+    """The text with its spans replaced."""
+    if not s or not found:
+        return s
+    parts, at = [], 0
+    for m in sorted(found, key=lambda m: (m["start"], -m["end"])):
+        a, z = m["start"], m["end"]
+        if a < at:
+            at = max(at, z)
             continue
-        parts, at = [], 0
-        for m in sorted(found, key=lambda m: (m["start"], -m["end"])):
-            a, z = m["start"], m["end"]
-            if a < at:
-                at = max(at, z)
-                continue
-            parts.append(s[at:a])
-            if m["kind"] < 4:
-                parts.append(f"<{KINDS[m['kind']].upper()}>")
-            elif m["level"] == 1:
-                parts.append("<NUMBER>" if s[a:z].isdigit() else "<NAME>" if s[a].isupper() else "<WORD>")
-            at = z
-        parts.append(s[at:])
-        out.append("".join(parts))
-    return pa.array(out, pa.string())
+        parts.append(s[at:a])
+        if m["kind"] < 4:
+            parts.append(f"<{KINDS[m['kind']].upper()}>")
+        elif m["level"] == 1:
+            parts.append("<NUMBER>" if s[a:z].isdigit() else "<NAME>" if s[a].isupper() else "<WORD>")
+        at = z
+    parts.append(s[at:])
+    return "".join(parts)
 
 
 _DIGEST = util.struct("n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")

@@ -14,10 +14,13 @@ rows are judged one by one; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from . import kernel as K
@@ -69,13 +72,32 @@ def chunk_stats(c: K.Chunk) -> np.ndarray:
     return out
 
 
-@arrow_udf(util.struct(", ".join(f"{n} bigint" for n in _NAMES)))
-def text_stats(text: pa.Array) -> pa.Array:
+def stats_array(text: pa.Array) -> pa.StructArray:
     parts = [chunk_stats(c) for c in K.chunks(text)]
     rows = np.concatenate(parts) if parts else np.zeros((0, 5), np.int64)
     return pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(5)], names=_NAMES)
 
 
+def with_stats(docs: DataFrame, text: str, name: str = "_f") -> DataFrame:
+    """docs and the counts as a struct column, by whole batches: the kind of Python worker that other stages use."""
+    at = docs.columns.index(text)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, _STATS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, stats_array(b.column(at))], names=[*b.schema.names, name])
+
+    return docs.mapInArrow(run, schema)
+
+
+_STATS = util.struct(", ".join(f"{n} bigint" for n in _NAMES))
+
+
+@arrow_udf(_STATS)
+def text_stats(text: pa.Array) -> pa.Array:
+    return stats_array(text)
+
+
 def base_failed(s: str) -> Column:
     f = F.col(s)
     return (f["n_words"] < MIN_WORDS) | (100 * f["n_repeat_words"] > MAX_REPEAT_PCT * f["n_words"])
@@ -128,7 +150,8 @@ def keep(docs: DataFrame, text: str = "text", host: str = "source", strict_rate:
     verdicts of hosts without a key of documents: repeated rows and null ids need no care.
     """
     util.ship(docs.sparkSession)
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col(host), F.lit("\x00")).alias("_host"), text_stats(F.col(text)).alias("_f"))
+    rows = with_stats(docs, text)
+    rows = rows.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col(host), F.lit("\x00")).alias("_host"), "_f")
     rows = rows.withColumns({"base_failed": base_failed("_f"), "_soft": soft_failed("_f")})
     hosts = host_verdicts(util.written(host_counts(rows), "hosts"), strict_rate, reject_rate)
     rows = rows.where(~F.col("base_failed")).join(hosts.where("verdict > 0").select("_host", "verdict"), "_host", "left")

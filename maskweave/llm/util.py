@@ -15,16 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _SHIPPED: set[str] = set()
-BATCH_ROWS = 500
+BATCH_BYTES = str(4 << 20)
 
 
 def ship(spark: SparkSession) -> None:
     """Gives this package to Python workers, once for each application, and keeps their batches small.
 
-    Texts can be long: a batch of ``BATCH_ROWS`` of them is a few MB in the JVM, in Arrow and in numpy.
+    Texts can be long: a batch ends at ``BATCH_BYTES``, so the JVM, Arrow and numpy hold a few MB of it.
     """
     sc = spark.sparkContext
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parents[1]
