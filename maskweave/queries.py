@@ -109,8 +109,8 @@ def risk_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suspicious_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suspicious spans of documents that hold a digit run or a sign: count and covered characters."""
-    docs = _table(spark, sf_dir, "documents").where(F.col("text").rlike("[0-9a-fA-F]{12}"))
+    """Suspicious spans of all documents that hold one of any shape: count and covered characters."""
+    docs = _table(spark, sf_dir, "documents")
     spans = docs.select("doc_id", F.explode(anomaly.suspicious_spans(F.col("text"))).alias("s"))
     return spans.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_spans"), F.sum((F.col("s.end") - F.col("s.start")).cast("long")).alias("n_chars"))
 

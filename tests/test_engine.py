@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from maskweave import queries as core
 from maskweave.functions import text as X
 from maskweave.operators import anomaly, canonical, evaluate, instruct, normalize, registry
 from maskweave.operators.protect import analyse, protect
@@ -113,6 +114,23 @@ def test_anomaly_features_gate_and_spans(spark):
     assert got[2].features.mean_token_entropy == 0
 
 
+def test_suspicious_spans_query_equals_python(spark, tmp_path):
+    texts = [None, "", "plain words only", "use sk-abc123 now", "id AKIAB1C2D3", "a_long-token_of-words here", "QWxhZGRpbjpvcGVu/IHNlc2FtZQ== end", "hex 0123456789ab", "🙂 sk-abc123/AKIAB1C2D3 and 0123456789abcdef", "sk-abc short"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for i, t in enumerate(texts):
+        ends = []
+        for a, z in sorted(m.span() for p in anomaly.SPANS for m in re.finditer(p.replace("(?U)", ""), t or "") if len(m.group()) >= 8):
+            if ends and a <= ends[-1][1]:
+                ends[-1][1] = max(z, ends[-1][1])
+            else:
+                ends.append([a, z])
+        if ends:
+            want[i] = (len(ends), sum(z - a for a, z in ends))
+    got = {r.doc_id: (r.n_spans, r.n_chars) for r in core.suspicious_spans(spark, str(tmp_path)).collect()}
+    assert got == want and len(want) == 6
+
+
 def test_generator_and_evaluation(spark):
     made = datagen.prompts(spark, 120)
     assert made.count() == 120 and {r.type for r in made.select("type").distinct().collect()} == {"normal", "adversarial", "edge"}
