@@ -3,7 +3,11 @@
 A text is cut into units: at line ends, at sentence ends, and after words chosen by their own hash
 (so that long lines without sentences are cut alike wherever they stand). A unit is normalised:
 ASCII letters lower-cased, white space as one. A digest covers a unit and those after it until
-``MIN_WORDS`` words are reached, so a short common line alone is never a repeat. Digests are grouped
+``MIN_WORDS`` words are reached, so a short common line alone is never a repeat. Besides, of every
+``_SPREAD`` runs of ``MIN_WORDS`` words that follow each other the one with the smallest digest is taken
+(winnowing), so any passage of ``MIN_WORDS`` + ``_SPREAD`` - 1 = 50 words has one inside, however it is
+cut. Spans then grow word by word on both sides while the words equal those of the kept
+occurrence; what is left beyond the last chosen run is at most ``_REACH`` words. Digests are grouped
 over all documents; the occurrence with the smallest (doc_id, offset) stays, all others are removed,
 by their offsets in the original text.
 
@@ -21,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
@@ -29,8 +33,25 @@ from . import util
 
 MIN_WORDS = 20
 _SPLIT = 24
+_SPREAD = 31
+_REACH = MIN_WORDS + _SPREAD
 _BITS = 24
 _UNITS = "d1 bigint, d2 int, doc_id bigint, start int, end int"
+_AROUND = "doc_id bigint, at int, side int, h array<int>, to array<int>"
+
+
+def _chosen(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The first words of the runs of MIN_WORDS words that winnowing takes; h: digests of the runs, those over row ends too."""
+    n = len(h)
+    if n < _SPREAD:
+        return np.zeros(0, np.int64)
+    low = (h >> np.uint64(32) << np.uint64(32)) | np.arange(n, dtype=np.uint64)  # of equal ones the leftmost
+    for step in (1, 2, 4, 8, _SPREAD - 16):
+        low = np.minimum(low[:-step], low[step:])
+    at = np.arange(len(low))
+    row = np.searchsorted(first, at, side="right") - 1
+    whole = at + MIN_WORDS + _SPREAD - 1 <= first[row + 1]
+    return np.unique((low[whole] & np.uint64(0xFFFFFFFF)).astype(np.int64))
 
 
 def unit_windows(c: K.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -54,12 +75,17 @@ def unit_windows(c: K.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     to = np.searchsorted(ends, begins + MIN_WORDS)  # the first unit that ends at MIN_WORDS words or later
     ok = to < len(ends)
     ok[ok] = ends[to[ok]] <= first[row[ok] + 1]
-    begins, row, stop = begins[ok], row[ok], ends[to[ok]]
+    begins, stop = begins[ok], ends[to[ok]]
     up, back = K._powers(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
     digests = []
     for salt in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3):
+        sums = np.zeros(n + 1, np.uint64)
         np.cumsum(K.mix(h ^ np.uint64(salt)) * up[:n], out=sums[1:])
+        if not digests:
+            more = _chosen(K.mix((sums[MIN_WORDS:] - sums[:-MIN_WORDS]) * back[: max(n + 1 - MIN_WORDS, 0)]), first)
+            both = np.unique(np.concatenate([begins << 32 | stop, more << 32 | more + MIN_WORDS]))
+            begins, stop = both >> 32, both & 0xFFFFFFFF
+            row = np.searchsorted(first, begins, side="right") - 1
         digests.append(K.mix((sums[stop] - sums[begins]) * back[begins]))
     return digests[0], (digests[1] >> np.uint64(33)).astype(np.int64), row, start[begins], end[stop - 1]
 
@@ -83,12 +109,82 @@ def _units(bitmap: np.ndarray | None):
     return run
 
 
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words before (side 0) or after (side 1) places of texts, nearest first: hashes, and where each would put the edge."""
+    schema = util.arrow_schema(_AROUND)
+    for b in batches:
+        ids = b.column(0).to_numpy(zero_copy_only=False)
+        asked = b.column(2)
+        off = asked.offsets.to_numpy()
+        flat = asked.values
+        at_all, side_all = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+        for c in K.chunks(b.column(1)):
+            start, end, first = c.words()
+            n = len(start)
+            if not n:
+                continue
+            lo, hi = off[c.rows[0]], off[c.rows[-1] + 1]
+            at, side = at_all[lo:hi], side_all[lo:hi]
+            row = np.repeat(np.arange(len(c)), off[c.rows + 1] - off[c.rows])
+            points = c.code_points()
+            base = points[c.off[:-1]]
+            a, z = points[start], points[end]
+            left, right = np.searchsorted(a, base[row] + at), np.searchsorted(z, base[row] + at)
+            edge = np.where(side == 0, a[np.minimum(left, n - 1)], z[np.minimum(right, n - 1)])
+            ok = edge == base[row] + at  # an id's other text may have no such place
+            at, side, row, left, right = at[ok], side[ok], row[ok], left[ok], right[ok]
+            k = np.arange(1, _REACH + 1)
+            w = np.where(side[:, None] == 0, left[:, None] - k, right[:, None] + k)
+            inside = (w >= first[row][:, None]) & (w < first[row + 1][:, None])
+            h = (K.Hasher(K.LOWER[c.buf]).ranges(start, end) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            w = np.clip(w, 0, n - 1)
+            to = (np.where(side[:, None] == 0, a[w], z[w]) - base[row][:, None]).astype(np.int32)
+            cut = pa.array(np.concatenate([[0], np.cumsum(inside.sum(1))]).astype(np.int32))
+            lists = {name: pa.ListArray.from_arrays(cut, pa.array(v[inside], pa.int32())).cast(schema.field(name).type) for name, v in (("h", h[w]), ("to", to))}
+            yield K.batch(schema, doc_id=ids[c.rows[row]].astype(np.int64), at=at.astype(np.int32), side=side.astype(np.int32), **lists)
+
+
+def _numbered(spans: DataFrame) -> DataFrame:
+    """Adds span: overlapping and touching spans of a document have the same number."""
+    by = Window.partitionBy("doc_id").orderBy("start")
+    reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    return spans.withColumn("new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)).withColumn("span", F.sum("new").over(by))
+
+
+def _grown(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """The spans and what they repeat, grown on both sides over words that are equal in both."""
+    same = F.col("doc_id") == F.col("kept_doc_id")
+    edges = [spans.select("doc_id", F.col("start").alias("at"), F.lit(0).alias("side")), spans.select("doc_id", F.col("end"), F.lit(1)), spans.select("kept_doc_id", "kept_start", F.lit(0)), spans.select("last_doc_id", "last_end", F.lit(1))]
+    asked = edges[0].union(edges[1]).union(edges[2]).union(edges[3]).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("at", "side")).alias("asked"))
+    around = rows.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_around, _AROUND)
+    around = util.written(around.groupBy("doc_id", "at", "side").agg(F.min(F.struct("h", "to")).alias("x")), "around")
+
+    def words(side: int, name: str, doc_id: str, at: str) -> DataFrame:
+        return around.where(F.col("side") == side).select(F.col("doc_id").alias(doc_id), F.col("at").alias(at), F.col("x").alias(name))
+
+    def many(x: str, y: str) -> Column:
+        differ = F.array_position(F.zip_with(F.col(x)["h"], F.col(y)["h"], lambda a, b: ~a.eqNullSafe(b)), True)
+        return F.coalesce(F.when(differ == 0, F.size(F.col(x)["h"])).otherwise(differ - 1), F.lit(0)).cast("int")
+
+    def edge(x: Column, n: Column, else_: str) -> Column:
+        return F.when(n > 0, F.element_at(x["to"], F.greatest(n, F.lit(1)))).otherwise(F.col(else_))
+
+    out = spans
+    for side, (mine, kept) in enumerate(((("doc_id", "start"), ("kept_doc_id", "kept_start")), (("doc_id", "end"), ("last_doc_id", "last_end")))):
+        out = out.join(words(side, f"mine{side}", *mine), list(mine), "left").join(words(side, f"kept{side}", *kept), list(kept), "left")
+    # in one document neither copy grows into the other
+    back = F.when(same, F.least(many("mine0", "kept0"), F.size(F.filter(F.col("mine0")["to"], lambda x: x >= F.col("kept_end"))))).otherwise(many("mine0", "kept0"))
+    on = F.when(F.col("doc_id") == F.col("last_doc_id"), F.least(many("mine1", "kept1"), F.size(F.filter(F.col("kept1")["to"], lambda x: x <= F.col("start"))))).otherwise(many("mine1", "kept1"))
+    out = out.withColumn("back", back).withColumn("on", on)
+    return out.select("doc_id", edge(F.col("mine0"), F.col("back"), "start").alias("start"), edge(F.col("mine1"), F.col("on"), "end").alias("end"), "kept_doc_id", edge(F.col("kept0"), F.col("back"), "kept_start").alias("kept_start"))
+
+
 def duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, start, end, kept_doc_id, kept_start: the spans to remove, in code points, and where what they repeat stays."""
     util.ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
     units = rows.mapInArrow(_units(None), _UNITS)
-    firsts = units.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start")).alias("first"))
+    firsts = units.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start", "end")).alias("first"))
     firsts = util.written(firsts.where("n > 1").select("d1", "d2", "first"), "repeats")
     # a bitmap of fixed size: at most 2 ** _BITS / 64 rows
     bit = F.shiftrightunsigned("d1", 64 - _BITS)
@@ -97,14 +193,12 @@ def duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     bitmap[words["w"].to_numpy()] = words["m"].to_numpy().view(np.uint64)
     again = rows.mapInArrow(_units(bitmap), _UNITS).join(firsts, ["d1", "d2"])
     gone = again.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
-    gone = gone.groupBy("doc_id", "start").agg(F.max("end").alias("end"), F.min("first").alias("first"))
+    gone = gone.groupBy("doc_id", "start").agg(F.max(F.struct("end", "first")).alias("m")).select("doc_id", "start", "m.end", "m.first")
     # overlapping windows of a document become one span
-    by = Window.partitionBy("doc_id").orderBy("start")
-    reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    gone = gone.withColumn("new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0))
-    gone = gone.withColumn("span", F.sum("new").over(by))
-    spans = gone.groupBy("doc_id", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("first", "start").alias("first"))
-    return spans.select("doc_id", "start", "end", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
+    spans = _numbered(gone).groupBy("doc_id", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("first", "start").alias("first"), F.max_by("first", "end").alias("last"))
+    spans = util.written(spans.select("doc_id", "start", "end", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"), F.col("first.end").alias("kept_end"), F.col("last.doc_id").alias("last_doc_id"), F.col("last.end").alias("last_end")), "spans")
+    spans = _numbered(_grown(rows, spans)).groupBy("doc_id", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by(F.struct("kept_doc_id", "kept_start"), "start").alias("k"))
+    return spans.select("doc_id", "start", "end", "k.kept_doc_id", "k.kept_start")
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

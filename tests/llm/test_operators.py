@@ -322,6 +322,20 @@ def test_line_dedup(spark, docs, none):
     assert dedup.duplicate_spans(none).count() == 0 and dedup.duplicate_spans(docs).count() > 0
 
 
+def test_line_dedup_passages_within_lines(spark):
+    rng = random.Random(11)
+    own = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    rows, want = [], {}
+    for i in range(20):  # neither sentence ends nor line ends at the passages' edges
+        passage = own(51)
+        again = passage.replace(" ", "\n", 1) if i % 2 else passage.upper()
+        a, b = own(rng.randint(3, 90)), own(rng.randint(3, 90))
+        rows += [(2 * i, f"{own(40)} {passage} {own(40)}"), (2 * i + 1, f"{a} {again} {b}")]
+        want[2 * i + 1] = (len(a) + 1, len(a) + 1 + len(again), 2 * i, rows[-2][1].index(passage))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert {s.doc_id: (s.start, s.end, s.kept_doc_id, s.kept_start) for s in dedup.duplicate_spans(d).collect()} == want
+
+
 SECRET = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
