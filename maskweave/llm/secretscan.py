@@ -1,10 +1,12 @@
 """Secret scans by character Markov models (operator 10), in DataFrame functions alone.
 
-Base secrets (assign, access, hex) are found by pattern. Any other token of ``MIN_LENGTH`` signs
+Base secrets (assign, access, hex) are found by pattern. Any other token of ``SHORTEST`` signs
 or more is scored by two first-order character models, one of random strings and one of ordinary
 identifiers; it is a span of kind ``markov`` if its log-likelihood ratio a sign is over
-``THRESHOLD``. Both models are counts of pairs of signs with add-one smoothing, trained from
-labelled samples: random strings over three alphabets and the corpus's own base secrets against
+``THRESHOLD``, and its whole ratio is that of ``MIN_LENGTH`` such signs at least, so short tokens need
+a higher one (and digits alone under ``MIN_LENGTH`` signs are numbers). A token with slashes or dots inside (standard Base64, paths) is scored whole,
+where half of ``THRESHOLD`` a sign is enough if the whole ratio is reached; where the whole is ordinary, its parts are scored one by one. Both models are counts of pairs of signs with add-one smoothing, trained from
+labelled samples: random strings over four alphabets and the corpus's own base secrets against
 identifiers made of common words and all long words of letters in the corpus. Counts cover every
 text; they meet as partial sums of at most one row for each pair of signs, a table of fixed size.
 
@@ -27,9 +29,11 @@ ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]{32,}"  # of maximal runs, those of 32 signs
 _SIGNS = "A-Za-z0-9_+=-"
 MIN_LENGTH = 20
-TOKEN = f"(?<![{_SIGNS}])[{_SIGNS}]{{{MIN_LENGTH},}}"
+SHORTEST = 12
+TOKEN = f"(?<![{_SIGNS}])[{_SIGNS}]{{{SHORTEST},}}"
+WHOLE = f"(?<![{_SIGNS}])[{_SIGNS}][/.{_SIGNS}]{{{SHORTEST - 2},}}[{_SIGNS}]"
 WORD = "(?<![A-Za-z])[A-Za-z]{12,}"
-ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_+=-"
+ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_+=-/."
 THRESHOLD = 0.6
 #: Words of ordinary identifiers.
 COMMON = "get set user name value config count index list item file path data type key id time date start end max min size limit cache queue event handler request response service manager controller factory builder parser reader writer client server session token password secret message error result status update delete create insert select order table column field number string buffer stream thread process system default global local public private module package test".split()
@@ -75,18 +79,19 @@ def _pairs(tokens: DataFrame, label: str) -> DataFrame:
 
 
 def random_strings(spark: SparkSession, n: int = 3000, length: int = 40) -> DataFrame:
-    """token: strings over hexadecimal, alphanumeric and URL-safe Base64 signs, the same in every run."""
-    pick = F.element_at(F.array(F.lit("0123456789abcdef"), F.lit(ALPHABET[:62]), F.lit(ALPHABET[:63] + "-")), (F.col("id") % 3 + 1).cast("int"))
+    """token: strings over hexadecimal, alphanumeric, URL-safe and standard Base64 signs, the same in every run."""
+    pick = F.element_at(F.array(F.lit("0123456789abcdef"), F.lit(ALPHABET[:62]), F.lit(ALPHABET[:63] + "-"), F.lit(ALPHABET[:62] + "+/")), (F.col("id") % 4 + 1).cast("int"))
     sign = lambda i: F.substring(F.col("alphabet"), (F.pmod(F.xxhash64("id", i), F.length("alphabet")) + 1).cast("int"), F.lit(1))
     return spark.range(n).withColumn("alphabet", pick).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(length)), sign), "").alias("token"))
 
 
 def identifiers(spark: SparkSession, n: int = 3000) -> DataFrame:
-    """token: identifiers of four common words, in snake, kebab, joined and camel case."""
+    """token: identifiers of four common words, in snake, kebab, joined and camel case, and as paths and dotted names."""
     words = F.array(*map(F.lit, COMMON))
     parts = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.element_at(words, (F.pmod(F.xxhash64("id", i), F.lit(len(COMMON))) + 1).cast("int")))
     camel = F.array_join(F.transform("parts", F.initcap), "")
-    case = F.when(F.col("id") % 4 == 0, F.array_join("parts", "_")).when(F.col("id") % 4 == 1, F.array_join("parts", "-")).when(F.col("id") % 4 == 2, F.array_join("parts", "")).otherwise(camel)
+    kind = F.col("id") % 6
+    case = F.when(kind == 0, F.array_join("parts", "_")).when(kind == 1, F.array_join("parts", "-")).when(kind == 2, F.array_join("parts", "")).when(kind == 3, F.array_join("parts", "/")).when(kind == 4, F.array_join("parts", ".")).otherwise(camel)
     return spark.range(n).withColumn("parts", parts).select(case.alias("token"))
 
 
@@ -108,7 +113,8 @@ def train(texts: DataFrame) -> list[list[float]]:
         scale = sum(map(sum, sums[made])) / max(sum(map(sum, sums[seen])), 1.0)
         both = [[a + scale * b for a, b in zip(x, y, strict=True)] for x, y in zip(sums[made], sums[seen], strict=True)]
         model[name] = [[math.log((n + 1) / (sum(row) + size)) for n in row] for row in both]
-    return [[a - b for a, b in zip(x, y, strict=True)] for x, y in zip(model["random"], model["ordinary"], strict=True)]
+    # slashes and dots say nothing by themselves: Base64 has few, paths many; the signs between them tell
+    return [[0.0 if {c, d} & {"/", "."} else a - b for d, a, b in zip(ALPHABET, x, y, strict=True)] for c, x, y in zip(ALPHABET, model["random"], model["ordinary"], strict=True)]
 
 
 def ratio(token: Column, table: Column) -> Column:
@@ -124,9 +130,13 @@ def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshol
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     table = F.array(*[F.lit(v) for row in train(texts.select("t")) for v in row])
     t = F.col("t")
-    rows = texts.select("doc_id", base_spans(t).alias("base"), F.when(t.rlike(TOKEN), find_all(t, TOKEN, 3)).otherwise(none()).alias("tokens"))
-    apart = lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    random = F.when(F.size("tokens") > 0, F.filter("tokens", lambda m: apart(m) & (ratio(m["value"], table) > threshold))).otherwise(none())
+    whole = F.filter(find_all(t, WHOLE, 3), lambda m: m["value"].rlike("[/.]"))
+    rows = texts.select("doc_id", base_spans(t).alias("base"), F.when(t.rlike(WHOLE), whole).otherwise(none()).alias("wholes"), F.when(t.rlike(TOKEN), find_all(t, TOKEN, 3)).otherwise(none()).alias("tokens"))
+    apart = lambda m, spans: ~F.exists(spans, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+    enough = lambda v, least: (v.rlike("[^0-9]") | (F.length(v) >= MIN_LENGTH)) & (ratio(v, table) * F.least((F.length(v) - 1) / (MIN_LENGTH - 1), F.lit(threshold / least)) > threshold)
+    found = lambda name, least: F.when(F.size(name) > 0, F.filter(name, lambda m: apart(m, "base") & enough(m["value"], least))).otherwise(none())
+    rows = rows.select("doc_id", "base", found("wholes", threshold / 2).alias("wholes"), found("tokens", threshold).alias("tokens"))
+    random = F.concat("wholes", F.filter("tokens", lambda m: apart(m, "wholes")))
     return rows.select("doc_id", F.array_sort(F.concat("base", random)).alias("spans"))
 
 

@@ -369,3 +369,11 @@ def test_secret_models_tell_samples_apart(spark):
     random_ = score(secretscan.random_strings(spark, 300))
     plain = score(secretscan.identifiers(spark, 300).where("length(token) >= 20"))
     assert np.mean(np.array(random_) > secretscan.THRESHOLD) > 0.97 and np.mean(np.array(plain) > secretscan.THRESHOLD) < 0.02
+
+
+def test_secrets_with_slashes_and_short_ones(spark):
+    secrets = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ8kTw3Vh5", "q7Rt9Xk2Lp4Zs8Vb1Nd6Hf3G/Jc5Wy0Tm9Qe2Ua", "Xq7Zr2Kp9Vt4Wj8B"]
+    plain = ["src/main/service/config/reader.list", "internationalisation", "www.example.com/index/list", "get_user_name_from_config", "4465758382889437"]
+    d = spark.createDataFrame([(i, f"seen: /{t}. here") for i, t in enumerate(secrets + plain)] + [(99, "internationalisation responsibilities characteristics " * 200)], "doc_id bigint, text string")
+    got = {r.doc_id: [(m.start, m.value) for m in r.spans] for r in secretscan.detect(d).collect() if r.doc_id < 99}
+    assert got == {i: [(7, t)] if t in secrets else [] for i, t in enumerate(secrets + plain)}
