@@ -24,29 +24,55 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _positions(x: Column, last_group: bool) -> Column:
-    """start, end, value from a struct of matches m, gaps g and values v: matches and gaps alternate."""
+_BLOCK = 64
 
-    def step(acc: Column, y: Column) -> Column:
-        begin = acc["at"] + F.length(y["g"])
-        end = begin + F.length(y["m"])
-        start = end - F.length(y["v"]) if last_group else begin
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), y["v"].alias("value")))).alias("out"))
 
-    parts = F.arrays_zip(x["m"].alias("m"), F.slice(x["g"], F.lit(1), F.size(x["m"])).alias("g"), x["v"].alias("v"))
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty().alias("out")), step, lambda acc: acc["out"])
+def running(lengths: Column) -> Column:
+    """For each element the sum of those before it, by blocks: far fewer steps than a sum from the start for each."""
 
+    def total(xs: Column) -> Column:
+        return F.aggregate(xs, F.lit(0), lambda a, b: a + b)
 
-def find_all(text: Column, pattern: str | Column, group: int = 0, guard: str = "") -> Column:
+    def within(n: Column) -> Column:
+        last = F.floor((F.size(n) - 1) / _BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda b: total(F.slice(n, b * _BLOCK + 1, F.lit(_BLOCK))))
+        bases = let(blocks, lambda bs: F.transform(bs, lambda _, i: total(F.slice(bs, F.lit(1), i))))
+        return let(bases, lambda base: F.transform(n, lambda _, i: F.element_at(base, F.floor(i / _BLOCK).cast("int") + 1) + total(F.slice(n, i - i % _BLOCK + 1, i % _BLOCK))))
+
+    return F.when(F.size(lengths) > 0, let(lengths, within)).otherwise(empty("array<int>"))
+
+
+def cut(text: Column, pattern: str, group: int = 0) -> Column:
+    """Matches m of a literal pattern (compiled once), gaps g around them, and values v: the matches, or a group of each."""
+    m = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.struct(m.alias("m"), F.split(text, pattern, -1).alias("g"), (F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else m).alias("v"))
+
+
+def placed(x: Column, last_group: Column | bool = False) -> Column:
+    """start, end, value from what ``cut`` gives. A value ends its match if last_group, else it is the match.
+
+    Matches and the gaps between them alternate, so running sums of lengths give the offsets.
+    """
+    lengths = F.zip_with(x["m"], F.slice(x["g"], F.lit(1), F.size(x["m"])), lambda m, g: F.length(m) + F.length(g))
+
+    def one(at: Column) -> Column:
+        def span(m: Column, i: Column) -> Column:
+            begin = F.element_at(at, i + 1) + F.length(F.element_at(x["g"], i + 1))
+            v, end = F.element_at(x["v"], i + 1), begin + F.length(m)
+            start = begin if last_group is False else F.when(last_group, end - F.length(v)).otherwise(begin)
+            return F.struct(start.alias("start"), end.alias("end"), v.alias("value"))
+
+        return F.transform(x["m"], span)
+
+    return let(running(lengths), one)
+
+
+def find_all(text: Column, pattern: str, group: int = 0, guard: str = "") -> Column:
     """start, end, value of every match, left to right; with a group, those of a group that ends its match.
 
-    Matches and the gaps between them alternate, so a running sum of lengths gives the offsets.
     Where the guard (a pattern that any match contains) fails, the pattern isn't tried.
     """
-    regex = F.lit(pattern) if isinstance(pattern, str) else pattern
-    raw = F.array(F.struct(F.regexp_extract_all(text, regex, F.lit(0)).alias("m"), F.split(text, regex, -1).alias("g"), F.regexp_extract_all(text, regex, F.lit(group)).alias("v")))
-    # each array is made once: the lambda below reads it by name
-    found = F.element_at(F.transform(raw, lambda x: F.when(F.size(x["m"]) > 0, _positions(x, group > 0)).otherwise(empty())), 1)
+    found = let(cut(text, pattern, group), lambda x: F.when(F.size(x["m"]) > 0, placed(x, F.lit(True) if group else False)).otherwise(empty()))
     return F.when(text.rlike(guard), found).otherwise(empty()) if guard else F.coalesce(found, empty())
 
 
@@ -63,14 +89,26 @@ def before(text: Column, start: Column, n: int) -> Column:
     return F.substring(text, F.greatest(start - n, F.lit(0)) + 1, F.least(start, F.lit(n)))
 
 
+_NEAR = 400
+
+
+def _words(part: Column, window: int) -> Column:
+    return F.regexp_extract(part, f"^{_BLACK}*((?:{_SPACE}+{_BLACK}+){{0,{window}}})", 0)
+
+
 def context(text: Column, start: Column, window: int = 5) -> Column:
     """The tokens around the token at start, up to window on either side, joined by single blanks and lower-cased.
 
-    Only the first token of a span is left out, so the span's later tokens are context.
+    Only the first token of a span is left out, so the span's later tokens are context. The nearest
+    characters are tried first; where the words reach past them, the whole side is read.
     """
-    left = F.regexp_extract(F.reverse(F.substring(text, F.lit(1), start)), f"^{_BLACK}*((?:{_SPACE}+{_BLACK}+){{0,{window}}})", 1)
-    right = F.regexp_extract(F.substring(text, start + 1, F.length(text)), f"^{_BLACK}*((?:{_SPACE}+{_BLACK}+){{0,{window}}})", 1)
-    return F.lower(F.trim(F.regexp_replace(F.concat(F.reverse(left), F.lit(" "), right), f"{_SPACE}+", " ")))
+    side = {
+        "left": (F.reverse(F.substring(text, F.greatest(start - _NEAR, F.lit(0)) + 1, F.least(start, F.lit(_NEAR)))), F.reverse(F.substring(text, F.lit(1), start))),
+        "right": (F.substring(text, start + 1, F.lit(_NEAR)), F.substring(text, start + 1, F.length(text))),
+    }
+    words = {k: F.when(F.length(_words(near, window)) < _NEAR, _words(near, window)).otherwise(_words(whole, window)) for k, (near, whole) in side.items()}
+    words = {k: F.regexp_replace(w, f"^{_BLACK}+", "") for k, w in words.items()}
+    return F.lower(F.trim(F.regexp_replace(F.concat(F.reverse(words["left"]), F.lit(" "), words["right"]), f"{_SPACE}+", " ")))
 
 
 def strip(value: Column) -> Column:

@@ -16,6 +16,7 @@ THRESHOLD = 0.75
 # The features in their order, and the shapes of suspicious spans.
 FEATURES = ("mean_token_entropy", "max_token_entropy", "high_entropy_ratio", "text_length", "token_count", "long_token_ratio", "avg_token_length", "n_digit_runs", "n_special_chars", "n_at_symbols", "n_slashes", "n_equals", "has_base64_pattern", "has_hex_run", "has_bearer_keyword", "has_akia_prefix", "has_sk_prefix")
 SPANS = (r"(?U)\bsk-[A-Za-z0-9]{6,}\b", r"(?U)\bAKIA[A-Za-z0-9]{6,}\b", r"[A-Za-z0-9+/]{20,}={0,2}", r"[0-9a-fA-F]{12,}", r"(?U)\b[A-Za-z0-9+/_\-]{16,}\b")
+# Fixed value: the record of a flag without a span.
 NO_SPAN = "(whole-prompt signal — no specific span located; see instructions)"
 
 
@@ -84,32 +85,33 @@ def score(df: DataFrame, model) -> DataFrame:
     return out.withColumn("anomaly_score", vector_to_array("probability")[1]).select(*df.columns, "anomaly_score")
 
 
-def plan_safety_net(df: DataFrame, model) -> DataFrame:
-    """Adds the second layer's entities to planned where the first masked nothing; anomaly_score and ml_flagged stay."""
-    df = score(add_features(df), model)
-    quiet = ~F.exists("planned", is_masked)
-    fires = quiet & (F.col("anomaly_score") >= THRESHOLD) & gate(F.col("features"))
-    t = F.col("normalized")
-    df = df.withColumn("ml_flagged", F.coalesce(fires, F.lit(False))).withColumn("_spans", F.when(F.col("ml_flagged"), suspicious_spans(t)))
-    points = F.round("anomaly_score", 3)
+def with_second_layer(df: DataFrame, model) -> DataFrame:
+    """Adds _ml: score, fires (the model and the gate agree) and the suspicious spans; such rows may have entities.
 
-    def build(m: Column, i: Column) -> Column:
-        return F.struct(F.lit("ML_FLAGGED_ANOMALY").alias("entity_type"), F.substring(t, m["start"] + 1, m["end"] - m["start"]).alias("value"), m["start"].alias("start"), m["end"].alias("end"), F.lit("MEDIUM").alias("sensitivity"), points.alias("score"), F.lit("ml_flagged_mask").alias("action"), F.lit("tokenize").alias("strategy"), (F.size("planned") + i).alias("seq"), F.lit(None).cast("string").alias("replacement"))
+    Row-local: whether the first layer masked nothing is known later.
+    """
+    names = df.columns
+    t = F.col("normalized")
+    df = score(add_features(df), model)
+    fires = F.coalesce((F.col("anomaly_score") >= THRESHOLD) & gate(F.col("features")), F.lit(False))
+    df = df.withColumn("_fires", fires)
+    spans = F.transform(suspicious_spans(t), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.substring(t, m["start"] + 1, m["end"] - m["start"]).alias("value")))
+    ml = F.struct(F.col("anomaly_score").alias("score"), F.col("_fires").alias("fires"), F.when(F.col("_fires"), spans).alias("spans"))
+    return df.select(*[c for c in names if c != "_maybe"], (F.col("_maybe") | F.col("_fires")).alias("_maybe"), ml.alias("_ml"))
 
-    one = F.array(F.struct(F.lit("ML_FLAGGED_ANOMALY").alias("entity_type"), F.lit(NO_SPAN).alias("value"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("MEDIUM").alias("sensitivity"), points.alias("score"), F.lit("review").alias("action"), F.lit("ml_anomaly_flagged_no_span").alias("strategy"), F.size("planned").alias("seq"), F.lit(None).cast("string").alias("replacement"))).cast(PLANNED)
-    more = F.when(~F.col("ml_flagged"), X.empty(PLANNED)).when(F.size("_spans") > 0, F.transform("_spans", build).cast(PLANNED)).otherwise(one)
-    return df.withColumn("planned", F.concat("planned", more)).drop("_spans")
 
+def safety_net(df: DataFrame) -> DataFrame:
+    """Adds ml_flagged, and the second layer's entities to planned where the first masked nothing."""
+    points = F.round("_ml.score", 3)
 
-def finish(df: DataFrame) -> DataFrame:
-    """Splices the second layer's masks, whose order is left to right, and gives their records offsets."""
-    mine = F.col("ml_flagged") & F.exists("planned", lambda p: p["action"] == "ml_flagged_mask")
-    spans = F.reverse(F.filter("planned", lambda p: p["action"] == "ml_flagged_mask"))
-    from .mask import splice
+    def entity(value: Column, start: Column, end: Column, action: str, strategy: str, seq: Column) -> Column:
+        return F.struct(F.lit("ML_FLAGGED_ANOMALY").alias("entity_type"), value.alias("value"), start.alias("start"), end.alias("end"), F.lit("MEDIUM").alias("sensitivity"), points.alias("score"), F.lit(action).alias("action"), F.lit(strategy).alias("strategy"), seq.alias("seq"), F.lit(None).cast("string").alias("replacement"))
 
-    df = df.withColumn("masked_text", F.when(mine, splice(F.col("normalized"), spans)).otherwise(F.col("masked_text")))
-    with_offsets = F.zip_with("masked", F.filter("planned", is_masked), lambda m, p: m.withField("start", F.when(p["action"] == "ml_flagged_mask", p["start"])).withField("end", F.when(p["action"] == "ml_flagged_mask", p["end"])))
-    return df.withColumn("masked", F.when(mine, with_offsets).otherwise(F.col("masked")))
+    df = df.withColumn("ml_flagged", F.col("_ml.fires") & ~F.exists("planned", is_masked))
+    spans = F.transform("_ml.spans", lambda m, i: entity(m["value"], m["start"], m["end"], "ml_flagged_mask", "tokenize", F.size("planned") + i)).cast(PLANNED)
+    review = F.array(entity(F.lit(NO_SPAN), F.lit(0), F.lit(0), "review", "ml_anomaly_flagged_no_span", F.size("planned"))).cast(PLANNED)
+    more = F.when(~F.col("ml_flagged"), X.empty(PLANNED)).when(F.size("_ml.spans") > 0, spans).otherwise(review)
+    return df.withColumn("planned", F.concat("planned", more)).drop("_ml")
 
 
 def train(df: DataFrame, label: str = "label", seed: int = 7):

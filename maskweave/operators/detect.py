@@ -1,173 +1,221 @@
-"""Detection and scoring: candidates of every rule, one fold that accepts them, scores in hundredths."""
+"""Detection and scoring, as relations: matches are rows, and a text's matches meet in windows.
+
+A text is read once: one projection finds the matches of all rules, and what needs the text (words
+around a match, phrases before it) is worked out there. From then on only short rows are dealt out,
+by text, and every later step keeps that partitioning: spans are compared by sorted windows, never in pairs.
+"""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..plans.rules import AMBIGUOUS, DANGEROUS_PAIRS, DIGIT_SHAPED, DOB_WORDS, MIN_BRANDED_KEY, REFERENCE_PHRASES, RULES, Rule, RuleSet
-from ..sources.staging import fence
+from ..plans.rules import AMBIGUOUS, DANGEROUS_PAIRS, DIGIT_SHAPED, DOB_WORDS, MIN_BRANDED_KEY, REFERENCE_PHRASES, Rule, RuleSet
 from .validate import VALIDATORS
 
-CANDIDATE = "struct<entity_type:string,value:string,start:int,end:int,sensitivity:string,category:string,match_quality:string,named:boolean,container:boolean,strength:int,proximity:int,format:int>"
-ENTITY = "struct<entity_type:string,value:string,start:int,end:int,sensitivity:string,category:string,match_quality:string,strength:int,proximity:int,format:int,ord:int>"
+#: What is kept of an entity, in the order of its struct.
+ENTITY = ("entity_type", "value", "start", "end", "sensitivity", "category", "match_quality", "points", "score", "level", "action", "breakdown", "rule")
+_NAMED = 1 << 40
 
 
 def alternation(words) -> str:
     return "|".join(re.escape(w) for w in words)
 
 
-def _table(rules: RuleSet, which: list[Rule], bare_dates: set[int] = frozenset()) -> Column:
-    """The rules as an array of structs: one generic expression reads it, whatever the number of rules."""
+def _words_guard(rules: RuleSet, r: Rule) -> str:
+    words = rules.keywords.get(r.type, ()) if r.needs_keyword else ()
+    return f"(?iu){alternation(words)}" if words else ""
 
-    def row(i: int, r: Rule) -> Column:
-        words = rules.keywords.get(r.type, ())
-        generic = rules.keywords.get("API_KEY_GENERIC", ())
-        text = lambda v: F.lit(v).cast("string")
-        return F.struct(
-            text(r.type).alias("type"), text(r.pattern).alias("pattern"), text(r.guard).alias("guard"), F.lit(r.group).alias("group"),
-            text(r.sensitivity).alias("sensitivity"), text(r.category).alias("category"), text(r.match_quality).alias("quality"),
-            F.lit(r.container).alias("container"), F.lit(r.needs_keyword and bool(words)).alias("gated"), F.lit(r.suppressible).alias("suppressible"),
-            text(alternation(words) or None).alias("words"), text(alternation(sorted({w.split()[0][:4] for w in words})) or None).alias("roots"),
-            text(alternation(generic) or None).alias("generic"), F.lit(i in bare_dates).alias("bare"),
-        )
 
-    rows = [row(i, r) for i, r in enumerate(which)]
-    return F.array(*rows) if rows else F.filter(F.array(row(0, RULES[0])), lambda r: F.lit(False))
+def _holds(text: Column, guard: str) -> Column:
+    return F.contains(text, F.lit(guard)) if re.fullmatch(r"[\w@:/ -]+", guard) else text.rlike(guard)
 
 
-def strength(kind: Column, v: Column) -> Column:
-    """Pattern strength: 40, or 20 for the weaker forms of three types."""
-    weak = F.when(kind == "PASSPORT", ~v.rlike("^[A-Z]{2}[0-9]{7}\\z")).when(kind == "SWIFT_BIC", F.length(v) != 11).when(kind == "API_KEY_GENERIC", F.length(v) < 40).otherwise(False)
-    return F.when(weak, 20).otherwise(40)
+def hits(text: Column, rules: RuleSet, names: bool = True) -> Column:
+    """The numbers of the rules that match in the text: guards first, then the pattern. Other rules and texts go no further."""
 
+    def of(i: int, r: Rule) -> Column:
+        tried = F.lit(True)
+        for guard in (r.guard, _words_guard(rules, r)):
+            tried = tried & _holds(text, guard) if guard else tried
+        return F.when(tried & text.rlike(r.pattern), F.lit(i))
 
-def validity(rules: RuleSet, kind: Column, v: Column) -> Column:
-    """Format validity: 10, 0, or 5 for a type without a validator."""
-    out = None
-    for name, check in (VALIDATORS | rules.validators).items():
-        points = F.when(F.coalesce(check(v), F.lit(False)), 10).otherwise(0)
-        out = F.when(kind == name, points) if out is None else out.when(kind == name, points)
-    return out.otherwise(5)
+    table = [*rules.ordered(), *(rules.named if names else ())]
+    return F.array_compact(F.array(*[of(i, r) for i, r in enumerate(table)])) if table else X.empty("array<int>")
 
 
-def _found(table: Column, source: Column, safe_demotion: bool) -> Column:
-    """rule, start, end, value, demoted of all matches of all rules, in the rules' order."""
-    hit = F.filter(table, lambda r: (r["guard"] == "") | F.rlike(source, r["guard"]))
-    raw = F.transform(hit, lambda r: F.struct(r.alias("r"), F.struct(F.regexp_extract_all(source, r["pattern"], F.lit(0)).alias("m"), F.split(source, r["pattern"], -1).alias("g"), F.regexp_extract_all(source, r["pattern"], r["group"]).alias("v")).alias("x")))
-    some = F.filter(raw, lambda x: F.size(x["x"]["m"]) > 0)
-    placed = F.transform(some, lambda x: F.struct(x["r"].alias("r"), F.when(x["r"]["group"] > 0, X._positions(x["x"], True)).otherwise(X._positions(x["x"], False)).alias("at")))
-    short = lambda m: F.length(m["value"]) < MIN_BRANDED_KEY
-    # a short branded key and, unless the rules say otherwise, every such match after it is of the generic type
-    after = (lambda x, m, i: short(m)) if safe_demotion else (lambda x, m, i: F.exists(F.slice(x["at"], F.lit(1), i + 1), short))
-    return F.flatten(F.transform(placed, lambda x: F.transform(x["at"], lambda m, i: F.struct(x["r"].alias("r"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), F.when(x["r"]["type"] == "API_KEY_OPENAI", after(x, m, i)).otherwise(False).alias("demoted")))))
+def _pick(i: Column, values: list, kind: str) -> Column:
+    return F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), i + 1)
 
 
-def _passing(found: Column, source: Column, named: bool) -> Column:
-    """Matches that no phrase, missing keyword or short value rules out; containers stay for the span that they claim."""
+def _matches(source: Column, hit: Column, rules: RuleSet, table: list[Rule]) -> Column:
+    """rule, start, end, value, demoted of all matches of the rules that hit, in the rules' order.
 
-    def keep(m: Column) -> Column:
-        r = m["r"]
-        if named:
-            words = alternation(DOB_WORDS)
-            return ~r["bare"] | F.lower(X.before(source, m["start"], 40)).rlike(words) | F.lower(F.substring(source, m["end"] + 1, F.lit(15))).rlike(words)
-        long = F.length(X.strip(m["value"])) >= 3
-        reference = r["suppressible"] & F.lower(X.before(source, m["start"], 60)).rlike(alternation(REFERENCE_PHRASES))
-        near = F.concat(X.context(source, m["start"]), F.lit(" "), F.lower(X.before(source, m["start"], 20)))
-        words = F.when(m["demoted"], r["generic"]).when(r["gated"], r["words"])
-        return r["container"] | (long & ~reference & (words.isNull() | F.rlike(near, words)))
+    Each pattern is a literal; what follows is one expression for all of them.
+    """
+
+    def of(i: int, r: Rule) -> Column:
+        return F.when(F.array_contains(hit, i), F.struct(F.lit(i).alias("rule"), F.lit(r.group > 0).alias("grouped"), F.lit(r.type == "API_KEY_OPENAI").alias("branded"), X.cut(source, r.pattern, r.group).alias("x")))
 
-    return F.filter(found, keep)
+    # a short branded key and, unless the rules say otherwise, every such match after it in the text are of the generic type
+    def rows(c: Column) -> Column:
+        short = lambda m: F.length(m["value"]) < MIN_BRANDED_KEY
 
+        def from_first(y: Column) -> Column:
+            late = lambda m, j: short(m) if rules.safe_demotion else (y["first"] > 0) & (j + 1 >= y["first"])
+            return F.transform(y["ms"], lambda m, j: F.struct(c["rule"].alias("rule"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), (c["branded"] & late(m, j)).alias("demoted")))
 
-def _built(rules: RuleSet, found: Column, text: Column, index: Column | None, named: bool) -> Column:
-    """Candidates with spans in the normalised text, and three score factors."""
+        return X.let(X.placed(c["x"], c["grouped"]), lambda ms: X.let(F.struct(ms.alias("ms"), F.when(c["branded"], F.array_position(F.transform(ms, short), True)).otherwise(F.lit(0)).alias("first")), from_first))
 
-    def place(m: Column) -> Column:
-        start = F.element_at(index, m["start"] + 1) if index is not None else m["start"]
-        end = F.element_at(index, m["end"]) + 1 if index is not None else m["end"]
-        kind = F.when(m["demoted"], "API_KEY_GENERIC").otherwise(m["r"]["type"])
-        return F.struct(m["r"].alias("r"), m["demoted"].alias("demoted"), kind.alias("kind"), start.alias("start"), end.alias("end"), X.strip(m["value"]).alias("v"))
+    return F.flatten(F.transform(F.array_compact(F.array(*[of(i, r) for i, r in enumerate(table)])), rows))
 
-    def near(m: Column) -> Column:
-        around = F.concat(X.context(text, m["start"]), F.lit(" "), F.lower(m["v"]), F.lit(" "), F.lower(X.before(text, m["start"], 25)))
-        return F.struct(m.alias("m"), around.alias("near"))
 
-    def build(x: Column) -> Column:
-        m, r = x["m"], x["m"]["r"]
-        by_words = F.when(r["words"].isNull(), 15).when(F.rlike(x["near"], r["words"]), 30).when(F.rlike(x["near"], r["roots"]), 15).otherwise(0)
-        return F.struct(
-            m["kind"].alias("entity_type"), m["v"].alias("value"), m["start"].alias("start"), m["end"].alias("end"), r["sensitivity"].alias("sensitivity"), r["category"].alias("category"),
-            F.when(m["demoted"], "partial").otherwise(r["quality"]).alias("match_quality"), F.lit(named).alias("named"), r["container"].alias("container"),
-            strength(m["kind"], m["v"]).alias("strength"), by_words.alias("proximity"), validity(rules, m["kind"], m["v"]).alias("format"),
-        )
+def strength(kind: Column, v: Column) -> Column:
+    """Pattern strength: 40, or 20 for the weaker forms of three types."""
+    weak = F.when(kind == "PASSPORT", ~v.rlike("^[A-Z]{2}[0-9]{7}\\z")).when(kind == "SWIFT_BIC", F.length(v) != 11).when(kind == "API_KEY_GENERIC", F.length(v) < 40).otherwise(False)
+    return F.when(weak, 20).otherwise(40)
 
-    return F.transform(F.transform(F.transform(found, place), near), build)
 
+def proximity(rules: RuleSet, kind: Column, near: Column) -> Column:
+    """Words near a value: 30 for one of its type's, 15 for the root of one or a type without any, else 0."""
+    out = None
+    for name, words in rules.keywords.items():
+        roots = sorted({w.split()[0][:4] for w in words})
+        points = F.when(near.rlike(alternation(words)), 30).when(near.rlike(alternation(roots)), 15).otherwise(0)
+        out = F.when(kind == name, points) if out is None else out.when(kind == name, points)
+    return F.lit(15) if out is None else out.otherwise(15)
+
+
+def validity(rules: RuleSet, kind: Column, v: Column) -> Column:
+    """Format validity: 10, 0, or 5 for a type without a validator."""
+    out = None
+    for name, check in (VALIDATORS | rules.validators).items():
+        points = F.when(F.coalesce(check(v), F.lit(False)), 10).otherwise(0)
+        out = F.when(kind == name, points) if out is None else out.when(kind == name, points)
+    return out.otherwise(5)
 
-_PARTNERS: dict[str, list[str]] = {}
-for _a, _b in AMBIGUOUS:
-    _PARTNERS.setdefault(_a, []).append(_b)
-    _PARTNERS.setdefault(_b, []).append(_a)
-_RAISED: dict[str, list[str]] = {}
-for _a, _b in DANGEROUS_PAIRS:
-    _RAISED.setdefault(_a, []).append(_b)
-    _RAISED.setdefault(_b, []).append(_a)
 
+def candidates(rows: DataFrame, rules: RuleSet, keys: tuple[str, ...] = ("_row",)) -> DataFrame:
+    """A row for each match that no phrase, missing keyword or short value rules out, with three score factors.
 
-def _map(d: dict[str, list[str]]) -> Column:
-    return F.create_map(*[c for k, v in d.items() for c in (F.lit(k), F.array(*map(F.lit, v)))])
+    rows has keys, normalized, despaced (null where it is the same), despaced_map, and hits of both as
+    _hits and _hits2. Patterns run over the normalised text, then over the despaced copy where there is one, then those of names. Containers
+    stay, marked dead, for the span that they claim. The texts end here.
+    """
+    plain = rules.ordered()
+    table = [*plain, *rules.named]
+    if not table:
+        return rows.select(*keys, *_nothing()).where(F.lit(False))
+    n = len(plain)
+    dates = [i for i, r in enumerate(table) if i >= n and r.type == "DATE_OF_BIRTH"][1:]
+    one = lambda p, t, m, h: F.struct(F.lit(p).alias("pass"), t.alias("text"), m.alias("map"), F.col(h).alias("hits"))
+    first, second = one(1, F.col("normalized"), F.lit(None).cast("array<int>"), "_hits"), one(2, F.col("despaced"), F.col("despaced_map"), "_hits2")
+    texts = rows.select(*keys, F.col("normalized").alias("_n"), F.explode(F.when(F.col("despaced").isNotNull(), F.array(first, second)).otherwise(F.array(first))).alias("_p"))
+    found = _matches(F.col("_p.text"), F.col("_p.hits"), rules, table)
+    df = texts.select(*keys, "_n", "_p", F.posexplode(found).alias("_at", "_m"))
+
+    rule, start, end = F.col("_m.rule"), F.col("_m.start"), F.col("_m.end")
+    source, index = F.col("_p.text"), F.col("_p.map")
+    named = rule >= n
+    df = df.select(
+        *keys, "_n", "_m", "_p",
+        F.when(F.col("_m.demoted"), "API_KEY_GENERIC").otherwise(_pick(rule, [r.type for r in table], "string")).alias("entity_type"), X.strip(F.col("_m.value")).alias("value"),
+        F.when(index.isNull(), start).otherwise(F.element_at(index, start + 1)).alias("start"), F.when(index.isNull(), end).otherwise(F.element_at(index, end) + 1).alias("end"),
+        F.when(named, F.lit(3)).otherwise(F.col("_p.pass")).alias("pass"), (F.when(named, F.lit(2 * _NAMED)).otherwise((F.col("_p.pass") - 1) * F.lit(_NAMED)) + F.col("_at")).alias("ord"), rule.alias("rule"),
+    )
+
+    near_source = F.concat(X.context(source, start), F.lit(" "), F.lower(X.before(source, start, 20)))
+    generic = rules.keywords.get("API_KEY_GENERIC", ())
+    gate = F.when(F.col("_m.demoted"), near_source.rlike(alternation(generic)) if generic else F.lit(True))
+    for i, r in enumerate(plain):
+        if r.needs_keyword and rules.keywords.get(r.type):
+            gate = gate.when(rule == i, near_source.rlike(alternation(rules.keywords[r.type])))
+    gate = gate.otherwise(True)
+    reference = _pick(rule, [r.suppressible for r in table], "boolean") & F.lower(X.before(source, start, 60)).rlike(alternation(REFERENCE_PHRASES))
+    born = alternation(DOB_WORDS)
+    dated = F.lower(X.before(source, start, 40)).rlike(born) | F.lower(F.substring(source, end + 1, F.lit(15))).rlike(born)
+    bare = rule.isin(*dates) if dates else F.lit(False)
+    live = F.when(named, ~bare | dated).otherwise((F.length("value") >= 3) & ~reference & gate)
+    container = _pick(rule, [r.container for r in table], "boolean")
+    df = df.withColumns({"live": live, "container": container}).where(F.col("live") | F.col("container"))
+
+    text, kind, v = F.col("_n"), F.col("entity_type"), F.col("value")
+    near = F.concat(X.context(text, F.col("start")), F.lit(" "), F.lower(v), F.lit(" "), F.lower(X.before(text, F.col("start"), 25)))
+    df = df.withColumn("_near", near)
+    return df.select(
+        *keys, "pass", "ord", "rule", "container", "live", "start", "end", kind, v,
+        _pick(rule, [r.sensitivity for r in table], "string").alias("sensitivity"), _pick(rule, [r.category for r in table], "string").alias("category"),
+        F.when(F.col("_m.demoted"), "partial").otherwise(_pick(rule, [r.match_quality for r in table], "string")).alias("match_quality"),
+        strength(kind, v).alias("strength"), proximity(rules, kind, F.col("_near")).alias("proximity"), validity(rules, kind, v).alias("format"),
+    )
+
+
+def _nothing() -> list[Column]:
+    kinds = {"pass": "int", "ord": "long", "rule": "int", "container": "boolean", "live": "boolean", "start": "int", "end": "int", "entity_type": "string", "value": "string", "sensitivity": "string", "category": "string", "match_quality": "string", "strength": "int", "proximity": "int", "format": "int"}
+    return [F.lit(None).cast(t).alias(k) for k, t in kinds.items()]
+
+
+def _partners(pairs) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b)
+        out.setdefault(b, []).append(a)
+    return out
+
+
+def _lookup(kind: Column, of: dict[str, list[str]]) -> Column:
+    table = F.create_map(*[c for k, v in of.items() for c in (F.lit(k), F.array(*map(F.lit, v)))])
+    return F.coalesce(F.try_element_at(table, kind), F.array().cast("array<string>"))
 
 
 def _ambiguous(a: Column, b: Column) -> Column:
-    return F.coalesce(F.array_contains(F.try_element_at(_map(_PARTNERS), a), b), F.lit(False))
+    return F.array_contains(_lookup(a, _partners(AMBIGUOUS)), b)
 
 
-def _accept(candidates: Column) -> Column:
-    """One pass in order: at a span the first type stays, with those ambiguous with one there; a named entity overlaps none."""
+def _family(kind: Column) -> Column:
+    """A name that types which may be mistaken for each other share, also through a third."""
+    root = {k: k for pair in AMBIGUOUS for k in pair}
+    for a, b in AMBIGUOUS:
+        old, new = root[b], root[a]
+        root = {k: new if r == old else r for k, r in root.items()}
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in root.items() for x in kv]), kind), kind)
 
-    def step(acc: Column, c: Column) -> Column:
-        at = lambda e: (e["start"] == c["start"]) & (e["end"] == c["end"])
-        met = F.exists(acc, lambda e: at(e) & (e["entity_type"] == c["entity_type"]))
-        fits = ~F.exists(acc, at) | F.exists(acc, lambda e: at(e) & _ambiguous(e["entity_type"], c["entity_type"]))
-        clear = ~F.exists(acc, lambda e: (c["start"] < e["end"]) & (e["start"] < c["end"]))
-        one = F.struct(*[c[k].alias(k) for k in ("entity_type", "value", "start", "end", "sensitivity", "category", "match_quality", "strength", "proximity", "format")], F.size(acc).alias("ord"))
-        return F.when(F.when(c["named"], clear).otherwise(fits & ~met), F.concat(acc, F.array(one))).otherwise(acc)
 
-    return F.aggregate(candidates, X.empty(f"array<{ENTITY}>"), step)
+def accepted(found: DataFrame, rules: RuleSet, key: str = "_row") -> DataFrame:
+    """Candidates that stand: none strictly inside a container, at one span the first type and those ambiguous with one there.
+
+    Names, dates and addresses come last, a rule after the other, and overlap nothing that stands.
+    """
+    before = Window.partitionBy(key).orderBy("start", F.desc("end"), "container", "ord").rowsBetween(Window.unboundedPreceding, -1)
+    claimed = {p: F.max(F.when(F.col("container") & (F.col("pass") <= p), F.col("end"))).over(before) for p in (1, 2)}
+    # what stands before a span in this order starts no later; if it also ends no earlier, the span lies inside
+    inside = ~F.col("container") & F.coalesce(F.when(F.col("pass") == 1, claimed[1]).when(F.col("pass") == 2, claimed[2]) >= F.col("end"), F.lit(False))
+    df = found.withColumn("_inside", inside).where(F.col("live") & ~F.col("_inside")).drop("_inside", "live", "container")
 
+    # at one span stands at most one candidate of each rule and pass; a name is a group of its own
+    own = F.when(F.col("pass") == 3, F.col("ord"))
+    groups = df.groupBy(key, "start", "end", own.alias("_own")).agg(F.array_sort(F.collect_list(F.struct("ord", *[c for c in df.columns if c not in (key, "ord", "start", "end")]))).alias("_c"))
 
-def detect(df: DataFrame, rules: RuleSet | None = None) -> DataFrame:
-    """Adds _detected: accepted ones in order of start, with three of the four score factors.
+    def step(acc: Column, c: Column) -> Column:
+        met = F.exists(acc, lambda e: e["entity_type"] == c["entity_type"])
+        fits = (F.size(acc) == 0) | F.exists(acc, lambda e: _ambiguous(e["entity_type"], c["entity_type"]))
+        return F.when(fits & ~met, F.concat(acc, F.array(c))).otherwise(acc)
 
-    Needs the columns of ``normalize``. Patterns run over the normalised text, then over the
-    despaced copy where there is one, then those of names. Row-local: no exchange.
-    """
-    rules = rules or RuleSet()
-    text, copy, index = F.col("normalized"), F.col("despaced"), F.col("despaced_map")
-    plain = _table(rules, rules.ordered())
-    dates = [i for i, r in enumerate(rules.named) if r.type == "DATE_OF_BIRTH"][1:]
-    names = _table(rules, list(rules.named), set(dates))
-    some = lambda c: F.size(c) > 0
-    none = X.empty(f"array<{CANDIDATE}>")
-    cast = lambda c: c.cast(f"array<{CANDIDATE}>")
-    df = df.withColumns({"_f1": _found(plain, text, rules.safe_demotion), "_f2": F.when(index.isNotNull(), _found(plain, copy, rules.safe_demotion)), "_f3": _found(names, text, True)})
-    df = df.withColumns({
-        "_c1": F.when(some("_f1"), cast(_built(rules, _passing(F.col("_f1"), text, False), text, None, False))).otherwise(none),
-        "_c2": F.when(some("_f2"), cast(_built(rules, _passing(F.col("_f2"), copy, False), text, index, False))).otherwise(none),
-        "_c3": F.when(some("_f3"), cast(_built(rules, _passing(F.col("_f3"), text, True), text, None, True))).otherwise(none),
-    })
-    df = df.withColumn("_k1", F.filter("_c1", lambda c: c["container"])).withColumn("_k2", F.concat("_k1", F.filter("_c2", lambda c: c["container"])))
-    inside = lambda pool: lambda c: F.exists(pool, lambda k: (k["start"] <= c["start"]) & (c["end"] <= k["end"]) & ((k["start"] != c["start"]) | (k["end"] != c["end"])))
-    free = lambda pool: lambda c: F.when(c["container"], F.length(c["value"]) >= 3).otherwise(~inside(pool)(c))
-    df = df.withColumn("_all", F.concat(F.filter("_c1", free("_k1")), F.filter("_c2", free("_k2")), F.col("_c3")))
-    df = df.withColumn("_acc", F.when(some("_all"), _accept(F.col("_all"))).otherwise(X.empty(f"array<{ENTITY}>")))
-    df = df.withColumn("_detected", F.transform(F.array_sort(F.transform("_acc", lambda e: F.struct(e["start"].alias("s"), e["ord"].alias("o"), e.alias("e")))), lambda x: x["e"]))
-    df = df.withColumn("_detected", fence(F.col("_detected")))
-    return df.drop("_f1", "_f2", "_f3", "_c1", "_c2", "_c3", "_k1", "_k2", "_all", "_acc")
+    kept = F.when(F.size("_c") > 1, F.aggregate("_c", F.slice("_c", F.lit(1), F.lit(0)), step)).otherwise(F.col("_c"))
+    df = groups.select(key, "start", "end", F.inline(kept)).withColumn("_ok", F.col("pass") < 3)
+
+    first_name = len(rules.ordered())
+    by_start = Window.partitionBy(key).orderBy("start", "ord")
+    for i in range(len(rules.named)):
+        df = df.withColumn("_begin", F.when(F.col("_ok"), F.col("start")))
+        ended = F.max(F.when(F.col("_ok"), F.col("end"))).over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+        begins = F.expr(f"lead(_begin, 1) IGNORE NULLS OVER (PARTITION BY `{key}` ORDER BY start, ord)")
+        free = F.coalesce(ended <= F.col("start"), F.lit(True)) & F.coalesce(begins >= F.col("end"), F.lit(True))
+        df = df.withColumn("_ok", F.col("_ok") | ((F.col("rule") == first_name + i) & free))
+    return df.where("_ok").drop("_ok", "_begin", "pass")
 
 
 def level_of(points: Column) -> Column:
@@ -178,45 +226,57 @@ def action_of(points: Column) -> Column:
     return F.when(points >= 75, "mask_immediate").when(points >= 50, "mask_warn").when(points >= 25, "log_suspected").otherwise("ignore")
 
 
-def score(df: DataFrame) -> DataFrame:
-    """Replaces _detected by _scored: co-occurrence, points (hundredths), score, level, action, breakdown, final sensitivity.
+def scored(df: DataFrame, key: str = "_row") -> DataFrame:
+    """Adds points (hundredths), score, level, action, breakdown; a dangerous pair raises the sensitivity.
 
-    Co-occurrence looks at all other raw entities, those that lose an overlap later included.
+    Co-occurrence looks at all other accepted entities, those that lose an overlap later included:
+    a type counts as other if it isn't one's own or stands more than once.
     """
-
-    def gather(e: Column) -> Column:
-        return F.struct(e.alias("e"), F.array_distinct(F.transform(F.filter("_detected", lambda o: o["ord"] != e["ord"]), lambda o: o["entity_type"])).alias("others"))
-
-    def build(x: Column) -> Column:
-        raised = F.coalesce(F.arrays_overlap(F.try_element_at(_map(_RAISED), x["e"]["entity_type"]), x["others"]), F.lit(False))
-        return F.struct(x["e"].alias("e"), F.size(x["others"]).alias("n"), raised.alias("raised"))
-
-    def points_of(x: Column) -> Column:
-        e = x["e"]
-        together = F.when(x["n"] == 0, 0).when(x["raised"], 20).when(x["n"] >= 3, 15).otherwise(10)
-        return F.struct(*[e[k].alias(k) for k in ("entity_type", "value", "start", "end", "sensitivity", "category", "match_quality", "strength", "proximity", "format", "ord")], together.alias("together"), x["raised"].alias("raised"))
-
-    def finish(e: Column) -> Column:
-        form = F.when(e["entity_type"].isin(*DIGIT_SHAPED) & (e["proximity"] == 0) & (e["together"] == 0), 0).otherwise(e["format"])
-        points = e["strength"] + e["proximity"] + e["together"] + form
-        detail = F.struct((e["strength"] / 100).alias("pattern_strength"), (e["proximity"] / 100).alias("keyword_proximity"), (e["together"] / 100).alias("co_occurrence"), (form / 100).alias("format_validity"), (points / 100).alias("total"), F.when(e["raised"], "CRITICAL").alias("elevated_by_cooccur"))
-        return F.struct(e["entity_type"].alias("entity_type"), e["value"].alias("value"), e["start"].alias("start"), e["end"].alias("end"), F.when(e["raised"], "CRITICAL").otherwise(e["sensitivity"]).alias("sensitivity"), e["category"].alias("category"), e["match_quality"].alias("match_quality"), points.alias("points"), (points / 100).alias("score"), level_of(points).alias("level"), action_of(points).alias("action"), detail.alias("breakdown"), e["ord"].alias("ord"))
-
-    df = df.withColumn("_with", F.transform(F.transform(F.transform("_detected", gather), build), points_of))
-    return df.withColumn("_scored", F.transform("_with", finish)).drop("_with", "_detected")
-
-
-def resolve(df: DataFrame) -> DataFrame:
-    """Replaces _scored by resolved: of overlapping entities of one type or an ambiguous pair, the beaten go."""
-
-    def beats(y: Column, x: Column, i: Column, j: Column) -> Column:
-        alike = (x["entity_type"] == y["entity_type"]) | _ambiguous(x["entity_type"], y["entity_type"])
-        overlap = (x["start"] < y["end"]) & (y["start"] < x["end"])
-        long_x, long_y = x["end"] - x["start"], y["end"] - y["start"]
-        # of equal score and length the later one loses
-        wins = (y["points"] > x["points"]) | ((y["points"] == x["points"]) & F.when(j < i, long_y >= long_x).otherwise(long_y > long_x))
-        return alike & overlap & (i != j) & wins
-
-    numbered = F.transform("_scored", lambda e, i: F.struct(e.alias("e"), i.alias("i")))
-    kept = X.let(numbered, lambda n: F.filter(n, lambda x: ~F.exists(n, lambda y: beats(y["e"], x["e"], x["i"], y["i"]))))
-    return df.withColumn("resolved", F.transform(kept, lambda x: x["e"])).drop("_scored")
+    kind = F.col("entity_type")
+    alike = F.count(F.lit(1)).over(Window.partitionBy(key, "entity_type"))
+    types = F.collect_set("entity_type").over(Window.partitionBy(key))  # no more than there are rules
+    df = df.withColumn("_alike", alike).withColumn("_types", types)
+    others = F.size("_types") - F.when(F.col("_alike") == 1, 1).otherwise(0)
+    df = df.withColumn("_others", others).withColumn("_raised", F.arrays_overlap(_lookup(kind, _partners(DANGEROUS_PAIRS)), "_types"))
+    together = F.when(F.col("_others") == 0, 0).when(F.col("_raised"), 20).when(F.col("_others") >= 3, 15).otherwise(10)
+    df = df.withColumn("together", together)
+    form = F.when(kind.isin(*DIGIT_SHAPED) & (F.col("proximity") == 0) & (F.col("together") == 0), 0).otherwise(F.col("format"))
+    df = df.withColumn("format", form).withColumn("points", F.col("strength") + F.col("proximity") + F.col("together") + F.col("format"))
+    p = F.col("points")
+    parts = {"pattern_strength": "strength", "keyword_proximity": "proximity", "co_occurrence": "together", "format_validity": "format", "total": "points"}
+    detail = F.struct(*[(F.col(c) / 100).alias(k) for k, c in parts.items()], F.when(F.col("_raised"), "CRITICAL").alias("elevated_by_cooccur"))
+    df = df.withColumns({"sensitivity": F.when(F.col("_raised"), "CRITICAL").otherwise(F.col("sensitivity")), "score": p / 100, "level": level_of(p), "action": action_of(p), "breakdown": detail})
+    return df.drop("_alike", "_types", "_others", "_raised", "together", "strength", "proximity", "format")
+
+
+def resolved(df: DataFrame, key: str = "_row") -> DataFrame:
+    """Entities that no overlapping one of their type, or of one that may be mistaken for it, beats.
+
+    A higher score wins, then the longer span, then the earlier. Those that are beaten beat others still.
+    Only entities of one chain of overlaps in one family of types are compared.
+    """
+    family = Window.partitionBy(key, "_family").orderBy("start", "ord")
+    df = df.withColumn("_family", _family(F.col("entity_type")))
+    ended = F.max("end").over(family.rowsBetween(Window.unboundedPreceding, -1))
+    df = df.withColumn("_new", F.coalesce((ended <= F.col("start")).cast("int"), F.lit(1)))
+    df = df.withColumn("_chain", F.sum("_new").over(family.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    rest = [c for c in df.columns if c not in (key, "_family", "_chain", "start", "ord")]
+    chains = df.groupBy(key, "_family", "_chain").agg(F.sort_array(F.collect_list(F.struct("start", "ord", F.struct(*rest).alias("e")))).alias("_c"))
+
+    def beats(y: Column, x: Column, earlier: Column) -> Column:
+        alike = (x["e"]["entity_type"] == y["e"]["entity_type"]) | _ambiguous(x["e"]["entity_type"], y["e"]["entity_type"])
+        overlap = (x["start"] < y["e"]["end"]) & (y["start"] < x["e"]["end"])
+        long_x, long_y = x["e"]["end"] - x["start"], y["e"]["end"] - y["start"]
+        same = y["e"]["points"] == x["e"]["points"]
+        return alike & overlap & ((y["e"]["points"] > x["e"]["points"]) | (same & (long_y > long_x)) | (same & (long_y == long_x) & earlier))
+
+    def unbeaten(c: Column) -> Column:
+        return F.filter(c, lambda x, i: ~F.exists(c, lambda y: (y["ord"] != x["ord"]) & beats(y, x, F.struct(y["start"], y["ord"]) < F.struct(x["start"], x["ord"]))))
+
+    kept = F.when(F.size("_c") > 1, X.let(F.col("_c"), unbeaten)).otherwise(F.col("_c"))
+    return chains.select(key, F.explode(kept).alias("_k")).select(key, "_k.start", "_k.ord", "_k.e.*")
+
+
+def entities(rows: DataFrame, rules: RuleSet, keys: tuple[str, ...] = ("_row",)) -> DataFrame:
+    """A row for each resolved entity of the normalised rows, keyed by the first of keys: one exchange of short rows."""
+    return resolved(scored(accepted(candidates(rows, rules, keys), rules, keys[0]), keys[0]), keys[0])

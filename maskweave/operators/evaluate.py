@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .mask import is_masked
-
 
 def detected(masked: Column, skipped: Column) -> tuple[Column, Column]:
     """Types masked (without the second layer's), and types logged."""
@@ -57,7 +55,3 @@ def second_layer(df: DataFrame, truth: str = "entities") -> DataFrame:
     """flagged, masked, review and false alarms of the second layer."""
     span = F.exists("masked", lambda m: m["entity_type"] == "ML_FLAGGED_ANOMALY")
     return df.agg(F.count_if("ml_flagged").alias("flagged"), F.count_if(F.col("ml_flagged") & span).alias("masked"), F.count_if(F.col("ml_flagged") & ~span).alias("review"), F.count_if(F.col("ml_flagged") & (F.size(truth) == 0)).alias("false_alarms"))
-
-
-def planned_types(planned: str = "planned") -> Column:
-    return F.array_distinct(F.transform(F.filter(planned, is_masked), lambda p: p["entity_type"]))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans.rules import CONTEXTUAL, PARTIAL, SENSITIVITY, TOKENIZED
-from ..sources.staging import fence
 from .validate import digits
 
 PLANNED = "array<struct<entity_type:string,value:string,start:int,end:int,sensitivity:string,score:double,action:string,strategy:string,seq:int,replacement:string>>"
@@ -45,25 +44,33 @@ def partial_mask(v: Column, kind: Column) -> Column:
     return F.when(kind == "EMAIL", email).when(kind.isin("PHONE_LK", "PHONE_INTL"), phone).when(kind == "PAN", card).otherwise(other)
 
 
-def plan(df: DataFrame, safe_splice: bool = False) -> DataFrame:
-    """Adds planned: entities from right to left with strategy and replacement (null for tokens), seq their order.
+def planned(resolved: Column, safe_splice: bool = False) -> Column:
+    """Entities from right to left with strategy and replacement (null for tokens), seq their order.
 
-    A stable order: of two that start alike, the one found first is first.
+    A stable order: of two that start alike, the one found first is first. With safe_splice, one
+    that lies inside another masked one is left out.
     """
-    high = F.exists("resolved", lambda e: e["sensitivity"].isin("HIGH", "CRITICAL"))
-    ordered = F.transform(F.sort_array(F.transform("resolved", lambda e, i: F.struct((-e["start"]).alias("s"), i.alias("i"), e.alias("e")))), lambda x: x["e"])
 
     def build(e: Column, i: Column, high: Column) -> Column:
         s = strategy_of(e, high)
         new = F.when(s == "full", full_mask(e["value"])).when(s == "partial", partial_mask(e["value"], e["entity_type"]))
         return F.struct(*[e[k].alias(k) for k in ("entity_type", "value", "start", "end", "sensitivity", "score", "action")], s.alias("strategy"), i.alias("seq"), new.alias("replacement"))
 
-    df = df.withColumn("_sorted", ordered)
-    df = df.withColumn("planned", X.let(F.struct(F.col("_sorted").alias("all"), high.alias("high")), lambda x: F.transform(x["all"], lambda e, i: build(e, i, x["high"]))).cast(PLANNED)).drop("_sorted")
-    if safe_splice:
-        inside = lambda x: F.exists("planned", lambda y: is_masked(y) & (y["seq"] != x["seq"]) & (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & ((y["end"] - y["start"] > x["end"] - x["start"]) | (y["seq"] < x["seq"])))
-        df = df.withColumn("planned", F.filter("planned", lambda x: ~is_masked(x) | ~inside(x)))
-    return df.withColumn("planned", fence(F.col("planned")))
+    def ordered(r: Column) -> Column:
+        high = F.exists(r, lambda e: e["sensitivity"].isin("HIGH", "CRITICAL"))
+        turned = F.transform(F.sort_array(F.transform(r, lambda e, i: F.struct((-e["start"]).alias("s"), i.alias("i"), e.alias("e")))), lambda x: x["e"])
+        return X.let(F.struct(turned.alias("all"), high.alias("high")), lambda x: F.transform(x["all"], lambda e, i: build(e, i, x["high"])))
+
+    out = X.let(resolved, ordered).cast(PLANNED)
+    if not safe_splice:
+        return out
+
+    # from right to left, what starts later comes first: an outer one is met after what it holds, or before with the same start
+    def apart(all_: Column) -> Column:
+        inside = lambda x: F.exists(all_, lambda y: is_masked(y) & (y["seq"] != x["seq"]) & (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & ((y["end"] - y["start"] > x["end"] - x["start"]) | (y["seq"] < x["seq"])))
+        return F.filter(all_, lambda x: ~is_masked(x) | ~inside(x))
+
+    return X.let(out, apart)
 
 
 def is_masked(p: Column) -> Column:
@@ -71,21 +78,33 @@ def is_masked(p: Column) -> Column:
 
 
 def splice(text: Column, masked: Column) -> Column:
-    """Replacements from right to left at their own offsets, as the text stands by then."""
-    return F.aggregate(masked, text, lambda acc, p: F.concat(F.substring(acc, F.lit(1), p["start"]), F.coalesce(p["replacement"], F.lit("")), F.substring(acc, p["end"] + 1, F.length(acc))))
+    """Replacements from right to left at their own offsets, as the text stands by then.
+
+    The text right of the last cut is a list of pieces: a cut takes what lies between, and only an
+    entity that reaches into the pieces, by an overlap, has them joined.
+    """
+
+    def step(acc: Column, p: Column) -> Column:
+        new = F.coalesce(p["replacement"], F.lit(""))
+        between = F.substring(text, p["end"] + 1, acc["at"] - p["end"])
+        tail = F.array_join(F.reverse(acc["pieces"]), "")
+        rest = F.array(F.substring(tail, p["end"] - acc["at"] + 1, F.length(tail)), new)
+        return F.struct(p["start"].alias("at"), F.when(p["end"] <= acc["at"], F.concat(acc["pieces"], F.array(between, new))).otherwise(rest).alias("pieces"))
+
+    start = F.struct(F.length(text).alias("at"), X.empty("array<string>").alias("pieces"))
+    return F.aggregate(masked, start, step, lambda acc: F.concat(F.substring(text, F.lit(1), acc["at"]), F.array_join(F.reverse(acc["pieces"]), "")))
 
 
-def apply(df: DataFrame, planned: str = "planned") -> DataFrame:
-    """Adds masked_text, masked, skipped and overall_risk from the planned entities, all with a replacement by now."""
-    masked = F.filter(planned, is_masked)
-    skipped = F.filter(planned, lambda p: ~is_masked(p))
-    df = df.withColumn("_m", masked).withColumn("_s", skipped)
-    df = df.withColumn("masked_text", F.when(F.size("_m") > 0, splice(F.col("normalized"), F.col("_m"))).otherwise(F.col("normalized")))
-    df = df.withColumn("masked", F.transform("_m", lambda p: F.struct(p["entity_type"].alias("entity_type"), p["value"].alias("original"), p["replacement"].alias("replacement"), p["strategy"].alias("strategy"), p["sensitivity"].alias("sensitivity"), p["score"].alias("score"), p["action"].alias("action"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))))
-    df = df.withColumn("skipped", F.transform("_s", lambda p: F.struct(p["entity_type"].alias("entity_type"), p["value"].alias("value"), F.when(p["strategy"] == "log_suspected", "low_confidence_logged").otherwise(p["strategy"]).alias("reason"), p["score"].alias("score"))))
-    risk = F.array_max(F.transform("_m", lambda p: rank_of(p["sensitivity"])))
-    return df.withColumn("overall_risk", F.element_at(F.array(*map(F.lit, SENSITIVITY)), F.coalesce(risk, F.lit(1)).cast("int"))).drop("_m", "_s")
+def outcome(df: DataFrame) -> DataFrame:
+    """Adds masked, skipped and overall_risk from planned, all with a replacement by now."""
+    records = F.transform(F.filter("planned", is_masked), lambda p: F.struct(p["entity_type"].alias("entity_type"), p["value"].alias("original"), p["replacement"].alias("replacement"), p["strategy"].alias("strategy"), p["sensitivity"].alias("sensitivity"), p["score"].alias("score"), p["action"].alias("action"), F.when(p["action"] == "ml_flagged_mask", p["start"]).alias("start"), F.when(p["action"] == "ml_flagged_mask", p["end"]).alias("end")))
+    logged = F.transform(F.filter("planned", lambda p: ~is_masked(p)), lambda p: F.struct(p["entity_type"].alias("entity_type"), p["value"].alias("value"), F.when(p["strategy"] == "log_suspected", "low_confidence_logged").otherwise(p["strategy"]).alias("reason"), p["score"].alias("score")))
+    df = df.withColumns({"masked": records, "skipped": logged})
+    risk = F.array_max(F.transform("masked", lambda m: rank_of(m["sensitivity"])))
+    return df.withColumn("overall_risk", F.element_at(F.array(*map(F.lit, SENSITIVITY)), F.coalesce(risk, F.lit(1)).cast("int")))
 
 
-def none_masked() -> Column:
-    return X.empty(PLANNED)
+def cuts() -> Column:
+    """What is replaced, from right to left: the second layer's masks are planned from left to right."""
+    masked = F.filter("planned", is_masked)
+    return F.when(F.exists("planned", lambda p: p["action"] == "ml_flagged_mask"), F.reverse(masked)).otherwise(masked)

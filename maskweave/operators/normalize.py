@@ -14,6 +14,13 @@ CONTEXTS = {
     "log_output": (r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}", r"\b(INFO|ERROR|DEBUG|WARN|CRITICAL|FATAL)\b", r"Traceback \(most recent call", r"at \w+\.\w+\([\w.]+:\d+\)", r"\[[\d\-:T]+\]"),
     "natural_language": (r"\b(please|can you|could you|help me|I need|check|verify|update|send)\b", r"\b(customer|account|transfer|balance|loan|payment)\b"),
 }
+#: Lower-cased text that any match of a pattern holds, one of these at least; they save the pattern most texts.
+_HINTS = {
+    "source_code": (("def",), ("import",), ("function",), ("const",), ("var",), ("class",), ("=>",), ("return",), ("//",), ("/*",), ("public", "private")),
+    "config_file": (("=",), ('"',), (":",), (".env",), ("config.",), ("settings.",)),
+    "log_output": (("-",), ("info", "error", "debug", "warn", "critical", "fatal"), ("traceback",), ("at ",), ("[",)),
+    "natural_language": (("please", "can you", "could you", "help me", "i need", "check", "verify", "update", "send"), ("customer", "account", "transfer", "balance", "loan", "payment")),
+}
 _SHORT = "(?:[A-Za-z0-9]{1,2}|[@\\-])"
 RUN = f"(?<![A-Za-z0-9]){_SHORT}(?:[ \\t]{_SHORT}){{2,}}(?![A-Za-z0-9])"
 
@@ -69,17 +76,36 @@ def _pick(t: Column, indexes: Column) -> Column:
     return X.let(both, lambda x: F.array_join(F.transform(x["at"], lambda i: F.element_at(x["chars"], i + 1)), ""))
 
 
-def context_type(t: Column) -> Column:
-    """The type with most of its patterns in the text; none: natural language; a tie: mixed."""
-    score = {k: sum((t.rlike("(?dmiU)" + p).cast("int") for p in ps), F.lit(0)) for k, ps in CONTEXTS.items()}
-    best = F.greatest(*score.values())
-    ties = sum(((s == best).cast("int") for s in score.values()), F.lit(0))
-    pick = F.coalesce(*[F.when(s == best, F.lit(k)) for k, s in score.items()])
+def folded(t: Column) -> Column:
+    """Lower case as patterns that ignore case see it: letters that they take for one become one."""
+    return F.lower(F.upper(F.translate(t, "\u0130", "i")))
+
+
+def context_type(t: Column, low: Column | None = None) -> Column:
+    """The type with most of its patterns in the text; none: natural language; a tie: mixed. low is the folded text."""
+    if low is None:
+        return X.let(folded(t), lambda x: context_type(t, x))
+
+    def hit(pattern: str, hints: tuple[str, ...]) -> Column:
+        some = F.lit(False)
+        for h in hints:
+            some = some | F.contains(low, F.lit(h))
+        return (some & t.rlike("(?dmiU)" + pattern)).cast("int")
+
+    score = {k: sum((hit(p, h) for p, h in zip(ps, _HINTS[k], strict=True)), F.lit(0)) for k, ps in CONTEXTS.items()}
+    return X.let(F.struct(*[s.alias(k) for k, s in score.items()]), _winner)
+
+
+def _winner(score: Column) -> Column:
+    each = [score[k] for k in CONTEXTS]
+    best = F.greatest(*each)
+    ties = sum(((s == best).cast("int") for s in each), F.lit(0))
+    pick = F.coalesce(*[F.when(score[k] == best, F.lit(k)) for k in CONTEXTS])
     return F.when(best == 0, "natural_language").when(ties > 1, "mixed").otherwise(pick)
 
 
 def normalize(df: DataFrame, text: str = "text", keep_digits: bool = False, types: bool = True) -> DataFrame:
-    """Adds normalized, despaced, despaced_map (null where nothing was removed), transformations, context_type.
+    """Adds normalized, despaced and despaced_map (both null where nothing was removed), transformations, context_type.
 
     A null text is empty here; the caller keeps its own column. Row-local: no exchange.
     """
@@ -89,17 +115,19 @@ def normalize(df: DataFrame, text: str = "text", keep_digits: bool = False, type
     df = df.withColumn("normalized", base64_decoded(F.col("_h")))
     n = F.col("normalized")
     # index maps are made for texts with something to remove alone, a column for each step
-    df = df.withColumn("_kept", F.when(n.rlike(RUN) | n.rlike(r"(?U)\d-\d"), F.array_except(F.sequence(F.lit(0), F.length(n) - 1), blanks_to_close(n))))
+    odd = F.exists(F.regexp_extract_all(n, F.lit(RUN), F.lit(0)), _looks_obfuscated) | n.rlike(r"(?U)\d-\d")
+    df = df.withColumn("_odd", odd)
+    df = df.withColumn("_kept", F.when(F.col("_odd"), F.array_except(F.sequence(F.lit(0), F.length(n) - 1), blanks_to_close(n))))
     df = df.withColumn("_closed", F.when(F.col("_kept").isNotNull(), _pick(n, F.col("_kept"))))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_kept") - 1), dashes_to_drop(F.col("_closed")))
     df = df.withColumn("_map", F.when(F.col("_kept").isNotNull(), X.let(F.struct(stay.alias("stay"), F.col("_kept").alias("kept")), lambda x: F.transform(x["stay"], lambda i: F.element_at(x["kept"], i + 1)))))
     df = df.withColumn("despaced_map", F.when(F.size("_map") < F.length(n), F.col("_map")))
-    df = df.withColumn("despaced", F.when(F.col("despaced_map").isNotNull(), _pick(n, F.col("despaced_map"))).otherwise(n))
+    df = df.withColumn("despaced", F.when(F.col("despaced_map").isNotNull(), _pick(n, F.col("despaced_map"))))
     steps = F.array(
         F.when(F.col("_u") != raw, "url_decoded"),
         F.when(F.col("_h") != F.col("_u"), "hex_decoded"),
         F.when(n != F.col("_h"), "base64_decoded"),
         F.when(F.col("despaced") != n, "adversarial_spacing_removed"),
     )
-    df = df.withColumn("transformations", F.filter(steps, lambda s: s.isNotNull())).drop("_u", "_h", "_kept", "_closed", "_map")
-    return df.withColumn("context_type", context_type(raw)) if types else df
+    df = df.withColumn("transformations", F.filter(steps, lambda s: s.isNotNull())).drop("_u", "_h", "_odd", "_kept", "_closed", "_map")
+    return df.withColumn("_low", folded(raw)).withColumn("context_type", context_type(raw, F.col("_low"))).drop("_low") if types else df

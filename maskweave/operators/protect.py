@@ -1,8 +1,8 @@
-"""The public call: normalise, detect, score, resolve, mask, number tokens, add the safety net and instructions."""
+"""The public calls: find entities, analyse, protect (mask, number tokens, add the safety net and instructions)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -10,55 +10,92 @@ from ..plans.rules import RuleSet
 from ..sources.staging import staged
 from . import anomaly, detect, instruct, mask, normalize, registry
 
+_ENTITY = "struct<entity_type:string,value:string,start:int,end:int,sensitivity:string,category:string,match_quality:string,points:int,score:double,level:string,action:string,breakdown:struct<pattern_strength:double,keyword_proximity:double,co_occurrence:double,format_validity:double,total:double,elevated_by_cooccur:string>,rule:int>"
 
-def analyse(df: DataFrame, text: str = "text", rules: RuleSet | None = None) -> DataFrame:
-    """Adds the columns of normalisation, resolved entities and planned masks. Row-local."""
-    rules = rules or RuleSet()
+
+_TEXTS = ("normalized", "despaced", "despaced_map", "_hits", "_hits2")
+_INNER = _TEXTS[2:]
+
+
+def _prepared(df: DataFrame, text: str, rules: RuleSet) -> DataFrame:
+    """df with the columns of normalize, _row (a number of the row's own), the rules' hits and _maybe (there are some)."""
     out = normalize.normalize(df, text, rules.keep_digits)
-    out = detect.resolve(detect.score(detect.detect(out, rules)))
-    return mask.plan(out, rules.safe_splice)
+    out = out.withColumns({"_row": F.monotonically_increasing_id(), "_hits": detect.hits(F.col("normalized"), rules), "_hits2": F.when(F.col("despaced").isNotNull(), detect.hits(F.col("despaced"), rules, names=False))})
+    return out.withColumn("_maybe", (F.size("_hits") > 0) | (F.coalesce(F.size("_hits2"), F.lit(0)) > 0))
 
 
-def protect(df: DataFrame, text: str = "text", session: str | None = None, order: str | None = None, anomaly_model=None, rules: RuleSet | None = None, instructions: bool = True) -> DataFrame:
-    """df with masked_text, masked, skipped, overall_risk, resolved, context_type, transformations (and instructions).
+def find(df: DataFrame, text: str = "text", rules: RuleSet | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each resolved entity, with the columns of df named in keep. One exchange, of entities."""
+    rules = rules or RuleSet()
+    rows = _prepared(df, text, rules).where("_maybe").select("_row", *[F.col(k).alias(f"_keep_{k}") for k in keep], *_TEXTS)
+    found = detect.entities(rows, rules, ("_row", *[f"_keep_{k}" for k in keep]))
+    return found.select(*[F.col(f"_keep_{k}").alias(k) for k in keep], *detect.ENTITY)
 
-    With session and order, tokens are numbered by session (one exchange of rows that have any);
-    without, every row is a session of its own and nothing is exchanged. A null text gives a null
-    masked text, no entities and LOW.
-    """
-    out = analyse(df, text, rules)
-    if anomaly_model is not None:
-        out = anomaly.plan_safety_net(out, anomaly_model)
-    if session is None:
-        out = out.withColumn("planned", local_tokens("planned"))
-    else:
-        out = staged(out, "planned")  # three branches read it
-        found = registry.occurrences(out, session, order)
-        out = registry.fill(out, registry.token_map(found), session, order)
-    out = mask.apply(out)
-    out = anomaly.finish(out) if anomaly_model is not None else out
-    if instructions:
-        out = out.withColumn("instructions", instruct.payload())
-    out = out.withColumn("masked_text", F.when(F.col(text).isNotNull(), F.col("masked_text")))
-    return out.drop("planned", "despaced_map", "despaced")
 
+def _planned(rows: DataFrame, rules: RuleSet, session: str | None, order: str | None) -> DataFrame:
+    """_row, _session, _order, resolved, planned of the rows with entities (with a second layer: of all rows that may have any)."""
+    keys = {"_session": F.col(session) if session else F.col("_row"), "_order": F.col(order) if order else F.lit(0)}
+    known = rows.where("_maybe").select("_row", *[c.alias(k) for k, c in keys.items()], *_TEXTS)
+    found = detect.entities(known, rules, ("_row", *keys))
+    one = F.struct("start", "ord", F.struct(*detect.ENTITY).alias("e"))
+    out = found.groupBy("_row").agg(*[F.first(k).alias(k) for k in keys], F.sort_array(F.collect_list(one)).alias("_e"))
+    out = out.select("_row", *keys, F.transform("_e", lambda x: x["e"]).cast(f"array<{_ENTITY}>").alias("resolved"))
+    if "_ml" in rows.columns:
+        base = rows.where("_maybe").select("_row", *[c.alias(k) for k, c in keys.items()], "_ml")
+        out = base.join(out.select("_row", "resolved"), "_row", "left")
+    out = out.withColumn("planned", mask.planned(F.coalesce("resolved", _none()), rules.safe_splice))
+    return anomaly.safety_net(out) if "_ml" in rows.columns else out
 
-def local_tokens(planned: str):
-    """Tokens where a row is its own session: numbered in order of masking, by type and distinct value."""
-    wanted = F.filter(planned, lambda p: p["strategy"] == "tokenize")
 
-    # the first appearance of each value, in order; ranks count firsts of its type up to it
-    def firsts(w):
-        marked = F.transform(w, lambda p, i: F.struct(p["value"].alias("v"), p["entity_type"].alias("t"), i.alias("i"), F.exists(F.slice(w, F.lit(1), i), lambda q: q["value"] == p["value"]).alias("again")))
-        return F.filter(marked, lambda x: ~x["again"])
+def _none() -> Column:
+    return X.empty(f"array<{_ENTITY}>")
 
-    def token(value, all_):
-        def name(f):
-            n = F.size(F.filter(all_, lambda x: (x["t"] == f["t"]) & (x["i"] <= f["i"])))
-            label = F.when(f["t"] == "ML_FLAGGED_ANOMALY", "ML_SECRET").otherwise(registry.label_of(f["t"]))
-            return F.concat(F.lit("<"), label, F.lit("_"), n.cast("string"), F.lit(">"))
 
-        return F.element_at(F.transform(F.filter(all_, lambda x: x["v"] == value), name), 1)
+def _joined(rows: DataFrame, per_row: DataFrame, empty: dict[str, Column]) -> DataFrame:
+    """rows with the columns of per_row; texts that no guard let through aren't exchanged."""
+    some = rows.where("_maybe").join(per_row, "_row", "left")
+    none = rows.where("NOT _maybe")
+    fill = lambda df, c, e: F.coalesce(F.col(c), e).alias(c) if c in df.columns else e.alias(c)
+    return some.select(*rows.columns, *[fill(some, c, e) for c, e in empty.items()]).unionByName(none.select(*rows.columns, *[e.alias(c) for c, e in empty.items()]))
 
-    put = lambda all_: F.transform(planned, lambda p: p.withField("replacement", F.when(p["strategy"] == "tokenize", token(p["value"], all_)).otherwise(p["replacement"])))
-    return F.when(F.size(wanted) > 0, X.let(X.let(wanted, firsts), put)).otherwise(F.col(planned))
+
+def analyse(df: DataFrame, text: str = "text", rules: RuleSet | None = None) -> DataFrame:
+    """Adds the columns of normalisation, resolved entities and planned masks (tokens still without a name)."""
+    rules = rules or RuleSet()
+    rows = staged(_prepared(df, text, rules), "normalized")
+    out = _joined(rows, _planned(rows, rules, None, None).select("_row", "resolved", "planned"), {"resolved": _none(), "planned": X.empty(mask.PLANNED)})
+    return out.drop("_row", "_maybe", *_INNER)
+
+
+def protect(df: DataFrame, text: str = "text", session: str | None = None, order: str | None = None, anomaly_model=None, rules: RuleSet | None = None, instructions: bool = True, known: DataFrame | None = None) -> DataFrame:
+    """df with masked_text, masked, skipped, overall_risk, resolved, normalized, context_type, transformations (and instructions).
+
+    With session and order, tokens are numbered by session; without, every row is a session of its
+    own. known is a token map of earlier rows: its values keep their tokens and numbers go on from
+    it. A null text gives a null masked text, no entities and LOW. The rows with texts are staged once
+    and meet the decisions about them in one join; entities alone are exchanged before.
+    """
+    return protect_with_tokens(df, text, session, order, anomaly_model, rules, instructions, known)[0]
+
+
+def protect_with_tokens(df: DataFrame, text: str = "text", session: str | None = None, order: str | None = None, anomaly_model=None, rules: RuleSet | None = None, instructions: bool = True, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``protect``, and the token map of these rows' new values."""
+    rules = rules or RuleSet()
+    rows = _prepared(df, text, rules)
+    if anomaly_model is not None:
+        rows = anomaly.with_second_layer(rows, anomaly_model)
+    rows = staged(rows, "normalized")
+    plans = staged(_planned(rows, rules, session, order), "planned")
+    tokens = registry.token_map(registry.occurrences(plans, "_session", "_order"), known)
+    decided = mask.outcome(registry.fill(plans, tokens if known is None else tokens.select(*registry.MAP).unionByName(known.select(*registry.MAP))))
+    empty = {"resolved": _none(), "masked": F.array().cast(decided.schema["masked"].dataType), "skipped": F.array().cast(decided.schema["skipped"].dataType), "overall_risk": F.lit("LOW"), "_cuts": X.empty(mask.PLANNED)}
+    if anomaly_model is not None:
+        empty["ml_flagged"] = F.lit(False)
+    out = _joined(rows, decided.withColumn("_cuts", mask.cuts()).select("_row", *empty), empty)
+    changed = F.when(F.size("_cuts") > 0, mask.splice(F.col("normalized"), F.col("_cuts"))).otherwise(F.col("normalized"))
+    out = out.withColumn("masked_text", F.when(F.col(text).isNotNull(), changed))
+    if anomaly_model is not None:
+        out = out.withColumn("anomaly_score", F.col("_ml.score"))
+    if instructions:
+        out = out.withColumn("instructions", instruct.payload())
+    return out.drop("_row", "_maybe", "_ml", "_cuts", *_INNER), tokens

@@ -1,9 +1,7 @@
 """Session tokens in batch: first appearances ranked by session and by type.
 
 A value keeps its first token in a session, whatever its later types. Tokens of a type are numbered
-by first appearance: prompts in order, within a prompt in order of masking. Two ranks over a
-session's distinct values do this; a session is the only thing that shares state, so the exchange is
-by session, and only rows with values to tokenise enter it.
+by first appearance: prompts in order, within a prompt in order of masking.
 """
 
 from __future__ import annotations
@@ -11,44 +9,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
+MAP = ("session", "value", "token", "entity_type", "first_seen", "last_seen", "number")
+
 
 def label_of(kind: Column) -> Column:
-    return F.upper(F.left(F.regexp_replace(kind, "_", ""), F.lit(10)))
+    return F.when(kind == "ML_FLAGGED_ANOMALY", "ML_SECRET").otherwise(F.upper(F.left(F.regexp_replace(kind, "_", ""), F.lit(10))))
 
 
 def occurrences(df: DataFrame, session: str, order: str, planned: str = "planned") -> DataFrame:
-    """session, prompt, seq, value, entity_type, label of everything to tokenise."""
+    """session, prompt, seq, value, entity_type of everything to tokenise."""
     wanted = F.filter(planned, lambda p: p["strategy"] == "tokenize")
     rows = df.select(F.col(session).alias("session"), F.col(order).alias("prompt"), F.explode(wanted).alias("p"))
-    label = F.when(F.col("p.entity_type") == "ML_FLAGGED_ANOMALY", "ML_SECRET").otherwise(label_of(F.col("p.entity_type")))
-    return rows.select("session", "prompt", F.col("p.seq").alias("seq"), F.col("p.value").alias("value"), F.col("p.entity_type").alias("entity_type"), label.alias("label"))
+    return rows.select("session", "prompt", "p.seq", "p.value", "p.entity_type")
 
 
-def token_map(found: DataFrame) -> DataFrame:
-    """session, value, token, entity_type, first_seen, last_seen.
+def token_map(found: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """session, value, token, entity_type, first_seen, last_seen, number of the values that known (an earlier map) lacks.
 
     The first appearance of each value is a partial aggregate, so a value that fills a session is
-    one row before anything is ranked.
+    one row before anything is ranked. A session may hold most of the values: they are dealt out in
+    ranges of their order, counted there, and numbered from the counts of the ranges before, so no
+    session is one task's. Sessions compare null-safe.
     """
-    first = found.groupBy("session", "value").agg(F.min(F.struct("prompt", "seq", "entity_type", "label")).alias("f"), F.max("prompt").alias("last_seen"))
-    by = Window.partitionBy("session", "f.entity_type").orderBy("f.prompt", "f.seq")
-    n = F.row_number().over(by)
-    return first.select("session", "value", F.concat(F.lit("<"), F.col("f.label"), F.lit("_"), n.cast("string"), F.lit(">")).alias("token"), F.col("f.entity_type").alias("entity_type"), F.col("f.prompt").alias("first_seen"), "last_seen")
-
-
-def fill(df: DataFrame, tokens: DataFrame, session: str, order: str, planned: str = "planned") -> DataFrame:
-    """planned with the token of every value to tokenise as replacement."""
-    has = F.exists(planned, lambda p: p["strategy"] == "tokenize")
-    keys = df.where(has).select(F.col(session).alias("session"), F.col(order).alias("prompt"), F.explode(planned).alias("p")).where("p.strategy = 'tokenize'").select("session", "prompt", F.col("p.value").alias("value")).distinct()
-    maps = keys.join(tokens, ["session", "value"]).groupBy("session", "prompt").agg(F.map_from_entries(F.collect_list(F.struct("value", "token"))).alias("_tokens"))
-    out = df.join(maps, (df[session].eqNullSafe(maps["session"])) & (df[order].eqNullSafe(maps["prompt"])), "left").drop(maps["session"], maps["prompt"])
+    spark = found.sparkSession
+    first = found.groupBy("session", "value").agg(F.min(F.struct("prompt", "seq", "entity_type")).alias("f"), F.max("prompt").alias("last_seen"))
+    if known is not None:
+        old = known.select(F.col("session").alias("_s"), F.col("value").alias("_v"))
+        first = first.join(old, first["session"].eqNullSafe(old["_s"]) & (first["value"] == old["_v"]), "left_anti")
+    first = first.select("session", "value", F.col("f.entity_type").alias("entity_type"), F.col("f.prompt").alias("first_seen"), F.col("f.seq").alias("seq"), "last_seen")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = staged(first.repartitionByRange(n, "session", "entity_type", "first_seen", "seq").withColumn("_part", F.spark_partition_id()), "tokens")
+    counts = dealt.groupBy("session", "entity_type", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("session", "entity_type").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(F.col("session").alias("_s"), F.col("entity_type").alias("_t"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    if known is not None:
+        top = known.groupBy("session", "entity_type").agg(F.max("number").alias("_top")).select(F.col("session").alias("_ks"), F.col("entity_type").alias("_kt"), "_top")
+        bases = bases.join(top, bases["_s"].eqNullSafe(top["_ks"]) & (bases["_t"] == top["_kt"]), "left").select("_s", "_t", "_p", (F.col("_base") + F.coalesce("_top", F.lit(0))).alias("_base"))
+    within = F.row_number().over(Window.partitionBy("session", "entity_type", "_part").orderBy("first_seen", "seq"))
+    out = dealt.withColumn("_rank", within).join(bases, dealt["session"].eqNullSafe(bases["_s"]) & (dealt["entity_type"] == bases["_t"]) & (dealt["_part"] == bases["_p"]))
+    number = (F.col("_rank") + F.col("_base")).cast("long")
+    token = F.concat(F.lit("<"), label_of(F.col("entity_type")), F.lit("_"), number.cast("string"), F.lit(">"))
+    return out.select("session", "value", token.alias("token"), "entity_type", "first_seen", "last_seen", number.alias("number"))
+
+
+def fill(plans: DataFrame, tokens: DataFrame, planned: str = "planned") -> DataFrame:
+    """plans (_row, _session, planned) with the token of every value to tokenise as its replacement."""
+    wanted = F.array_distinct(F.transform(F.filter(planned, lambda p: p["strategy"] == "tokenize"), lambda p: p["value"]))
+    keys = plans.select("_row", "_session", F.explode(wanted).alias("_value"))
+    pairs = keys.join(tokens, keys["_session"].eqNullSafe(tokens["session"]) & (keys["_value"] == tokens["value"]))
+    maps = pairs.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("value", "token"))).alias("_tokens"))
     put = F.transform(planned, lambda p: p.withField("replacement", F.when(p["strategy"] == "tokenize", F.element_at("_tokens", p["value"])).otherwise(p["replacement"])))
-    return out.withColumn(planned, put).drop("_tokens")
+    return plans.join(maps, "_row", "left").withColumn(planned, put).drop("_tokens")
 
 
 def unmask(masked: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Rows of (session, token) with the original value; for use where the map may be read."""
-    return masked.join(tokens.select("session", "token", F.col("value").alias("original")), ["session", "token"], "left")
+    """Rows of (session, token) with the original value; for use where the map may be read. Sessions compare null-safe."""
+    map_ = tokens.select(F.col("session").alias("_s"), F.col("token").alias("_t"), F.col("value").alias("original"))
+    return masked.join(map_, masked["session"].eqNullSafe(map_["_s"]) & (masked["token"] == map_["_t"]), "left").drop("_s", "_t")
 
 
 def summary(tokens: DataFrame) -> DataFrame:

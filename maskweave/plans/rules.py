@@ -34,24 +34,23 @@ class Rule:
 # Patterns that must equal the given ones, in Java's syntax: (?U) for Unicode classes,
 # (?d) so that only a newline ends a line.
 _U = "(?Ud)"
-_DIGITS = "[0-9]{3}|[^\\x00-\\x7f]"
 RULES = (
-    Rule("NIC_OLD", _U + r"\b\d{9}[vVxX]\b", "HIGH", "1A", "[vVxX]", suppressible=True),
-    Rule("NIC_NEW", _U + r"\b\d{12}\b", "HIGH", "1A", _DIGITS, suppressible=True, match_quality="partial"),
-    Rule("PASSPORT", _U + r"\b[A-Z]{1,2}\d{6,7}\b", "HIGH", "1A", _DIGITS, match_quality="partial"),
-    Rule("DRIVING_LICENSE", _U + r"\b[A-Z]\d{7}\b", "HIGH", "1A", _DIGITS, match_quality="partial"),
-    Rule("TAX_ID", _U + r"\b\d{9}\b", "HIGH", "1A", _DIGITS, needs_keyword=True, suppressible=True, match_quality="partial"),
+    Rule("NIC_OLD", _U + r"\b\d{9}[vVxX]\b", "HIGH", "1A", r"\p{Nd}{9}[vVxX]", suppressible=True),
+    Rule("NIC_NEW", _U + r"\b\d{12}\b", "HIGH", "1A", r"\p{Nd}{12}", suppressible=True, match_quality="partial"),
+    Rule("PASSPORT", _U + r"\b[A-Z]{1,2}\d{6,7}\b", "HIGH", "1A", r"[A-Z]\p{Nd}{6}", match_quality="partial"),
+    Rule("DRIVING_LICENSE", _U + r"\b[A-Z]\d{7}\b", "HIGH", "1A", r"[A-Z]\p{Nd}{6}", match_quality="partial"),
+    Rule("TAX_ID", _U + r"\b\d{9}\b", "HIGH", "1A", r"\p{Nd}{9}", needs_keyword=True, suppressible=True, match_quality="partial"),
     Rule("PHONE_LK", _U + r"(?:\+94|\b0)[0-9]{9}\b", "MEDIUM", "1B", "[0-9]{9}", suppressible=True),
     Rule("PHONE_INTL", _U + r"\+(?!94)[1-9]\d{6,14}\b", "MEDIUM", "1B", r"\+[1-9]", suppressible=True),
     Rule("EMAIL", r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", "MEDIUM", "1B", "@"),
-    Rule("PAN", _U + r"\b\d(?:[ \-]?\d){12,18}\b", "CRITICAL", "2A", r"[0-9][ \-]?[0-9]|[^\x00-\x7f]", container=True, match_quality="partial"),
-    Rule("CVV", _U + r"\b\d{3,4}\b", "CRITICAL", "2A", "(?i)cvv|cvc|security code|card verification|[^\\x00-\\x7f]", needs_keyword=True, match_quality="partial"),
+    Rule("PAN", _U + r"\b\d(?:[ \-]?\d){12,18}\b", "CRITICAL", "2A", r"\p{Nd}(?:[ \-]?\p{Nd}){12}", container=True, match_quality="partial"),
+    Rule("CVV", _U + r"\b\d{3,4}\b", "CRITICAL", "2A", r"\p{Nd}{3}", needs_keyword=True, match_quality="partial"),
     Rule("CARD_EXPIRY", _U + r"(?<!\d/)\b(0[1-9]|1[0-2])\/\d{2,4}\b", "HIGH", "2A", r"[01][0-9]/"),
-    Rule("BANK_ACCOUNT_NO", _U + r"\b\d{10,16}\b", "HIGH", "2B", _DIGITS, needs_keyword=True, match_quality="partial"),
-    Rule("IBAN", _U + r"\b[A-Z]{2}\d{2}[A-Z0-9]{4}\d{7,20}\b", "HIGH", "2B", _DIGITS),
+    Rule("BANK_ACCOUNT_NO", _U + r"\b\d{10,16}\b", "HIGH", "2B", r"\p{Nd}{10}", needs_keyword=True, match_quality="partial"),
+    Rule("IBAN", _U + r"\b[A-Z]{2}\d{2}[A-Z0-9]{4}\d{7,20}\b", "HIGH", "2B", r"[A-Z]{2}\p{Nd}{2}[A-Z0-9]{4}"),
     Rule("SWIFT_BIC", _U + r"\b[A-Z]{4}[A-Z]{2}[A-Z0-9]{2}([A-Z0-9]{3})?\b", "CRITICAL", "2B", "[A-Z]{6}", match_quality="partial"),
-    Rule("SWIFT_MT103", _U + r"\bMT\s?103\b", "CRITICAL", "2C", "103"),
-    Rule("SWIFT_MT202", _U + r"\bMT\s?202\b", "CRITICAL", "2C", "202"),
+    Rule("SWIFT_MT103", _U + r"\bMT\s?103\b", "CRITICAL", "2C", r"(?U)MT\s?103"),
+    Rule("SWIFT_MT202", _U + r"\bMT\s?202\b", "CRITICAL", "2C", r"(?U)MT\s?202"),
     Rule("API_KEY_OPENAI", _U + r"\bsk-[A-Za-z0-9]{20,}\b", "HIGH", "3A", "sk-"),
     Rule("API_KEY_GENERIC", _U + r"\b[A-Za-z0-9_\-]{32,}\b", "HIGH", "3A", r"[A-Za-z0-9_\-]{32}", needs_keyword=True, match_quality="partial"),
     Rule("JWT_TOKEN", _U + r"\beyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\b", "HIGH", "3A", "eyJ", container=True),
@@ -83,7 +82,7 @@ NAMED = (
     Rule("FULL_NAME", r"(?iUd)\b[A-Z][a-z]+ (?:" + "|".join(sorted(SURNAMES, key=len, reverse=True)) + r")\b", "LOW", "1C", "(?iu) (?:" + "|".join(sorted({s[:4] for s in SURNAMES})) + ")", match_quality="partial"),
     Rule("DATE_OF_BIRTH", r"(?iUd)\b(?:dob|date of birth|born(?:\s+on)?|birth date)\s*[:\-]?\s*(\d{4}[-/]\d{2}[-/]\d{2}|\d{2}[-/]\d{2}[-/]\d{4})\b", "MEDIUM", "1C", "(?iu)dob|birth|born", match_quality="partial"),
     Rule("DATE_OF_BIRTH", r"(?iUd)\b\d{4}-\d{2}-\d{2}\b", "MEDIUM", "1C", "(?iu)dob|birth|born", match_quality="partial"),
-    Rule("HOME_ADDRESS", r"(?iUd)\b\d+,?\s+[A-Za-z]+(?:\s[A-Za-z]+){0,3}\s(?:Road|Street|Lane|Avenue|Rd|St|Ave|Mawatha)\b(?:,\s*[A-Za-z]+(?:\s[A-Za-z]+){0,3})?", "MEDIUM", "1B", r"(?iu)[0-9].*?(?:road|street|lane|ave|rd|st|mawatha)|[^\x00-\x7f]", match_quality="partial"),
+    Rule("HOME_ADDRESS", r"(?iUd)\b\d+,?\s+[A-Za-z]+(?:\s[A-Za-z]+){0,3}\s(?:Road|Street|Lane|Avenue|Rd|St|Ave|Mawatha)\b(?:,\s*[A-Za-z]+(?:\s[A-Za-z]+){0,3})?", "MEDIUM", "1B", r"(?iUd)\s(?:Road|Street|Lane|Avenue|Rd|St|Ave|Mawatha)\b", match_quality="partial"),
 )
 DOB_WORDS = ("dob", "date of birth", "born", "birth date", "birthday")
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .operators import anomaly, canonical, evaluate, instruct, normalize, registry
-from .operators.protect import analyse, protect
+from .operators.protect import find, protect
 from .operators.validate import VALIDATORS
 from .plans.rules import RULES, Rule, RuleSet
 from .sources import datagen
+from .sources.staging import spread
 
 EMAIL = next(r for r in RULES if r.type == "EMAIL")
 #: Rules of one pattern whose counts SQL can give: no lookaround, ASCII classes without the underscore.
@@ -18,7 +19,7 @@ PLAIN = ("PASSPORT", "DRIVING_LICENSE", "EMAIL", "CVV", "BANK_ACCOUNT_NO", "IBAN
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def rule_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +57,7 @@ def mask_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
 def email_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores and actions with one rule: co-occurrence counts other instances of the type."""
     docs = _table(spark, sf_dir, "documents").where(F.contains(F.col("text"), F.lit("@")))
-    out = analyse(docs, "text", RuleSet(rules=(EMAIL,), named=())).select(F.explode("resolved").alias("e"))
-    return out.groupBy(F.col("e.action").alias("action"), F.col("e.score").alias("score")).agg(F.count(F.lit(1)).alias("n"))
+    return find(docs, "text", RuleSet(rules=(EMAIL,), named=())).groupBy("action", "score").agg(F.count(F.lit(1)).alias("n"))
 
 
 def context_types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,7 @@ def session_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations")
     words = turns.select(F.col("conv_id").alias("session"), F.col("turn").alias("prompt"), F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]{9,}"), F.lit(0))).alias("seq", "value"))
     kind = F.when(F.length("value") % 2 == 0, "EVEN_WORD").otherwise("ODD_WORD")
-    found = words.withColumn("entity_type", kind).withColumn("label", registry.label_of(F.col("entity_type")))
+    found = words.withColumn("entity_type", kind)
     return registry.token_map(found).select("session", "value", "token", "entity_type", "first_seen", "last_seen")
 
 
@@ -123,8 +123,7 @@ def masked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities of all rules over documents by type, level and action."""
-    out = analyse(_table(spark, sf_dir, "documents")).select(F.explode("resolved").alias("e"))
-    return out.groupBy(F.col("e.entity_type").alias("entity_type"), F.col("e.level").alias("level"), F.col("e.action").alias("action")).agg(F.count(F.lit(1)).alias("n"), F.avg("e.score").alias("mean_score"))
+    return find(_table(spark, sf_dir, "documents")).groupBy("entity_type", "level", "action").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"))
 
 
 def risk_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,9 +153,8 @@ def canonical_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations")
     first = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("prompt"), F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
     body = F.struct(F.struct("prompt").alias("request"), F.transform(F.slice("t", F.lit(2), F.size("t")), lambda x: F.struct(x["text"].alias("content"))).alias("context"), F.struct(F.lit("chat").alias("component")).alias("metadata"))
-    payloads = canonical.parse(first.select("conv_id", F.to_json(body).alias("payload")))
-    done = canonical.process(payloads, "conv_id")
-    return done.select("conv_id", F.to_json("payload").alias("payload"), F.col("payload.masking_summary.overall_risk").alias("overall_risk"))
+    done = canonical.process(first.select("conv_id", F.to_json(body).alias("payload")))
+    return done.select("conv_id", "payload", F.get_json_object("payload", "$.masking_summary.overall_risk").alias("overall_risk"))
 
 
 def anomaly_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +176,7 @@ def custom_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule of the user's own: order numbers in event properties."""
     rules = RuleSet(rules=(), named=()).with_rule(Rule("ORDER_WORD", r"[a-z]{6,}", "HIGH", "X"))
     events = _table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("text"))
-    return analyse(events, "text", rules).select("event_id", F.size("resolved").alias("n"))
+    return find(events, "text", rules, ("event_id",)).groupBy("event_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
 def instruction_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,5 +260,5 @@ round(len(list_filter(tok, lambda x: length(x) > 15)) / greatest(len(tok), 1), 4
         "unmask_tokens": f"SELECT session, count(value) AS n_values, count(DISTINCT token) AS n_tokens FROM ({tokens}) GROUP BY session",
         "evaluation_fixture": _sql_fixture(),
         "risk_by_label": f"SELECT quality, CASE WHEN n > 0 THEN 'MEDIUM' ELSE 'LOW' END AS overall_risk, count(*) AS n FROM (SELECT l.quality, len(regexp_extract_all(d.text, '{_EMAIL_RE}')) AS n FROM documents d JOIN labels l USING (doc_id)) GROUP BY 1, 2",
-        "custom_rule": "SELECT event_id, CAST(len(regexp_extract_all(event_type, '[a-z]{6,}')) AS INT) AS n FROM events",
+        "custom_rule": "SELECT event_id, CAST(len(regexp_extract_all(event_type, '[a-z]{6,}')) AS INT) AS n FROM events WHERE regexp_matches(event_type, '[a-z]{6,}')",
     }

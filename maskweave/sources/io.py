@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.rules import RuleSet
+
 DATASET = "id string, category string, type string, prompt string, entities array<string>, note string"
 
 
@@ -47,8 +49,41 @@ def metrics_json(metrics: DataFrame) -> DataFrame:
     return metrics.select(F.to_json(F.struct(*metrics.columns)).alias("json"))
 
 
-def response(df: DataFrame) -> DataFrame:
-    """The detection response of a protected row as JSON."""
-    entity = lambda e: F.struct(e["entity_type"].alias("type"), e["value"].alias("value"), e["start"].alias("start"), e["end"].alias("end"), e["sensitivity"].alias("sensitivity"), e["category"].alias("category"), e["score"].alias("score"), e["level"].alias("confidence"), e["action"].alias("action"), F.lit(1).alias("layer"))
-    body = F.struct(F.col("normalized"), F.col("masked_text"), F.col("overall_risk"), F.col("context_type"), F.col("transformations"), F.transform("resolved", entity).alias("entities"), F.col("masked"), F.col("skipped"))
-    return df.select(F.to_json(body).alias("json"))
+# Fixed value: what the response names as the pattern of the second layer.
+SECOND_LAYER = "ML classifier + suspicious-span rule"
+
+
+def response(df: DataFrame, text: str = "text", rules: RuleSet | None = None, available: bool = False) -> DataFrame:
+    """The detection response of protected rows as JSON in column json: entities of both layers in order of start.
+
+    available: whether a second layer's model was given to ``protect``.
+    """
+    rules = rules or RuleSet()
+    table = [*rules.ordered(), *rules.named]
+    patterns = {r.type: r.pattern for r in reversed(rules.rules)}
+
+    def pattern(e: Column) -> Column:
+        of_rule = F.element_at(F.array(*[F.lit(r.pattern) for r in table]), e["rule"] + 1)
+        return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in patterns.items() for x in kv]), e["entity_type"]), of_rule) if patterns else of_rule
+
+    kinds = ("entity_type", "value", "replacement", "start", "end", "category", "sensitivity", "matched_pattern", "score", "score_breakdown", "confidence_level", "action", "layer")
+
+    def one(values: dict[str, Column]) -> Column:
+        return F.struct(*[values[k].alias(k) for k in kinds])
+
+    def first(e: Column) -> Column:
+        return one({"entity_type": e["entity_type"], "value": e["value"], "replacement": F.lit(None).cast("string"), "start": e["start"], "end": e["end"], "category": e["category"], "sensitivity": e["sensitivity"], "matched_pattern": pattern(e), "score": e["score"], "score_breakdown": e["breakdown"], "confidence_level": e["level"], "action": e["action"], "layer": F.lit(1)})
+
+    def second(m: Column) -> Column:
+        none = F.lit(None).cast(df.schema["resolved"].dataType.elementType["breakdown"].dataType)
+        sure = F.concat(F.round(m["score"] * 100).cast("int").cast("string"), F.lit("% ML confidence"))
+        return one({"entity_type": m["entity_type"], "value": m["original"], "replacement": m["replacement"], "start": m["start"], "end": m["end"], "category": F.lit("ML"), "sensitivity": m["sensitivity"], "matched_pattern": F.lit(SECOND_LAYER), "score": m["score"], "score_breakdown": none, "confidence_level": sure, "action": m["action"], "layer": F.lit(2)})
+
+    mine = F.filter("masked", lambda m: m["entity_type"] == "ML_FLAGGED_ANOMALY")
+    review = F.filter("skipped", lambda m: m["entity_type"] == "ML_FLAGGED_ANOMALY")
+    both = F.concat(F.transform("resolved", first), F.transform(mine, second))
+    turned = F.transform(F.array_sort(F.transform(both, lambda e, i: F.struct(e["start"].alias("s"), i.alias("i"), e.alias("e"))), lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(a["i"] - b["i"])), lambda x: x["e"])
+    flag = F.coalesce(F.try_element_at(F.transform(mine, lambda m: m["score"]), F.lit(1)), F.try_element_at(F.transform(review, lambda m: m["score"]), F.lit(1)))
+    net = F.struct(F.lit(available).alias("available"), flag.isNotNull().alias("flagged"), (F.size(mine) > 0).alias("masked"), flag.alias("score"))
+    body = F.struct(F.col(text).alias("original"), F.when(F.col("normalized") != F.col(text), F.col("normalized")).alias("normalized"), F.col("despaced"), "transformations", "context_type", "masked_text", "overall_risk", turned.alias("entities"), net.alias("ml_safety_net"))
+    return df.withColumn("json", F.to_json(body))

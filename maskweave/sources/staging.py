@@ -5,18 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, one of our own."""
+    """The folder in spark.checkpoint.dir; a local session, as in tests, may go without and gets one of its own."""
     sc = spark.sparkContext
-    told = sc.getConf().get("spark.checkpoint.dir", None)
+    told = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if told:
         return told.rstrip("/")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="maskweave-"))
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="maskweave-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
@@ -24,13 +26,20 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """df as Parquet in the shared folder: its plan ends here and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fence(c: Column) -> Column:
-    """c, in a projection that filters above it are not pushed through.
+def spread(scan: DataFrame) -> DataFrame:
+    """The rows of a scan with fewer splits than cores, such as one small file, dealt out; a larger scan as it is."""
+    n = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= n else scan.repartition(n)
+
 
-    A filter on a column that a deep row-local expression makes would be rewritten in terms of the
-    input, with the expression copied into it at every use.
-    """
-    return F.when(F.rand(0) >= 0, c)
+def clear(spark: SparkSession) -> int:
+    """Deletes what this session has staged, once its results are written; gives the number of folders."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n

@@ -1,56 +1,53 @@
-"""Masking in Structured Streaming; the token registry as keyed state.
+"""Masking in Structured Streaming: each micro-batch is protected as a batch, the token registry is a table.
 
-Stages up to the planned masks are row-local and run on a stream as they are. The registry is state
-by session: value to token, and a counter for each type. Within a micro-batch a session's prompts
-are taken in their order; a prompt that comes in a later batch is numbered then.
+The registry holds the token map of each session, one folder a micro-batch. A batch reads what
+earlier batches wrote about its own sessions, numbers on from there and writes its own folder, so a
+batch that is run again after a failure overwrites what it had written and gives the same rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter
 
-from ..operators import mask
-from ..operators.protect import analyse
+from ..operators.protect import protect_with_tokens
+from ..operators.registry import MAP
 from ..plans.rules import RuleSet
 
-_OUT = "session string, prompt bigint, masked_text string, overall_risk string, tokens string"
-_STATE = "tokens map<string,string>, counts map<string,int>"
-
-
-def number_tokens(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rows of a session in prompt order; state is the session's tokens and counters."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    known, counts = ({}, {}) if not state.exists else tuple(dict(x) for x in state.get)
-    rows = pd.concat(list(batches)).sort_values("prompt", kind="stable")
-    out = []
-    for r in rows.itertuples():
-        text = r.normalized
-        for p in r.planned:
-            new = p["replacement"]
-            if p["strategy"] == "tokenize":
-                if p["value"] not in known:
-                    label = p["entity_type"].replace("_", "")[:10].upper()
-                    counts[p["entity_type"]] = counts.get(p["entity_type"], 0) + 1
-                    known[p["value"]] = f"<{label}_{counts[p['entity_type']]}>"
-                new = known[p["value"]]
-            if p["strategy"] in ("full", "partial", "tokenize"):
-                text = text[: p["start"]] + new + text[p["end"] :]
-        out.append((key[0], int(r.prompt), text, r.overall_risk, ",".join(sorted(known.values()))))
-    state.update((known, counts))
-    state.setTimeoutDuration(24 * 3600 * 1000)  # the session ends after a day without prompts
-    yield pd.DataFrame(out, columns=["session", "prompt", "masked_text", "overall_risk", "tokens"])
-
-
-def protect_stream(stream: DataFrame, text: str, session: str, order: str, rules: RuleSet | None = None) -> DataFrame:
-    """session, prompt, masked_text, overall_risk, tokens (the session's so far): append mode."""
-    planned = mask.apply(analyse(stream, text, rules)).select(F.col(session).cast("string").alias("session"), F.col(order).cast("long").alias("prompt"), "normalized", "planned", "overall_risk")
-    return planned.groupBy("session").applyInPandasWithState(number_tokens, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
+def _earlier(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
+    """Rows of the folders of earlier batches."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        return spark.createDataFrame([], f"{schema}, batch bigint")
+    return spark.read.schema(f"{schema}, batch bigint").parquet(path).where(F.col("batch") < batch_id)
+
+
+def registry(spark: SparkSession, path: str, sessions: DataFrame, batch_id: int, ttl: str) -> DataFrame:
+    """The token map so far of the given sessions, those apart that were quiet for longer than ttl."""
+    heard = _earlier(spark, f"{path}/heard", batch_id, "session string, at timestamp").groupBy("session").agg(F.max("at").alias("at"))
+    alive = heard.where(F.col("at") >= F.current_timestamp() - F.expr(f"INTERVAL {ttl}")).select("session").join(sessions, "session", "left_semi")
+    kinds = {"number": "bigint", "first_seen": "bigint", "last_seen": "bigint"}
+    known = _earlier(spark, f"{path}/tokens", batch_id, ", ".join(f"{c} {kinds.get(c, 'string')}" for c in MAP))
+    return known.join(alive, "session", "left_semi").select(*MAP)
+
+
+def protect_stream(stream: DataFrame, text: str, session: str, order: str, out: str, path: str, rules: RuleSet | None = None, ttl: str = "24 HOURS") -> DataStreamWriter:
+    """A writer to be started: protected rows in ``out`` and the registry in ``path``, folders that the cluster shares.
+
+    Within a batch a session's prompts are taken in their order; one that comes in a later batch is
+    numbered then. A session ends after ttl without prompts: its tokens start anew.
+    """
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        df = df.withColumn(session, F.col(session).cast("string")).withColumn(order, F.col(order).cast("long"))
+        sessions = df.select(F.col(session).alias("session")).where("session IS NOT NULL").distinct()
+        known = registry(spark, path, sessions, batch_id, ttl)
+        rows, tokens = protect_with_tokens(df, text, session, order, rules=rules, known=known)
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        tokens.select(*MAP).write.mode("overwrite").parquet(f"{path}/tokens/batch={batch_id}")
+        sessions.withColumn("at", F.current_timestamp()).write.mode("overwrite").parquet(f"{path}/heard/batch={batch_id}")
 
+    return stream.writeStream.foreachBatch(batch)
