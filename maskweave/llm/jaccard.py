@@ -14,8 +14,10 @@ shingles. The result is exact for any size and any skew (sets are held as 64-bit
 4. Inside a component the globally ordered sets stand in a compressed trie. Each set walks it
    once, sharing overlaps of common paths; a subtree is left when its sizes don't fit, when the
    shingles left on either side can't reach the needed overlap, or when all below it is already
-   connected to the set. A component too large for one task is dealt into blocks, and pairs of
-   blocks are joined alike.
+   connected to the set. A larger component is dealt into blocks, each set into one, and a few
+   pivots into all; copies of one text are then connected, and nothing in the component is left to
+   compare. Where something is, the sets outside its largest connected part meet all blocks, and
+   that part is never compared with itself.
 5. Links found give the components of the classes.
 
 Defined cases: a null or wordless text has an empty set, links with nothing and is its own
@@ -39,8 +41,13 @@ from . import util
 WORDS = 5
 #: Size of the table of frequent shingles: 16 bytes each, whatever the input.
 FREQUENT = 1 << 18
-#: Shingles in a block of a component.
-BLOCK = 2_000_000
+#: Shingles and sets in a block of a component, about.
+BLOCK = 1 << 16
+BLOCK_SETS = 128
+#: Sets of a component that meet all its blocks first.
+PIVOTS = 8
+#: Bytes of prefix rows and sets that one task sorts, about.
+TASK_BYTES = 64 << 20
 #: Rows of candidates that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Two linked sets of n shingles share 1 + n // SHARED of their prefixes.
@@ -326,29 +333,28 @@ def trie_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = util.arrow_schema("comp bigint, i int, j int, sig bigint, s binary")
+    """sig, s: the hash and the shingles of each set. With a second column sig, rows whose set isn't the one named go."""
+    schema = util.arrow_schema("sig bigint, s binary")
     for b in batches:
-        comps, sigs, blocks = _arrays(b, "comp", "sig", "blocks")
-        rows: list[tuple] = []
-        held = at = 0
+        wanted = _arrays(b, "sig")[0] if b.num_columns > 1 else None
+        sigs, sets, held, at = [], [], 0, 0
         for c in K.chunks(b.column(0)):
             for s in shingle_sets(c):
-                comp, sig, blk = int(comps[at]), int(sigs[at]), int(blocks[at])
+                sig = set_hash(s)
+                if len(s) and (wanted is None or sig == int(wanted[at])):  # another row may have the same id
+                    sigs.append(sig)
+                    sets.append(s.tobytes())
+                    held += 8 * len(s)
                 at += 1
-                if not len(s) or set_hash(s) != sig:  # another row with the same id
-                    continue
-                own = (sig >> 7) % blk
-                rows += [(comp, min(own, o), max(own, o), sig, s.tobytes()) for o in range(blk)]
-                held += 8 * len(s) * blk
             if held > 8 << 20:
-                yield K.batch(schema, **dict(zip(schema.names, zip(*rows, strict=True), strict=True)))
-                rows, held = [], 0
-        if rows:
-            yield K.batch(schema, **dict(zip(schema.names, zip(*rows, strict=True), strict=True)))
+                yield K.batch(schema, sig=sigs, s=sets)
+                sigs, sets, held = [], [], 0
+        if sigs:
+            yield K.batch(schema, sig=sigs, s=sets)
 
 
 def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (comp, i, j): the links of each group."""
+    """Of rows comp, i, j, sig, s sorted by (comp, i, j): the links of each group."""
     schema = util.arrow_schema("a bigint, b bigint")
     key: tuple | None = None
     group: dict[int, np.ndarray] = {}
@@ -399,35 +405,78 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _tasks(spark, bytes_: int) -> int:
+    """Partitions that hold ``TASK_BYTES`` each, and as many as the session wants at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(bytes_) // TASK_BYTES))
+
+
 def class_links(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """a, b: links between set hashes that connect all linked classes."""
     spark = rows.sparkSession
     texts = rows.select("text")
     prefixes = texts.mapInArrow(_prefixes(frequent_order(texts)), "w bigint, sig bigint, n int")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # prefixes are about a third of the shingles, 20 bytes each
+    shingles = classes.agg(F.coalesce(F.sum(F.col("n").cast("double") * F.col("copies")), F.lit(0.0))).first()[0]
+    n = _tasks(spark, 20 * shingles / 3)
     by_word = lambda d, *keys: d.repartition(n, "w").sortWithinPartitions("w", *keys)
     met = util.written(by_word(prefixes, "sig").mapInArrow(_met, "w bigint, sig bigint, n int"), "met")
     enough = met.groupBy("sig", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= 1 + F.floor(F.ceil(F.col("n") * 3 / 4) / SHARED)).select("sig")
     left = met.join(enough, "sig")
     stars = by_word(left.select("w", "n", "sig"), "n", "sig").mapInArrow(_stars, "a bigint, b bigint").distinct()
     comps = util.components(stars, "a", "b").select(F.col("node").alias("sig"), F.col("component").alias("comp"))
-    cand = comps.join(classes.select("sig", "doc_id", F.col("n").cast("long").alias("n")), "sig").where("doc_id IS NOT NULL")
-    size = cand.groupBy("comp").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    cand = util.written(cand.join(size, "comp").select(F.col("doc_id").alias("_id"), "sig", "comp", "blocks"), "candidates")
-    if cand.count() <= BROADCAST_ROWS:
-        cand = F.broadcast(cand)
-    texts = rows.join(cand, F.col("doc_id") == F.col("_id")).select("text", "comp", "sig", "blocks")
-    sets = texts.mapInArrow(_set_rows, "comp bigint, i int, j int, sig bigint, s binary")
-    sets = sets.repartition(n, "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    return sets.mapInArrow(_join_blocks, "a bigint, b bigint").distinct()
+    cand = util.written(comps.join(classes.select("sig", "doc_id", F.col("n").cast("long").alias("n")), "sig"), "candidates")
+    total, count = cand.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    small = (lambda d: F.broadcast(d)) if count <= BROADCAST_ROWS else (lambda d: d)
+    named = rows.join(small(cand.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), "sig")), F.col("doc_id") == F.col("_id")).select("text", "sig")
+    # classes that no id names are found by their hash
+    bare = rows.where("doc_id IS NULL").select("text").mapInArrow(_set_rows, "sig bigint, s binary")
+    bare = bare.join(small(cand.where("doc_id IS NULL").select("sig")), "sig", "left_semi")
+    sets = named.mapInArrow(_set_rows, "sig bigint, s binary").unionByName(bare).dropDuplicates(["sig"])
+    sets = util.written(sets.join(small(cand.select("sig", "comp", "n")), "sig"), "sets")
+    return _links_of(sets, _tasks(spark, 8 * total))
+
+
+def _blocks(n, count):
+    return F.greatest(F.ceil(F.sum(n) / BLOCK), F.ceil(count / BLOCK_SETS)).cast("int")
+
+
+def _links_of(sets: DataFrame, n: int) -> DataFrame:
+    """Links that connect all linked sets of each component, from rows sig, comp, n, s."""
+    joined = lambda d: util.written(d.select("comp", "i", "j", "sig", "s").repartition(n, "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_join_blocks, "a bigint, b bigint").distinct(), "links")
+    own = lambda blocks: F.pmod(F.shiftright("sig", 7), blocks).cast("int")
+    info = sets.groupBy("comp").agg(_blocks(F.col("n"), F.count(F.lit(1))).alias("blocks"), *[F.min(F.struct(F.xxhash64("sig", F.lit(k)), "sig"))["sig"].alias(f"p{k}") for k in range(PIVOTS)])
+    info = util.written(info.select("comp", "blocks", F.array(*[f"p{k}" for k in range(PIVOTS)]).alias("pivots")), "components")
+    # a component in several blocks is many rows: few such components, and they reach the rows by a broadcast if so
+    dealt = sets.join(info, "comp")
+    everywhere = (F.col("blocks") > 1) & F.array_contains("pivots", F.col("sig"))
+    first = joined(dealt.withColumn("i", F.explode(F.when(everywhere, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own(F.col("blocks")))))).withColumn("j", F.lit(0)))
+
+    large = dealt.where("blocks > 1")
+    linked = util.components(first, "a", "b")
+    part = large.select("comp", "sig", "n", "blocks").join(linked.withColumnRenamed("node", "sig"), "sig", "left").withColumn("part", F.coalesce("component", "sig")).drop("component")
+    part = util.written(part, "parts")
+    sizes = part.groupBy("comp", "part").agg(F.sum("n").alias("size"))
+    main = sizes.groupBy("comp").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    rest = part.join(main, "comp").where("part <> main").groupBy("comp", "main").agg(_blocks(F.col("n"), F.count(F.lit(1))).alias("others"))
+    rest = util.written(rest, "rest")
+    if rest.isEmpty():
+        return first
+    again = sets.join(part.select("sig", "part", "blocks"), "sig").join(rest, "comp")
+    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    all_ = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: pair(own(F.col("blocks")), j))
+    mine = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: pair(i, own(F.col("others"))))
+    again = again.withColumn("g", F.explode(F.when(F.col("part") == F.col("main"), all_).otherwise(F.array_distinct(F.concat(all_, mine)))))
+    return first.unionByName(joined(again.withColumns({"i": F.col("g.i"), "j": F.col("g.j")}))).distinct()
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay: of each component the one with the smallest id, whole.
 
-    Of repeated rows with that id one stays; rows without an id stay, since nothing names them.
+    An id names one document: of repeated rows with an id one stays, and they go together if one of
+    them is beaten. Rows without an id stay, since nothing names them.
     """
-    found = util.written(near_duplicates(docs, doc_id, text).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    kept = docs.join(found, docs[doc_id].cast("long") == F.col("_gone"), "left_anti")
+    gone = util.fresh("gone", docs)
+    found = util.written(near_duplicates(docs, doc_id, text).where("component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct(), "gone")
+    kept = docs.join(found, docs[doc_id].cast("long") == found[gone], "left_anti")
     none = kept.where(F.col(doc_id).isNull())
     return kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(none)

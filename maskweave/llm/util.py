@@ -37,7 +37,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, one of our own."""
+    """The folder in spark.checkpoint.dir; a local session, as in tests, may go without and gets one of its own."""
     sc = spark.sparkContext
     told = sc.getConf().get("spark.checkpoint.dir", None)
     if told:
@@ -45,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(told)
         return told.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="maskweave-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -140,5 +142,13 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return nodes.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots).groupBy("node").agg(F.min("component").alias("component"))
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, whatever the case of its letters."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def no_null(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))

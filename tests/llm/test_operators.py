@@ -115,6 +115,28 @@ def test_jaccard_random_sets(spark):
     assert got == sorted(brute_components(rows))
 
 
+def bridge_rows():
+    """0 - null - 2: only the document without an id links the two others."""
+    w = [f"w{i}" for i in range(60)]
+    return [(0, " ".join(w)), (None, " ".join(w[3:] + ["x1", "x2", "x3", "x4"])), (2, " ".join(w[6:] + ["x1", "x2", "x3", "x4", "y1", "y2", "y3"])), (7, "quite another text of some words")]
+
+
+@pytest.mark.parametrize("limits", [(1 << 16, 128, 500_000), (100, 3, 0), (1, 1, 0)])
+def test_jaccard_blocks_and_bridges(spark, monkeypatch, limits):
+    """Components in many blocks, with pivots that link all, some or none, and classes that no id names."""
+    for name, v in zip(("BLOCK", "BLOCK_SETS", "BROADCAST_ROWS"), limits, strict=True):
+        monkeypatch.setattr(jaccard, name, v)
+    rng = random.Random(11)
+    rows = bridge_rows()
+    base = words(rng, 50).split()
+    for i in range(40):  # a chain of texts that link with their neighbours alone, and copies of one text
+        w = list(base)
+        w[rng.randrange(50)] = "changed"
+        rows += [(100 + i, " ".join(w)), (200 + i, " ".join(f"c{j}" for j in range(5 * i, 5 * i + 60))), (None if i % 7 else 300 + i, " ".join(f"d{j}" for j in range(4 * i, 4 * i + 60)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert collections.Counter(tuple(r) for r in jaccard.near_duplicates(df).collect()) == collections.Counter(brute_components(rows))
+
+
 def test_components_both_ways(spark, monkeypatch):
     rng = random.Random(1)
     edges = [(rng.randint(-40, 40), rng.randint(-40, 40)) for _ in range(50)] + [(100, i) for i in range(101, 160)]
