@@ -44,6 +44,8 @@ FREQUENT = 1 << 18
 #: Shingles and sets in a block of a component, about.
 BLOCK = 1 << 16
 BLOCK_SETS = 128
+#: Shingles in a block of what pivots have not connected.
+WIDE = 2_000_000
 #: Sets of a component that meet all its blocks first.
 PIVOTS = 8
 #: Bytes of prefix rows and sets that one task sorts, about.
@@ -455,16 +457,19 @@ def _links_of(sets: DataFrame, n: int) -> DataFrame:
     linked = util.components(first, "a", "b")
     part = large.select("comp", "sig", "n", "blocks").join(linked.withColumnRenamed("node", "sig"), "sig", "left").withColumn("part", F.coalesce("component", "sig")).drop("component")
     part = util.written(part, "parts")
-    sizes = part.groupBy("comp", "part").agg(F.sum("n").alias("size"))
-    main = sizes.groupBy("comp").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    rest = part.join(main, "comp").where("part <> main").groupBy("comp", "main").agg(_blocks(F.col("n"), F.count(F.lit(1))).alias("others"))
+    sizes = part.groupBy("comp", "part").agg(F.sum("n").alias("size"), F.max("blocks").alias("blocks"))
+    main = sizes.groupBy("comp").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("all"), F.count(F.lit(1)).alias("parts"), F.max("blocks").alias("blocks")).where("parts > 1")
+    others = F.ceil((F.col("all") - F.col("most")) / WIDE).cast("int")
+    # many small blocks where little is left outside the main part, which goes to all of them; else few wide ones
+    least, copies = F.ceil(F.col("all") / WIDE), F.floor(2 * F.col("all") / (F.col("all") - F.col("most")))
+    rest = main.select("comp", "main", others.alias("others"), F.greatest(least, F.least("blocks", copies)).cast("int").alias("wide"))
     rest = util.written(rest, "rest")
     if rest.isEmpty():
         return first
-    again = sets.join(part.select("sig", "part", "blocks"), "sig").join(rest, "comp")
+    again = sets.join(part.select("sig", "part"), "sig").join(rest, "comp")
     pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
-    all_ = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: pair(own(F.col("blocks")), j))
-    mine = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: pair(i, own(F.col("others"))))
+    all_ = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: pair(own(F.col("wide")), j))
+    mine = F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda i: pair(i, own(F.col("others"))))
     again = again.withColumn("g", F.explode(F.when(F.col("part") == F.col("main"), all_).otherwise(F.array_distinct(F.concat(all_, mine)))))
     return first.unionByName(joined(again.withColumns({"i": F.col("g.i"), "j": F.col("g.j")}))).distinct()
 
