@@ -9,7 +9,8 @@ A text is read in passages of ``PASSAGE`` words, so a long text doesn't dilute a
 text's logit is a soft maximum over its passages, in training and in scoring.
 
 Training takes a bounded sample of labelled rows (``SAMPLE`` of each label, in the order of a hash
-of the id); scoring reads whole texts, a megabyte of bytes at a time.
+of the id, as far as their texts fit into ``SAMPLE_BYTES``) and reads their texts whole; scoring
+reads all texts whole, a megabyte of bytes at a time.
 
 Defined cases: a null or wordless text gets the score of the bias alone; labels that are null, or
 whose document is missing, are not learnt from; without labels of both kinds the score is the
@@ -31,15 +32,15 @@ from . import util
 
 GRAMS = (3, 4, 5)
 BUCKET_BITS = 18
-DIM = 4
+DIM = 8
 PASSAGE = 8
-#: Labelled rows of each label that are learnt from, at most.
-SAMPLE = 800
-#: Passages of a training text that are learnt from at most, drawn at random; scoring always reads all.
-TRAIN_PASSAGES = 100
-STEPS = 100
+#: Labelled rows of each label that are learnt from, at most, and the bytes of their texts; a text
+#: longer than a sixteenth of these isn't drawn.
+SAMPLE = 1500
+SAMPLE_BYTES = 32 << 20
+STEPS = 120
 #: An n-gram is learnt if so many texts of the sample hold it.
-MIN_TEXTS = 8
+MIN_TEXTS = 5
 #: How far the embedding with the largest gradient moves in a step, and the decay of all.
 STRIDE = 8.0
 DECAY = 0.002
@@ -122,22 +123,20 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, steps: int = STEP
         return Model(np.zeros(size), prior if len(labels) else -20.0)
     # distinct words, their n-grams, and the words of each passage
     vocab: dict[bytes, int] = {}
-    ids, passages, owner, n_pass = [], [], [], 0
-    for i, t in enumerate(texts):
+    ids = []
+    for t in texts:
         raw = np.frombuffer(t.encode(), np.uint8)
         words = np.where(K.NOT_ALNUM[raw], np.uint8(32), K.LOWER[raw]).tobytes().split()
-        starts = np.arange(0, len(words), PASSAGE)
-        if len(starts) > TRAIN_PASSAGES:
-            starts = np.sort(rng.choice(starts, TRAIN_PASSAGES, replace=False))
-        for s in starts.tolist() or [0]:
-            part = np.array([vocab.setdefault(w, len(vocab)) for w in words[s : s + PASSAGE]], np.int32)
-            ids.append(part)
-            passages.append(np.full(len(part), n_pass, np.int32))
-            owner.append(i)
-            n_pass += 1
-    w_of, p_of, owner = np.concatenate(ids), np.concatenate(passages), np.array(owner, np.int32)
-    del ids, passages
-    weight = (1 / np.maximum(np.bincount(p_of, minlength=n_pass), 1))[p_of]
+        ids.append(np.fromiter((vocab.setdefault(w, len(vocab)) for w in words), np.int32, len(words)))
+    per = np.array([len(x) for x in ids])
+    passages = np.maximum(-(-per // PASSAGE), 1)
+    n_pass = int(passages.sum())
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), passages)
+    first = np.cumsum(per) - per
+    p_of = (np.repeat(np.cumsum(passages) - passages, per) + (np.arange(int(per.sum())) - np.repeat(first, per)) // PASSAGE).astype(np.int32)
+    w_of = np.concatenate(ids)
+    del ids
+    weight = (1 / np.maximum(np.bincount(p_of, minlength=n_pass), 1))[p_of].astype(np.float32)
     bucket, word, at = [], [], 0
     names = list(vocab)
     for i in range(0, len(names), 20_000):
@@ -196,6 +195,7 @@ def held_out(doc_id):
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """A model of the rows outside the held-out fold."""
+    spark = docs.sparkSession
     known = labels.select(F.col(doc_id).cast("long").alias("_id"), F.col(label).cast("int").alias("y")).where("_id IS NOT NULL AND y IN (0, 1)").where(~held_out(F.col("_id")))
     share = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     # a bounded sample: 2 * sample rows at most
@@ -203,7 +203,18 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample)
         picked = part if picked is None else picked.unionByName(part)
-    rows = docs.join(F.broadcast(picked), docs[doc_id].cast("long") == F.col("_id")).select(F.col("_id"), "y", F.coalesce(F.col(text), F.lit("")).alias("t")).orderBy("_id", "t").toArrow()
+    texts = docs.select(F.col(doc_id).cast("long").alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = texts.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).where(F.octet_length("t") <= SAMPLE_BYTES // 16)
+    rows = util.written(rows.select("_id", "y", "t", F.octet_length("t").alias("size"), F.xxhash64("_id", "t").alias("turn")), "sample")
+    # an id may stand in many rows: as many as wanted are drawn, whole, while their bytes fit
+    ends = []
+    for y in (0, 1):
+        mine = rows.where(F.col("y") == y).select("turn", "size").orderBy("turn", "size").limit(sample).toArrow()
+        fit_ = np.cumsum(mine["size"].to_numpy()) <= SAMPLE_BYTES // 2
+        ends.append(int(mine["turn"].to_numpy()[fit_][-1]) if fit_.any() else None)
+    inside = [(F.col("y") == y) & (F.col("turn") <= end) for y, end in enumerate(ends) if end is not None]
+    none = spark.createDataFrame([], rows.schema)
+    rows = rows.where(inside[0] | inside[-1]).orderBy("_id", "t").limit(2 * sample).toArrow() if inside else none.toArrow()
     y = np.array(rows["y"].to_pylist(), np.int64)
     model = train(rows["t"].to_pylist(), y)
     # the sample is balanced; the bias goes back to the labels' own share
