@@ -11,12 +11,13 @@ occurrence; what is left beyond the last chosen run is at most ``_REACH`` words.
 over all documents; the occurrence with the smallest (doc_id, offset) stays, all others are removed,
 by their offsets in the original text.
 
-The grouping is partial sums by digest. Only rows whose digest may repeat, by a bitmap of fixed
+The grouping is partial sums by digest. Only rows whose digest may repeat, by a bitmap of bounded
 size without false negatives, are sent to the join that finds the occurrences, and that is a plain
 equi-join, so a digest with a third of all rows can be split by adaptive execution.
 
 Defined cases: a null or short text has no units; documents without an id are not ranked, neither
-kept nor removed; rows that repeat an id and text are one document; an empty table gives no spans.
+kept nor removed; rows that repeat an id and text are one document; of several texts under one id
+the id names one (that with the smallest hash), the others are neither kept nor removed; an empty table gives no spans.
 """
 
 from __future__ import annotations
@@ -35,7 +36,6 @@ MIN_WORDS = 20
 _SPLIT = 24
 _SPREAD = 31
 _REACH = MIN_WORDS + _SPREAD
-_BITS = 24
 _UNITS = "d1 bigint, d2 int, doc_id bigint, start int, end int"
 _AROUND = "doc_id bigint, at int, side int, h array<int>, to array<int>"
 
@@ -90,7 +90,7 @@ def unit_windows(c: K.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return digests[0], (digests[1] >> np.uint64(33)).astype(np.int64), row, start[begins], end[stop - 1]
 
 
-def _units(bitmap: np.ndarray | None):
+def _units(bitmap: tuple[np.ndarray, int] | None):
     schema = util.arrow_schema(_UNITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,8 +99,7 @@ def _units(bitmap: np.ndarray | None):
             for c in K.chunks(b.column(1)):
                 d1, d2, row, a, z = unit_windows(c)
                 if bitmap is not None:
-                    at = d1 >> np.uint64(64 - _BITS)
-                    ok = (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+                    ok = util.may_hold(bitmap, d1)
                     d1, d2, row, a, z = d1[ok], d2[ok], row[ok], a[ok], z[ok]
                 points = c.code_points()
                 base = points[c.off[:-1]][row]
@@ -183,14 +182,11 @@ def duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """doc_id, start, end, kept_doc_id, kept_start: the spans to remove, in code points, and where what they repeat stays."""
     util.ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
+    rows = _named(rows, _ambiguous(rows))
     units = rows.mapInArrow(_units(None), _UNITS)
     firsts = units.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "start", "end")).alias("first"))
     firsts = util.written(firsts.where("n > 1").select("d1", "d2", "first"), "repeats")
-    # a bitmap of fixed size: at most 2 ** _BITS / 64 rows
-    bit = F.shiftrightunsigned("d1", 64 - _BITS)
-    words = firsts.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(d1, {64 - _BITS}) & 63 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
-    bitmap = np.zeros(1 << (_BITS - 6), np.uint64)
-    bitmap[words["w"].to_numpy()] = words["m"].to_numpy().view(np.uint64)
+    bitmap = util.bitmap(firsts, "d1")
     again = rows.mapInArrow(_units(bitmap), _UNITS).join(firsts, ["d1", "d2"])
     gone = again.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
     gone = gone.groupBy("doc_id", "start").agg(F.max(F.struct("end", "first")).alias("m")).select("doc_id", "start", "m.end", "m.first")
@@ -201,10 +197,31 @@ def duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return spans.select("doc_id", "start", "end", "k.kept_doc_id", "k.kept_start")
 
 
+def _ambiguous(rows: DataFrame) -> DataFrame:
+    """id, v: ids of several texts, with the text (the hash of it) that the id names."""
+    v = rows.select("doc_id", F.xxhash64("text").alias("v")).groupBy("doc_id").agg(F.min("v").alias("v"), F.max("v").alias("most"))
+    return util.written(v.where("v <> most").select(F.col("doc_id").alias("id"), "v"), "ambiguous")
+
+
+def _named(rows: DataFrame, ambiguous: DataFrame) -> DataFrame:
+    """The rows whose text is the one that their id names."""
+    if ambiguous.isEmpty():
+        return rows
+    out = rows.join(ambiguous, F.col("doc_id") == F.col("id"), "left")
+    return out.where(F.col("v").isNull() | (F.xxhash64("text") == F.col("v"))).select(*rows.columns)
+
+
 def remove_spans(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the spans cut out of their texts; all else as it was."""
-    cut = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cut"))
-    out = docs.join(cut, docs[doc_id].cast("long") == F.col("_id"), "left")
-    t = F.col(text)
-    kept = F.aggregate("_cut", F.struct(F.lit(0).alias("at"), F.lit("").alias("s")), lambda acc, c: F.struct(c["end"].alias("at"), F.concat(acc["s"], F.substring(t, acc["at"] + 1, c["start"] - acc["at"])).alias("s")), lambda acc: F.concat(acc["s"], F.substring(t, acc["at"] + 1, F.length(t))))
-    return out.withColumn(text, F.when(F.col("_cut").isNull(), t).otherwise(kept)).select(*docs.columns)
+    """docs with the spans cut out of their texts; all else as it was, also other texts under an id of several."""
+    key, cut, v = (util.fresh(c, docs) for c in ("_id", "_cut", "_v"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
+    by_id = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(cut))
+    ambiguous = _ambiguous(rows)
+    by_id = by_id.join(ambiguous, by_id["doc_id"] == ambiguous["id"], "left").select(F.col("doc_id").alias(key), cut, F.col("v").alias(v))
+    out = docs.join(by_id, (docs[doc_id].cast("long") == by_id[key]) & (by_id[v].isNull() | (F.xxhash64(docs[text]) == by_id[v])), "left")
+    t, at = docs[text], by_id[cut]
+    # what stays lies between the spans
+    ends = F.concat(F.array(F.lit(0)), F.transform(at, lambda c: c["end"]))
+    starts = F.concat(F.transform(at, lambda c: c["start"]), F.array(F.length(t)))
+    kept = F.array_join(F.zip_with(ends, starts, lambda a, z: F.substring(t, a + 1, z - a)), "")
+    return out.select(*[F.when(at.isNull(), t).otherwise(kept).alias(c) if c == text else docs[c] for c in docs.columns])

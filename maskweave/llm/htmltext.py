@@ -28,13 +28,17 @@ from pyspark.sql.functions import arrow_udf
 
 from . import util
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)?", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)?", re.S)
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WORDS = re.compile(r"\S+")
 _SPACES = re.compile(r"\s+")
 #: Elements whose content is not text of the page.
 _RAW = frozenset("script style textarea title noscript iframe xmp template svg math object select button option canvas audio video".split())
+#: Those of them that hold all up to their end tag, or the page's end; the others, left open, are passed over alone.
+_TO_THE_END = frozenset("script style textarea title iframe xmp".split())
+#: Those that can't stand in one of their own kind: a second start tag shows that the first was left open.
+_FLAT = frozenset("select button option canvas audio video".split())
 _BLOCK = frozenset("html body div p article section main nav ul ol li dl dt dd header footer aside form fieldset table thead tbody tfoot tr td th caption h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address hgroup details summary dialog menu center".split())
 _ENDS_P = _BLOCK - {"html", "body"} | {"hr"}
 _ALIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -92,7 +96,9 @@ def parse(page: str) -> Node:
             if m.group(3).rstrip().endswith("/") and name in ("svg", "math"):
                 continue
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = end.end() if end else n
+            if name in _FLAT and end and re.compile(rf"<{name}(?=[\s/>])", re.I).search(page, at, end.start()):
+                continue
+            at = end.end() if end else n if name in _TO_THE_END else at
             continue
         if name == "a":
             link = 0 if closing else 1

@@ -126,9 +126,9 @@ def cut_stream(sizes: list[int], may_cut: list[bool], capacity: int) -> list[lis
     return out
 
 
-def _cut_crcs(wanted: dict[tuple[int, int, int], int], tokenizer: str, end: int, length: int):
-    """Checksums of both pieces of the cut leftovers; wanted: (doc_id, n, crc) of a leftover to where it is cut."""
-    schema = util.arrow_schema("doc_id bigint, n bigint, crc bigint, first bigint, second bigint")
+def _cut_crcs(wanted: dict[tuple[int, int, int], set[int]], tokenizer: str, end: int, length: int):
+    """Checksums of both pieces of the cut leftovers; wanted: (doc_id, n, crc) of a leftover to where it, or a row that repeats it, is cut."""
+    schema = util.arrow_schema("doc_id bigint, n bigint, crc bigint, cut bigint, first bigint, second bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encode.encoder(tokenizer)
@@ -138,9 +138,9 @@ def _cut_crcs(wanted: dict[tuple[int, int, int], int], tokenizer: str, end: int,
             for d, lo, hi in zip(b.column(0).to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
                 n, lo = hi - lo, hi - (hi - lo) % length
                 crc = encode.crc(view[4 * lo : 4 * hi])
-                if (at := wanted.get((d, n, crc))) is not None:
-                    rows.append((d, n, crc, encode.crc(view[4 * lo : 4 * (lo + at)]), encode.crc(view[4 * (lo + at) : 4 * hi])))
-            cols = zip(*rows, strict=True) if rows else [[]] * 5
+                for at in wanted.get((d, n, crc), ()):
+                    rows.append((d, n, crc, at, encode.crc(view[4 * lo : 4 * (lo + at)]), encode.crc(view[4 * (lo + at) : 4 * hi])))
+            cols = zip(*rows, strict=True) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema, strict=True)], schema=schema)
 
     return run
@@ -247,17 +247,20 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
     rest = ranked.where((F.col("class") > 0) & (F.col("rank") >= limit[F.col("class")])).select("doc_id", "n", F.element_at("crcs", -1).alias("crc"), "class", "rank").orderBy("class", "rank").toArrow()
     doc, n, crc = (rest[c].to_pylist() for c in ("doc_id", "n", "crc"))
     pieces = cut_stream([v % length for v in n], [d is not None for d in doc], length)
-    wanted = {(d, t, c): p[0][1] for d, t, c, p in zip(doc, n, crc, pieces, strict=True) if len(p) == 2}
+    wanted: dict[tuple[int, int, int], set[int]] = {}
+    for d, t, c, p in zip(doc, n, crc, pieces, strict=True):
+        if len(p) == 2:
+            wanted.setdefault((d, t, c), set()).add(p[0][1])
     crcs: dict[tuple, tuple[int, int]] = {}
     if wanted:  # a document for each of those sequences at most
         some = rows.where(F.col("doc_id").isin(sorted({d for d, *_ in wanted})))
-        found = some.mapInArrow(_cut_crcs(wanted, tokenizer, end, length), "doc_id bigint, n bigint, crc bigint, first bigint, second bigint")
-        crcs = {(r["doc_id"], r["n"], r["crc"]): (r["first"], r["second"]) for r in found.collect()}
+        found = some.mapInArrow(_cut_crcs(wanted, tokenizer, end, length), "doc_id bigint, n bigint, crc bigint, cut bigint, first bigint, second bigint").distinct()
+        crcs = {(r["doc_id"], r["n"], r["crc"], r["cut"]): (r["first"], r["second"]) for r in found.collect()}
     used: dict[int, int] = {}
     tail = []
     for d, t, c, parts in zip(doc, n, crc, pieces, strict=True):
         at = t - t % length
-        for (bin_, size), checksum in zip(parts, crcs[d, t, c] if len(parts) == 2 else (c,), strict=True):
+        for (bin_, size), checksum in zip(parts, crcs[d, t, c, parts[0][1]] if len(parts) == 2 else (c,), strict=True):
             tail.append((d, at, size, checksum, t, n_whole + slots.sequences + bin_, used.get(bin_, 0)))
             used[bin_] = used.get(bin_, 0) + size
             at += size

@@ -41,7 +41,6 @@ WINDOW = 8
 SUPPORT = 2
 MIN_TERM = 3
 BLOCK = 2_000_000
-_BITS = 24
 #: Terms of texts that a task counts together.
 _HELD = 1_000_000
 _DIGIT = re.compile("[0-9]")
@@ -155,7 +154,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, schema, strict=True)], schema=schema)
 
 
-def _term_counts(bitmap: np.ndarray):
+def _term_counts(bitmap: tuple[np.ndarray, int]):
     schema = util.arrow_schema("t bigint, c bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,8 +170,7 @@ def _term_counts(bitmap: np.ndarray):
             for c in K.chunks(b.column(0)):
                 first, last, by_row = c.words(K.NOT_ALNUM)
                 h = K.Hasher(K.LOWER[c.buf]).ranges(first, last)
-                at = h >> np.uint64(64 - _BITS)
-                ok = (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+                ok = util.may_hold(bitmap, h)
                 row = np.repeat(np.arange(len(c)), np.diff(by_row))[ok]
                 if len(row):
                     order = np.lexsort((h[ok], row))
@@ -197,10 +195,7 @@ def disclosing_pairs(texts: DataFrame, generalise: float, remove: float) -> Data
     pairs = near.where("NOT (t = 0 AND pair = 0)").groupBy("e", "t", "pair", "context").agg(F.sum("first").alias("f"))
     pairs = pairs.groupBy("e", "t", "pair").agg(F.sum("f").alias("n_et"), F.count(F.lit(1)).alias("contexts"))
     pairs = util.written(pairs.where(F.col("contexts") >= SUPPORT), "pairs")
-    bit = F.shiftrightunsigned("t", 64 - _BITS)
-    words = pairs.select("t").distinct().select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(t, {64 - _BITS}) & 63 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
-    bitmap = np.zeros(1 << (_BITS - 6), np.uint64)
-    bitmap[words["w"].to_numpy()] = words["m"].to_numpy().view(np.uint64)
+    bitmap = util.bitmap(pairs.select("t").distinct(), "t")
     n_t = texts.mapInArrow(_term_counts(bitmap), "t bigint, c bigint").groupBy("t").agg(F.sum("c").alias("n_t"))
     out = pairs.join(n_e, "e").join(n_t, "t")
     pmi = F.log2(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))

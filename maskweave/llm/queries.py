@@ -58,5 +58,26 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+#: Operator 4: the counts, the hosts' shrunken rates and both verdicts. A row number stands for a row: ids may repeat.
+_QUALITY = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source, chr(0)) AS host FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+p AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
+again AS (SELECT r, i FROM p QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+c AS (SELECT r, CAST(count(DISTINCT i + k) AS BIGINT) AS n_repeat_words FROM again, (VALUES (0), (1), (2)) v(k) GROUP BY r),
+f AS (SELECT w.r, doc_id, host, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM w LEFT JOIN c USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  n_symbols * 4 > greatest(n_words, 1) OR n_dup_lines * 20 > greatest(n_words, 1) OR word_chars > 15 * greatest(n_words, 1) OR word_chars < 2 * greatest(n_words, 1) AS soft FROM f),
+h AS (SELECT host, count(*) AS n, CAST(count_if(base_failed OR soft) AS DOUBLE) AS k FROM b GROUP BY host),
+m AS (SELECT least(greatest(avg(k / n), 1e-4), 1 - 1e-4) AS mean, coalesce(var_samp(k / n), 0.0) AS var, avg(1.0 / n) AS inv FROM h),
+z AS (SELECT mean, least(greatest(mean * (1 - mean) / greatest(var - mean * (1 - mean) * inv, 1e-5) - 1, 1.0), 1e4) AS z FROM m),
+v AS (SELECT host, CASE WHEN (k + mean * z) / (n + z) >= 0.95 THEN 2 WHEN (k + mean * z) / (n + z) >= 0.5 THEN 1 ELSE 0 END AS host_verdict FROM h, z)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_verdict < CASE WHEN soft THEN 1 ELSE 2 END AS kept, host_verdict
+FROM b JOIN v USING (host)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_host_quality": _QUALITY}

@@ -142,6 +142,28 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return nodes.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots).groupBy("node").agg(F.min("component").alias("component"))
 
 
+#: A bitmap has 16 bits for each hash, 2 ** 27 (16 MB) at most.
+BITMAP_BITS = 27
+
+
+def bitmap(hashes: DataFrame, column: str) -> tuple[np.ndarray, int]:
+    """A bitmap of the leading bits of 64-bit hashes, and how many: no false negatives, and of a bounded size."""
+    n = hashes.count()
+    bits = min(max((16 * n).bit_length(), 16), BITMAP_BITS)
+    bit = F.shiftrightunsigned(column, 64 - bits)
+    mask = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int))")
+    words = hashes.select(F.shiftright(bit, 6).alias("w"), mask.alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words["w"].to_numpy()] = words["m"].to_numpy().view(np.uint64)
+    return out, bits
+
+
+def may_hold(bitmap: tuple[np.ndarray, int], h: np.ndarray) -> np.ndarray:
+    words, bits = bitmap
+    at = h >> np.uint64(64 - bits)
+    return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
 def fresh(name: str, *frames: DataFrame) -> str:
     """A column name that none of the frames has, whatever the case of its letters."""
     taken = {c.lower() for f in frames for c in f.columns}

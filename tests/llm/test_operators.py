@@ -121,10 +121,10 @@ def bridge_rows():
     return [(0, " ".join(w)), (None, " ".join(w[3:] + ["x1", "x2", "x3", "x4"])), (2, " ".join(w[6:] + ["x1", "x2", "x3", "x4", "y1", "y2", "y3"])), (7, "quite another text of some words")]
 
 
-@pytest.mark.parametrize("limits", [(1 << 16, 128, 500_000), (100, 3, 0), (1, 1, 0)])
+@pytest.mark.parametrize("limits", [(1 << 16, 128, 500_000, 2_000_000), (100, 3, 0, 300), (1, 1, 0, 1)])
 def test_jaccard_blocks_and_bridges(spark, monkeypatch, limits):
     """Components in many blocks, with pivots that link all, some or none, and classes that no id names."""
-    for name, v in zip(("BLOCK", "BLOCK_SETS", "BROADCAST_ROWS"), limits, strict=True):
+    for name, v in zip(("BLOCK", "BLOCK_SETS", "BROADCAST_ROWS", "WIDE"), limits, strict=True):
         monkeypatch.setattr(jaccard, name, v)
     rng = random.Random(11)
     rows = bridge_rows()
@@ -183,6 +183,16 @@ def test_packing(docs, none, rows):
     assert all(len(s.ids) == 2048 or len(s.ids) == s.n_ids for s in seq)
 
 
+def test_repeated_rows_that_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(packing.Slots, "__init__", lambda self, lengths, *_: (setattr(self, "sequences", 0), setattr(self, "by_class", {}), setattr(self, "taken", np.zeros(int(lengths.max(initial=0)) + 1, np.int64)), None)[-1])
+    t = words(random.Random(3), 700)
+    d = spark.createDataFrame([(5, t)] * 7, "doc_id bigint, text string").repartition(2)
+    ids = ids_of(t, 1)
+    pieces = packing.pack(d).collect()
+    assert sum(p.length for p in pieces) == 7 * len(ids) and len({p.start for p in pieces}) == 3
+    assert all(zlib.crc32(ids[p.start : p.start + p.length].tobytes()) == p.ids_crc32 for p in pieces)
+
+
 def test_column_generation_is_near_the_bound():
     rng = np.random.default_rng(0)
     demand = rng.integers(1, 400, 512).astype(float)
@@ -297,13 +307,27 @@ def test_toxicity(spark, docs, none):
     held = {r.doc_id: r.h for r in d.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("h")).collect()}
     assert all(held[i] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in held)
     assert docs.select(toxicity.score(docs, model)).count() == docs.count()
+    clash = d.select("doc_id", "text", F.lit("x").alias("y"), F.lit(1).alias("_id"), F.lit(2).alias("t"), F.lit("z").alias("turn"))
+    assert np.array_equal(toxicity.fit(clash, y).scores, model.scores)
     assert toxicity.fit(none, y.limit(0)).scores.any() == False  # noqa: E712
 
 
+def test_toxicity_learns_from_the_end_of_a_long_text(spark):
+    rng = random.Random(10)
+    rows = [(i, words(rng, 3000) + (" stupidhead" if i % 2 else " fine")) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = toxicity.fit(d, d.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")))
+    s = model.score(pa.array([f"{words(rng, 20)} stupidhead", words(rng, 20)]))
+    assert s[0] > s[1]
+
+
 PAGES = [
     ("<html><body><nav><ul><li><a href=x>Home</a></li></ul></nav><div class='ad'>Buy now</div><article><h1>A &amp; B</h1><p>One <b>two</b>\n three.<br><p>Four</article><footer>&copy; x</footer>", "A & B One two three. Four"),
     ("<article><p>kept<script>var t='</p>'</script> text</p><div id='comments'><p>reader words here</p></div></article><aside class=sidebar><p>other</p></aside>", "kept text"),
     ("<div class='cookie-notice'>We use cookies</div><main><p>Body.</p></main><form class=login><p>Sign in</p></form>", "Body."),
+    ("<nav><ul><li><a href=x>Home</a></li></ul><button></nav><article><p>After an open button.</p><p>More of it.</p></article>", "After an open button. More of it."),
+    ("<button>one<nav><a>x</a></nav><article><h1>Head</h1><p>Between two buttons stand words.</p></article><button>two</button>", "Head Between two buttons stand words."),
+    ("<article><p class=\"a\"\" id=x>A stray quote stays in its tag.</p><p title='it\"s'>Fine.</p></article>", "A stray quote stays in its tag. Fine."),
     ("", ""),
     (None, ""),
     ("just words", "just words"),
@@ -358,6 +382,20 @@ def test_line_dedup_passages_within_lines(spark):
     assert {s.doc_id: (s.start, s.end, s.kept_doc_id, s.kept_start) for s in dedup.duplicate_spans(d).collect()} == want
 
 
+def test_line_dedup_clashes_and_ids_of_several_texts(spark):
+    rng = random.Random(12)
+    own = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    passage = own(60)
+    texts = [f"{own(30)} {passage} {own(30)}", f"{own(10)} {passage} {own(50)}", f"{own(45)} {passage}"]
+    d = spark.createDataFrame([(1, texts[0], 7, 7), (2, texts[1], 7, 7), (2, texts[2], 7, 7), (2, texts[1], 7, 7), (None, texts[0], 7, 7)], "doc_id bigint, text string, _id int, _cut int")
+    spans = dedup.duplicate_spans(d).collect()
+    assert len(spans) == 1 and spans[0].doc_id == 2 and spans[0].kept_doc_id == 1
+    left = collections.Counter(r.text for r in dedup.remove_spans(d, dedup.duplicate_spans(d)).collect())
+    cut = next(t for t in texts[1:] if t[spans[0].start : spans[0].end] == passage)
+    whole = next(t for t in texts[1:] if t != cut)
+    assert left == collections.Counter({texts[0]: 2, whole: 1 + (whole == texts[1]), cut.replace(passage, ""): 1 + (cut == texts[1])})
+
+
 SECRET = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
