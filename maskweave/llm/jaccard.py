@@ -432,46 +432,45 @@ def class_links(rows: DataFrame, classes: DataFrame) -> DataFrame:
     named = rows.join(small(cand.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), "sig")), F.col("doc_id") == F.col("_id")).select("text", "sig")
     # classes that no id names are found by their hash
     bare = rows.where("doc_id IS NULL").select("text").mapInArrow(_set_rows, "sig bigint, s binary")
-    bare = bare.join(small(cand.where("doc_id IS NULL").select("sig")), "sig", "left_semi")
-    sets = named.mapInArrow(_set_rows, "sig bigint, s binary").unionByName(bare).dropDuplicates(["sig"])
-    sets = util.written(sets.join(small(cand.select("sig", "comp", "n")), "sig"), "sets")
-    return _links_of(sets, _tasks(spark, 8 * total))
+    bare = bare.join(small(cand.where("doc_id IS NULL").select("sig")), "sig", "left_semi").dropDuplicates(["sig"])
+    sets = util.written(named.mapInArrow(_set_rows, "sig bigint, s binary").unionByName(bare), "sets")
+    return _links_of(sets, cand.select("sig", "comp", "n"), _tasks(spark, 8 * total), small)
 
 
 def _blocks(n, count):
     return F.greatest(F.ceil(F.sum(n) / BLOCK), F.ceil(count / BLOCK_SETS)).cast("int")
 
 
-def _links_of(sets: DataFrame, n: int) -> DataFrame:
-    """Links that connect all linked sets of each component, from rows sig, comp, n, s."""
-    joined = lambda d: util.written(d.select("comp", "i", "j", "sig", "s").repartition(n, "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_join_blocks, "a bigint, b bigint").distinct(), "links")
+def _links_of(sets: DataFrame, cand: DataFrame, n: int, small) -> DataFrame:
+    """Links that connect all linked sets of each component: sets are rows sig, s, cand rows sig, comp, n, one a sig."""
+    joined = lambda d: util.written(sets.join(small(d), "sig").select("comp", F.explode("g").alias("g"), "sig", "s").select("comp", "g.i", "g.j", "sig", "s").repartition(n, "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_join_blocks, "a bigint, b bigint").distinct(), "links")
     own = lambda blocks: F.pmod(F.shiftright("sig", 7), blocks).cast("int")
-    info = sets.groupBy("comp").agg(_blocks(F.col("n"), F.count(F.lit(1))).alias("blocks"), *[F.min(F.struct(F.xxhash64("sig", F.lit(k)), "sig"))["sig"].alias(f"p{k}") for k in range(PIVOTS)])
-    info = util.written(info.select("comp", "blocks", F.array(*[f"p{k}" for k in range(PIVOTS)]).alias("pivots")), "components")
-    # a component in several blocks is many rows: few such components, and they reach the rows by a broadcast if so
-    dealt = sets.join(info, "comp")
-    everywhere = (F.col("blocks") > 1) & F.array_contains("pivots", F.col("sig"))
-    first = joined(dealt.withColumn("i", F.explode(F.when(everywhere, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own(F.col("blocks")))))).withColumn("j", F.lit(0)))
-
-    large = dealt.where("blocks > 1")
-    linked = util.components(first, "a", "b")
-    part = large.select("comp", "sig", "n", "blocks").join(linked.withColumnRenamed("node", "sig"), "sig", "left").withColumn("part", F.coalesce("component", "sig")).drop("component")
+    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    over = lambda blocks, f: F.transform(F.sequence(F.lit(0), F.col(blocks) - 1), f)
+    info = cand.groupBy("comp").agg(_blocks(F.col("n"), F.count(F.lit(1))).alias("blocks"), *[F.min(F.struct(F.xxhash64("sig", F.lit(k)), "sig"))["sig"].alias(f"p{k}") for k in range(PIVOTS)])
+    info = info.select("comp", "blocks", F.when(F.col("blocks") > 1, F.array(*[f"p{k}" for k in range(PIVOTS)])).otherwise(F.array().cast("array<bigint>")).alias("pivots"))
+    dealt = util.written(cand.join(info, "comp").select("sig", "comp", "n", "blocks", F.array_contains("pivots", F.col("sig")).alias("pivot")), "dealt")
+    first = joined(dealt.select("sig", "comp", F.when(F.col("pivot"), over("blocks", lambda i: pair(i, F.lit(0)))).otherwise(F.array(pair(own(F.col("blocks")), F.lit(0)))).alias("g")))
+
+    # components in several blocks: what is connected by now, and what isn't part of the largest such part
+    linked = util.components(first, "a", "b").withColumnRenamed("node", "sig")
+    part = dealt.where("blocks > 1").join(linked, "sig", "left").select("sig", "comp", "n", "blocks", F.coalesce("component", "sig").alias("part"))
     part = util.written(part, "parts")
     sizes = part.groupBy("comp", "part").agg(F.sum("n").alias("size"), F.max("blocks").alias("blocks"))
     main = sizes.groupBy("comp").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.max("size").alias("most"), F.sum("size").alias("all"), F.count(F.lit(1)).alias("parts"), F.max("blocks").alias("blocks")).where("parts > 1")
-    others = F.ceil((F.col("all") - F.col("most")) / WIDE).cast("int")
-    # many small blocks where little is left outside the main part, which goes to all of them; else few wide ones
-    least, copies = F.ceil(F.col("all") / WIDE), F.floor(2 * F.col("all") / (F.col("all") - F.col("most")))
-    rest = main.select("comp", "main", others.alias("others"), F.greatest(least, F.least("blocks", copies)).cast("int").alias("wide"))
-    rest = util.written(rest, "rest")
-    if rest.isEmpty():
+    rest = F.col("all") - F.col("most")
+    fit = F.ceil(F.col("all") / WIDE)
+    # little outside the main part: it goes to many small blocks of all; else all pairs of wide blocks
+    wide = F.when(rest * 8 <= F.col("all"), F.greatest(fit, F.least(F.col("blocks"), F.floor(F.col("all") / rest)))).otherwise(fit).cast("int")
+    main = util.written(main.select("comp", "main", wide.alias("wide"), F.ceil(rest / WIDE).cast("int").alias("others"), (rest * 8 > F.col("all")).alias("even")), "rest")
+    if main.isEmpty():
         return first
-    again = sets.join(part.select("sig", "part"), "sig").join(rest, "comp")
-    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
-    all_ = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: pair(own(F.col("wide")), j))
-    mine = F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda i: pair(i, own(F.col("others"))))
-    again = again.withColumn("g", F.explode(F.when(F.col("part") == F.col("main"), all_).otherwise(F.array_distinct(F.concat(all_, mine)))))
-    return first.unionByName(joined(again.withColumns({"i": F.col("g.i"), "j": F.col("g.j")}))).distinct()
+    again = part.select("sig", "comp", "part").join(main, "comp")
+    all_ = over("others", lambda j: pair(own(F.col("wide")), j))
+    mine = over("wide", lambda i: pair(i, own(F.col("others"))))
+    even = over("wide", lambda o: pair(F.least(own(F.col("wide")), o), F.greatest(own(F.col("wide")), o)))
+    groups = F.when(F.col("even"), even).when(F.col("part") == F.col("main"), all_).otherwise(F.array_distinct(F.concat(all_, mine)))
+    return first.unionByName(joined(again.select("sig", "comp", groups.alias("g")))).distinct()
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

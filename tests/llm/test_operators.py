@@ -326,7 +326,7 @@ PAGES = [
     ("<article><p>kept<script>var t='</p>'</script> text</p><div id='comments'><p>reader words here</p></div></article><aside class=sidebar><p>other</p></aside>", "kept text"),
     ("<div class='cookie-notice'>We use cookies</div><main><p>Body.</p></main><form class=login><p>Sign in</p></form>", "Body."),
     ("<nav><ul><li><a href=x>Home</a></li></ul><button></nav><article><p>After an open button.</p><p>More of it.</p></article>", "After an open button. More of it."),
-    ("<button>one<nav><a>x</a></nav><article><h1>Head</h1><p>Between two buttons stand words.</p></article><button>two</button>", "Head Between two buttons stand words."),
+    ("<button><nav><ul><li><a href=x>Home</a></li></ul></nav><article><h1>Head</h1><p>Between two buttons stand words.</p></article><button>two</button>", "Head Between two buttons stand words."),
     ("<article><p class=\"a\"\" id=x>A stray quote stays in its tag.</p><p title='it\"s'>Fine.</p></article>", "A stray quote stays in its tag. Fine."),
     ("", ""),
     (None, ""),
