@@ -6,10 +6,11 @@ trees). It is applied to rows where the first layer masked nothing, and acts onl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .evaluate import rates
 from .mask import PLANNED, is_masked
 
 THRESHOLD = 0.75
@@ -114,14 +115,89 @@ def safety_net(df: DataFrame) -> DataFrame:
     return df.withColumn("planned", F.concat("planned", more)).drop("_ml")
 
 
-def train(df: DataFrame, label: str = "label", seed: int = 7):
-    """Standardised features and gradient-boosted trees of depth 4; df has features and a label of 0 or 1."""
+# Types that make a prompt sensitive; those of contact, financial and infrastructure data alone do not.
+SENSITIVE = (
+    "NIC_OLD", "NIC_NEW", "PASSPORT", "DRIVING_LICENSE", "TAX_ID", "FULL_NAME", "DATE_OF_BIRTH", "HOME_ADDRESS", "PAN", "CVV", "CARD_EXPIRY",
+    "API_KEY_OPENAI", "API_KEY_GENERIC", "JWT_TOKEN", "PASSWORD", "PRIVATE_KEY", "JWT_IN_LOG", "AWS_ACCESS_KEY", "AWS_SECRET_KEY", "S3_BUCKET_REF",
+)
+
+
+def label_rule(entities: str = "entities") -> Column:
+    """1.0 if any of the types is sensitive, else 0.0."""
+    return F.when(F.arrays_overlap(entities, F.array(*map(F.lit, SENSITIVE))), 1.0).otherwise(0.0)
+
+
+def split(df: DataFrame, label: str = "label", shares: tuple[float, float] = (0.6, 0.2), seed: int = 7, key: str = "normalized") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Training, validation and test rows, with these shares of each label (the test has the rest).
+
+    The rows of a label are ranked by a hash of the key, in buckets of the hash, so no label is one task's:
+    the shares hold up to a row a bucket.
+    """
+    turn = F.xxhash64(key, F.lit(seed))
+    by = Window.partitionBy(label, F.pmod(turn, F.lit(64)))
+    place = F.row_number().over(by.orderBy(turn, key)) / F.count(F.lit(1)).over(by)
+    parted = df.withColumn("_place", place)
+    a, b = shares[0], shares[0] + shares[1]
+    return tuple(parted.where(c).drop("_place") for c in (F.col("_place") <= a, (F.col("_place") > a) & (F.col("_place") <= b), F.col("_place") > b))
+
+
+def estimator(kind: str = "gbt", label: str = "label", seed: int = 7):
+    """A pipeline over the vector x: standardised features and gradient-boosted trees (gbt), logistic regression (lr), a forest (rf) or a network (mlp)."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
     from pyspark.ml.feature import StandardScaler
 
-    stages = [StandardScaler(inputCol="x", outputCol="z", withMean=True), GBTClassifier(featuresCol="z", labelCol=label, maxDepth=4, maxIter=100, stepSize=0.1, seed=seed)]
-    return Pipeline(stages=stages).fit(vectorised(df))
+    last = {
+        "gbt": lambda: GBTClassifier(featuresCol="z", labelCol=label, maxDepth=4, maxIter=100, stepSize=0.1, seed=seed),
+        "lr": lambda: LogisticRegression(featuresCol="z", labelCol=label),
+        "rf": lambda: RandomForestClassifier(featuresCol="z", labelCol=label, numTrees=100, seed=seed),
+        "mlp": lambda: MultilayerPerceptronClassifier(featuresCol="z", labelCol=label, layers=[len(FEATURES), 64, 32, 2], seed=seed),
+    }[kind]()
+    return Pipeline(stages=[StandardScaler(inputCol="x", outputCol="z", withMean=True), last])
+
+
+def train(df: DataFrame, label: str = "label", seed: int = 7, kind: str = "gbt"):
+    """A fitted model; df has features and a label of 0 or 1."""
+    return estimator(kind, label, seed).fit(vectorised(df))
+
+
+def report(model, df: DataFrame, label: str = "label") -> DataFrame:
+    """n, accuracy, precision, recall, f1, auc of the model on rows with features and a label: one row."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    out = model.transform(vectorised(df))
+    auc = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="probability").evaluate(out)
+    tp, fp, fn = (F.count_if(c) for c in ((F.col("prediction") == 1) & (F.col(label) == 1), (F.col("prediction") == 1) & (F.col(label) == 0), (F.col("prediction") == 0) & (F.col(label) == 1)))
+    sums = out.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("accuracy"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
+    return sums.select("n", "accuracy", *rates(F.col("tp"), F.col("fp"), F.col("fn")), F.lit(auc).alias("auc"))
+
+
+def cross_validated(df: DataFrame, label: str = "label", folds: int = 5, seed: int = 7, kind: str = "gbt") -> list[float]:
+    """The area under the curve of each fold's model on the rows left out."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    parts = vectorised(df).withColumn("_fold", F.pmod(F.xxhash64("normalized", F.lit(seed)), F.lit(folds)))
+    score_ = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="probability")
+    return [score_.evaluate(estimator(kind, label, seed).fit(parts.where(F.col("_fold") != k)).transform(parts.where(F.col("_fold") == k))) for k in range(folds)]
+
+
+def compared(train_rows: DataFrame, validation: DataFrame, kinds: tuple[str, ...] = ("lr", "rf", "gbt", "mlp"), label: str = "label") -> DataFrame:
+    """kind and report of a model of each kind, the best area under the curve first."""
+    out = None
+    for kind in kinds:
+        one = report(train(train_rows, label, kind=kind), validation, label).withColumn("kind", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out.orderBy(F.desc("auc"), "kind")
+
+
+def retrain(df: DataFrame, probe: DataFrame, path: str, most: float = 0.15, label: str = "label") -> tuple[bool, DataFrame]:
+    """Trains on 60 %, reports on the held-out 20 %, and saves the model to path only if the benign probe accepts it."""
+    fitting, _, test = split(add_features(df), label)
+    model = train(fitting, label)
+    ok = accepted(model, probe, most)
+    if ok:
+        model.write().overwrite().save(path)
+    return ok, report(model, test, label)
 
 
 def accepted(model, probe: DataFrame, most: float = 0.15, text: str = "normalized") -> bool:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import fixtures
 from .functions import text as X
 from .operators import anomaly, canonical, evaluate, instruct, normalize, registry
 from .operators.protect import find, protect
 from .operators.validate import VALIDATORS
 from .plans.rules import RULES, Rule, RuleSet
-from .sources import datagen
+from .sources import datagen, io
 from .sources.staging import spread
 
 EMAIL = next(r for r in RULES if r.type == "EMAIL")
@@ -157,15 +158,30 @@ def canonical_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("conv_id", "payload", F.get_json_object("payload", "$.masking_summary.overall_risk").alias("overall_risk"))
 
 
+def _labelled(spark: SparkSession) -> DataFrame:
+    made = datagen.prompts(spark, 600).select(F.col("prompt").alias("normalized"), anomaly.label_rule().alias("label"))
+    calm = datagen.benign(spark, 300).select(F.col("prompt").alias("normalized"), F.lit(0.0).alias("label"))
+    return anomaly.add_features(made.unionByName(calm))
+
+
 def anomaly_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second layer, trained on generated prompts, over conversations."""
-    made = datagen.prompts(spark, 600).select(F.col("prompt").alias("normalized"), (F.size("entities") > 0).cast("double").alias("label"))
-    calm = datagen.benign(spark, 300).select(F.col("prompt").alias("normalized"), F.lit(0.0).alias("label"))
-    model = anomaly.train(anomaly.add_features(made.unionByName(calm)))
+    model = anomaly.train(_labelled(spark))
     out = protect(_table(spark, sf_dir, "conversations"), "text", anomaly_model=model, instructions=False)
     return out.groupBy("ml_flagged", "overall_risk").agg(F.count(F.lit(1)).alias("n"))
 
 
+def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of a logistic regression, a forest and a network on held-out generated prompts."""
+    fitting, held, _ = anomaly.split(_labelled(spark))
+    return anomaly.compared(fitting, held, ("lr", "rf", "mlp"))
+
+
+def detection_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detection response of each turn as JSON."""
+    return io.response(protect(_table(spark, sf_dir, "conversations"), "text", instructions=False)).select("conv_id", "turn", "json")
+
+
 def rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule table as rows."""
     rows = [(r.type, r.pattern, r.sensitivity, r.category, r.container, r.needs_keyword, r.suppressible) for r in RULES]
@@ -185,11 +201,11 @@ def instruction_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", instruct.as_json(F.col("instructions")).alias("json"), instruct.as_text(F.col("instructions")).alias("block"))
 
 
-_NAMES = ("rule_matches", "email_spans", "card_validity", "mask_emails", "email_scores", "context_types", "text_features", "session_tokens", "unmask_tokens", "evaluation_fixture", "risk_by_label", "suspicious_spans", "masked_documents", "entity_scores", "risk_by_source", "conversation_masks", "evaluation_generated", "evaluation_rates", "canonical_requests", "anomaly_layer", "rule_table", "custom_rule", "instruction_blocks")
+_NAMES = ("rule_matches", "email_spans", "card_validity", "mask_emails", "email_scores", "context_types", "text_features", "session_tokens", "unmask_tokens", "evaluation_fixture", "risk_by_label", "suspicious_spans", "masked_documents", "entity_scores", "risk_by_source", "conversation_masks", "evaluation_generated", "evaluation_rates", "canonical_requests", "anomaly_layer", "model_comparison", "detection_responses", "rule_table", "custom_rule", "instruction_blocks")
 
 
 def queries() -> dict:
-    return {n: globals()[n] for n in _NAMES}
+    return {n: globals()[n] for n in _NAMES} | fixtures.queries()
 
 
 def _re2(pattern: str) -> str:
@@ -234,6 +250,10 @@ _MASKED = f"SELECT doc_id, regexp_replace(text, '([a-zA-Z0-9._%+\\-])[a-zA-Z0-9.
 
 
 def oracle_sql() -> dict[str, str]:
+    return _oracles() | fixtures.oracle_sql()
+
+
+def _oracles() -> dict[str, str]:
     words = "SELECT conv_id AS session, turn AS prompt, unnest(regexp_extract_all(text, '[A-Za-z]{9,}')) AS value, generate_subscripts(regexp_extract_all(text, '[A-Za-z]{9,}'), 1) AS seq FROM conversations"
     tokens = f"""WITH w AS ({words}), f AS (SELECT session, value, min((prompt, seq)) AS f, max(prompt) AS last_seen FROM w GROUP BY session, value),
 k AS (SELECT *, CASE WHEN length(value) % 2 = 0 THEN 'EVEN_WORD' ELSE 'ODD_WORD' END AS entity_type FROM f)
