@@ -7,7 +7,8 @@ ASCII letters lower-cased, white space as one. A digest covers a unit and those
 ``_SPREAD`` runs of ``MIN_WORDS`` words that follow each other the one with the smallest digest is taken
 (winnowing), so any passage of ``MIN_WORDS`` + ``_SPREAD`` - 1 = 50 words has one inside, however it is
 cut. Spans then grow word by word on both sides while the words equal those of the kept
-occurrence; what is left beyond the last chosen run is at most ``_REACH`` words. Digests are grouped
+occurrence; what is left beyond the last chosen run is at most ``_REACH`` words. A span that has fewer than
+``least`` words by then is left alone: lines that many documents share are no copies. Digests are grouped
 over all documents; the occurrence with the smallest (doc_id, offset) stays, all others are removed,
 by their offsets in the original text.
 
@@ -33,11 +34,13 @@ from . import kernel as K
 from . import util
 
 MIN_WORDS = 20
+#: Words of a span that is removed by default: shorter repeats are phrases that documents share by chance, and single lines.
+LEAST = 50
 _SPLIT = 24
 _SPREAD = 31
 _REACH = MIN_WORDS + _SPREAD
 _UNITS = "d1 bigint, d2 int, doc_id bigint, start int, end int"
-_AROUND = "doc_id bigint, at int, side int, h array<int>, to array<int>"
+_AROUND = "doc_id bigint, at int, side int, w int, h array<int>, to array<int>"
 
 
 def _chosen(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -109,7 +112,7 @@ def _units(bitmap: tuple[np.ndarray, int] | None):
 
 
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words before (side 0) or after (side 1) places of texts, nearest first: hashes, and where each would put the edge."""
+    """The words before (side 0) or after (side 1) places of texts, nearest first: hashes, and where each would put the edge; w is the number of the word at the edge."""
     schema = util.arrow_schema(_AROUND)
     for b in batches:
         ids = b.column(0).to_numpy(zero_copy_only=False)
@@ -134,13 +137,14 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, side, row, left, right = at[ok], side[ok], row[ok], left[ok], right[ok]
             k = np.arange(1, _REACH + 1)
             w = np.where(side[:, None] == 0, left[:, None] - k, right[:, None] + k)
+            number = np.where(side == 0, left, right) - first[row]
             inside = (w >= first[row][:, None]) & (w < first[row + 1][:, None])
             h = (K.Hasher(K.LOWER[c.buf]).ranges(start, end) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             w = np.clip(w, 0, n - 1)
             to = (np.where(side[:, None] == 0, a[w], z[w]) - base[row][:, None]).astype(np.int32)
             cut = pa.array(np.concatenate([[0], np.cumsum(inside.sum(1))]).astype(np.int32))
             lists = {name: pa.ListArray.from_arrays(cut, pa.array(v[inside], pa.int32())).cast(schema.field(name).type) for name, v in (("h", h[w]), ("to", to))}
-            yield K.batch(schema, doc_id=ids[c.rows[row]].astype(np.int64), at=at.astype(np.int32), side=side.astype(np.int32), **lists)
+            yield K.batch(schema, doc_id=ids[c.rows[row]].astype(np.int64), at=at.astype(np.int32), side=side.astype(np.int32), w=number.astype(np.int32), **lists)
 
 
 def _numbered(spans: DataFrame) -> DataFrame:
@@ -150,13 +154,13 @@ def _numbered(spans: DataFrame) -> DataFrame:
     return spans.withColumn("new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)).withColumn("span", F.sum("new").over(by))
 
 
-def _grown(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """The spans and what they repeat, grown on both sides over words that are equal in both."""
+def _grown(rows: DataFrame, spans: DataFrame, least: int) -> DataFrame:
+    """The spans and what they repeat, grown on both sides over words that are equal in both; those of fewer than least words go."""
     same = F.col("doc_id") == F.col("kept_doc_id")
     edges = [spans.select("doc_id", F.col("start").alias("at"), F.lit(0).alias("side")), spans.select("doc_id", F.col("end"), F.lit(1)), spans.select("kept_doc_id", "kept_start", F.lit(0)), spans.select("last_doc_id", "last_end", F.lit(1))]
     asked = edges[0].union(edges[1]).union(edges[2]).union(edges[3]).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("at", "side")).alias("asked"))
     around = rows.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_around, _AROUND)
-    around = util.written(around.groupBy("doc_id", "at", "side").agg(F.min(F.struct("h", "to")).alias("x")), "around")
+    around = util.written(around.groupBy("doc_id", "at", "side").agg(F.min(F.struct("h", "to", "w")).alias("x")), "around")
 
     def words(side: int, name: str, doc_id: str, at: str) -> DataFrame:
         return around.where(F.col("side") == side).select(F.col("doc_id").alias(doc_id), F.col("at").alias(at), F.col("x").alias(name))
@@ -175,11 +179,15 @@ def _grown(rows: DataFrame, spans: DataFrame) -> DataFrame:
     back = F.when(same, F.least(many("mine0", "kept0"), F.size(F.filter(F.col("mine0")["to"], lambda x: x >= F.col("kept_end"))))).otherwise(many("mine0", "kept0"))
     on = F.when(F.col("doc_id") == F.col("last_doc_id"), F.least(many("mine1", "kept1"), F.size(F.filter(F.col("kept1")["to"], lambda x: x <= F.col("start"))))).otherwise(many("mine1", "kept1"))
     out = out.withColumn("back", back).withColumn("on", on)
+    out = out.where(F.coalesce(F.col("mine1")["w"] - F.col("mine0")["w"] + 1 + F.col("back") + F.col("on") >= least, F.lit(True)))
     return out.select("doc_id", edge(F.col("mine0"), F.col("back"), "start").alias("start"), edge(F.col("mine1"), F.col("on"), "end").alias("end"), "kept_doc_id", edge(F.col("kept0"), F.col("back"), "kept_start").alias("kept_start"))
 
 
-def duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, start, end, kept_doc_id, kept_start: the spans to remove, in code points, and where what they repeat stays."""
+def duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+    """doc_id, start, end, kept_doc_id, kept_start: the spans to remove, in code points, and where what they repeat stays.
+
+    least: words of a span that is removed; under ``MIN_WORDS`` it changes nothing.
+    """
     util.ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
     rows = _named(rows, _ambiguous(rows))
@@ -193,7 +201,7 @@ def duplicate_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     # overlapping windows of a document become one span
     spans = _numbered(gone).groupBy("doc_id", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("first", "start").alias("first"), F.max_by("first", "end").alias("last"))
     spans = util.written(spans.select("doc_id", "start", "end", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"), F.col("first.end").alias("kept_end"), F.col("last.doc_id").alias("last_doc_id"), F.col("last.end").alias("last_end")), "spans")
-    spans = _numbered(_grown(rows, spans)).groupBy("doc_id", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by(F.struct("kept_doc_id", "kept_start"), "start").alias("k"))
+    spans = _numbered(_grown(rows, spans, least)).groupBy("doc_id", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by(F.struct("kept_doc_id", "kept_start"), "start").alias("k"))
     return spans.select("doc_id", "start", "end", "k.kept_doc_id", "k.kept_start")
 
 

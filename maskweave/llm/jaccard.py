@@ -399,7 +399,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     linked = util.components(links, "a", "b")
     label = classes.join(linked.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "doc_id", "copies", F.coalesce("component", "sig").alias("label"), F.col("component").isNotNull().alias("joined"))
     label = util.written(label, "labels")
-    least = label.where("joined").groupBy("label").agg(F.min("doc_id").alias("least"))
+    least = _small(util.written(label.where("joined").groupBy("label").agg(F.min("doc_id").alias("least")), "least"))
     # classes of one document that link with nothing need no lookup
     named = label.where("joined").join(least, "label").select("sig", F.col("least").alias("component_id"))
     named = util.written(named.union(label.where("NOT joined AND copies > 1").select("sig", "doc_id")), "named")
@@ -437,6 +437,11 @@ def class_links(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return _links_of(sets, cand.select("sig", "comp", "n"), _tasks(spark, 8 * total), small)
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has ``BROADCAST_ROWS`` at most; a join with a larger one is a shuffle that may split hot keys."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _blocks(n, count):
     return F.greatest(F.ceil(F.sum(n) / BLOCK), F.ceil(count / BLOCK_SETS)).cast("int")
 
@@ -448,8 +453,10 @@ def _links_of(sets: DataFrame, cand: DataFrame, n: int, small) -> DataFrame:
     pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
     over = lambda blocks, f: F.transform(F.sequence(F.lit(0), F.col(blocks) - 1), f)
     info = cand.groupBy("comp").agg(_blocks(F.col("n"), F.count(F.lit(1))).alias("blocks"), *[F.min(F.struct(F.xxhash64("sig", F.lit(k)), "sig"))["sig"].alias(f"p{k}") for k in range(PIVOTS)])
-    info = info.select("comp", "blocks", F.when(F.col("blocks") > 1, F.array(*[f"p{k}" for k in range(PIVOTS)])).otherwise(F.array().cast("array<bigint>")).alias("pivots"))
-    dealt = util.written(cand.join(info, "comp").select("sig", "comp", "n", "blocks", F.array_contains("pivots", F.col("sig")).alias("pivot")), "dealt")
+    # components of several blocks are few, and reach their sets without a shuffle by component
+    info = util.written(info.where("blocks > 1").select("comp", "blocks", F.array(*[f"p{k}" for k in range(PIVOTS)]).alias("pivots")), "large")
+    dealt = cand.join(_small(info), "comp", "left").select("sig", "comp", "n", F.coalesce("blocks", F.lit(1)).alias("blocks"), F.coalesce(F.array_contains("pivots", F.col("sig")), F.lit(False)).alias("pivot"))
+    dealt = util.written(dealt, "dealt")
     first = joined(dealt.select("sig", "comp", F.when(F.col("pivot"), over("blocks", lambda i: pair(i, F.lit(0)))).otherwise(F.array(pair(own(F.col("blocks")), F.lit(0)))).alias("g")))
 
     # components in several blocks: what is connected by now, and what isn't part of the largest such part
@@ -465,7 +472,7 @@ def _links_of(sets: DataFrame, cand: DataFrame, n: int, small) -> DataFrame:
     main = util.written(main.select("comp", "main", wide.alias("wide"), F.ceil(rest / WIDE).cast("int").alias("others"), (rest * 8 > F.col("all")).alias("even")), "rest")
     if main.isEmpty():
         return first
-    again = part.select("sig", "comp", "part").join(main, "comp")
+    again = part.select("sig", "comp", "part").join(_small(main), "comp")
     all_ = over("others", lambda j: pair(own(F.col("wide")), j))
     mine = over("wide", lambda i: pair(i, own(F.col("others"))))
     even = over("wide", lambda o: pair(F.least(own(F.col("wide")), o), F.greatest(own(F.col("wide")), o)))

@@ -7,10 +7,12 @@ far as the corpus says so: with document frequencies over all documents,
 
 and PMI / IC is the share of the entity's information that the term gives away. A term within
 ``WINDOW`` words of an entity is generalised to its class at ``generalise`` and removed at
-``remove``, if the pair stands in ``SUPPORT`` different contexts at least (copies of a text are one).
+``remove``. A pair in c different contexts (copies of a text are one) is trusted to c / (c + 1): its
+PMI is lowered by log2((c + 1) / c) bits, so an entity seen once has disclosing terms too, if they are
+rare, and needs a larger corpus for their removal.
 
-Counts of pairs come from documents with entities only; n(t) of the few terms that pass the support
-is counted over all texts, with a bitmap of fixed size (no false negatives) before the shuffle. The
+Counts of pairs come from documents with entities only; n(t) of the terms near them is counted over
+all texts, with a bitmap of bounded size (no false negatives) before the shuffle. The
 pairs over a threshold go to the workers in blocks of ``BLOCK`` hashes, a pass over the rows for each
 block; ``sanitise`` rewrites each row once and so holds all blocks, 8 bytes a pair, in a worker.
 
@@ -38,7 +40,6 @@ from . import util
 
 KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW = 8
-SUPPORT = 2
 MIN_TERM = 3
 BLOCK = 2_000_000
 #: Terms of texts that a task counts together.
@@ -194,11 +195,12 @@ def disclosing_pairs(texts: DataFrame, generalise: float, remove: float) -> Data
     n_e = near.where("t = 0 AND pair = 0").groupBy("e").agg(F.sum("first").alias("n_e"))
     pairs = near.where("NOT (t = 0 AND pair = 0)").groupBy("e", "t", "pair", "context").agg(F.sum("first").alias("f"))
     pairs = pairs.groupBy("e", "t", "pair").agg(F.sum("f").alias("n_et"), F.count(F.lit(1)).alias("contexts"))
-    pairs = util.written(pairs.where(F.col("contexts") >= SUPPORT), "pairs")
+    pairs = util.written(pairs, "pairs")
     bitmap = util.bitmap(pairs.select("t").distinct(), "t")
     n_t = texts.mapInArrow(_term_counts(bitmap), "t bigint, c bigint").groupBy("t").agg(F.sum("c").alias("n_t"))
     out = pairs.join(n_e, "e").join(n_t, "t")
-    pmi = F.log2(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
+    trust = F.col("contexts") / (F.col("contexts") + 1)
+    pmi = F.log2(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")) * trust)
     # an entity of every document has no information to give away
     ic = F.log2(F.lit(float(total)) / F.col("n_e"))
     return util.written(out.where(ic > 1e-9).select("pair", (pmi / ic).alias("ratio")).where(F.col("ratio") >= min(generalise, remove)), "disclosing")

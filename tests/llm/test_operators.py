@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 
 pytest.importorskip("maskweave.llm")
+import brute  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from maskweave.llm import decontam, dedup, encode, htmltext, jaccard, packing, pii, quality, secretscan, tokenio, toxicity, util  # noqa: E402
@@ -77,29 +78,14 @@ def test_hosts_are_shrunk(spark):
     assert v["bad"][1] == 2 and v["small"][0] < 0.9 and v["h3"][1] == 0
 
 
-def brute_components(rows):
-    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    sets = []
-    for _, t, *_ in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low))
-        sets.append({tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
-    group = list(range(len(rows)))
-    for a in range(len(rows)):
-        for b in range(a):
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
-                group = [group[a] if g == group[b] else g for g in group]
-    least = {g: min((r[0] for r, h in zip(rows, group, strict=True) if h == g and r[0] is not None), default=None) for g in group}
-    return [(r[0], len(s), least[g]) for r, s, g in zip(rows, sets, group, strict=True)]
-
-
 def test_jaccard(docs, none, rows):
     got = collections.Counter(tuple(r) for r in jaccard.near_duplicates(docs).collect())
-    assert got == collections.Counter(brute_components(rows))
+    assert got == collections.Counter(brute.components(rows))
     assert jaccard.near_duplicates(none).count() == 0
     kept = jaccard.deduplicate(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted({c for _, _, c in brute_components(rows) if c is not None})
+    assert sorted(i for i in ids if i is not None) == sorted({c for _, _, c in brute.components(rows) if c is not None})
 
 
 def test_jaccard_random_sets(spark):
@@ -112,7 +98,7 @@ def test_jaccard_random_sets(spark):
             w[rng.randrange(len(w))] = rng.choice(["p", "q", "r"])
         rows.append((i, " ".join(w + [rng.choice("uvw")] * rng.randint(0, 6))))
     got = sorted(tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect())
-    assert got == sorted(brute_components(rows))
+    assert got == sorted(brute.components(rows))
 
 
 def bridge_rows():
@@ -134,7 +120,7 @@ def test_jaccard_blocks_and_bridges(spark, monkeypatch, limits):
         w[rng.randrange(50)] = "changed"
         rows += [(100 + i, " ".join(w)), (200 + i, " ".join(f"c{j}" for j in range(5 * i, 5 * i + 60))), (None if i % 7 else 300 + i, " ".join(f"d{j}" for j in range(4 * i, 4 * i + 60)))]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-    assert collections.Counter(tuple(r) for r in jaccard.near_duplicates(df).collect()) == collections.Counter(brute_components(rows))
+    assert collections.Counter(tuple(r) for r in jaccard.near_duplicates(df).collect()) == collections.Counter(brute.components(rows))
 
 
 def test_components_both_ways(spark, monkeypatch):
@@ -152,7 +138,7 @@ def test_blocks_of_a_large_component(spark, monkeypatch):
     rows = [(i, " ".join(base[: 55 + i % 5] + [f"t{i}"])) for i in range(40)]
     monkeypatch.setattr(jaccard, "BLOCK", 400)
     got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
-    assert sorted(tuple(r) for r in got.collect()) == sorted(brute_components(rows))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(brute.components(rows))
 
 
 def ids_of(text, end):
@@ -233,6 +219,30 @@ def test_decontamination(spark, docs, none, rows):
     assert decontam.contaminated(none, bench).count() == 0 and decontam.clean(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_decontamination_equals_brute_force(spark):
+    """Any alignment that holds a window of one mask and verifies, tried at every shift of every item."""
+    rng = random.Random(21)
+    vocabulary = [f"t{i}" for i in range(400)]
+    items = [[rng.choice(vocabulary) for _ in range(rng.randint(5, 40))] for _ in range(12)] + [[]]
+    texts = []
+    for i in range(80):
+        w = [rng.choice(vocabulary) for _ in range(rng.randint(0, 60))]
+        if i % 2:
+            x = list(items[rng.randrange(12)])
+            x = x[rng.randrange(3) :]
+            for _ in range(rng.randint(0, 5)):
+                x[rng.randrange(len(x))] = "changed"
+            w = w + x + [rng.choice(vocabulary) for _ in range(rng.randint(0, 20))]
+        texts.append(w)
+
+    want = brute.contaminated(texts, items)
+    docs_ = spark.createDataFrame([(d, " ".join(w).upper()) for d, w in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    bench = spark.createDataFrame([(i, ", ".join(x)) for i, x in enumerate(items)], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.n_match for r in decontam.contaminated(docs_, bench).collect()}
+    assert got == want and len(want) > 20
+    assert {r.doc_id for r in decontam.clean(docs_, bench).collect()} == set(range(80)) - {d for d, _ in want}
+
+
 def test_decontamination_in_blocks(spark, docs, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_WORDS", 5)
     items = spark.createDataFrame([(i, " ".join(f"v{i}x{j}" for j in range(15))) for i in range(6)], "item_id bigint, text string")
@@ -240,32 +250,17 @@ def test_decontamination_in_blocks(spark, docs, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in decontam.contaminated(texts, items).collect()) == [(i, i) for i in range(6)]
 
 
-def base_pii(t):
-    def luhn(d):
-        n = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(d))]
-        return sum(x - 9 if x > 9 else x for x in n) % 10 == 0
-
-    t = t or ""
-    s = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
-    s += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]
-    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
-        d = re.sub("[^0-9]", "", m.group())
-        s += [(m.start(), 2, m.end())] if 12 <= len(d) <= 19 and luhn(d) else []
-    s += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
-    return sorted(s)
-
-
 def test_pii_base_spans():
     rng = random.Random(4)
     for _ in range(3000):
         t = "".join(rng.choice("a.@-+0123 4%é()") for _ in range(rng.randint(0, 40)))
-        assert pii.base_spans(t) == base_pii(t), t
+        assert pii.base_spans(t) == brute.base_pii(t), t
 
 
 def test_pii(docs, none, rows):
     got = {r.doc_id: r for r in pii.detect(docs).select("doc_id", pii.digest("spans").alias("d")).select("doc_id", "d.*").collect()}
     for i, t, *_ in rows:
-        said = ",".join(f"{pii.KINDS[k]}:{a}:{z}" for a, k, z in base_pii(t))
+        said = ",".join(f"{pii.KINDS[k]}:{a}:{z}" for a, k, z in brute.base_pii(t))
         assert got[i].base_sha256 == hashlib.sha256(said.encode()).hexdigest()
     assert pii.detect(none).count() == 0
     clean = pii.sanitise(docs)
@@ -287,6 +282,22 @@ def test_pii_terms_that_disclose(spark):
     assert df.select(blocked.alias("s")).where(F.size("s") > 0).count() == 8
 
 
+def test_pii_ratios_equal_brute_force(spark):
+    """Spans of terms, from counts over all documents in plain Python."""
+    rng = random.Random(13)
+    rows = []
+    for i in range(160):
+        t = words(rng, 30)
+        if i % 3 == 0:
+            t = f"{words(rng, 9)} rare{i % 12} mail p{i % 6}@x{i % 2}.example.org or call +1 202 555 01{i % 4}0 now {words(rng, 9)}"
+        rows.append((i, t))
+    rows += rows[:3]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = {i: spans for (i, _), spans in zip(rows, brute.pii_spans([t for _, t in rows]), strict=True)}
+    got = {r.doc_id: [(m.start, m.kind, m.end, m.level) for m in r.spans] for r in pii.detect(df).collect()}
+    assert got == want and sum(k == 4 for s in want.values() for _, k, _, _ in s) > 20
+
+
 def test_toxicity(spark, docs, none):
     rng = random.Random(9)
     bad = ["stupidhead", "moronic", "scumbag"]
