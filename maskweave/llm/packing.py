@@ -62,6 +62,20 @@ def greedy_basis(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tupl
     return patterns, x
 
 
+def inverse_of(a: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan in plain numpy: the driver's process may have forked since its linear algebra library made its threads, which then never answer."""
+    n = len(a)
+    both = np.hstack([a, np.eye(n)])
+    for i in range(n):
+        p = i + int(np.abs(both[i:, i]).argmax())
+        both[[i, p]] = both[[p, i]]
+        both[i] /= both[i, i]
+        rest = np.flatnonzero(both[:, i])
+        rest = rest[rest != i]
+        both[rest] -= np.outer(both[rest, i], both[i])
+    return both[:, n:]
+
+
 def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 2e-4, rounds: int = 800) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (one a row, counts by length) and how often the linear program uses each.
 
@@ -71,7 +85,7 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 2
     """
     m = len(lengths)
     patterns, x = greedy_basis(lengths, demand, capacity)
-    inverse = np.linalg.inv(patterns.T.astype(float)) if m else np.zeros((0, 0))
+    inverse = inverse_of(patterns.T.astype(float))
     least = float((lengths * demand).sum()) / capacity
     order = np.argsort(lengths)
     sizes = lengths[order]
@@ -96,7 +110,7 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 2
             else:
                 column[order[pick[c]]] += 1
                 c -= sizes[pick[c]]
-        step = inverse @ column
+        step = (inverse * column).sum(axis=1)
         ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
         r = int(ratio.argmin())
         theta = ratio[r]

@@ -165,7 +165,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, steps: int = STEP
     m_e, m_u, v_u, m_b, v_b = np.zeros_like(emb), np.zeros(DIM), np.zeros(DIM), 0.0, 0.0
     y = labels.astype(float)
     for step in range(1, steps + 1):
-        s = emb @ u
+        s = np.einsum("ij,j->i", emb, u)  # without threads of a linear algebra library
         by_word = np.bincount(word, s[bucket], n_words) / grams
         logit = np.bincount(p_of, weight * by_word[w_of], n_pass) + b
         pooled, soft = _softmax_pool(logit, owner, len(y))
@@ -176,7 +176,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, steps: int = STEP
         g_word = np.bincount(w_of, weight * g_pass[p_of], n_words) / grams
         a = np.where(live, np.bincount(bucket, g_word[word], size), 0)
         a /= max(float(np.abs(a).max()), 1e-12)
-        g_u, g_b = emb.T @ a + 1e-3 * u, float(g_doc.sum())
+        g_u, g_b = np.einsum("ij,i->j", emb, a) + 1e-3 * u, float(g_doc.sum())
         c1, c2 = 1 - 0.9**step, 1 - 0.99**step
         m_e = 0.9 * m_e + 0.1 * a[:, None] * u
         m_u, v_u = 0.9 * m_u + 0.1 * g_u, 0.99 * v_u + 0.01 * g_u**2
@@ -185,7 +185,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7, steps: int = STEP
         emb *= 1 - DECAY
         u -= rate * (m_u / c1) / (np.sqrt(v_u / c2) + 1e-9)
         b -= rate * (m_b / c1) / (np.sqrt(v_b / c2) + 1e-9)
-    return Model(emb @ u, b)
+    return Model(np.einsum("ij,j->i", emb, u), b)
 
 
 def held_out(doc_id):
