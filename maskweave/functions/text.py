@@ -5,6 +5,7 @@ All offsets are code points, 0-based and half-open. Everything is a Column expre
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -42,6 +43,11 @@ def running(lengths: Column) -> Column:
     return F.when(F.size(lengths) > 0, let(lengths, within)).otherwise(empty("array<int>"))
 
 
+def holds(text: Column, guard: str) -> Column:
+    """Whether a guard is found in the text; one without special signs is sought as bytes."""
+    return F.contains(text, F.lit(guard)) if re.fullmatch(r"[\w@:/ -]+", guard) else text.rlike(guard)
+
+
 def cut(text: Column, pattern: str, group: int = 0) -> Column:
     """Matches m of a literal pattern (compiled once), gaps g around them, and values v: the matches, or a group of each."""
     m = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))

@@ -127,15 +127,15 @@ def label_rule(entities: str = "entities") -> Column:
     return F.when(F.arrays_overlap(entities, F.array(*map(F.lit, SENSITIVE))), 1.0).otherwise(0.0)
 
 
-def split(df: DataFrame, label: str = "label", shares: tuple[float, float] = (0.6, 0.2), seed: int = 7, key: str = "normalized") -> tuple[DataFrame, DataFrame, DataFrame]:
+def split(df: DataFrame, label: str = "label", shares: tuple[float, float] = (0.6, 0.2), seed: int = 7, key: str = "normalized", buckets: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Training, validation and test rows, with these shares of each label (the test has the rest).
 
     The rows of a label are ranked by a hash of the key, in buckets of the hash, so no label is one task's:
     the shares hold up to a row a bucket.
     """
     turn = F.xxhash64(key, F.lit(seed))
-    by = Window.partitionBy(label, F.pmod(turn, F.lit(64)))
-    place = F.row_number().over(by.orderBy(turn, key)) / F.count(F.lit(1)).over(by)
+    by = Window.partitionBy(label, F.pmod(turn, F.lit(buckets)))
+    place = (F.row_number().over(by.orderBy(turn, key)) - 0.5) / F.count(F.lit(1)).over(by)
     parted = df.withColumn("_place", place)
     a, b = shares[0], shares[0] + shares[1]
     return tuple(parted.where(c).drop("_place") for c in (F.col("_place") <= a, (F.col("_place") > a) & (F.col("_place") <= b), F.col("_place") > b))
@@ -190,10 +190,10 @@ def compared(train_rows: DataFrame, validation: DataFrame, kinds: tuple[str, ...
     return out.orderBy(F.desc("auc"), "kind")
 
 
-def retrain(df: DataFrame, probe: DataFrame, path: str, most: float = 0.15, label: str = "label") -> tuple[bool, DataFrame]:
+def retrain(df: DataFrame, probe: DataFrame, path: str, most: float = 0.15, label: str = "label", kind: str = "gbt") -> tuple[bool, DataFrame]:
     """Trains on 60 %, reports on the held-out 20 %, and saves the model to path only if the benign probe accepts it."""
     fitting, _, test = split(add_features(df), label)
-    model = train(fitting, label)
+    model = train(fitting, label, kind=kind)
     ok = accepted(model, probe, most)
     if ok:
         model.write().overwrite().save(path)

@@ -30,17 +30,13 @@ def _words_guard(rules: RuleSet, r: Rule) -> str:
     return f"(?iu){alternation(words)}" if words else ""
 
 
-def _holds(text: Column, guard: str) -> Column:
-    return F.contains(text, F.lit(guard)) if re.fullmatch(r"[\w@:/ -]+", guard) else text.rlike(guard)
-
-
 def hits(text: Column, rules: RuleSet, names: bool = True) -> Column:
     """The numbers of the rules that match in the text: guards first, then the pattern. Other rules and texts go no further."""
 
     def of(i: int, r: Rule) -> Column:
         tried = F.lit(True)
         for guard in (r.guard, _words_guard(rules, r)):
-            tried = tried & _holds(text, guard) if guard else tried
+            tried = tried & X.holds(text, guard) if guard else tried
         return F.when(tried & text.rlike(r.pattern), F.lit(i))
 
     table = [*rules.ordered(), *(rules.named if names else ())]

@@ -31,6 +31,15 @@ def rule_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy(F.col("c.entity_type").alias("entity_type")).agg(F.sum(F.col("c.n").cast("long")).alias("n_matches"), F.count(F.lit(1)).alias("n_docs"))
 
 
+def all_rule_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw matches of every rule over documents, names, dates and addresses included: no gate, no container."""
+    rules = RuleSet()
+    docs = _table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("t"))
+    counts = [F.struct(F.lit(r.type).alias("entity_type"), F.when(X.holds(F.col("t"), r.guard), F.size(F.regexp_extract_all("t", F.lit(r.pattern), F.lit(0)))).otherwise(0).alias("n")) for r in (*rules.rules, *rules.named)]
+    each = docs.select(F.explode(F.array(*counts)).alias("c")).where("c.n > 0")
+    return each.groupBy(F.col("c.entity_type").alias("entity_type")).agg(F.sum(F.col("c.n").cast("long")).alias("n_matches"))
+
+
 def email_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every address with its offsets."""
     docs = _table(spark, sf_dir, "documents")
@@ -201,7 +210,7 @@ def instruction_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", instruct.as_json(F.col("instructions")).alias("json"), instruct.as_text(F.col("instructions")).alias("block"))
 
 
-_NAMES = ("rule_matches", "email_spans", "card_validity", "mask_emails", "email_scores", "context_types", "text_features", "session_tokens", "unmask_tokens", "evaluation_fixture", "risk_by_label", "suspicious_spans", "masked_documents", "entity_scores", "risk_by_source", "conversation_masks", "evaluation_generated", "evaluation_rates", "canonical_requests", "anomaly_layer", "model_comparison", "detection_responses", "rule_table", "custom_rule", "instruction_blocks")
+_NAMES = ("rule_matches", "all_rule_matches", "email_spans", "card_validity", "mask_emails", "email_scores", "context_types", "text_features", "session_tokens", "unmask_tokens", "evaluation_fixture", "risk_by_label", "suspicious_spans", "masked_documents", "entity_scores", "risk_by_source", "conversation_masks", "evaluation_generated", "evaluation_rates", "canonical_requests", "anomaly_layer", "model_comparison", "detection_responses", "rule_table", "custom_rule", "instruction_blocks")
 
 
 def queries() -> dict:

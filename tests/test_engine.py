@@ -184,6 +184,38 @@ def test_generator_and_evaluation(spark):
     assert datagen.benign(spark, 50).select("prompt").distinct().count() == 50
 
 
+def test_training_split_report_and_gate(spark, tmp_path):
+    made = datagen.prompts(spark, 400).select(F.col("prompt").alias("normalized"), anomaly.label_rule().alias("label"))
+    rows = anomaly.add_features(made).cache()
+    parts = anomaly.split(rows)
+    share = {y: [p.where(F.col("label") == y).count() / rows.where(F.col("label") == y).count() for p in parts] for y in (0.0, 1.0)}
+    assert all(abs(s - w) < 0.15 for ss in share.values() for s, w in zip(ss, (0.6, 0.2, 0.2), strict=True)) and sum(p.count() for p in parts) == rows.count()
+    assert len(anomaly.cross_validated(rows, folds=2, kind="lr")) == 2
+    table = anomaly.compared(parts[0], parts[1], ("lr",)).first()
+    assert table.kind == "lr" and table.n == parts[1].count() and 0.5 < table.auc <= 1
+    probe = datagen.benign(spark, 60).select(F.col("prompt").alias("normalized"))
+    for most, saved in ((1.0, True), (-1.0, False)):
+        ok, report = anomaly.retrain(made, probe, str(tmp_path / f"m{saved}"), most, kind="lr")
+        assert ok == saved == (tmp_path / f"m{saved}").exists() and report.first().n == parts[2].count()
+
+
+def test_second_layer_masks_and_reviews(spark):
+    """A model that always fires: the gate and the spans decide."""
+
+    class Always:
+        def transform(self, df):
+            return df.withColumn("probability", F.col("x")).withColumn("probability", array_to_vector(F.array(F.lit(0.1), F.lit(0.9))))
+
+    from pyspark.ml.functions import array_to_vector
+
+    texts = ["blob Zk3vQ9xT7pLw2Rb8Yc5N and Zk3vQ9xT7pLw2Rb8Yc5M here", "the token is secret", "plain words only", "call 0771234567 with AKIA0000"]
+    rows = protect(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "text", anomaly_model=Always()).orderBy("i").collect()
+    assert [r.masked_text for r in rows] == ["blob <MLSECRET_1> and <MLSECRET_2> here".replace("MLSECRET", "ML_SECRET"), texts[1], texts[2], "call 077****567 with AKIA0000"]
+    assert [r.ml_flagged for r in rows] == [True, True, False, False] and [r.overall_risk for r in rows] == ["MEDIUM", "LOW", "LOW", "MEDIUM"]
+    assert [(m.entity_type, m.start) for m in rows[0].masked] == [("ML_FLAGGED_ANOMALY", 5), ("ML_FLAGGED_ANOMALY", 30)]
+    assert [s.reason for s in rows[1].skipped] == ["ml_anomaly_flagged_no_span"] and abs(rows[0].anomaly_score - 0.9) < 1e-9
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\n\n  two \n")
     assert [(r.prompt_no, r.text) for r in io.line_file(spark, str(tmp_path / "a.txt")).orderBy("prompt_no").collect()] == [(1, "one"), (2, "two")]
