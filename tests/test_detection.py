@@ -18,7 +18,7 @@ CASES = (
     ("9923334445", "", "PHONE_LK PHONE_INTL"),
     ("the account number is 38690772223334 as of now", "BANK_ACCOUNT_NO", "PHONE_LK PAN"),
     ("identity 200077222333 is on file", "NIC_NEW", "PHONE_LK"),
-    ("international contact +447922333444 of the client", "PHONE_INTL", "PHONE_LK"),
+    ("international contact +447911222333 of the client", "PHONE_INTL", "PHONE_LK"),
     ("bring the card to 315, Lake Mawatha.", "HOME_ADDRESS", "CVV"),
     ("Card number 4111 1111 1111 1111, CVV 907 now", "PAN CVV", ""),
     ("paid LKR 2,058,172 from account 08196570298891 today", "BANK_ACCOUNT_NO", "CVV"),
@@ -50,7 +50,8 @@ CASES = (
     ("Server=core1;Database=d;Password=Ab3dEf;", "DB_CONNECTION_STRING", ""),
     ("-----BEGIN EC PRIVATE KEY-----", "PRIVATE_KEY", ""),
     ("bucket s3://ledger-backup/daily is full", "S3_BUCKET_REF", ""),
-    ("passport N2233445 and license B2233445 were shown", "PASSPORT", ""),
+    ("passport OL2233445 was shown", "PASSPORT", ""),
+    ("driving license B2233445 was shown", "DRIVING_LICENSE", "PASSPORT"),
     ("MT 202 through swift BCEYLKLXXXX", "SWIFT_MT202 SWIFT_BIC", ""),
     ("IBAN GB82WEST12345698765432", "IBAN", ""),
     ("host 172.20.3.4 and 172.32.3.4", "INTERNAL_IP", ""),

