@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, dedup, htmltext, jaccard, packing, pii, quality, secretscan, tokenio, toxicity
+from . import decontam, dedup, htmltext, jaccard, packing, phrases, pii, quality, resample, secretscan, simhash, tokenio, toxicity
 from .util import table
 
 
@@ -54,6 +54,18 @@ def op10_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.digest(secretscan.detect(table(spark, sf_dir, "documents")))
 
 
+def op11_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_phrase_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrases(table(spark, sf_dir, "documents"))
+
+
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -79,5 +91,44 @@ FROM b JOIN v USING (host)
 """
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Operator 12: all grams are counted, then cut, compared with those that hold them, and ranked.
+_PHRASES = rf"""
+WITH w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) v(k))),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS x FROM f WHERE k > 1 AND f >= 30),
+u AS MATERIALIZED (SELECT lang, phrase, a, cut, array_to_string(x[1:cut], ' ') AS pl, array_to_string(x[cut + 1:], ' ') AS pr FROM (SELECT lang, phrase, f AS a, x, unnest(range(1, k)) AS cut FROM c)),
+e AS MATERIALIZED (SELECT lang, phrase, f FROM f WHERE f >= 30),
+s AS (SELECT u.lang, u.phrase, a, cut, l.f AS l, r.f AS r, (2000000::HUGEINT * a) // (l.f::HUGEINT + r.f) AS score FROM u
+  JOIN e l ON l.lang = u.lang AND l.phrase = u.pl JOIN e r ON r.lang = u.lang AND r.phrase = u.pr),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+h AS (SELECT lang, array_to_string(x[i:i + m - 1], ' ') AS phrase, max(f) AS most FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c WHERE k > 2)) GROUP BY 1, 2),
+k AS (SELECT b.* FROM b LEFT JOIN h USING (lang, phrase) WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM k JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+#: Operator 13: CRC-32 of each distinct word by the table of its polynomial, gains of buckets, keys and ranks.
+_RESAMPLE = rf"""
+WITH t AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_LOWER} AS text FROM documents),
+w AS (SELECT r, doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM d),
+q AS (SELECT unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+x AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM w UNION SELECT w FROM q)),
+y AS (SELECT w, list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT))) AS y FROM x),
+b AS (SELECT w, xor(list_reduce(y, lambda c, b: xor(t[xor(c, b) % 256 + 1], c >> 8)), 4294967295) % 10000 AS b FROM y, t),
+s AS (SELECT b, count(*) AS s FROM w JOIN b USING (w) GROUP BY b), q2 AS (SELECT b, count(*) AS t FROM q JOIN b USING (w) GROUP BY b),
+z AS (SELECT (SELECT CAST(count(*) AS DOUBLE) FROM w) AS s, (SELECT CAST(count(*) AS DOUBLE) FROM q) AS t),
+g AS (SELECT b, CAST(floor(1000 * ln((coalesce(q2.t, 0) + 1.0) * (z.s + 10000.0) / ((s.s + 1.0) * (z.t + 10000.0)))) AS BIGINT) AS g FROM s LEFT JOIN q2 USING (b), z),
+f AS (SELECT r, count(*) AS n, CAST(sum(g) AS BIGINT) AS g FROM w JOIN b USING (w) JOIN g USING (b) GROUP BY r),
+v AS (SELECT r, doc_id, coalesce(n, 0) AS n_features, CASE WHEN n IS NULL THEN 0 ELSE (g - ((g % n) + n) % n) // n END AS weight, CAST('0x' || sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) AS h FROM d LEFT JOIN f USING (r)),
+k AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM v),
+o AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) END AS o, count(*) FILTER (n_features >= 20) OVER () AS able FROM k)
+SELECT doc_id, n_features, weight, score, CASE WHEN o <= 10 * able // 100 THEN o END AS rank FROM o
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_host_quality": _QUALITY}
+    return {"op4_host_quality": _QUALITY, "op12_phrase_levels": _PHRASES, "op13_target_resampling": _RESAMPLE}
