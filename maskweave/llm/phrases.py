@@ -2,10 +2,10 @@
 
 Words are counted first; from then on, level by level, the frequent grams of k - 1 words are
 broadcast as a bitmap of their hashes (of a bounded size, without false negatives), and a pass emits a
-gram of k words only where both grams of k - 1 words in it may be frequent. Each task sums what it
-emits before the shuffle, a level keeps the grams found ``least`` times and more by their exact
-counts, and all parts of a phrase's cuts stand in the tables of the levels below, since a part is
-as frequent as the whole.
+gram of k words only where both grams of k - 1 words in it may be frequent. Grams are counted by
+64-bit hashes (exact up to these), summed within each task before the shuffle; a level keeps those
+found ``least`` times and more, and the next pass tells the words of what was kept. All parts of a phrase's cuts
+stand in the tables of the levels below, since a part is as frequent as the whole.
 
 Arithmetic: scores are integral quotients of decimals of 38 digits, never doubles.
 
@@ -33,14 +33,14 @@ LONGEST = 4
 LEAST = 30
 TOP = 2000
 SCALE = 2_000_000
-#: Distinct grams that a task holds before it emits their counts.
-_HELD = 400_000
+#: Hashes that a task holds before it emits their counts.
+_HELD = 4_000_000
 
 BREAK = np.zeros(256, bool)
 BREAK[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = True
 NO_WORD = BREAK.copy()
 NO_WORD[[0x20, 9]] = True
-_COUNTS = "h bigint, lang string, phrase string, c bigint"
+_ROWS = "h bigint, c bigint, lang string, phrase string"
 
 
 def _pieces(c: K.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -65,20 +65,23 @@ def _grams(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np
     return h, there
 
 
-def _counted(k: int, below: tuple[np.ndarray, int] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts of grams of k words by task; at the first level a row without a phrase has a language's words."""
-    schema = util.arrow_schema(_COUNTS)
+def _pass(k: int | None, below: tuple[np.ndarray, int] | None, j: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of grams of k words as numbers (none: no counts), and the words of the grams of j that below lets through.
+
+    Rows are a hash with a count, or a hash with a language and a phrase, each once a task or so; at the
+    first level also a language with its number of words.
+    """
+    schema = util.arrow_schema(_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, int] = {}
-        names: dict[int, tuple[str, str]] = {}
+        held: list[np.ndarray] = []
+        seen: set[int] = set()
         totals: dict[str, int] = {}
 
-        def flush() -> pa.RecordBatch:
-            rows = [(h, *names[h], c) for h, c in counts.items()] + [(0, lang, None, n) for lang, n in totals.items()]
-            counts.clear(), names.clear(), totals.clear()
-            h, lang, phrase, c = zip(*rows, strict=True) if rows else [()] * 4
-            return K.batch(schema, h=list(h), lang=list(lang), phrase=list(phrase), c=list(c))
+        def counted() -> pa.RecordBatch:
+            h, c = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+            held.clear()
+            return K.batch(schema, h=K.signed(h), c=c, lang=pa.nulls(len(h), pa.string()), phrase=pa.nulls(len(h), pa.string()))
 
         for b in batches:
             langs = b.column(0).to_pylist()
@@ -86,29 +89,35 @@ def _counted(k: int, below: tuple[np.ndarray, int] | None) -> Callable[[Iterator
             for c in K.chunks(b.column(1)):
                 start, end, first, row = _pieces(c)
                 buf = K.LOWER[c.buf]
-                words = K.Hasher(buf).ranges(start, end)
                 row = np.repeat(c.rows[row], np.diff(first))  # of each word
-                words = K.mix(words ^ codes[row])
-                h, there = _grams(words, first, k)
-                if k > 1:
-                    parts, whole = _grams(words, first, k - 1)
-                    often = whole & util.may_hold(below, parts)
-                    there[:-1] &= often[:-1] & often[1:]
-                at = np.flatnonzero(there)
-                each, where, n = np.unique(h[at], return_index=True, return_counts=True)
-                text = buf.tobytes()
-                for g, i, m in zip(K.signed(each).tolist(), at[where].tolist(), n.tolist(), strict=True):
-                    if g in counts:
-                        counts[g] += m
-                    else:
-                        counts[g] = m
-                        names[g] = langs[row[i]], b" ".join(text[start[j] : end[j]] for j in range(i, i + k)).decode()
+                words = K.mix(K.Hasher(buf).ranges(start, end) ^ codes[row])
+                if below is not None:
+                    parts, often = _grams(words, first, j)
+                    often &= util.may_hold(below, parts)
+                    at = np.flatnonzero(often)
+                    each, where = np.unique(parts[at], return_index=True)
+                    new = [(h, i) for h, i in zip(K.signed(each).tolist(), at[where].tolist(), strict=True) if h not in seen]
+                    if new:
+                        seen.update(h for h, _ in new)
+                        text = buf.tobytes()
+                        phrases_ = [b" ".join(text[start[x] : end[x]] for x in range(i, i + j)).decode() for _, i in new]
+                        yield K.batch(schema, h=[h for h, _ in new], c=[0] * len(new), lang=[langs[row[i]] for _, i in new], phrase=phrases_)
+                        if len(seen) > _HELD:
+                            seen.clear()
+                if k is not None:
+                    h, there = _grams(words, first, k)
+                    if below is not None:
+                        there[:-1] &= often[:-1] & often[1:]
+                    held.append(h[there])
+                    if sum(map(len, held)) > _HELD:
+                        yield counted()
                 if k == 1:
-                    for r, n_ in zip(*np.unique(row, return_counts=True), strict=True):
-                        totals[langs[r]] = totals.get(langs[r], 0) + int(n_)
-                if len(counts) > _HELD:
-                    yield flush()
-        yield flush()
+                    for r, n in zip(*np.unique(row, return_counts=True), strict=True):
+                        totals[langs[r]] = totals.get(langs[r], 0) + int(n)
+        if k is not None:
+            yield counted()
+        if totals:
+            yield K.batch(schema, h=[0] * len(totals), c=list(totals.values()), lang=list(totals), phrase=pa.nulls(len(totals), pa.string()))
 
     return run
 
@@ -121,17 +130,21 @@ def levels(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int
     """lang, phrase, k, f of all frequent grams of up to ``longest`` words; lang, n of all words."""
     util.ship(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), util.no_null(F.col(text)).alias("text"))
-    below, out, totals = None, None, None
+    below, found = None, []
+    for k in range(1, longest + 2):
+        made = rows.mapInArrow(_pass(k if k <= longest else None, below, k - 1), _ROWS)
+        # a hash has a count at its own level, and at the next its words
+        sums = made.groupBy("h", F.when(F.col("h") == 0, F.col("lang")).alias("whose")).agg(F.sum("c").alias("f"), F.max("lang").alias("lang"), F.max("phrase").alias("phrase"))
+        level = util.written(sums.where((F.col("f") >= least) | F.col("lang").isNotNull()), f"level-{k}")
+        found.append(level)
+        below = util.bitmap(level.where("lang IS NULL"), "h")
+    named = lambda k: found[k - 1].where("lang IS NULL").select("h", "f").join(found[k].where("phrase IS NOT NULL").select("h", "lang", "phrase"), "h")
+    out = None
     for k in range(1, longest + 1):
-        found = rows.mapInArrow(_counted(k, below), _COUNTS).groupBy("h", "lang", "phrase").agg(F.sum("c").alias("f"))
-        level = util.written(found.where((F.col("f") >= least) | F.col("phrase").isNull()), f"level-{k}")
-        if k == 1:
-            totals = level.where("phrase IS NULL").select("lang", F.col("f").alias("n"))
-        level = level.where("phrase IS NOT NULL")
-        some = level.select("lang", "phrase", F.lit(k).alias("k"), "f")
+        some = named(k).select("lang", "phrase", F.lit(k).alias("k"), "f")
         out = some if out is None else out.unionByName(some)
-        below = util.bitmap(level, "h")
-    return out, totals
+    totals = found[0].where("lang IS NOT NULL").select("lang", F.col("f").alias("n"))
+    return util.written(out, "grams"), totals
 
 
 def phrases(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int = LONGEST, least: int = LEAST, top: int = TOP) -> DataFrame:
