@@ -137,7 +137,7 @@ VALUES = (
 def format_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Validity points of values around each validator's edges."""
     df = spark.createDataFrame(VALUES, "kind string, v string")
-    return df.select("kind", "v", detect.validity(RuleSet(), F.col("kind"), F.col("v")).alias("points"))
+    return df.select("kind", "v", detect.validity(RuleSet(), "kind", "v").alias("points"))
 
 
 def _validity_sql() -> str:

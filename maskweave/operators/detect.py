@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans.rules import AMBIGUOUS, DANGEROUS_PAIRS, DIGIT_SHAPED, DOB_WORDS, MIN_BRANDED_KEY, REFERENCE_PHRASES, Rule, RuleSet
-from .validate import VALIDATORS
+from . import signature
+from .validate import CONDITIONS, condition
 
 #: What is kept of an entity, in the order of its struct.
 ENTITY = ("entity_type", "value", "start", "end", "sensitivity", "category", "match_quality", "points", "score", "level", "action", "breakdown", "rule")
@@ -25,73 +26,89 @@ def alternation(words) -> str:
     return "|".join(re.escape(w) for w in words)
 
 
-def _words_guard(rules: RuleSet, r: Rule) -> str:
-    words = rules.keywords.get(r.type, ()) if r.needs_keyword else ()
-    return f"(?iu){alternation(words)}" if words else ""
+def _value(v) -> str:
+    return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else X.quoted(v)
 
 
-def hits(text: Column, rules: RuleSet, names: bool = True) -> Column:
-    """The numbers of the rules that match in the text: guards first, then the pattern. Other rules and texts go no further."""
+def relation(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    """Given rows as a table of literals, small enough to be broadcast."""
+    names = ", ".join(f.split()[0] for f in schema.split(", "))
+    typed = ", ".join(f"cast({n} as {t}) AS {n}" for n, t in (f.split() for f in schema.split(", ")))
+    rows = rows or [tuple(None for _ in schema.split(", "))]
+    values = ", ".join(f"({', '.join(map(_value, r))})" for r in rows)
+    return F.broadcast(spark.sql(f"SELECT {typed} FROM VALUES {values} AS t({names})"))
 
-    def of(i: int, r: Rule) -> Column:
-        tried = F.lit(True)
-        for guard in (r.guard, _words_guard(rules, r)):
-            tried = tried & X.holds(text, guard) if guard else tried
-        return F.when(tried & text.rlike(r.pattern), F.lit(i))
 
-    table = [*rules.ordered(), *(rules.named if names else ())]
-    return F.array_compact(F.array(*[of(i, r) for i, r in enumerate(table)])) if table else X.empty("array<int>")
+def rule_table(spark: SparkSession, rules: RuleSet) -> DataFrame:
+    """The rules as rows, keyed by their number: what is known of a match by its rule alone."""
+    plain = rules.ordered()
+    dates = [i for i, r in enumerate(rules.named) if r.type == "DATE_OF_BIRTH"][1:]
+    rows = []
+    for i, r in enumerate([*plain, *rules.named]):
+        gate = rules.keywords.get(r.type) if r.needs_keyword and i < len(plain) else None
+        rows.append((i, r.type, r.sensitivity, r.category, r.match_quality, r.container, r.suppressible, i >= len(plain), i - len(plain) in dates, alternation(gate) if gate else None))
+    return relation(spark, "rule int, kind string, sensitivity string, category string, quality string, container boolean, suppressible boolean, named boolean, bare boolean, gate string", rows)
 
 
-def _pick(i: Column, values: list, kind: str) -> Column:
-    return F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), i + 1)
+def type_table(spark: SparkSession, rules: RuleSet) -> DataFrame:
+    """Types with words near their values: a pattern of the words and one of their roots."""
+    rows = [(k, alternation(w), alternation(sorted({x.split()[0][:4] for x in w}))) for k, w in rules.keywords.items() if w]
+    return relation(spark, "type string, near_words string, near_roots string", rows)
 
 
-def _matches(source: Column, hit: Column, rules: RuleSet, table: list[Rule]) -> Column:
-    """rule, start, end, value, demoted of all matches of the rules that hit, in the rules' order.
+def hits(df: DataFrame, rules: RuleSet) -> DataFrame:
+    """Adds _row (a number of the row's own), _hits and _hits2: numbers of the rules that match in normalized and in despaced.
 
-    Each pattern is a literal; what follows is one expression for all of them.
+    A text's signature is made first; only the rules that it lets through are tried. Names are not
+    sought in the despaced copy. The row's number comes with the last hits: a filter on these isn't
+    pushed below it, where each mention of a signature would make it again.
     """
+    table, plain, own = [*rules.ordered(), *rules.named], len(rules.rules), df.columns
+    for n, source in (("", "normalized"), ("2", "despaced")):
+        some = "CASE WHEN despaced IS NOT NULL THEN {} END" if n else "{}"
+        df = df.selectExpr("*", f"{some.format(signature.low_sql(source))} AS _low{n}")
+        sign = signature.signature_sql(source, f"_low{n}", table, rules.keywords)
+        df = df.selectExpr("*", *[f"{some.format(c)} AS _{k}{n}" for k, c in sign.items()])
+        found = signature.hits_sql(source, f"_shape{n}", f"_words{n}", table, rules.keywords, plain if n else None)
+        df = df.selectExpr("*", f"{some.format(found)} AS _hits{n}", *["monotonically_increasing_id() AS _row"] * bool(n))
+    return df.select(*own, "_row", "_hits", "_hits2")
 
-    def of(i: int, r: Rule) -> Column:
-        return F.when(F.array_contains(hit, i), F.struct(F.lit(i).alias("rule"), F.lit(r.group > 0).alias("grouped"), F.lit(r.type == "API_KEY_OPENAI").alias("branded"), X.cut(source, r.pattern, r.group).alias("x")))
 
-    # a short branded key and, unless the rules say otherwise, every such match after it in the text are of the generic type
-    def rows(c: Column) -> Column:
-        short = lambda m: F.length(m["value"]) < MIN_BRANDED_KEY
+def _matches(source: str, hit: str, rules: RuleSet, table: list[Rule]) -> str:
+    """rule, grouped, branded and what ``cut_sql`` gives of the rules that hit, in the rules' order. Each pattern is a literal."""
+    of = lambda i, r: f"CASE WHEN array_contains({hit}, {i}) THEN named_struct('rule', {i}, 'grouped', {_value(r.group > 0)}, 'branded', {_value(r.type == 'API_KEY_OPENAI')}, 'x', {X.cut_sql(source, r.pattern, r.group)}) END"
+    return f"filter(array({', '.join(of(i, r) for i, r in enumerate(table))}), c -> c IS NOT NULL)"
 
-        def from_first(y: Column) -> Column:
-            late = lambda m, j: short(m) if rules.safe_demotion else (y["first"] > 0) & (j + 1 >= y["first"])
-            return F.transform(y["ms"], lambda m, j: F.struct(c["rule"].alias("rule"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), (c["branded"] & late(m, j)).alias("demoted")))
 
-        return X.let(X.placed(c["x"], c["grouped"]), lambda ms: X.let(F.struct(ms.alias("ms"), F.when(c["branded"], F.array_position(F.transform(ms, short), True)).otherwise(F.lit(0)).alias("first")), from_first))
+def _spans(rules: RuleSet) -> str:
+    """start, end, value, demoted of the matches of one rule in _c.
 
-    return F.flatten(F.transform(F.array_compact(F.array(*[of(i, r) for i, r in enumerate(table)])), rows))
+    A short branded key and, unless the rules say otherwise, every such match after it in the text are of the generic type.
+    """
+    short = f"length(m.value) < {MIN_BRANDED_KEY}"
+    late = short if rules.safe_demotion else "f > 0 AND j + 1 >= f"
+    first = f"CASE WHEN _c.branded THEN array_position(transform(ms, m -> {short}), true) ELSE 0 END"
+    spans = f"transform(array({first}), f -> transform(ms, (m, j) -> named_struct('start', m.start, 'end', m.end, 'value', m.value, 'demoted', _c.branded AND {late})))[0]"
+    return f"transform(array({X.placed_sql('_c.x', '_c.grouped')}), ms -> {spans})[0]"
 
 
-def strength(kind: Column, v: Column) -> Column:
-    """Pattern strength: 40, or 20 for the weaker forms of three types."""
-    weak = F.when(kind == "PASSPORT", ~v.rlike("^[A-Z]{2}[0-9]{7}\\z")).when(kind == "SWIFT_BIC", F.length(v) != 11).when(kind == "API_KEY_GENERIC", F.length(v) < 40).otherwise(False)
-    return F.when(weak, 20).otherwise(40)
+def _surroundings(text: str, pieces: str, start: str, end: str) -> str:
+    """What stands near a span: words around it, and the text just before and after, lower-cased."""
+    return f"named_struct('words', {X.context_sql(text, pieces, start)}, 'left', lower({X.left_sql(pieces, start, 60)}), 'right', lower({X.right_sql(pieces, end, 15)}))"
 
 
-def proximity(rules: RuleSet, kind: Column, near: Column) -> Column:
-    """Words near a value: 30 for one of its type's, 15 for the root of one or a type without any, else 0."""
-    out = None
-    for name, words in rules.keywords.items():
-        roots = sorted({w.split()[0][:4] for w in words})
-        points = F.when(near.rlike(alternation(words)), 30).when(near.rlike(alternation(roots)), 15).otherwise(0)
-        out = F.when(kind == name, points) if out is None else out.when(kind == name, points)
-    return F.lit(15) if out is None else out.otherwise(15)
+def strength(kind: str, v: str) -> str:
+    """Pattern strength: 40, or 20 for the weaker forms of three types."""
+    return f"CASE WHEN {kind} = 'PASSPORT' AND NOT {v} RLIKE '^[A-Z]{{2}}[0-9]{{7}}\\\\z' OR {kind} = 'SWIFT_BIC' AND length({v}) <> 11 OR {kind} = 'API_KEY_GENERIC' AND length({v}) < 40 THEN 20 ELSE 40 END"
 
 
-def validity(rules: RuleSet, kind: Column, v: Column) -> Column:
+def validity(rules: RuleSet, kind: str, v: str) -> Column:
     """Format validity: 10, 0, or 5 for a type without a validator."""
-    out = None
-    for name, check in (VALIDATORS | rules.validators).items():
-        points = F.when(F.coalesce(check(v), F.lit(False)), 10).otherwise(0)
-        out = F.when(kind == name, points) if out is None else out.when(kind == name, points)
-    return out.otherwise(5)
+    own = " ".join(f"WHEN '{k}' THEN CASE WHEN {condition(k, v)} THEN 10 ELSE 0 END" for k in CONDITIONS)
+    out = F.expr(f"CASE {kind} {own} ELSE 5 END")
+    for name, check in rules.validators.items():
+        out = F.when(F.col(kind) == name, F.when(F.coalesce(check(F.col(v)), F.lit(False)), 10).otherwise(0)).otherwise(out)
+    return out
 
 
 def candidates(rows: DataFrame, rules: RuleSet, keys: tuple[str, ...] = ("_row",)) -> DataFrame:
@@ -99,54 +116,41 @@ def candidates(rows: DataFrame, rules: RuleSet, keys: tuple[str, ...] = ("_row",
 
     rows has keys, normalized, despaced (null where it is the same), despaced_map, and hits of both as
     _hits and _hits2. Patterns run over the normalised text, then over the despaced copy where there is one, then those of names. Containers
-    stay, marked dead, for the span that they claim. The texts end here.
+    stay, marked dead, for the span that they claim. The texts end here: what stands near a match is cut out before it is a row.
     """
     plain = rules.ordered()
     table = [*plain, *rules.named]
     if not table:
         return rows.select(*keys, *_nothing()).where(F.lit(False))
-    n = len(plain)
-    dates = [i for i, r in enumerate(table) if i >= n and r.type == "DATE_OF_BIRTH"][1:]
-    one = lambda p, t, m, h: F.struct(F.lit(p).alias("pass"), t.alias("text"), m.alias("map"), F.col(h).alias("hits"))
-    first, second = one(1, F.col("normalized"), F.lit(None).cast("array<int>"), "_hits"), one(2, F.col("despaced"), F.col("despaced_map"), "_hits2")
-    texts = rows.select(*keys, F.col("normalized").alias("_n"), F.explode(F.when(F.col("despaced").isNotNull(), F.array(first, second)).otherwise(F.array(first))).alias("_p"))
-    found = _matches(F.col("_p.text"), F.col("_p.hits"), rules, table)
-    df = texts.select(*keys, "_n", "_p", F.posexplode(found).alias("_at", "_m"))
-
-    rule, start, end = F.col("_m.rule"), F.col("_m.start"), F.col("_m.end")
-    source, index = F.col("_p.text"), F.col("_p.map")
-    named = rule >= n
-    df = df.select(
-        *keys, "_n", "_m", "_p",
-        F.when(F.col("_m.demoted"), "API_KEY_GENERIC").otherwise(_pick(rule, [r.type for r in table], "string")).alias("entity_type"), X.strip(F.col("_m.value")).alias("value"),
-        F.when(index.isNull(), start).otherwise(F.element_at(index, start + 1)).alias("start"), F.when(index.isNull(), end).otherwise(F.element_at(index, end) + 1).alias("end"),
-        F.when(named, F.lit(3)).otherwise(F.col("_p.pass")).alias("pass"), (F.when(named, F.lit(2 * _NAMED)).otherwise((F.col("_p.pass") - 1) * F.lit(_NAMED)) + F.col("_at")).alias("ord"), rule.alias("rule"),
+    spark, own = rows.sparkSession, [f"`{k}`" for k in keys]
+    first = "named_struct('pass', 1, 'text', normalized, 'map', cast(NULL as array<int>), 'hits', _hits)"
+    second = "named_struct('pass', 2, 'text', despaced, 'map', despaced_map, 'hits', _hits2)"
+    df = rows.selectExpr(*own, "normalized AS _n", f"explode(CASE WHEN size(_hits2) > 0 THEN array({first}, {second}) ELSE array({first}) END) AS _p").where("size(_p.hits) > 0")
+    df = df.selectExpr(*own, "_n", "_p", f"{X.pieces_sql('_n')} AS _np", f"CASE WHEN _p.pass = 2 THEN {X.pieces_sql('_p.text')} END AS _pp", f"{_matches('_p.text', '_p.hits', rules, table)} AS _all")
+    df = df.selectExpr(*own, "_n", "_p", "_np", "_pp", f"flatten(transform(_all, _c -> transform({_spans(rules)}, m -> named_struct('rule', _c.rule, 'm', m)))) AS _all")
+    # the place in the normalised text, by the map where the despaced copy was searched
+    begin, end = "CASE WHEN _p.map IS NULL THEN y.m.start ELSE _p.map[y.m.start] END", "CASE WHEN _p.map IS NULL THEN y.m.end ELSE _p.map[y.m.end - 1] + 1 END"
+    here = _surroundings("_p.text", "coalesce(_pp, _np)", "y.m.start", "y.m.end")
+    there = _surroundings("_n", "_np", "y.start", "y.end")
+    placed = f"transform(_all, y -> named_struct('rule', y.rule, 'm', y.m, 'start', {begin}, 'end', {end}))"
+    near = f"transform({placed}, y -> named_struct('y', y, 'near', {here}, 'own', CASE WHEN _p.pass = 2 THEN {there} END))"
+    df = df.selectExpr(*own, "_p.pass AS _pass", f"posexplode({near}) AS (_at, _z)")
+    df = df.join(rule_table(spark, rules).withColumnRenamed("rule", "_rule"), F.expr("_z.y.rule = _rule"))
+    df = df.selectExpr(
+        *own, "_rule AS rule", "container", "named", "bare", "suppressible", "gate", "sensitivity", "category", "_z.y.start AS start", "_z.y.end AS end", "_z.near AS _near", "coalesce(_z.own, _z.near) AS _own",
+        "CASE WHEN _z.y.m.demoted THEN 'API_KEY_GENERIC' ELSE kind END AS entity_type", f"regexp_replace(_z.y.m.value, {X.quoted(f'^{X._SPACE}+|{X._SPACE}+' + chr(92) + 'z')}, '') AS value",
+        "CASE WHEN _z.y.m.demoted THEN 'partial' ELSE quality END AS match_quality", "_z.y.m.demoted AS _demoted", "CASE WHEN named THEN 3 ELSE _pass END AS pass", f"CASE WHEN named THEN {2 * _NAMED}L ELSE (_pass - 1) * {_NAMED}L END + _at AS ord",
     )
-
-    near_source = F.concat(X.context(source, start), F.lit(" "), F.lower(X.before(source, start, 20)))
     generic = rules.keywords.get("API_KEY_GENERIC", ())
-    gate = F.when(F.col("_m.demoted"), near_source.rlike(alternation(generic)) if generic else F.lit(True))
-    for i, r in enumerate(plain):
-        if r.needs_keyword and rules.keywords.get(r.type):
-            gate = gate.when(rule == i, near_source.rlike(alternation(rules.keywords[r.type])))
-    gate = gate.otherwise(True)
-    reference = _pick(rule, [r.suppressible for r in table], "boolean") & F.lower(X.before(source, start, 60)).rlike(alternation(REFERENCE_PHRASES))
-    born = alternation(DOB_WORDS)
-    dated = F.lower(X.before(source, start, 40)).rlike(born) | F.lower(F.substring(source, end + 1, F.lit(15))).rlike(born)
-    bare = rule.isin(*dates) if dates else F.lit(False)
-    live = F.when(named, ~bare | dated).otherwise((F.length("value") >= 3) & ~reference & gate)
-    container = _pick(rule, [r.container for r in table], "boolean")
-    df = df.withColumns({"live": live, "container": container}).where(F.col("live") | F.col("container"))
-
-    text, kind, v = F.col("_n"), F.col("entity_type"), F.col("value")
-    near = F.concat(X.context(text, F.col("start")), F.lit(" "), F.lower(v), F.lit(" "), F.lower(X.before(text, F.col("start"), 25)))
-    df = df.withColumn("_near", near)
-    return df.select(
-        *keys, "pass", "ord", "rule", "container", "live", "start", "end", kind, v,
-        _pick(rule, [r.sensitivity for r in table], "string").alias("sensitivity"), _pick(rule, [r.category for r in table], "string").alias("category"),
-        F.when(F.col("_m.demoted"), "partial").otherwise(_pick(rule, [r.match_quality for r in table], "string")).alias("match_quality"),
-        strength(kind, v).alias("strength"), proximity(rules, kind, F.col("_near")).alias("proximity"), validity(rules, kind, v).alias("format"),
-    )
+    gate = f"CASE WHEN _demoted THEN {X.quoted(alternation(generic)) if generic else 'NULL'} ELSE gate END"
+    dated = f"(right(_near.left, 40) RLIKE {X.quoted(alternation(DOB_WORDS))} OR _near.right RLIKE {X.quoted(alternation(DOB_WORDS))})"
+    let_in = f"coalesce(concat(_near.words, ' ', right(_near.left, 20)) RLIKE {gate}, true)"
+    live = f"CASE WHEN named THEN NOT bare OR {dated} ELSE length(value) >= 3 AND NOT (suppressible AND _near.left RLIKE {X.quoted(alternation(REFERENCE_PHRASES))}) AND {let_in} END"
+    df = df.selectExpr("*", f"{live} AS live", "concat(_own.words, ' ', lower(value), ' ', right(_own.left, 25)) AS _said").where("live OR container")
+    df = df.join(type_table(spark, rules), F.expr("entity_type = type"), "left")
+    said = "CASE WHEN type IS NULL THEN 15 WHEN _said RLIKE near_words THEN 30 WHEN _said RLIKE near_roots THEN 15 ELSE 0 END"
+    df = df.selectExpr(*own, "pass", "ord", "rule", "container", "live", "start", "end", "entity_type", "value", "sensitivity", "category", "match_quality", f"{strength('entity_type', 'value')} AS strength", f"{said} AS proximity")
+    return df.withColumn("format", validity(rules, "entity_type", "value"))
 
 
 def _nothing() -> list[Column]:
@@ -154,30 +158,26 @@ def _nothing() -> list[Column]:
     return [F.lit(None).cast(t).alias(k) for k, t in kinds.items()]
 
 
-def _partners(pairs) -> dict[str, list[str]]:
-    out: dict[str, list[str]] = {}
+def _partners(pairs, kind: str) -> str:
+    """The types that form a pair with a type."""
+    of: dict[str, list[str]] = {}
     for a, b in pairs:
-        out.setdefault(a, []).append(b)
-        out.setdefault(b, []).append(a)
-    return out
-
+        of.setdefault(a, []).append(b)
+        of.setdefault(b, []).append(a)
+    return f"CASE {kind} {' '.join(f'WHEN {X.quoted(k)} THEN {X.array_of(v)}' for k, v in of.items())} ELSE {X.array_of(())} END"
 
-def _lookup(kind: Column, of: dict[str, list[str]]) -> Column:
-    table = F.create_map(*[c for k, v in of.items() for c in (F.lit(k), F.array(*map(F.lit, v)))])
-    return F.coalesce(F.try_element_at(table, kind), F.array().cast("array<string>"))
 
+def _ambiguous(a: str, b: str) -> str:
+    return f"array_contains({_partners(AMBIGUOUS, a)}, {b})"
 
-def _ambiguous(a: Column, b: Column) -> Column:
-    return F.array_contains(_lookup(a, _partners(AMBIGUOUS)), b)
 
-
-def _family(kind: Column) -> Column:
+def _family(kind: str) -> str:
     """A name that types which may be mistaken for each other share, also through a third."""
     root = {k: k for pair in AMBIGUOUS for k in pair}
     for a, b in AMBIGUOUS:
         old, new = root[b], root[a]
         root = {k: new if r == old else r for k, r in root.items()}
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in root.items() for x in kv]), kind), kind)
+    return f"CASE {kind} {' '.join(f'WHEN {X.quoted(k)} THEN {X.quoted(v)}' for k, v in root.items())} ELSE {kind} END"
 
 
 def accepted(found: DataFrame, rules: RuleSet, key: str = "_row") -> DataFrame:
@@ -185,41 +185,32 @@ def accepted(found: DataFrame, rules: RuleSet, key: str = "_row") -> DataFrame:
 
     Names, dates and addresses come last, a rule after the other, and overlap nothing that stands.
     """
-    before = Window.partitionBy(key).orderBy("start", F.desc("end"), "container", "ord").rowsBetween(Window.unboundedPreceding, -1)
-    claimed = {p: F.max(F.when(F.col("container") & (F.col("pass") <= p), F.col("end"))).over(before) for p in (1, 2)}
+    k = f"`{key}`"
+    over = f"OVER (PARTITION BY {k} ORDER BY start, end DESC, container, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    claimed = [f"max(CASE WHEN container AND pass <= {p} THEN end END) {over}" for p in (1, 2)]
     # what stands before a span in this order starts no later; if it also ends no earlier, the span lies inside
-    inside = ~F.col("container") & F.coalesce(F.when(F.col("pass") == 1, claimed[1]).when(F.col("pass") == 2, claimed[2]) >= F.col("end"), F.lit(False))
-    df = found.withColumn("_inside", inside).where(F.col("live") & ~F.col("_inside")).drop("_inside", "live", "container")
+    df = found.selectExpr("*", f"{claimed[0]} AS _one", f"{claimed[1]} AS _two")
+    df = df.where("live AND NOT (NOT container AND coalesce(CASE pass WHEN 1 THEN _one WHEN 2 THEN _two END >= end, false))").drop("_one", "_two", "live", "container")
 
     # at one span stands at most one candidate of each rule and pass; a name is a group of its own
-    own = F.when(F.col("pass") == 3, F.col("ord"))
-    groups = df.groupBy(key, "start", "end", own.alias("_own")).agg(F.array_sort(F.collect_list(F.struct("ord", *[c for c in df.columns if c not in (key, "ord", "start", "end")]))).alias("_c"))
-
-    def step(acc: Column, c: Column) -> Column:
-        met = F.exists(acc, lambda e: e["entity_type"] == c["entity_type"])
-        fits = (F.size(acc) == 0) | F.exists(acc, lambda e: _ambiguous(e["entity_type"], c["entity_type"]))
-        return F.when(fits & ~met, F.concat(acc, F.array(c))).otherwise(acc)
-
-    kept = F.when(F.size("_c") > 1, F.aggregate("_c", F.slice("_c", F.lit(1), F.lit(0)), step)).otherwise(F.col("_c"))
-    df = groups.select(key, "start", "end", F.inline(kept)).withColumn("_ok", F.col("pass") < 3)
-
-    first_name = len(rules.ordered())
-    by_start = Window.partitionBy(key).orderBy("start", "ord")
+    rest = ", ".join(f"`{c}`" for c in df.columns if c not in (key, "ord", "start", "end"))
+    groups = df.groupBy(key, "start", "end", F.expr("CASE WHEN pass = 3 THEN ord END AS _own")).agg(F.expr(f"array_sort(collect_list(struct(ord, {rest}))) AS _c"))
+    fits = f"(size(acc) = 0 OR exists(acc, e -> {_ambiguous('e.entity_type', 'c.entity_type')})) AND NOT exists(acc, e -> e.entity_type = c.entity_type)"
+    kept = f"inline(CASE WHEN size(_c) > 1 THEN aggregate(_c, slice(_c, 1, 0), (acc, c) -> CASE WHEN {fits} THEN concat(acc, array(c)) ELSE acc END) ELSE _c END)"
+    df = groups.selectExpr(k, "start", "end", kept).selectExpr("*", "pass < 3 AS _ok")
+
+    # names, a rule after the other: those free of what stands so far
+    first_name, own = len(rules.ordered()), [f"`{c}`" for c in df.columns if c != "_ok"]
+    by_start = f"(PARTITION BY {k} ORDER BY start, ord"
     for i in range(len(rules.named)):
-        df = df.withColumn("_begin", F.when(F.col("_ok"), F.col("start")))
-        ended = F.max(F.when(F.col("_ok"), F.col("end"))).over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-        begins = F.expr(f"lead(_begin, 1) IGNORE NULLS OVER (PARTITION BY `{key}` ORDER BY start, ord)")
-        free = F.coalesce(ended <= F.col("start"), F.lit(True)) & F.coalesce(begins >= F.col("end"), F.lit(True))
-        df = df.withColumn("_ok", F.col("_ok") | ((F.col("rule") == first_name + i) & free))
-    return df.where("_ok").drop("_ok", "_begin", "pass")
+        df = df.selectExpr("*", "CASE WHEN _ok THEN start END AS _begin")
+        df = df.selectExpr(*own, "_ok", f"max(CASE WHEN _ok THEN end END) OVER {by_start} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _ended", f"lead(_begin, 1) IGNORE NULLS OVER {by_start}) AS _begins")
+        df = df.selectExpr(*own, f"_ok OR rule = {first_name + i} AND coalesce(_ended <= start, true) AND coalesce(_begins >= end, true) AS _ok")
+    return df.where("_ok").drop("_ok", "pass")
 
 
-def level_of(points: Column) -> Column:
-    return F.when(points >= 90, "Very High").when(points >= 75, "High").when(points >= 50, "Medium").when(points >= 25, "Low").otherwise("Very Low")
-
-
-def action_of(points: Column) -> Column:
-    return F.when(points >= 75, "mask_immediate").when(points >= 50, "mask_warn").when(points >= 25, "log_suspected").otherwise("ignore")
+LEVEL = "CASE WHEN points >= 90 THEN 'Very High' WHEN points >= 75 THEN 'High' WHEN points >= 50 THEN 'Medium' WHEN points >= 25 THEN 'Low' ELSE 'Very Low' END"
+ACTION = "CASE WHEN points >= 75 THEN 'mask_immediate' WHEN points >= 50 THEN 'mask_warn' WHEN points >= 25 THEN 'log_suspected' ELSE 'ignore' END"
 
 
 def scored(df: DataFrame, key: str = "_row") -> DataFrame:
@@ -228,21 +219,17 @@ def scored(df: DataFrame, key: str = "_row") -> DataFrame:
     Co-occurrence looks at all other accepted entities, those that lose an overlap later included:
     a type counts as other if it isn't one's own or stands more than once.
     """
-    kind = F.col("entity_type")
     alike = F.count(F.lit(1)).over(Window.partitionBy(key, "entity_type"))
     types = F.collect_set("entity_type").over(Window.partitionBy(key))  # no more than there are rules
     df = df.withColumn("_alike", alike).withColumn("_types", types)
-    others = F.size("_types") - F.when(F.col("_alike") == 1, 1).otherwise(0)
-    df = df.withColumn("_others", others).withColumn("_raised", F.arrays_overlap(_lookup(kind, _partners(DANGEROUS_PAIRS)), "_types"))
-    together = F.when(F.col("_others") == 0, 0).when(F.col("_raised"), 20).when(F.col("_others") >= 3, 15).otherwise(10)
-    df = df.withColumn("together", together)
-    form = F.when(kind.isin(*DIGIT_SHAPED) & (F.col("proximity") == 0) & (F.col("together") == 0), 0).otherwise(F.col("format"))
-    df = df.withColumn("format", form).withColumn("points", F.col("strength") + F.col("proximity") + F.col("together") + F.col("format"))
-    p = F.col("points")
-    parts = {"pattern_strength": "strength", "keyword_proximity": "proximity", "co_occurrence": "together", "format_validity": "format", "total": "points"}
-    detail = F.struct(*[(F.col(c) / 100).alias(k) for k, c in parts.items()], F.when(F.col("_raised"), "CRITICAL").alias("elevated_by_cooccur"))
-    df = df.withColumns({"sensitivity": F.when(F.col("_raised"), "CRITICAL").otherwise(F.col("sensitivity")), "score": p / 100, "level": level_of(p), "action": action_of(p), "breakdown": detail})
-    return df.drop("_alike", "_types", "_others", "_raised", "together", "strength", "proximity", "format")
+    df = df.selectExpr("*", "size(_types) - cast(_alike = 1 as int) AS _others", f"arrays_overlap({_partners(DANGEROUS_PAIRS, 'entity_type')}, _types) AS _raised")
+    df = df.selectExpr("*", "CASE WHEN _others = 0 THEN 0 WHEN _raised THEN 20 WHEN _others >= 3 THEN 15 ELSE 10 END AS together")
+    shaped = f"entity_type IN ({', '.join(map(X.quoted, DIGIT_SHAPED))}) AND proximity = 0 AND together = 0"
+    df = df.selectExpr("*", f"CASE WHEN {shaped} THEN 0 ELSE format END AS _form").selectExpr("*", "strength + proximity + together + _form AS points")
+    parts = {"pattern_strength": "strength", "keyword_proximity": "proximity", "co_occurrence": "together", "format_validity": "_form", "total": "points"}
+    detail = ", ".join(f"'{k}', {c} / 100" for k, c in parts.items())
+    rest = [f"`{c}`" for c in df.columns if c not in ("sensitivity", "_alike", "_types", "_others", "_raised", "together", "strength", "proximity", "format", "_form")]
+    return df.selectExpr(*rest, "CASE WHEN _raised THEN 'CRITICAL' ELSE sensitivity END AS sensitivity", "points / 100 AS score", f"{LEVEL} AS level", f"{ACTION} AS action", f"named_struct({detail}, 'elevated_by_cooccur', CASE WHEN _raised THEN 'CRITICAL' END) AS breakdown")
 
 
 def resolved(df: DataFrame, key: str = "_row") -> DataFrame:
@@ -252,24 +239,18 @@ def resolved(df: DataFrame, key: str = "_row") -> DataFrame:
     Only entities of one chain of overlaps in one family of types are compared.
     """
     family = Window.partitionBy(key, "_family").orderBy("start", "ord")
-    df = df.withColumn("_family", _family(F.col("entity_type")))
+    df = df.withColumn("_family", F.expr(_family("entity_type")))
     ended = F.max("end").over(family.rowsBetween(Window.unboundedPreceding, -1))
     df = df.withColumn("_new", F.coalesce((ended <= F.col("start")).cast("int"), F.lit(1)))
     df = df.withColumn("_chain", F.sum("_new").over(family.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
     rest = [c for c in df.columns if c not in (key, "_family", "_chain", "start", "ord")]
     chains = df.groupBy(key, "_family", "_chain").agg(F.sort_array(F.collect_list(F.struct("start", "ord", F.struct(*rest).alias("e")))).alias("_c"))
 
-    def beats(y: Column, x: Column, earlier: Column) -> Column:
-        alike = (x["e"]["entity_type"] == y["e"]["entity_type"]) | _ambiguous(x["e"]["entity_type"], y["e"]["entity_type"])
-        overlap = (x["start"] < y["e"]["end"]) & (y["start"] < x["e"]["end"])
-        long_x, long_y = x["e"]["end"] - x["start"], y["e"]["end"] - y["start"]
-        same = y["e"]["points"] == x["e"]["points"]
-        return alike & overlap & ((y["e"]["points"] > x["e"]["points"]) | (same & (long_y > long_x)) | (same & (long_y == long_x) & earlier))
-
-    def unbeaten(c: Column) -> Column:
-        return F.filter(c, lambda x, i: ~F.exists(c, lambda y: (y["ord"] != x["ord"]) & beats(y, x, F.struct(y["start"], y["ord"]) < F.struct(x["start"], x["ord"]))))
-
-    kept = F.when(F.size("_c") > 1, X.let(F.col("_c"), unbeaten)).otherwise(F.col("_c"))
+    alike = f"(x.e.entity_type = y.e.entity_type OR {_ambiguous('x.e.entity_type', 'y.e.entity_type')})"
+    longer, same = "y.e.end - y.start > x.e.end - x.start", "y.e.end - y.start = x.e.end - x.start"
+    earlier = "(y.start < x.start OR y.start = x.start AND y.ord < x.ord)"
+    beats = f"y.ord <> x.ord AND {alike} AND x.start < y.e.end AND y.start < x.e.end AND (y.e.points > x.e.points OR y.e.points = x.e.points AND ({longer} OR {same} AND {earlier}))"
+    kept = F.expr(f"CASE WHEN size(_c) > 1 THEN filter(_c, x -> NOT exists(_c, y -> {beats})) ELSE _c END")
     return chains.select(key, F.explode(kept).alias("_k")).select(key, "_k.start", "_k.ord", "_k.e.*")
 
 

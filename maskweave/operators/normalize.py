@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .signature import folded_sql
 
 # Patterns of context types.
 CONTEXTS = {
@@ -23,85 +23,84 @@ _HINTS = {
 }
 _SHORT = "(?:[A-Za-z0-9]{1,2}|[@\\-])"
 RUN = f"(?<![A-Za-z0-9]){_SHORT}(?:[ \\t]{_SHORT}){{2,}}(?![A-Za-z0-9])"
+DASH = r"\d-\d"
 
 
-def url_decoded(t: Column) -> Column:
+#: Signs of which three stand alone between blanks, or a digit beside a short token: any run that looks spaced out has one.
+_ONE = "[A-Za-z0-9@\\-]"
+_ALONE = f"[ \\t]{_ONE}[ \\t]{_ONE}[ \\t]{_ONE}(?![A-Za-z0-9])"
+_DIGIT = f"[0-9](?:[A-Za-z0-9]?[ \\t]{_SHORT}(?![A-Za-z0-9])|(?<={_ONE}[ \\t][A-Za-z0-9]?[0-9]))"
+
+
+def url_sql(t: str) -> str:
     """Percent escapes as UTF-8; a plus and a malformed escape stay."""
-    safe = F.regexp_replace(F.regexp_replace(t, "\\+", "%2B"), "%(?![0-9a-fA-F]{2})", "%25")
-    return F.when(F.contains(t, F.lit("%")), F.coalesce(F.try_url_decode(safe), t)).otherwise(t)
+    safe = f"regexp_replace(replace({t}, '+', '%2B'), '%(?![0-9a-fA-F]{{2}})', '%25')"
+    return f"CASE WHEN contains({t}, '%') THEN coalesce(try_url_decode({safe}), {t}) ELSE {t} END"
 
 
-def hex_decoded(t: Column, keep_digits: bool = False) -> Column:
-    """Runs of ten hexadecimal digits and more, of even length, that spell printable text."""
+def _replaced_sql(t: str, pattern: str, change: str, guard: str) -> str:
+    """t with every match m changed."""
+    p = X.quoted(pattern)
+    joined = f"array_join(zip_with(split({t}, {p}, -1), transform(regexp_extract_all({t}, {p}, 0), m -> {change}), (g, m) -> concat(g, coalesce(m, ''))), '')"
+    return f"CASE WHEN {t} RLIKE {X.quoted(guard)} THEN {joined} ELSE {t} END"
 
-    def change(m: Column) -> Column:
-        plain = X.decoded(F.unhex(m))
-        ok = (F.length(m) % 2 == 0) & plain.rlike(X.PRINTABLE) & (F.length(plain) > 4)
-        ok = ok & ~m.rlike("^[0-9]+$") if keep_digits else ok
-        return F.when(ok, plain).otherwise(m)
 
-    return X.replace_all(t, r"(?U)\b[0-9a-fA-F]{10,}\b", change, "[0-9a-fA-F]{10}")
+def _decoded_sql(raw: str, ok: str) -> str:
+    """Bytes as text if they are valid UTF-8 that prints and ok holds of text and match, else the match."""
+    return f"transform(array(cast({raw} as string)), p -> CASE WHEN is_valid_utf8(p) AND {ok} AND p RLIKE {X.quoted(X.PRINTABLE)} THEN p ELSE m END)[0]"
 
 
-def base64_decoded(t: Column) -> Column:
-    """Runs of twenty Base64 signs and more that spell printable text; web tokens stay for their own rules."""
+def hex_sql(t: str, keep_digits: bool = False) -> str:
+    """Runs of ten hexadecimal digits and more, of even length, that spell printable text."""
+    ok = "length(m) % 2 = 0 AND length(p) > 4" + (" AND NOT m RLIKE '^[0-9]+$'" if keep_digits else "")
+    return _replaced_sql(t, r"(?U)\b[0-9a-fA-F]{10,}\b", _decoded_sql("unhex(m)", ok), "[0-9a-fA-F]{10}")
 
-    def change(m: Column) -> Column:
-        bare = F.regexp_replace(m, "=+$", "")
-        padded = F.concat(bare, F.repeat(F.lit("="), (4 - F.length(bare) % 4) % 4))
-        plain = X.decoded(F.try_to_binary(padded, F.lit("base64")))
-        return F.when(~F.startswith(m, F.lit("eyJ")) & plain.rlike(X.PRINTABLE) & (F.length(plain) > 5), plain).otherwise(m)
 
-    return X.replace_all(t, "[A-Za-z0-9+/]{20,}={0,2}", change, "[A-Za-z0-9+/]{20}")
+def base64_sql(t: str) -> str:
+    """Runs of twenty Base64 signs and more that spell printable text; web tokens stay for their own rules."""
+    bare = "regexp_replace(m, '=+$', '')"
+    raw = f"try_to_binary(concat({bare}, repeat('=', (4 - length({bare}) % 4) % 4)), 'base64')"
+    return _replaced_sql(t, "[A-Za-z0-9+/]{20,}={0,2}", _decoded_sql(raw, "NOT startswith(m, 'eyJ') AND length(p) > 5"), "[A-Za-z0-9+/]{20}")
 
 
-def _looks_obfuscated(run: Column) -> Column:
-    singles = run.rlike("^[A-Za-z0-9@\\-](?:[ \\t][A-Za-z0-9@\\-]){3,}\\z")
-    return (F.length(F.regexp_replace(run, "[^0-9]", "")) >= 2) | singles
+def _obfuscated_sql(run: str) -> str:
+    singles = X.quoted(f"^{_ONE}(?:[ \\t]{_ONE}){{3,}}\\z")
+    return f"(length(regexp_replace({run}, '[^0-9]', '')) >= 2 OR {run} RLIKE {singles})"
 
 
-def blanks_to_close(t: Column) -> Column:
+def blanks_sql(t: str) -> str:
     """Indexes of the blanks inside runs that look like spaced-out values."""
-    runs = F.filter(X.find_all(t, RUN), lambda m: _looks_obfuscated(m["value"]))
-    return F.flatten(F.transform(runs, lambda m: F.filter(F.sequence(m["start"], m["end"] - 1), lambda i: F.substring(t, i + 1, F.lit(1)).isin(" ", "\t"))))
+    inside = "filter(sequence(1, length(m.value)), i -> substring(m.value, i, 1) IN (' ', '\\t'))"
+    return f"flatten(transform(filter({X.find_all_sql(t, RUN)}, m -> {_obfuscated_sql('m.value')}), m -> transform({inside}, i -> m.start + i - 1)))"
 
 
-def dashes_to_drop(t: Column) -> Column:
+def dashes_sql(t: str) -> str:
     """Indexes of dashes between digits; a digit serves one dash."""
-    return F.transform(X.find_all(t, r"(?U)\d-\d"), lambda m: m["start"] + 1)
-
-
-def _pick(t: Column, indexes: Column) -> Column:
-    both = F.struct(F.split(t, "").alias("chars"), indexes.alias("at"))
-    return X.let(both, lambda x: F.array_join(F.transform(x["at"], lambda i: F.element_at(x["chars"], i + 1)), ""))
+    return f"transform({X.find_all_sql(t, '(?U)' + DASH)}, m -> m.start + 1)"
 
 
-def folded(t: Column) -> Column:
-    """Lower case as patterns that ignore case see it: letters that they take for one become one."""
-    return F.lower(F.upper(F.translate(t, "\u0130", "i")))
+def _picked_sql(t: str, indexes: str) -> str:
+    return f"transform(array(split({t}, '')), c -> array_join(transform({indexes}, i -> c[i]), ''))[0]"
 
 
-def context_type(t: Column, low: Column | None = None) -> Column:
+def _type_sql(t: str, low: str) -> str:
     """The type with most of its patterns in the text; none: natural language; a tie: mixed. low is the folded text."""
-    if low is None:
-        return X.let(folded(t), lambda x: context_type(t, x))
 
-    def hit(pattern: str, hints: tuple[str, ...]) -> Column:
-        some = F.lit(False)
-        for h in hints:
-            some = some | F.contains(low, F.lit(h))
-        return (some & t.rlike("(?dmiU)" + pattern)).cast("int")
+    def hit(pattern: str, hints: tuple[str, ...]) -> str:
+        some = " OR ".join(f"contains({low}, {X.quoted(h)})" for h in hints)
+        return f"cast((({some}) AND {t} RLIKE {X.quoted('(?dmiU)' + pattern)}) as int)"
 
-    score = {k: sum((hit(p, h) for p, h in zip(ps, _HINTS[k], strict=True)), F.lit(0)) for k, ps in CONTEXTS.items()}
-    return X.let(F.struct(*[s.alias(k) for k, s in score.items()]), _winner)
+    score = ", ".join(f"'{k}', " + " + ".join(hit(p, h) for p, h in zip(ps, _HINTS[k], strict=True)) for k, ps in CONTEXTS.items())
+    each = [f"s.{k}" for k in CONTEXTS]
+    best = f"greatest({', '.join(each)})"
+    ties = " + ".join(f"cast({e} = {best} as int)" for e in each)
+    pick = " ".join(f"WHEN s.{k} = {best} THEN '{k}'" for k in CONTEXTS)
+    return f"transform(array(named_struct({score})), s -> CASE WHEN {best} = 0 THEN 'natural_language' WHEN {ties} > 1 THEN 'mixed' {pick} END)[0]"
 
 
-def _winner(score: Column) -> Column:
-    each = [score[k] for k in CONTEXTS]
-    best = F.greatest(*each)
-    ties = sum(((s == best).cast("int") for s in each), F.lit(0))
-    pick = F.coalesce(*[F.when(score[k] == best, F.lit(k)) for k in CONTEXTS])
-    return F.when(best == 0, "natural_language").when(ties > 1, "mixed").otherwise(pick)
+def context_type(t: Column) -> Column:
+    """The type of context of a text."""
+    return X.applied(f"t -> transform(array({folded_sql('t')}), low -> {_type_sql('t', 'low')})[0]", t)
 
 
 def normalize(df: DataFrame, text: str = "text", keep_digits: bool = False, types: bool = True) -> DataFrame:
@@ -109,25 +108,22 @@ def normalize(df: DataFrame, text: str = "text", keep_digits: bool = False, type
 
     A null text is empty here; the caller keeps its own column. Row-local: no exchange.
     """
-    raw = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("_u", url_decoded(raw))
-    df = df.withColumn("_h", hex_decoded(F.col("_u"), keep_digits))
-    df = df.withColumn("normalized", base64_decoded(F.col("_h")))
-    n = F.col("normalized")
+    raw = f"coalesce(`{text}`, '')"
+    own = df.columns
+    df = df.selectExpr("*", f"{url_sql(raw)} AS _u")
+    df = df.selectExpr("*", f"{hex_sql('_u', keep_digits)} AS _h")
+    df = df.selectExpr("*", f"{base64_sql('_h')} AS normalized")
     # index maps are made for texts with something to remove alone, a column for each step
-    odd = F.exists(F.regexp_extract_all(n, F.lit(RUN), F.lit(0)), _looks_obfuscated) | n.rlike(r"(?U)\d-\d")
-    df = df.withColumn("_odd", odd)
-    df = df.withColumn("_kept", F.when(F.col("_odd"), F.array_except(F.sequence(F.lit(0), F.length(n) - 1), blanks_to_close(n))))
-    df = df.withColumn("_closed", F.when(F.col("_kept").isNotNull(), _pick(n, F.col("_kept"))))
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_kept") - 1), dashes_to_drop(F.col("_closed")))
-    df = df.withColumn("_map", F.when(F.col("_kept").isNotNull(), X.let(F.struct(stay.alias("stay"), F.col("_kept").alias("kept")), lambda x: F.transform(x["stay"], lambda i: F.element_at(x["kept"], i + 1)))))
-    df = df.withColumn("despaced_map", F.when(F.size("_map") < F.length(n), F.col("_map")))
-    df = df.withColumn("despaced", F.when(F.col("despaced_map").isNotNull(), _pick(n, F.col("despaced_map"))))
-    steps = F.array(
-        F.when(F.col("_u") != raw, "url_decoded"),
-        F.when(F.col("_h") != F.col("_u"), "hex_decoded"),
-        F.when(n != F.col("_h"), "base64_decoded"),
-        F.when(F.col("despaced") != n, "adversarial_spacing_removed"),
-    )
-    df = df.withColumn("transformations", F.filter(steps, lambda s: s.isNotNull())).drop("_u", "_h", "_odd", "_kept", "_closed", "_map")
-    return df.withColumn("_low", folded(raw)).withColumn("context_type", context_type(raw, F.col("_low"))).drop("_low") if types else df
+    spaced = f"(normalized RLIKE {X.quoted(_ALONE)} OR normalized RLIKE {X.quoted(_DIGIT)}) AND exists(regexp_extract_all(normalized, {X.quoted(RUN)}, 0), r -> {_obfuscated_sql('r')})"
+    df = df.selectExpr("*", f"({spaced}) OR normalized RLIKE {X.quoted('(?U)-(?<=' + DASH[:-2] + ')' + DASH[-2:])} AS _odd")
+    df = df.selectExpr("*", f"CASE WHEN _odd THEN array_except(sequence(0, length(normalized) - 1), {blanks_sql('normalized')}) END AS _kept")
+    df = df.selectExpr("*", f"CASE WHEN _kept IS NOT NULL THEN {_picked_sql('normalized', '_kept')} END AS _closed")
+    df = df.selectExpr("*", f"CASE WHEN _kept IS NOT NULL THEN transform(array_except(sequence(0, size(_kept) - 1), {dashes_sql('_closed')}), i -> _kept[i]) END AS _map")
+    df = df.selectExpr("*", "CASE WHEN size(_map) < length(normalized) THEN _map END AS despaced_map")
+    df = df.selectExpr("*", f"CASE WHEN despaced_map IS NOT NULL THEN {_picked_sql('normalized', 'despaced_map')} END AS despaced")
+    steps = f"CASE WHEN _u <> {raw} THEN 'url_decoded' END, CASE WHEN _h <> _u THEN 'hex_decoded' END, CASE WHEN normalized <> _h THEN 'base64_decoded' END, CASE WHEN despaced <> normalized THEN 'adversarial_spacing_removed' END"
+    columns = [*[f"`{c}`" for c in own], "normalized", "despaced_map", "despaced", f"filter(array({steps}), s -> s IS NOT NULL) AS transformations"]
+    if not types:
+        return df.selectExpr(*columns)
+    df = df.selectExpr(*columns, f"{folded_sql(raw)} AS _low")
+    return df.selectExpr("*", f"{_type_sql(raw, '_low')} AS context_type").drop("_low")

@@ -17,19 +17,28 @@ _TEXTS = ("normalized", "despaced", "despaced_map", "_hits", "_hits2")
 _INNER = _TEXTS[2:]
 
 
-def _prepared(df: DataFrame, text: str, rules: RuleSet) -> DataFrame:
-    """df with the columns of normalize, _row (a number of the row's own), the rules' hits and _maybe (there are some)."""
-    out = normalize.normalize(df, text, rules.keep_digits)
-    out = out.withColumns({"_row": F.monotonically_increasing_id(), "_hits": detect.hits(F.col("normalized"), rules), "_hits2": F.when(F.col("despaced").isNotNull(), detect.hits(F.col("despaced"), rules, names=False))})
-    return out.withColumn("_maybe", (F.size("_hits") > 0) | (F.coalesce(F.size("_hits2"), F.lit(0)) > 0))
+def _prepared(df: DataFrame, text: str, rules: RuleSet, types: bool = True) -> DataFrame:
+    """df with the columns of normalize, _row (a number of the row's own), the rules' hits and _maybe (there are some).
+
+    To be staged before anything is filtered: the optimiser would compare every expression of this
+    chain with every other to infer filters.
+    """
+    out = detect.hits(normalize.normalize(df, text, rules.keep_digits, types), rules)
+    return out.selectExpr("*", "size(_hits) > 0 OR coalesce(size(_hits2), 0) > 0 AS _maybe")
 
 
 def find(df: DataFrame, text: str = "text", rules: RuleSet | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each resolved entity, with the columns of df named in keep. One exchange, of entities."""
+    """A row for each resolved entity, with the columns of df named in keep.
+
+    One pass finds which rules match where; of the texts, those with a match are staged. One
+    exchange follows, of entities.
+    """
     rules = rules or RuleSet()
-    rows = _prepared(df, text, rules).where("_maybe").select("_row", *[F.col(k).alias(f"_keep_{k}") for k in keep], *_TEXTS)
-    found = detect.entities(rows, rules, ("_row", *[f"_keep_{k}" for k in keep]))
-    return found.select(*[F.col(f"_keep_{k}").alias(k) for k in keep], *detect.ENTITY)
+    names = [f"_keep_{k}" for k in keep]
+    some = [f"CASE WHEN _maybe THEN {c} END AS {c}" for c in ("normalized", "despaced", "despaced_map")]
+    rows = _prepared(df, text, rules, types=False).selectExpr("_row", "_maybe", *[f"`{k}` AS `{n}`" for k, n in zip(keep, names, strict=True)], *some, "_hits", "_hits2")
+    found = detect.entities(staged(rows, "hits").where("_maybe"), rules, ("_row", *names))
+    return found.select(*[F.col(n).alias(k) for k, n in zip(keep, names, strict=True)], *detect.ENTITY)
 
 
 def _planned(rows: DataFrame, rules: RuleSet, session: str | None, order: str | None) -> DataFrame:

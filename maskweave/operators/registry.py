@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..sources.staging import staged
 
 MAP = ("session", "value", "token", "entity_type", "first_seen", "last_seen", "number")
@@ -70,6 +71,31 @@ def unmask(masked: DataFrame, tokens: DataFrame) -> DataFrame:
     return masked.join(map_, masked["session"].eqNullSafe(map_["_s"]) & (masked["token"] == map_["_t"]), "left").drop("_s", "_t")
 
 
+#: Tokens as they stand in a text: a label without angle brackets or blanks, and a number.
+TOKEN = r"<[^<>\s]+_[0-9]+>"
+
+
+def restore(df: DataFrame, text: str, tokens: DataFrame, session: str | None = None, to: str = "restored") -> DataFrame:
+    """df with the tokens of a text, such as a model's answer, replaced by their session's values.
+
+    For use where the map may be read. A token is read whole, so none is found inside another; one that the session's
+    map lacks stays as it is, also where another session has it. Sessions compare null-safe; without a session column, ``tokens``
+    is of one session. A value that looks like a token is not looked up again. A null text stays null. Texts are exchanged
+    once, by row; what the map sees is each row's distinct tokens.
+    """
+    id_, own = "_restore_row", [f"`{c}`" for c in df.columns]
+    t = f"coalesce(`{text}`, '')"
+    rows = staged(df.selectExpr("*", f"monotonically_increasing_id() AS {id_}"), "answers")
+    whose = f"`{session}`" if session else "cast(NULL AS string)"
+    wanted = rows.selectExpr(id_, f"{whose} AS _s", f"explode(array_distinct(regexp_extract_all({t}, {X.quoted(TOKEN)}, 0))) AS _t")
+    known = tokens.selectExpr("session AS _ks" if session else "cast(NULL AS string) AS _ks", "token AS _kt", "value AS _kv")
+    pairs = wanted.join(known, wanted["_s"].eqNullSafe(known["_ks"]) & (wanted["_t"] == known["_kt"]))
+    maps = pairs.groupBy(id_).agg(F.expr("map_from_entries(collect_list(struct(_t, _kv))) AS _values"))
+    found = f"regexp_extract_all({t}, {X.quoted(TOKEN)}, 0)"
+    put = f"array_join(zip_with(split({t}, {X.quoted(TOKEN)}, -1), transform({found}, t -> coalesce(try_element_at(_values, t), t)), (g, t) -> concat(g, coalesce(t, ''))), '')"
+    return rows.join(maps, id_, "left").selectExpr(*own, f"CASE WHEN _values IS NULL THEN `{text}` ELSE {put} END AS `{to}`")
+
+
 def summary(tokens: DataFrame) -> DataFrame:
     """A line for each token of a session."""
     return tokens.select("session", F.concat_ws(" ", F.col("token"), F.lit("->"), F.col("entity_type"), F.concat(F.lit("(first prompt "), F.col("first_seen").cast("string"), F.lit(", last "), F.col("last_seen").cast("string"), F.lit(")"))).alias("line"))

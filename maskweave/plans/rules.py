@@ -17,13 +17,20 @@ SENSITIVITY = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 
 @dataclass(frozen=True)
 class Rule:
-    """One pattern. ``guard`` is a cheap necessary condition on the text; ``group`` 1 takes the captured value as span."""
+    """One pattern; ``group`` 1 takes the captured value as span.
+
+    What any match needs, so that other texts are not tried: ``shape``, a pattern that the text's
+    numbers and runs of capitals hold; ``words``, of which one occurs whatever its case (between bars: no
+    letter precedes or follows); ``guard``, a pattern on the text, tried after the others. All may be empty.
+    """
 
     type: str
     pattern: str
     sensitivity: str
     category: str
     guard: str = ""
+    shape: str = ""
+    words: tuple[str, ...] = ()
     group: int = 0
     container: bool = False
     needs_keyword: bool = False
@@ -35,33 +42,33 @@ class Rule:
 # (?d) so that only a newline ends a line.
 _U = "(?Ud)"
 RULES = (
-    Rule("NIC_OLD", _U + r"\b\d{9}[vVxX]\b", "HIGH", "1A", r"\p{Nd}{9}[vVxX]", suppressible=True),
-    Rule("NIC_NEW", _U + r"\b\d{12}\b", "HIGH", "1A", r"\p{Nd}{12}", suppressible=True, match_quality="partial"),
-    Rule("PASSPORT", _U + r"\b[A-Z]{1,2}\d{6,7}\b", "HIGH", "1A", r"[A-Z]\p{Nd}{6}", match_quality="partial"),
-    Rule("DRIVING_LICENSE", _U + r"\b[A-Z]\d{7}\b", "HIGH", "1A", r"[A-Z]\p{Nd}{6}", match_quality="partial"),
-    Rule("TAX_ID", _U + r"\b\d{9}\b", "HIGH", "1A", r"\p{Nd}{9}", needs_keyword=True, suppressible=True, match_quality="partial"),
-    Rule("PHONE_LK", _U + r"(?:\+94|\b0)[0-9]{9}\b", "MEDIUM", "1B", "[0-9]{9}", suppressible=True),
-    Rule("PHONE_INTL", _U + r"\+(?!94)[1-9]\d{6,14}\b", "MEDIUM", "1B", r"\+[1-9]", suppressible=True),
-    Rule("EMAIL", r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", "MEDIUM", "1B", "@"),
-    Rule("PAN", _U + r"\b\d(?:[ \-]?\d){12,18}\b", "CRITICAL", "2A", r"\p{Nd}(?:[ \-]?\p{Nd}){12}", container=True, match_quality="partial"),
-    Rule("CVV", _U + r"\b\d{3,4}\b", "CRITICAL", "2A", r"\p{Nd}{3}", needs_keyword=True, match_quality="partial"),
-    Rule("CARD_EXPIRY", _U + r"(?<!\d/)\b(0[1-9]|1[0-2])\/\d{2,4}\b", "HIGH", "2A", r"[01][0-9]/"),
-    Rule("BANK_ACCOUNT_NO", _U + r"\b\d{10,16}\b", "HIGH", "2B", r"\p{Nd}{10}", needs_keyword=True, match_quality="partial"),
-    Rule("IBAN", _U + r"\b[A-Z]{2}\d{2}[A-Z0-9]{4}\d{7,20}\b", "HIGH", "2B", r"[A-Z]{2}\p{Nd}{2}[A-Z0-9]{4}"),
-    Rule("SWIFT_BIC", _U + r"\b[A-Z]{4}[A-Z]{2}[A-Z0-9]{2}([A-Z0-9]{3})?\b", "CRITICAL", "2B", "[A-Z]{6}", match_quality="partial"),
-    Rule("SWIFT_MT103", _U + r"\bMT\s?103\b", "CRITICAL", "2C", r"(?U)MT\s?103"),
-    Rule("SWIFT_MT202", _U + r"\bMT\s?202\b", "CRITICAL", "2C", r"(?U)MT\s?202"),
-    Rule("API_KEY_OPENAI", _U + r"\bsk-[A-Za-z0-9]{20,}\b", "HIGH", "3A", "sk-"),
-    Rule("API_KEY_GENERIC", _U + r"\b[A-Za-z0-9_\-]{32,}\b", "HIGH", "3A", r"[A-Za-z0-9_\-]{32}", needs_keyword=True, match_quality="partial"),
-    Rule("JWT_TOKEN", _U + r"\beyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\b", "HIGH", "3A", "eyJ", container=True),
-    Rule("PASSWORD", r"(?iUd)\b[\w]*(?:password|passwd|pwd|pass|secret)[\w]*\s*[=:]\s*['\"]?([^\s'\";,.)]+)", "HIGH", "3B", "(?iu)pass|pwd|secret", group=1),
-    Rule("PRIVATE_KEY", r"-----BEGIN (RSA |EC )?PRIVATE KEY-----", "CRITICAL", "3C", "PRIVATE KEY"),
-    Rule("DB_CONNECTION_STRING", r"(?iUd)(?:(?:postgresql|mysql|mongodb|redis|mssql)://[^\s]+|(?:Server|Data Source)\s*=\s*[^;]+;(?:[^;]+;)*?(?:Password|Pwd)\s*=\s*[^;]+;?)", "HIGH", "4B", r"://|(?iu)(?:server|data source)\s*="),
-    Rule("INTERNAL_IP", _U + r"\b(10\.\d{1,3}\.\d{1,3}\.\d{1,3}|172\.(1[6-9]|2\d|3[01])\.\d{1,3}\.\d{1,3}|192\.168\.\d{1,3}\.\d{1,3})\b", "MEDIUM", "4C", r"10\.|172\.|192\."),
-    Rule("AWS_ACCESS_KEY", _U + r"\bAKIA[A-Z0-9]{16}\b", "HIGH", "7A", "AKIA"),
-    Rule("AWS_SECRET_KEY", r"(?iUd)aws.{0,25}secret.{0,20}[=:]\s*[A-Za-z0-9+/]{40}\b", "HIGH", "7A", "(?iu)aws"),
-    Rule("S3_BUCKET_REF", r"s3://[a-zA-Z0-9.\-_/]+", "MEDIUM", "7B", "s3://"),
-    Rule("JWT_IN_LOG", r"(?iUd)Authorization:\s*Bearer\s+eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+", "HIGH", "7C", "(?iu)bearer", container=True),
+    Rule("NIC_OLD", _U + r"\b\d{9}[vVxX]\b", "HIGH", "1A", shape=r"\p{Nd}{9}", suppressible=True),
+    Rule("NIC_NEW", _U + r"\b\d{12}\b", "HIGH", "1A", shape=r"\p{Nd}{12}", suppressible=True, match_quality="partial"),
+    Rule("PASSPORT", _U + r"\b[A-Z]{1,2}\d{6,7}\b", "HIGH", "1A", shape=r"\p{Nd}{6}", match_quality="partial"),
+    Rule("DRIVING_LICENSE", _U + r"\b[A-Z]\d{7}\b", "HIGH", "1A", shape=r"\p{Nd}{7}", match_quality="partial"),
+    Rule("TAX_ID", _U + r"\b\d{9}\b", "HIGH", "1A", shape=r"\p{Nd}{9}", needs_keyword=True, suppressible=True, match_quality="partial"),
+    Rule("PHONE_LK", _U + r"(?:\+94|\b0)[0-9]{9}\b", "MEDIUM", "1B", shape="[0-9]{9}", suppressible=True),
+    Rule("PHONE_INTL", _U + r"\+(?!94)[1-9]\d{6,14}\b", "MEDIUM", "1B", shape=r"\p{Nd}{7}", words=("+",), suppressible=True),
+    Rule("EMAIL", r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", "MEDIUM", "1B", words=("@",)),
+    Rule("PAN", _U + r"\b\d(?:[ \-]?\d){12,18}\b", "CRITICAL", "2A", shape=r"\p{Nd}(?:[ \-]?\p{Nd}){12}", container=True, match_quality="partial"),
+    Rule("CVV", _U + r"\b\d{3,4}\b", "CRITICAL", "2A", shape=r"\p{Nd}{3}", needs_keyword=True, match_quality="partial"),
+    Rule("CARD_EXPIRY", _U + r"(?<!\d/)\b(0[1-9]|1[0-2])\/\d{2,4}\b", "HIGH", "2A", shape=r"[01][0-9]", words=("/",)),
+    Rule("BANK_ACCOUNT_NO", _U + r"\b\d{10,16}\b", "HIGH", "2B", shape=r"\p{Nd}{10}", needs_keyword=True, match_quality="partial"),
+    Rule("IBAN", _U + r"\b[A-Z]{2}\d{2}[A-Z0-9]{4}\d{7,20}\b", "HIGH", "2B", shape=r"\p{Nd}{7}"),
+    Rule("SWIFT_BIC", _U + r"\b[A-Z]{4}[A-Z]{2}[A-Z0-9]{2}([A-Z0-9]{3})?\b", "CRITICAL", "2B", shape="[A-Z]{6}", match_quality="partial"),
+    Rule("SWIFT_MT103", _U + r"\bMT\s?103\b", "CRITICAL", "2C", shape="103", words=("mt",)),
+    Rule("SWIFT_MT202", _U + r"\bMT\s?202\b", "CRITICAL", "2C", shape="202", words=("mt",)),
+    Rule("API_KEY_OPENAI", _U + r"\bsk-[A-Za-z0-9]{20,}\b", "HIGH", "3A", words=("sk-",)),
+    Rule("API_KEY_GENERIC", _U + r"\b[A-Za-z0-9_\-]{32,}\b", "HIGH", "3A", needs_keyword=True, match_quality="partial"),
+    Rule("JWT_TOKEN", _U + r"\beyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\b", "HIGH", "3A", words=("eyj",), container=True),
+    Rule("PASSWORD", r"(?iUd)\b[\w]*(?:password|passwd|pwd|pass|secret)[\w]*\s*[=:]\s*['\"]?([^\s'\";,.)]+)", "HIGH", "3B", words=("pass", "pwd", "secret"), guard=r"(?iUd)(?:pass|pwd|secret)[\w]*\s*[=:]", group=1),
+    Rule("PRIVATE_KEY", r"-----BEGIN (RSA |EC )?PRIVATE KEY-----", "CRITICAL", "3C", words=("private key",)),
+    Rule("DB_CONNECTION_STRING", r"(?iUd)(?:(?:postgresql|mysql|mongodb|redis|mssql)://[^\s]+|(?:Server|Data Source)\s*=\s*[^;]+;(?:[^;]+;)*?(?:Password|Pwd)\s*=\s*[^;]+;?)", "HIGH", "4B", words=("postgresql://", "mysql://", "mongodb://", "redis://", "mssql://", "server", "data source"), guard=r"(?iUd)://|(?:server|data source)\s*="),
+    Rule("INTERNAL_IP", _U + r"\b(10\.\d{1,3}\.\d{1,3}\.\d{1,3}|172\.(1[6-9]|2\d|3[01])\.\d{1,3}\.\d{1,3}|192\.168\.\d{1,3}\.\d{1,3})\b", "MEDIUM", "4C", shape="10|172|192", words=("10.", "172.", "192.")),
+    Rule("AWS_ACCESS_KEY", _U + r"\bAKIA[A-Z0-9]{16}\b", "HIGH", "7A", words=("akia",)),
+    Rule("AWS_SECRET_KEY", r"(?iUd)aws.{0,25}secret.{0,20}[=:]\s*[A-Za-z0-9+/]{40}\b", "HIGH", "7A", words=("aws",)),
+    Rule("S3_BUCKET_REF", r"s3://[a-zA-Z0-9.\-_/]+", "MEDIUM", "7B", words=("s3://",)),
+    Rule("JWT_IN_LOG", r"(?iUd)Authorization:\s*Bearer\s+eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+", "HIGH", "7C", words=("authorization:",), container=True),
 )
 
 # Surnames of the name rule.
@@ -78,12 +85,13 @@ SURNAMES = (
 
 # Patterns of names, dates of birth and addresses. All ignore case.
 NAMED = (
-    Rule("FULL_NAME", r"(?iUd)\b(Mr|Mrs|Ms|Dr|Rev)\.?\s+[A-Z][a-z]+ [A-Z][a-z]+", "LOW", "1C", r"(?i)\b(?:mr|mrs|ms|dr|rev)", match_quality="partial"),
-    Rule("FULL_NAME", r"(?iUd)\b[A-Z][a-z]+ (?:" + "|".join(sorted(SURNAMES, key=len, reverse=True)) + r")\b", "LOW", "1C", "(?iu) (?:" + "|".join(sorted({s[:4] for s in SURNAMES})) + ")", match_quality="partial"),
-    Rule("DATE_OF_BIRTH", r"(?iUd)\b(?:dob|date of birth|born(?:\s+on)?|birth date)\s*[:\-]?\s*(\d{4}[-/]\d{2}[-/]\d{2}|\d{2}[-/]\d{2}[-/]\d{4})\b", "MEDIUM", "1C", "(?iu)dob|birth|born", match_quality="partial"),
-    Rule("DATE_OF_BIRTH", r"(?iUd)\b\d{4}-\d{2}-\d{2}\b", "MEDIUM", "1C", "(?iu)dob|birth|born", match_quality="partial"),
-    Rule("HOME_ADDRESS", r"(?iUd)\b\d+,?\s+[A-Za-z]+(?:\s[A-Za-z]+){0,3}\s(?:Road|Street|Lane|Avenue|Rd|St|Ave|Mawatha)\b(?:,\s*[A-Za-z]+(?:\s[A-Za-z]+){0,3})?", "MEDIUM", "1B", r"(?iUd)\s(?:Road|Street|Lane|Avenue|Rd|St|Ave|Mawatha)\b", match_quality="partial"),
+    Rule("FULL_NAME", r"(?iUd)\b(Mr|Mrs|Ms|Dr|Rev)\.?\s+[A-Z][a-z]+ [A-Z][a-z]+", "LOW", "1C", words=("|mr|", "|mrs|", "|ms|", "|dr|", "|rev|"), match_quality="partial"),
+    Rule("FULL_NAME", r"(?iUd)\b[A-Z][a-z]+ (?:" + "|".join(sorted(SURNAMES, key=len, reverse=True)) + r")\b", "LOW", "1C", words=tuple(f"|{s.lower()}|" for s in SURNAMES), match_quality="partial"),
+    Rule("DATE_OF_BIRTH", r"(?iUd)\b(?:dob|date of birth|born(?:\s+on)?|birth date)\s*[:\-]?\s*(\d{4}[-/]\d{2}[-/]\d{2}|\d{2}[-/]\d{2}[-/]\d{4})\b", "MEDIUM", "1C", shape=r"\p{Nd}{4}", words=("dob", "birth", "born"), match_quality="partial"),
+    Rule("DATE_OF_BIRTH", r"(?iUd)\b\d{4}-\d{2}-\d{2}\b", "MEDIUM", "1C", shape=r"\p{Nd}{4}-\p{Nd}{2}-\p{Nd}{2}", words=("dob", "birth", "born"), match_quality="partial"),
+    Rule("HOME_ADDRESS", r"(?iUd)\b\d+,?\s+[A-Za-z]+(?:\s[A-Za-z]+){0,3}\s(?:Road|Street|Lane|Avenue|Rd|St|Ave|Mawatha)\b(?:,\s*[A-Za-z]+(?:\s[A-Za-z]+){0,3})?", "MEDIUM", "1B", shape=r"\p{Nd}", words=tuple(f"|{w}|" for w in ("road", "street", "lane", "avenue", "rd", "st", "ave", "mawatha")), match_quality="partial"),
 )
+# Words of birth near a bare date, and the length from which a branded key is one.
 DOB_WORDS = ("dob", "date of birth", "born", "birth date", "birthday")
 
 # Words near a type's values that make it likelier.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import fixtures
 from .functions import text as X
 from .operators import anomaly, canonical, evaluate, instruct, normalize, registry
-from .operators.protect import find, protect
+from .operators.protect import find, protect, protect_with_tokens
 from .operators.validate import VALIDATORS
 from .plans.rules import RULES, Rule, RuleSet
 from .sources import datagen, io
@@ -101,6 +101,18 @@ def unmask_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("session").agg(F.count("original").alias("n_values"), F.count_distinct("token").alias("n_tokens"))
 
 
+#: Long words as values to tokenise: conversations hold no secrets of their own.
+WORDS = RuleSet(rules=(), named=()).with_rule(Rule("IBAN", "[A-Za-z]{9,19}", "HIGH", "X"))
+
+
+def restored_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns masked by session, quoted in an answer with an unknown token, and made whole again from the session's tokens."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    masked, tokens = protect_with_tokens(turns, "text", "conv_id", "turn", rules=WORDS, instructions=False)
+    answers = masked.select("conv_id", "turn", F.size("masked").alias("n_masked"), F.concat(F.lit("You said: "), "masked_text", F.lit(" <IBAN_999999>")).alias("answer"))
+    return registry.restore(answers, "answer", tokens, "conv_id").select("conv_id", "turn", F.col("n_masked").cast("long").alias("n_masked"), "restored")
+
+
 FIXTURE = [("P1", ["EMAIL", "PAN"], ["EMAIL"]), ("P2", ["NIC_OLD"], ["NIC_OLD", "PAN"]), ("P3", [], []), ("P4", ["PAN"], []), ("P5", ["EMAIL"], ["EMAIL", "CVV"]), ("P6", [], ["CVV"])]
 
 
@@ -210,7 +222,7 @@ def instruction_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", instruct.as_json(F.col("instructions")).alias("json"), instruct.as_text(F.col("instructions")).alias("block"))
 
 
-_NAMES = ("rule_matches", "all_rule_matches", "email_spans", "card_validity", "mask_emails", "email_scores", "context_types", "text_features", "session_tokens", "unmask_tokens", "evaluation_fixture", "risk_by_label", "suspicious_spans", "masked_documents", "entity_scores", "risk_by_source", "conversation_masks", "evaluation_generated", "evaluation_rates", "canonical_requests", "anomaly_layer", "model_comparison", "detection_responses", "rule_table", "custom_rule", "instruction_blocks")
+_NAMES = ("rule_matches", "all_rule_matches", "email_spans", "card_validity", "mask_emails", "email_scores", "context_types", "text_features", "session_tokens", "unmask_tokens", "restored_answers", "evaluation_fixture", "risk_by_label", "suspicious_spans", "masked_documents", "entity_scores", "risk_by_source", "conversation_masks", "evaluation_generated", "evaluation_rates", "canonical_requests", "anomaly_layer", "model_comparison", "detection_responses", "rule_table", "custom_rule", "instruction_blocks")
 
 
 def queries() -> dict:
@@ -287,6 +299,7 @@ round(coalesce(list_sum(ent), 0.0) / greatest(len(tok), 1), 4) AS mean_token_ent
 round(len(list_filter(tok, lambda x: length(x) > 15)) / greatest(len(tok), 1), 4) AS long_token_ratio, round(coalesce(list_sum(list_transform(tok, lambda x: length(x))), 0) / greatest(len(tok), 1), 4) AS avg_token_length FROM e""",
         "session_tokens": tokens,
         "unmask_tokens": f"SELECT session, count(value) AS n_values, count(DISTINCT token) AS n_tokens FROM ({tokens}) GROUP BY session",
+        "restored_answers": "SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '[A-Za-z]{9,19}')) AS BIGINT) AS n_masked, 'You said: ' || text || ' <IBAN_999999>' AS restored FROM conversations",
         "evaluation_fixture": _sql_fixture(),
         "risk_by_label": f"SELECT quality, CASE WHEN n > 0 THEN 'MEDIUM' ELSE 'LOW' END AS overall_risk, count(*) AS n FROM (SELECT l.quality, len(regexp_extract_all(d.text, '{_EMAIL_RE}')) AS n FROM documents d JOIN labels l USING (doc_id)) GROUP BY 1, 2",
         "custom_rule": "SELECT event_id, CAST(len(regexp_extract_all(event_type, '[a-z]{6,}')) AS INT) AS n FROM events WHERE regexp_matches(event_type, '[a-z]{6,}')",
