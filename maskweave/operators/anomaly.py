@@ -6,7 +6,7 @@ trees). It is applied to rows where the first layer masked nothing, and acts onl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -172,11 +172,23 @@ def report(model, df: DataFrame, label: str = "label") -> DataFrame:
     return sums.select("n", "accuracy", *rates(F.col("tp"), F.col("fp"), F.col("fn")), F.lit(auc).alias("auc"))
 
 
+def folded(df: DataFrame, label: str = "label", folds: int = 5, seed: int = 7, key: str = "normalized", buckets: int = 8) -> DataFrame:
+    """Adds _fold: the rows of each label are dealt out in turn, in the order of a hash of the key.
+
+    As in ``split``, a label is ranked in buckets of the hash, each starting with another fold, so a fold has
+    its share of every label up to a row a bucket.
+    """
+    turn = F.xxhash64(key, F.lit(seed))
+    bucket = F.pmod(turn, F.lit(buckets))
+    place = F.row_number().over(Window.partitionBy(label, bucket).orderBy(turn, key))
+    return df.withColumn("_fold", F.pmod(place + bucket, F.lit(folds)).cast("int"))
+
+
 def cross_validated(df: DataFrame, label: str = "label", folds: int = 5, seed: int = 7, kind: str = "gbt") -> list[float]:
-    """The area under the curve of each fold's model on the rows left out."""
+    """The area under the curve of each stratified fold's model on the rows left out."""
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
-    parts = vectorised(df).withColumn("_fold", F.pmod(F.xxhash64("normalized", F.lit(seed)), F.lit(folds)))
+    parts = folded(vectorised(df), label, folds, seed)
     score_ = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="probability")
     return [score_.evaluate(estimator(kind, label, seed).fit(parts.where(F.col("_fold") != k)).transform(parts.where(F.col("_fold") == k))) for k in range(folds)]
 
@@ -191,16 +203,41 @@ def compared(train_rows: DataFrame, validation: DataFrame, kinds: tuple[str, ...
 
 
 def retrain(df: DataFrame, probe: DataFrame, path: str, most: float = 0.15, label: str = "label", kind: str = "gbt") -> tuple[bool, DataFrame]:
-    """Trains on 60 %, reports on the held-out 20 %, and saves the model to path only if the benign probe accepts it."""
+    """Trains on 60 %, reports on the held-out 20 %, and saves the model to path, with its rate on the benign probe, only if that accepts it."""
     fitting, _, test = split(add_features(df), label)
     model = train(fitting, label, kind=kind)
-    ok = accepted(model, probe, most)
+    rate = probe_rate(model, probe)
+    ok = rate is None or rate <= most
     if ok:
         model.write().overwrite().save(path)
+        df.sparkSession.createDataFrame([(kind, rate, most)], "kind string, probe_rate double, most double").coalesce(1).write.mode("overwrite").json(f"{path}/probe")
     return ok, report(model, test, label)
 
 
+def probe_rate(model, probe: DataFrame, text: str = "normalized") -> float | None:
+    """The share of a benign probe set that the model alone flags; null without rows."""
+    return score(add_features(probe, text), model).agg(F.avg((F.col("anomaly_score") >= THRESHOLD).cast("double"))).first()[0]
+
+
+def saved(spark: SparkSession, path: str, most: float | None = None):
+    """The model that ``retrain`` left at path, for ``protect(anomaly_model=...)``; None where there is none, and the layer is off.
+
+    With most, a model that flagged more than that of its probe isn't taken either. A model that is there
+    but can't be read is an error.
+    """
+    from pyspark.ml import PipelineModel
+
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    if most is not None:
+        rate = spark.read.schema("probe_rate double").json(f"{path}/probe").first()
+        if rate is None or (rate.probe_rate or 0.0) > most:
+            return None
+    return PipelineModel.load(path)
+
+
 def accepted(model, probe: DataFrame, most: float = 0.15, text: str = "normalized") -> bool:
     """Whether the model alone flags at most this share of a benign probe set."""
-    flagged = score(add_features(probe, text), model).agg(F.avg((F.col("anomaly_score") >= THRESHOLD).cast("double"))).first()[0]
-    return flagged is None or flagged <= most
+    rate = probe_rate(model, probe, text)
+    return rate is None or rate <= most

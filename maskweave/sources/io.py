@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.rules import RuleSet
+from .staging import staged
 
 DATASET = "id string, category string, type string, prompt string, entities array<string>, note string"
 
@@ -16,15 +17,17 @@ def text_column(spark: SparkSession, texts: list[str], session: str = "session")
 
 
 def line_file(spark: SparkSession, path: str) -> DataFrame:
-    """session (the file), prompt_no, text: every line that isn't blank, stripped, in the file's order.
+    """session (the file), prompt_no, text: every line that isn't blank, stripped, numbered in the file's order.
 
-    A file is read whole for its order; many files are many tasks.
+    A large file is read in splits, each in its own order; a line's number is its place in its split after the
+    counts of the splits before, which are a row each. Numbers are staged with the lines, so that a split
+    that is read again can't change them.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("session"), F.posexplode(F.split("value", "\r\n|\n|\r")).alias("i", "line"))
-    kept = files.select("session", "i", F.regexp_replace("line", "^\\s+|\\s+$", "").alias("text")).where("text <> ''")
-    from pyspark.sql import Window
-
-    return kept.select("session", F.row_number().over(Window.partitionBy("session").orderBy("i")).alias("prompt_no"), "text")
+    read = spark.read.text(path).selectExpr("_metadata.file_path AS session", "_metadata.file_block_start AS _block", "monotonically_increasing_id() AS _i", r"regexp_replace(value, '^\\s+|\\s+$', '') AS text")
+    kept = staged(read.where("text <> ''"), "lines")
+    counts = kept.groupBy("session", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    bases = counts.selectExpr("session", "_block", "sum(_n) OVER (PARTITION BY session ORDER BY _block) - _n AS _base")
+    return kept.join(bases, ["session", "_block"]).selectExpr("session", "cast(row_number() OVER (PARTITION BY session, _block ORDER BY _i) + _base AS int) AS prompt_no", "text")
 
 
 def json_dataset(spark: SparkSession, path: str) -> DataFrame:

@@ -210,12 +210,21 @@ def test_training_split_report_and_gate(spark, tmp_path):
     share = {y: [p.where(F.col("label") == y).count() / rows.where(F.col("label") == y).count() for p in parts] for y in (0.0, 1.0)}
     assert all(abs(s - w) < 0.15 for ss in share.values() for s, w in zip(ss, (0.6, 0.2, 0.2), strict=True)) and sum(p.count() for p in parts) == rows.count()
     assert len(anomaly.cross_validated(rows, folds=2, kind="lr")) == 2
+    dealt = {(r.label, r._fold): r["count"] for r in anomaly.folded(rows).groupBy("label", "_fold").count().collect()}
+    for y in (0.0, 1.0):
+        each = [dealt[(y, k)] for k in range(5)]
+        assert max(each) - min(each) <= 8 and sum(each) == rows.where(F.col("label") == y).count()
     table = anomaly.compared(parts[0], parts[1], ("lr",)).first()
     assert table.kind == "lr" and table.n == parts[1].count() and 0.5 < table.auc <= 1
     probe = datagen.benign(spark, 60).select(F.col("prompt").alias("normalized"))
     for most, saved in ((1.0, True), (-1.0, False)):
         ok, report = anomaly.retrain(made, probe, str(tmp_path / f"m{saved}"), most, kind="lr")
         assert ok == saved == (tmp_path / f"m{saved}").exists() and report.first().n == parts[2].count()
+    assert anomaly.saved(spark, str(tmp_path / "mFalse")) is None and anomaly.saved(spark, str(tmp_path / "mTrue"), -1.0) is None
+    model = anomaly.saved(spark, str(tmp_path / "mTrue"), 1.0)
+    texts = spark.createDataFrame([("call 0771234567",), ("plain words only",)], "text string")
+    assert [r.masked_text for r in protect(texts, "text", anomaly_model=model, instructions=False).orderBy("text").collect()] == ["call 077****567", "plain words only"]
+    assert "anomaly_score" not in protect(texts, "text", anomaly_model=anomaly.saved(spark, str(tmp_path / "none")), instructions=False).columns
 
 
 def test_second_layer_masks_and_reviews(spark):
@@ -235,6 +244,24 @@ def test_second_layer_masks_and_reviews(spark):
     assert [s.reason for s in rows[1].skipped] == ["ml_anomaly_flagged_no_span"] and abs(rows[0].anomaly_score - 0.9) < 1e-9
 
 
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    """Blank lines, all three line ends and lines longer than a split: the numbers of a plain reader."""
+    texts = [("" if i % 7 == 3 else f"  line {i} " + "x" * (i * 37 % 400)) for i in range(3000)]
+    ends = ["\n", "\r\n", "\n"]
+    (tmp_path / "a.txt").write_bytes("".join(t + ends[i % 3] for i, t in enumerate(texts)).encode())
+    (tmp_path / "b.txt").write_text("only\n\n\nlast")
+    want = {"a.txt": [t.strip() for t in texts if t.strip()], "b.txt": ["only", "last"]}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+        rows = io.line_file(spark, str(tmp_path)).orderBy("session", "prompt_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name, lines in want.items():
+        assert [(r.prompt_no, r.text) for r in rows if r.session.endswith(name)] == list(enumerate(lines, 1))
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\n\n  two \n")
     assert [(r.prompt_no, r.text) for r in io.line_file(spark, str(tmp_path / "a.txt")).orderBy("prompt_no").collect()] == [(1, "one"), (2, "two")]
