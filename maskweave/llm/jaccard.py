@@ -481,13 +481,18 @@ def _links_of(sets: DataFrame, cand: DataFrame, n: int, small) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each component the one with the smallest id, whole.
+    """The rows of docs that stay, whole: of each component the one with the smallest id.
 
-    An id names one document: of repeated rows with an id one stays, and they go together if one of
-    them is beaten. Rows without an id stay, since nothing names them.
+    Rows are told apart by a number of their own, not by their ids: two different texts under one id are
+    decided each by itself, of repeated rows one stays, and rows without an id take part, beaten by any
+    with one. A text without words links with nothing and stays.
     """
-    gone = util.fresh("gone", docs)
-    found = util.written(near_duplicates(docs, doc_id, text).where("component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct(), "gone")
-    kept = docs.join(found, docs[doc_id].cast("long") == found[gone], "left_anti")
-    none = kept.where(F.col(doc_id).isNull())
-    return kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(none)
+    row = util.fresh("row", docs)
+    rows = util.written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows, row, text).select(F.col("doc_id").alias("_row"), "component_id")
+    ids = rows.select(F.col(row).alias("_row"), F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).cast("long").alias("id"), F.col(row).alias("row")).alias("rank"))
+    ranked = util.written(found.join(ids, "_row"), "ranked")
+    # a component of one row has nothing to be beaten by
+    best = ranked.groupBy("component_id").agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id", F.col("best.row").alias("best"))
+    gone = util.written(ranked.join(_small(util.written(best, "best")), "component_id").where("_row <> best").select("_row"), "gone")
+    return rows.join(_small(gone), rows[row] == gone["_row"], "left_anti").drop(row)

@@ -15,7 +15,7 @@ import xxhash  # noqa: E402
 from brute import LOW, WORD  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from maskweave.llm import kernel, phrases, resample, simhash  # noqa: E402
+from maskweave.llm import jaccard, kernel, phrases, resample, simhash  # noqa: E402
 
 SCHEMA = "doc_id bigint, text string, lang string, fp string, rank string, score string"
 
@@ -191,3 +191,16 @@ def test_crc_of_ranges():
     end = np.array([1, 5, 69, 165, 4900, 5000, 4999], np.int64)
     assert resample.crc32_ranges(buf, start, end).tolist() == [zlib.crc32(buf[a:z].tobytes()) for a, z in zip(start, end, strict=True)]
     assert len(resample.crc32_ranges(buf, start[:0], end[:0])) == 0 and kernel.NOT_ALNUM[0x60] and not kernel.NOT_ALNUM[0x80]
+
+
+def test_deduplication_tells_rows_apart(spark, none):
+    """Two texts under one id of which one has a near copy, repeated rows, rows without an id, texts without words."""
+    rng = random.Random(2)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    a, b, c, d = (say(200) for _ in range(4))
+    near = " ".join([*a.split()[:-1], "else"])
+    rows = [(5, a), (3, near), (5, b), (7, c), (7, c), (None, c), (None, d), (None, d), (9, ""), (9, None), (None, ""), (8, b)]
+    out = jaccard.deduplicate(spark.createDataFrame([(i, t, "x", "x", "x", "x") for i, t in rows], SCHEMA).repartition(3)).collect()
+    want = [(3, near), (5, b), (7, c), (None, d), (9, ""), (9, None), (None, "")]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in out))) == sorted(map(repr, want)) and out[0].__fields__ == none.columns
+    assert jaccard.deduplicate(none).count() == 0
