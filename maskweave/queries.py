@@ -95,10 +95,9 @@ def session_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unmask_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens joined back to their values: distinct values by session."""
+    """Tokens joined back to their values."""
     tokens = session_tokens(spark, sf_dir)
-    back = registry.unmask(tokens.select("session", "token"), tokens)
-    return back.groupBy("session").agg(F.count("original").alias("n_values"), F.count_distinct("token").alias("n_tokens"))
+    return registry.unmask(tokens.select("session", "token"), tokens).select("session", "token", "original")
 
 
 #: Long words as values to tokenise: conversations hold no secrets of their own.
@@ -298,7 +297,7 @@ CAST(regexp_matches(s, '[A-Za-z0-9+/]{20,}={0,2}') AS BIGINT) AS has_base64_patt
 round(coalesce(list_sum(ent), 0.0) / greatest(len(tok), 1), 4) AS mean_token_entropy, round(coalesce(list_max(ent), 0.0), 4) AS max_token_entropy, round(len(list_filter(ent, lambda x: x > 3.5)) / greatest(len(tok), 1), 4) AS high_entropy_ratio,
 round(len(list_filter(tok, lambda x: length(x) > 15)) / greatest(len(tok), 1), 4) AS long_token_ratio, round(coalesce(list_sum(list_transform(tok, lambda x: length(x))), 0) / greatest(len(tok), 1), 4) AS avg_token_length FROM e""",
         "session_tokens": tokens,
-        "unmask_tokens": f"SELECT session, count(value) AS n_values, count(DISTINCT token) AS n_tokens FROM ({tokens}) GROUP BY session",
+        "unmask_tokens": f"SELECT session, token, value AS original FROM ({tokens})",
         "restored_answers": "SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '[A-Za-z]{9,19}')) AS BIGINT) AS n_masked, 'You said: ' || text || ' <IBAN_999999>' AS restored FROM conversations",
         "evaluation_fixture": _sql_fixture(),
         "risk_by_label": f"SELECT quality, CASE WHEN n > 0 THEN 'MEDIUM' ELSE 'LOW' END AS overall_risk, count(*) AS n FROM (SELECT l.quality, len(regexp_extract_all(d.text, '{_EMAIL_RE}')) AS n FROM documents d JOIN labels l USING (doc_id)) GROUP BY 1, 2",
