@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..plans.rules import CRITICAL_TYPES
 
 # The instruction texts.
@@ -27,17 +28,13 @@ TOKENS_BEFORE, TOKENS_AFTER = "Session tokens present: ", ". Each token consiste
 
 def payload(masked: str = "masked", risk: str = "overall_risk") -> Column:
     """tier, instructions, masked_count, risk_level, token_refs; the tokens in order of their names."""
-    refs = F.sort_array(F.array_distinct(F.filter(F.transform(masked, lambda m: m["replacement"]), lambda r: F.startswith(r, F.lit("<")))))
-    critical = F.col(risk).isin("CRITICAL", "HIGH") | F.exists(masked, lambda m: m["entity_type"].isin(*CRITICAL_TYPES))
-    lines = F.when(critical, F.array(*map(F.lit, CRITICAL))).otherwise(F.array(*map(F.lit, STANDARD)))
-    note = F.concat(F.lit(TOKENS_BEFORE), F.array_join(refs, ", "), F.lit(TOKENS_AFTER))
-    return F.struct(
-        F.when(critical, "critical").otherwise("standard").alias("tier"),
-        F.when(F.size(refs) > 0, F.concat(lines, F.array(note))).otherwise(lines).alias("instructions"),
-        F.size(masked).alias("masked_count"),
-        F.col(risk).alias("risk_level"),
-        refs.alias("token_refs"),
-    )
+    refs = f"sort_array(array_distinct(filter(transform({masked}, m -> m.replacement), r -> startswith(r, '<'))))"
+    critical = f"{risk} IN ('CRITICAL', 'HIGH') OR exists({masked}, m -> m.entity_type IN ({', '.join(map(X.quoted, CRITICAL_TYPES))}))"
+    note = f"array(concat({X.quoted(TOKENS_BEFORE)}, array_join(x.refs, ', '), {X.quoted(TOKENS_AFTER)}))"
+    lines = f"CASE WHEN x.critical THEN {X.array_of(CRITICAL)} ELSE {X.array_of(STANDARD)} END"
+    said = f"CASE WHEN size(x.refs) > 0 THEN concat({lines}, {note}) ELSE {lines} END"
+    body = f"named_struct('tier', CASE WHEN x.critical THEN 'critical' ELSE 'standard' END, 'instructions', {said}, 'masked_count', size({masked}), 'risk_level', {risk}, 'token_refs', x.refs)"
+    return F.expr(f"transform(array(named_struct('refs', {refs}, 'critical', {critical})), x -> {body})[0]")
 
 
 def as_json(p: Column) -> Column:

@@ -7,27 +7,44 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans.rules import CONTEXTUAL, PARTIAL, SENSITIVITY, TOKENIZED
-from .validate import digits
 
 PLANNED = "array<struct<entity_type:string,value:string,start:int,end:int,sensitivity:string,score:double,action:string,strategy:string,seq:int,replacement:string>>"
 
 
+def _rank_sql(sensitivity: str) -> str:
+    return f"array_position({X.array_of(SENSITIVITY)}, {sensitivity})"
+
+
 def rank_of(sensitivity: Column) -> Column:
-    return F.array_position(F.array(*map(F.lit, SENSITIVITY)), sensitivity)
+    return F.array_position(F.expr(X.array_of(SENSITIVITY)), sensitivity)
+
+
+def _in(values) -> str:
+    return f"IN ({', '.join(map(X.quoted, values))})"
+
+
+def _strategy_sql(kind: str, sensitivity: str, action: str, high: str) -> str:
+    return f"""CASE WHEN {action} IN ('ignore', 'log_suspected') THEN {action}
+        WHEN {kind} {_in(CONTEXTUAL)} THEN CASE WHEN {high} OR {sensitivity} = 'CRITICAL' THEN 'full' ELSE 'contextual_skip' END
+        WHEN {kind} {_in(TOKENIZED)} THEN 'tokenize' WHEN {kind} {_in(PARTIAL)} THEN 'partial'
+        WHEN {sensitivity} IN ('CRITICAL', 'HIGH') THEN 'full' WHEN {sensitivity} = 'MEDIUM' THEN 'partial' ELSE 'contextual_skip' END"""
 
 
 def strategy_of(e: Column, high: Column) -> Column:
-    t, s = e["entity_type"], e["sensitivity"]
-    return (
-        F.when(e["action"] == "ignore", "ignore")
-        .when(e["action"] == "log_suspected", "log_suspected")
-        .when(t.isin(*CONTEXTUAL), F.when(high | (s == "CRITICAL"), "full").otherwise("contextual_skip"))
-        .when(t.isin(*TOKENIZED), "tokenize")
-        .when(t.isin(*PARTIAL), "partial")
-        .when(s.isin("CRITICAL", "HIGH"), "full")
-        .when(s == "MEDIUM", "partial")
-        .otherwise("contextual_skip")
-    )
+    return X.applied(f"x -> {_strategy_sql('x.a.entity_type', 'x.a.sensitivity', 'x.a.action', 'x.b')}", e, high)
+
+
+def _full_sql(v: str) -> str:
+    return f"repeat('*', length({v}))"
+
+
+def _partial_sql(v: str, kind: str) -> str:
+    d = f"regexp_replace({v}, '[^0-9]', '')"
+    email = f"CASE WHEN length(regexp_replace({v}, '[^@]', '')) = 1 THEN concat(CASE WHEN instr({v}, '@') > 1 THEN left({v}, 1) ELSE '*' END, '***@', substring({v}, instr({v}, '@') + 1)) ELSE '***@***.***' END"
+    phone = f"CASE WHEN length({d}) >= 7 THEN concat(left({d}, 3), '****', right({d}, 3)) ELSE '****' END"
+    card = f"CASE WHEN length({d}) >= 8 THEN concat(left({d}, 4), ' **** **** ', right({d}, 4)) ELSE '**** **** **** ****' END"
+    other = f"CASE WHEN length({v}) > 6 THEN concat(left({v}, 2), repeat('*', length({v}) - 4), right({v}, 2)) ELSE {_full_sql(v)} END"
+    return f"CASE WHEN {kind} = 'EMAIL' THEN {email} WHEN {kind} IN ('PHONE_LK', 'PHONE_INTL') THEN {phone} WHEN {kind} = 'PAN' THEN {card} ELSE {other} END"
 
 
 def full_mask(v: Column) -> Column:
@@ -35,13 +52,10 @@ def full_mask(v: Column) -> Column:
 
 
 def partial_mask(v: Column, kind: Column) -> Column:
-    d, n = digits(v), F.length(v)
-    at = F.instr(v, F.lit("@"))
-    email = F.when(F.length(F.regexp_replace(v, "[^@]", "")) == 1, F.concat(F.when(at > 1, F.substring(v, 1, 1)).otherwise("*"), F.lit("***@"), F.substring(v, at + 1, n))).otherwise("***@***.***")
-    phone = F.when(F.length(d) >= 7, F.concat(F.left(d, F.lit(3)), F.lit("****"), F.right(d, F.lit(3)))).otherwise("****")
-    card = F.when(F.length(d) >= 8, F.concat(F.left(d, F.lit(4)), F.lit(" **** **** "), F.right(d, F.lit(4)))).otherwise("**** **** **** ****")
-    other = F.when(n > 6, F.concat(F.left(v, F.lit(2)), F.repeat(F.lit("*"), n - 4), F.right(v, F.lit(2)))).otherwise(F.repeat(F.lit("*"), n))
-    return F.when(kind == "EMAIL", email).when(kind.isin("PHONE_LK", "PHONE_INTL"), phone).when(kind == "PAN", card).otherwise(other)
+    return X.applied(f"x -> {_partial_sql('x.a', 'x.b')}", v, kind)
+
+
+_MASKED = "IN ('full', 'partial', 'tokenize')"
 
 
 def planned(resolved: Column, safe_splice: bool = False) -> Column:
@@ -50,27 +64,18 @@ def planned(resolved: Column, safe_splice: bool = False) -> Column:
     A stable order: of two that start alike, the one found first is first. With safe_splice, one
     that lies inside another masked one is left out.
     """
-
-    def build(e: Column, i: Column, high: Column) -> Column:
-        s = strategy_of(e, high)
-        new = F.when(s == "full", full_mask(e["value"])).when(s == "partial", partial_mask(e["value"], e["entity_type"]))
-        return F.struct(*[e[k].alias(k) for k in ("entity_type", "value", "start", "end", "sensitivity", "score", "action")], s.alias("strategy"), i.alias("seq"), new.alias("replacement"))
-
-    def ordered(r: Column) -> Column:
-        high = F.exists(r, lambda e: e["sensitivity"].isin("HIGH", "CRITICAL"))
-        turned = F.transform(F.sort_array(F.transform(r, lambda e, i: F.struct((-e["start"]).alias("s"), i.alias("i"), e.alias("e")))), lambda x: x["e"])
-        return X.let(F.struct(turned.alias("all"), high.alias("high")), lambda x: F.transform(x["all"], lambda e, i: build(e, i, x["high"])))
-
-    out = X.let(resolved, ordered).cast(PLANNED)
-    if not safe_splice:
-        return out
-
-    # from right to left, what starts later comes first: an outer one is met after what it holds, or before with the same start
-    def apart(all_: Column) -> Column:
-        inside = lambda x: F.exists(all_, lambda y: is_masked(y) & (y["seq"] != x["seq"]) & (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & ((y["end"] - y["start"] > x["end"] - x["start"]) | (y["seq"] < x["seq"])))
-        return F.filter(all_, lambda x: ~is_masked(x) | ~inside(x))
-
-    return X.let(out, apart)
+    strategy = _strategy_sql("e.entity_type", "e.sensitivity", "e.action", "a.high")
+    own = ", ".join(f"'{k}', e.{k}" for k in ("entity_type", "value", "start", "end", "sensitivity", "score", "action"))
+    new = f"CASE s WHEN 'full' THEN {_full_sql('e.value')} WHEN 'partial' THEN {_partial_sql('e.value', 'e.entity_type')} END"
+    build = f"transform(array({strategy}), s -> named_struct({own}, 'strategy', s, 'seq', i, 'replacement', {new}))[0]"
+    turned = "transform(sort_array(transform(r, (e, i) -> struct(-e.start AS s, i AS i, e AS e))), x -> x.e)"
+    both = f"named_struct('all', {turned}, 'high', exists(r, e -> e.sensitivity IN ('HIGH', 'CRITICAL')))"
+    out = f"transform(array({both}), a -> transform(a.all, (e, i) -> {build}))[0]"
+    if safe_splice:
+        # from right to left, what starts later comes first: an outer one is met after what it holds, or before with the same start
+        inside = f"exists(p, y -> y.strategy {_MASKED} AND y.seq <> x.seq AND y.start <= x.start AND x.end <= y.end AND (y.end - y.start > x.end - x.start OR y.seq < x.seq))"
+        out = f"transform(array({out}), p -> filter(p, x -> NOT x.strategy {_MASKED} OR NOT {inside}))[0]"
+    return X.applied(f"r -> {out}", resolved).cast(PLANNED)
 
 
 def is_masked(p: Column) -> Column:
@@ -97,14 +102,14 @@ def splice(text: Column, masked: Column) -> Column:
 
 def outcome(df: DataFrame) -> DataFrame:
     """Adds masked, skipped and overall_risk from planned, all with a replacement by now."""
-    records = F.transform(F.filter("planned", is_masked), lambda p: F.struct(p["entity_type"].alias("entity_type"), p["value"].alias("original"), p["replacement"].alias("replacement"), p["strategy"].alias("strategy"), p["sensitivity"].alias("sensitivity"), p["score"].alias("score"), p["action"].alias("action"), F.when(p["action"] == "ml_flagged_mask", p["start"]).alias("start"), F.when(p["action"] == "ml_flagged_mask", p["end"]).alias("end")))
-    logged = F.transform(F.filter("planned", lambda p: ~is_masked(p)), lambda p: F.struct(p["entity_type"].alias("entity_type"), p["value"].alias("value"), F.when(p["strategy"] == "log_suspected", "low_confidence_logged").otherwise(p["strategy"]).alias("reason"), p["score"].alias("score")))
-    df = df.withColumns({"masked": records, "skipped": logged})
-    risk = F.array_max(F.transform("masked", lambda m: rank_of(m["sensitivity"])))
-    return df.withColumn("overall_risk", F.element_at(F.array(*map(F.lit, SENSITIVITY)), F.coalesce(risk, F.lit(1)).cast("int")))
+    at = lambda k: f"CASE WHEN p.action = 'ml_flagged_mask' THEN p.{k} END"
+    record = f"named_struct('entity_type', p.entity_type, 'original', p.value, 'replacement', p.replacement, 'strategy', p.strategy, 'sensitivity', p.sensitivity, 'score', p.score, 'action', p.action, 'start', {at('start')}, 'end', {at('end')})"
+    logged = "named_struct('entity_type', p.entity_type, 'value', p.value, 'reason', CASE WHEN p.strategy = 'log_suspected' THEN 'low_confidence_logged' ELSE p.strategy END, 'score', p.score)"
+    df = df.selectExpr("*", f"transform(filter(planned, p -> p.strategy {_MASKED}), p -> {record}) AS masked", f"transform(filter(planned, p -> NOT p.strategy {_MASKED}), p -> {logged}) AS skipped")
+    return df.selectExpr("*", f"element_at({X.array_of(SENSITIVITY)}, cast(coalesce(array_max(transform(masked, m -> {_rank_sql('m.sensitivity')})), 1) as int)) AS overall_risk")
 
 
 def cuts() -> Column:
     """What is replaced, from right to left: the second layer's masks are planned from left to right."""
-    masked = F.filter("planned", is_masked)
-    return F.when(F.exists("planned", lambda p: p["action"] == "ml_flagged_mask"), F.reverse(masked)).otherwise(masked)
+    masked = f"filter(planned, p -> p.strategy {_MASKED})"
+    return F.expr(f"CASE WHEN exists(planned, p -> p.action = 'ml_flagged_mask') THEN reverse({masked}) ELSE {masked} END")
