@@ -483,16 +483,17 @@ def _links_of(sets: DataFrame, cand: DataFrame, n: int, small) -> DataFrame:
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay, whole: of each component the one with the smallest id.
 
-    Rows are told apart by a number of their own, not by their ids: two different texts under one id are
-    decided each by itself, of repeated rows one stays, and rows without an id take part, beaten by any
-    with one. A text without words links with nothing and stays.
+    Rows are told apart by a hash of id and text, not by their ids: two different texts under one id are
+    decided each by itself, of rows with one id and one text one stays, and rows without an id take part, beaten by any
+    with one. A text without words links with nothing.
     """
     row = util.fresh("row", docs)
-    rows = util.written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    rows = docs.withColumn(row, F.xxhash64(doc_id, F.col(doc_id).isNull(), text, F.col(text).isNull()))
     found = near_duplicates(rows, row, text).select(F.col("doc_id").alias("_row"), "component_id")
     ids = rows.select(F.col(row).alias("_row"), F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).cast("long").alias("id"), F.col(row).alias("row")).alias("rank"))
-    ranked = util.written(found.join(ids, "_row"), "ranked")
-    # a component of one row has nothing to be beaten by
+    # a row is named by its hash, so repeated rows are one from here on
+    ranked = util.written(found.distinct().join(ids.distinct(), "_row"), "ranked")
     best = ranked.groupBy("component_id").agg(F.min("rank").alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id", F.col("best.row").alias("best"))
     gone = util.written(ranked.join(_small(util.written(best, "best")), "component_id").where("_row <> best").select("_row"), "gone")
-    return rows.join(_small(gone), rows[row] == gone["_row"], "left_anti").drop(row)
+    kept = rows.join(_small(gone), rows[row] == gone["_row"], "left_anti")
+    return kept.dropDuplicates([row]).drop(row)
