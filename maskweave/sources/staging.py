@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[str] = []
+_SCOPE = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,7 +30,8 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """df as Parquet in the shared folder: its plan ends here and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    mine = getattr(_SCOPE, "written", None)
+    (_WRITTEN if mine is None else mine).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -36,10 +41,25 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= n else scan.repartition(n)
 
 
-def clear(spark: SparkSession) -> int:
-    """Deletes what this session has staged, once its results are written; gives the number of folders."""
-    n = len(_WRITTEN)
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+def _deleted(spark: SparkSession, paths: list[str]) -> int:
+    n = len(paths)
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return n
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """What this thread stages within is deleted at the end; results must be written by then."""
+    before, _SCOPE.written = getattr(_SCOPE, "written", None), []
+    try:
+        yield
+    finally:
+        mine, _SCOPE.written = _SCOPE.written, before
+        _deleted(spark, mine)
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes what this session has staged, once its results are written; gives the number of folders."""
+    return _deleted(spark, _WRITTEN)

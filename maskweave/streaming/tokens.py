@@ -1,53 +1,36 @@
-"""Masking in Structured Streaming: each micro-batch is protected as a batch, the token registry is a table.
+"""Masking in Structured Streaming: each micro-batch is protected as a batch, the token registry is a ``TokenStore``.
 
-The registry holds the token map of each session, one folder a micro-batch. A batch reads what
-earlier batches wrote about its own sessions, numbers on from there and writes its own folder, so a
-batch that is run again after a failure overwrites what it had written and gives the same rows.
+A batch reads what the registry knows of its own sessions, numbers on from there and adds its new values. A batch that
+is run again after a failure finds the values it had added, so it gives the same rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.protect import protect_with_tokens
-from ..operators.registry import MAP
 from ..plans.rules import RuleSet
+from ..sources.staging import scope
+from .store import TokenStore
 
 
-def _earlier(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
-    """Rows of the folders of earlier batches."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], f"{schema}, batch bigint")
-    return spark.read.schema(f"{schema}, batch bigint").parquet(path).where(F.col("batch") < batch_id)
-
-
-def registry(spark: SparkSession, path: str, sessions: DataFrame, batch_id: int, ttl: str) -> DataFrame:
-    """The token map so far of the given sessions, those apart that were quiet for longer than ttl."""
-    heard = _earlier(spark, f"{path}/heard", batch_id, "session string, at timestamp").groupBy("session").agg(F.max("at").alias("at"))
-    alive = heard.where(F.col("at") >= F.current_timestamp() - F.expr(f"INTERVAL {ttl}")).select("session").join(sessions, "session", "left_semi")
-    kinds = {"number": "bigint", "first_seen": "bigint", "last_seen": "bigint"}
-    known = _earlier(spark, f"{path}/tokens", batch_id, ", ".join(f"{c} {kinds.get(c, 'string')}" for c in MAP))
-    return known.join(alive, "session", "left_semi").select(*MAP)
-
-
-def protect_stream(stream: DataFrame, text: str, session: str, order: str, out: str, path: str, rules: RuleSet | None = None, ttl: str = "24 HOURS") -> DataStreamWriter:
+def protect_stream(stream: DataFrame, text: str, session: str, order: str, out: str, path: str, rules: RuleSet | None = None, ttl: str = "24 HOURS", buckets: int = 64) -> DataStreamWriter:
     """A writer to be started: protected rows in ``out`` and the registry in ``path``, folders that the cluster shares.
 
     Within a batch a session's prompts are taken in their order; one that comes in a later batch is
-    numbered then. A session ends after ttl without prompts: its tokens start anew.
+    numbered then. A session ends after ttl without prompts, or by ``TokenStore.destroy``: its tokens start anew.
+    Rows without a session are one session. What a batch stages is deleted with it.
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
         df = df.withColumn(session, F.col(session).cast("string")).withColumn(order, F.col(order).cast("long"))
-        sessions = df.select(F.col(session).alias("session")).where("session IS NOT NULL").distinct()
-        known = registry(spark, path, sessions, batch_id, ttl)
-        rows, tokens = protect_with_tokens(df, text, session, order, rules=rules, known=known)
-        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        tokens.select(*MAP).write.mode("overwrite").parquet(f"{path}/tokens/batch={batch_id}")
-        sessions.withColumn("at", F.current_timestamp()).write.mode("overwrite").parquet(f"{path}/heard/batch={batch_id}")
+        store = TokenStore(df.sparkSession, path, buckets, ttl=ttl)
+        with scope(df.sparkSession):
+            known, heard = store.known(df.select(F.col(session).alias("session")))
+            rows, tokens = protect_with_tokens(df, text, session, order, rules=rules, known=known)
+            rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            store.append(tokens, heard)
 
     return stream.writeStream.foreachBatch(batch)
