@@ -142,18 +142,25 @@ def split(df: DataFrame, label: str = "label", shares: tuple[float, float] = (0.
 
 
 def estimator(kind: str = "gbt", label: str = "label", seed: int = 7):
-    """A pipeline over the vector x: standardised features and gradient-boosted trees (gbt), logistic regression (lr), a forest (rf) or a network (mlp)."""
+    """A pipeline over the vector x: standardised features and gradient-boosted trees (gbt), logistic regression (lr), a forest (rf), a network (mlp) or a support vector machine with a Gaussian kernel (svm).
+
+    The kernel is that of random Fourier features; the machine's margin becomes a probability by a logistic curve fitted on the same rows.
+    """
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+    from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
     from pyspark.ml.feature import StandardScaler
 
+    from .fourier import FourierFeatures
+
+    n = len(FEATURES)
     last = {
         "gbt": lambda: GBTClassifier(featuresCol="z", labelCol=label, maxDepth=4, maxIter=100, stepSize=0.1, seed=seed),
         "lr": lambda: LogisticRegression(featuresCol="z", labelCol=label),
         "rf": lambda: RandomForestClassifier(featuresCol="z", labelCol=label, numTrees=100, seed=seed),
-        "mlp": lambda: MultilayerPerceptronClassifier(featuresCol="z", labelCol=label, layers=[len(FEATURES), 64, 32, 2], seed=seed),
+        "mlp": lambda: MultilayerPerceptronClassifier(featuresCol="z", labelCol=label, layers=[n, 64, 32, 2], seed=seed),
+        "svm": lambda: [FourierFeatures(inputCol="z", outputCol="r", width=n, features=256, gamma=1 / n, seed=seed), LinearSVC(featuresCol="r", labelCol=label, regParam=1e-3, rawPredictionCol="margin", predictionCol="_side"), LogisticRegression(featuresCol="margin", labelCol=label)],
     }[kind]()
-    return Pipeline(stages=[StandardScaler(inputCol="x", outputCol="z", withMean=True), last])
+    return Pipeline(stages=[StandardScaler(inputCol="x", outputCol="z", withMean=True), *(last if isinstance(last, list) else [last])])
 
 
 def train(df: DataFrame, label: str = "label", seed: int = 7, kind: str = "gbt"):
@@ -193,7 +200,7 @@ def cross_validated(df: DataFrame, label: str = "label", folds: int = 5, seed: i
     return [score_.evaluate(estimator(kind, label, seed).fit(parts.where(F.col("_fold") != k)).transform(parts.where(F.col("_fold") == k))) for k in range(folds)]
 
 
-def compared(train_rows: DataFrame, validation: DataFrame, kinds: tuple[str, ...] = ("lr", "rf", "gbt", "mlp"), label: str = "label") -> DataFrame:
+def compared(train_rows: DataFrame, validation: DataFrame, kinds: tuple[str, ...] = ("lr", "rf", "gbt", "mlp", "svm"), label: str = "label") -> DataFrame:
     """kind and report of a model of each kind, the best area under the curve first."""
     out = None
     for kind in kinds:

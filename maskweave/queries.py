@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures
 from .functions import text as X
-from .operators import anomaly, canonical, evaluate, instruct, normalize, registry
+from .operators import anomaly, canonical, crf, evaluate, instruct, normalize, registry, terms
 from .operators.protect import find, protect, protect_with_tokens
 from .operators.validate import VALIDATORS
 from .plans.rules import RULES, Rule, RuleSet
 from .sources import datagen, io
-from .sources.staging import spread
+from .sources.staging import shared_dir, spread, staged
+from .streaming.store import TokenStore
 
 EMAIL = next(r for r in RULES if r.type == "EMAIL")
 #: Rules of one pattern whose counts SQL can give: no lookaround, ASCII classes without the underscore.
@@ -85,13 +88,28 @@ def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("conv_id", "turn", *[F.col("features")[k].cast("long").alias(k) for k in whole], *[F.round(F.col("features")[k], 4).alias(k) for k in parts])
 
 
-def session_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The token map of conversations, where long words stand for values of two types."""
+def _long_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations")
     words = turns.select(F.col("conv_id").alias("session"), F.col("turn").alias("prompt"), F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]{9,}"), F.lit(0))).alias("seq", "value"))
     kind = F.when(F.length("value") % 2 == 0, "EVEN_WORD").otherwise("ODD_WORD")
-    found = words.withColumn("entity_type", kind)
-    return registry.token_map(found).select("session", "value", "token", "entity_type", "first_seen", "last_seen")
+    return words.withColumn("entity_type", kind)
+
+
+def session_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token map of conversations, where long words stand for values of two types."""
+    return registry.token_map(_long_words(spark, sf_dir)).select("session", "value", "token", "entity_type", "first_seen", "last_seen")
+
+
+def stored_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token map that a versioned registry holds after three batches of turns, when each fifth conversation was destroyed."""
+    found = staged(_long_words(spark, sf_dir), "words")
+    store = TokenStore(spark, f"{shared_dir(spark)}/registry-{uuid.uuid4().hex}", buckets=8)
+    for batch in ("prompt <= 1", "prompt BETWEEN 2 AND 3", "prompt > 3"):
+        rows = found.where(batch).withColumn("session", F.col("session").cast("string"))
+        known, heard = store.known(rows)
+        store.append(registry.token_map(rows, known), heard)
+    store.destroy(found.where("session % 5 = 0").select("session"))
+    return store.tokens().select(F.col("session").cast("long").alias("session"), "value", "token", "entity_type", F.col("first_seen").cast("long").alias("first_seen"))
 
 
 def unmask_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,13 +130,45 @@ def restored_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.restore(answers, "answer", tokens, "conv_id").select("conv_id", "turn", F.col("n_masked").cast("long").alias("n_masked"), "restored")
 
 
-FIXTURE = [("P1", ["EMAIL", "PAN"], ["EMAIL"]), ("P2", ["NIC_OLD"], ["NIC_OLD", "PAN"]), ("P3", [], []), ("P4", ["PAN"], []), ("P5", ["EMAIL"], ["EMAIL", "CVV"]), ("P6", [], ["CVV"])]
+def evaluation_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision, recall and F1 by type and over all, on turns of conversations with a form planted in each."""
+    rows = fixtures.evaluated(spark, sf_dir)
+    masked, logged = evaluate.detected(F.col("masked"), F.col("skipped"))
+    return evaluate.by_type(rows, F.col("entities"), F.array_union(masked, logged)).withColumn("entity_type", F.coalesce("entity_type", F.lit("ALL")))
+
 
+def token_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out report of a field of tokens, trained on four fifths of the conversations with a form planted in each turn."""
+    turns = staged(fixtures.planted(spark, sf_dir), "planted")
+    types = find(turns, "text", keep=("conv_id", "turn")).groupBy("conv_id", "turn").agg(F.collect_set("entity_type").alias("types"))
+    sensitive = F.coalesce(F.arrays_overlap("types", F.array(*map(F.lit, crf.SENSITIVE))), F.lit(False))
+    rows = turns.join(types, ["conv_id", "turn"], "left").select("conv_id", "turn", crf.tokens(F.col("text")).alias("words"), sensitive.alias("s"))
+    rows = staged(rows.select("conv_id", "turn", "words", crf.labels(F.col("words"), F.col("s")).alias("y")), "chains")
+    held = F.pmod(F.xxhash64("conv_id"), F.lit(5)) == 0
+    return crf.report(crf.train(rows.where(~held), steps=30).tag(rows.where(held)))
 
-def evaluation_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Precision, recall and F1 by type and over all, on given rows."""
-    rows = spark.createDataFrame(FIXTURE, "id string, truth array<string>, found array<string>")
-    return evaluate.by_type(rows, F.col("truth"), F.col("found")).withColumn("entity_type", F.coalesce("entity_type", F.lit("ALL")))
+
+def _texts_with_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "text", "toxic")
+
+
+def term_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of the thousand most frequent terms in labelled documents."""
+    docs = _texts_with_labels(spark, sf_dir)
+    return terms.weights(terms.fit(docs), docs, ("doc_id",)).withColumn("weight", F.round("weight", 6))
+
+
+def text_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags that stand beside the terms' weights."""
+    out = terms.add_flags(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *[F.col(k).cast("long").alias(k) for k in terms.FLAGS[:5]])
+
+
+def term_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three models over terms and flags: toxic documents, a fifth of the labelled rows held out."""
+    docs = _texts_with_labels(spark, sf_dir).withColumnRenamed("toxic", "label")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
+    return terms.compared(docs.where(~held), docs.where(held))
 
 
 def risk_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,9 +242,9 @@ def anomaly_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports of a logistic regression, a forest and a network on held-out generated prompts."""
+    """Reports of a logistic regression, a forest, a network and a kernel machine on held-out generated prompts."""
     fitting, held, _ = anomaly.split(_labelled(spark))
-    return anomaly.compared(fitting, held, ("lr", "rf", "mlp"))
+    return anomaly.compared(fitting, held, ("lr", "rf", "mlp", "svm"))
 
 
 def detection_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +271,7 @@ def instruction_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", instruct.as_json(F.col("instructions")).alias("json"), instruct.as_text(F.col("instructions")).alias("block"))
 
 
-_NAMES = ("rule_matches", "all_rule_matches", "email_spans", "card_validity", "mask_emails", "email_scores", "context_types", "text_features", "session_tokens", "unmask_tokens", "restored_answers", "evaluation_fixture", "risk_by_label", "suspicious_spans", "masked_documents", "entity_scores", "risk_by_source", "conversation_masks", "evaluation_generated", "evaluation_rates", "canonical_requests", "anomaly_layer", "model_comparison", "detection_responses", "rule_table", "custom_rule", "instruction_blocks")
+_NAMES = ("rule_matches", "all_rule_matches", "email_spans", "card_validity", "mask_emails", "email_scores", "context_types", "text_features", "session_tokens", "stored_tokens", "unmask_tokens", "restored_answers", "evaluation_fixture", "risk_by_label", "suspicious_spans", "masked_documents", "entity_scores", "risk_by_source", "conversation_masks", "evaluation_generated", "evaluation_rates", "canonical_requests", "anomaly_layer", "model_comparison", "detection_responses", "rule_table", "custom_rule", "instruction_blocks", "token_field", "term_weights", "text_flags", "term_models")
 
 
 def queries() -> dict:
@@ -255,9 +305,8 @@ def _sql_contexts() -> str:
 
 
 def _sql_fixture() -> str:
-    rows = ", ".join(f"('{i}', {t!r}::VARCHAR[], {f!r}::VARCHAR[])" for i, t, f in FIXTURE)
     p, r = "coalesce(tp / nullif(tp + fp, 0), 0.0)", "coalesce(tp / nullif(tp + fn, 0), 0.0)"
-    return f"""WITH x AS (SELECT * FROM (VALUES {rows}) v(id, truth, found)),
+    return f"""WITH x AS ({fixtures.evaluated_sql()}),
 e AS (SELECT unnest(list_distinct(list_concat(truth, found))) AS ty, truth, found FROM x),
 s AS (SELECT coalesce(ty, 'ALL') AS entity_type, CAST(sum(CAST(list_contains(truth, ty) AND list_contains(found, ty) AS INT)) AS BIGINT) AS tp,
  CAST(sum(CAST(NOT list_contains(truth, ty) AND list_contains(found, ty) AS INT)) AS BIGINT) AS fp,
@@ -297,6 +346,16 @@ CAST(regexp_matches(s, '[A-Za-z0-9+/]{20,}={0,2}') AS BIGINT) AS has_base64_patt
 round(coalesce(list_sum(ent), 0.0) / greatest(len(tok), 1), 4) AS mean_token_entropy, round(coalesce(list_max(ent), 0.0), 4) AS max_token_entropy, round(len(list_filter(ent, lambda x: x > 3.5)) / greatest(len(tok), 1), 4) AS high_entropy_ratio,
 round(len(list_filter(tok, lambda x: length(x) > 15)) / greatest(len(tok), 1), 4) AS long_token_ratio, round(coalesce(list_sum(list_transform(tok, lambda x: length(x))), 0) / greatest(len(tok), 1), 4) AS avg_token_length FROM e""",
         "session_tokens": tokens,
+        "stored_tokens": f"SELECT CAST(session AS BIGINT) AS session, value, token, entity_type, CAST(first_seen AS BIGINT) AS first_seen FROM ({tokens}) WHERE session % 5 <> 0",
+        "term_weights": """WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents JOIN labels USING (doc_id)),
+w AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(t, '[\\p{L}\\p{N}_]{2,}')) AS term FROM d) GROUP BY ALL),
+v AS (SELECT term, count(*) AS df, sum(tf) AS n FROM w GROUP BY term ORDER BY n DESC, term LIMIT 1000),
+x AS (SELECT doc_id, term, tf * (ln((1 + (SELECT count(*) FROM d)) / (1 + df)) + 1) AS w FROM w JOIN v USING (term))
+SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM x""",
+        "text_flags": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, CAST(coalesce(len(list_distinct(string_split(t, ''))) / nullif(length(t), 0), 0) > 0.7 AS BIGINT) AS is_high_entropy, CAST(regexp_matches(t, '[^a-zA-Z0-9 \\t\\n\\x0B\\f\\r]') AS BIGINT) AS has_special_chars,
+CAST(len(list_filter(regexp_split_to_array(t, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) AS BIGINT) AS token_count, CAST(regexp_matches(t, '[A-Za-z0-9+/]{20,}={0,2}') AS BIGINT) AS has_base64_like,
+CAST(regexp_matches(regexp_replace(t, '[^\\x00-\\x7F]', '_', 'g'), '\\b[0-9a-fA-F]{10,}\\b') AS BIGINT) AS has_hex_like FROM d""",
         "unmask_tokens": f"SELECT session, token, value AS original FROM ({tokens})",
         "restored_answers": "SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '[A-Za-z]{9,19}')) AS BIGINT) AS n_masked, 'You said: ' || text || ' <IBAN_999999>' AS restored FROM conversations",
         "evaluation_fixture": _sql_fixture(),

@@ -275,7 +275,7 @@ def test_one_exchange_and_no_python(spark, capsys):
     assert plan.count("Exchange hashpartitioning") == 1 == plan.count("Exchange ") - plan.count("BroadcastExchange ") and "Python" not in plan
 
 
-@pytest.mark.parametrize("name", sorted(set(core._NAMES) - {"anomaly_layer", "model_comparison"}))  # these train models
+@pytest.mark.parametrize("name", sorted(set(core._NAMES) - {"anomaly_layer", "model_comparison", "token_field", "term_models"}))  # these train models
 def test_queries_plan_fast(spark, tmp_path, name):
     """On one row of each table: what is left is planning."""
     for table in ("documents", "conversations", "labels", "events"):
