@@ -103,13 +103,16 @@ def context_type(t: Column) -> Column:
     return X.applied(f"t -> transform(array({folded_sql('t')}), low -> {_type_sql('t', 'low')})[0]", t)
 
 
-def normalize(df: DataFrame, text: str = "text", keep_digits: bool = False, types: bool = True) -> DataFrame:
+def normalize(df: DataFrame, text: str = "text", keep_digits: bool = False, types: bool = True, as_written: bool = False) -> DataFrame:
     """Adds normalized, despaced and despaced_map (both null where nothing was removed), transformations, context_type.
 
-    A null text is empty here; the caller keeps its own column. Row-local: no exchange.
+    A null text is empty here; the caller keeps its own column. With as_written nothing is decoded or removed. Row-local: no exchange.
     """
     raw = f"coalesce(`{text}`, '')"
     own = df.columns
+    if as_written:
+        df = df.selectExpr("*", f"{raw} AS normalized", "cast(NULL AS array<int>) AS despaced_map", "cast(NULL AS string) AS despaced", "cast(array() AS array<string>) AS transformations")
+        return df.selectExpr("*", f"{folded_sql(raw)} AS _low").selectExpr("*", f"{_type_sql(raw, '_low')} AS context_type").drop("_low") if types else df
     df = df.selectExpr("*", f"{url_sql(raw)} AS _u")
     df = df.selectExpr("*", f"{hex_sql('_u', keep_digits)} AS _h")
     df = df.selectExpr("*", f"{base64_sql('_h')} AS normalized")

@@ -23,7 +23,7 @@ def _prepared(df: DataFrame, text: str, rules: RuleSet, types: bool = True) -> D
     To be staged before anything is filtered: the optimiser would compare every expression of this
     chain with every other to infer filters.
     """
-    out = detect.hits(normalize.normalize(df, text, rules.keep_digits, types), rules)
+    out = detect.hits(normalize.normalize(df, text, rules.keep_digits, types, rules.as_written), rules)
     return out.selectExpr("*", "size(_hits) > 0 OR coalesce(size(_hits2), 0) > 0 AS _maybe")
 
 

@@ -145,7 +145,8 @@ class RuleSet:
 
     ``safe_splice`` drops an entity nested in another masked one instead of splicing both;
     ``safe_demotion`` demotes a short branded key alone, not those after it;
-    ``keep_digits`` keeps runs of digits from being decoded as hexadecimal.
+    ``keep_digits`` keeps runs of digits from being decoded as hexadecimal;
+    ``as_written`` takes texts as they stand: nothing is decoded, no spacing is undone.
     """
 
     rules: tuple[Rule, ...] = RULES
@@ -155,6 +156,7 @@ class RuleSet:
     safe_splice: bool = False
     safe_demotion: bool = False
     keep_digits: bool = False
+    as_written: bool = False
 
     def with_rule(self, rule: Rule, keywords: tuple[str, ...] = (), validator: Callable[[Column], Column] | None = None) -> RuleSet:
         return replace(

@@ -1,6 +1,7 @@
 """Queries against their SQL on small rows of their own."""
 
 import duckdb
+import pytest
 
 import __spark_entry__ as entry
 
@@ -23,3 +24,9 @@ def agree(spark, folder, name, **tables):
 def test_a_turn_is_no_context_of_the_prompt_before_it(spark, tmp_path):
     turns = [(1, 0, "user", "Vipa oipaou les étioneux"), (2, 0, "user", "the server has an ip"), (3, 1, "user", "Le un le"), (3, 0, "user", None)]
     assert len(agree(spark, tmp_path, "golden_prompts", conversations=(TURNS, turns))) == 36
+
+
+@pytest.mark.parametrize("name", ["mask_emails", "email_scores"])
+def test_addresses_in_texts_as_written(spark, tmp_path, name):
+    texts = ["mail a.b@x.lk of 4738745156746829 here", "%41 c@y.com and cGFzc3dvcmQ9U2VjdXJlOTk5QA== too", "1 2 3 @ y.com", "x@z.lk y@z.lk", None, ""]
+    agree(spark, tmp_path, name, documents=(DOCUMENTS, [(i, t, "en", "s") for i, t in enumerate(texts)]))
