@@ -9,6 +9,7 @@ however long. The penalty is on squares alone (c2); weights of no use come out s
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,10 @@ LEAST_ENTROPY, LEAST_LENGTH = 3.5, 8
 LABELS = ("O", "B-SENSITIVE")
 #: Features of a token: as many for each.
 WIDTH = 12
+#: The first of them that a token's own word alone tells.
+OWN = 10
+#: How packed chains are written, in the order of ``Chains``.
+_KINDS = (np.int32, np.float32, np.int32, np.int32, np.float32, np.int8, np.int32)
 
 
 def tokens(text: Column) -> Column:
@@ -71,20 +76,86 @@ def _steps(lengths: np.ndarray) -> Iterator[np.ndarray]:
         yield starts[by[: np.searchsorted(-falling, -t, side="left")]] + t
 
 
+class Chains(NamedTuple):
+    """Chains step by step: their first tokens, longest chain first, then their second ones, and so on.
+
+    What a token's own word says (the first OWN features) stands once for each word that looks alike; the words are numbered.
+    """
+
+    own_at: np.ndarray
+    own_x: np.ndarray
+    word: np.ndarray
+    near_at: np.ndarray
+    near_x: np.ndarray
+    y: np.ndarray
+    counts: np.ndarray
+
+
+def _alike(at: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each kind of equal rows, and each row's kind."""
+    rows = np.concatenate([np.ascontiguousarray(at, np.int64), np.ascontiguousarray(x, np.float64).view(np.int64)], axis=1)
+    odd = np.random.default_rng(1).integers(1, 1 << 62, rows.shape[1]) * 2 + 1
+    mixed = (rows ^ (rows >> 29)) * odd
+    _, first, kind = np.unique((mixed ^ (mixed >> 31)).sum(axis=1), return_index=True, return_inverse=True)
+    if not np.array_equal(rows[first[kind]], rows):  # two kinds under one hash
+        _, first, kind = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+    return first, kind.reshape(-1)
+
+
+def packed(at: np.ndarray, x: np.ndarray, lengths: np.ndarray, y: np.ndarray) -> Chains:
+    steps = list(_steps(lengths))
+    by = np.concatenate(steps) if steps else np.zeros(0, np.int64)
+    at, x, y = at[by], x[by], y[by]
+    first, kind = _alike(at[:, :OWN], x[:, :OWN])
+    return Chains(at[first, :OWN], x[first, :OWN], kind, at[:, OWN:], x[:, OWN:], y, np.array([len(r) for r in steps], np.int64))
+
+
+def _sum(parts: list[np.ndarray]) -> np.ndarray:
+    """The logarithm of a sum of exponentials, element by element."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = np.logaddexp(out, part)
+    return out
+
+
+def _expected(scores: np.ndarray, moves: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``marginals`` of chains that stand step by step; scores and marginals have a row for each label.
+
+    A chain that goes on stands at one place in all steps, so a step is a slice and its chains come first in the slice before.
+    """
+    k, n = scores.shape
+    starts = np.cumsum(counts) - counts
+    forward, backward = scores.copy(), np.zeros_like(scores)
+    for t in range(1, len(counts)):
+        a, b = slice(starts[t - 1], starts[t - 1] + counts[t]), slice(starts[t], starts[t] + counts[t])
+        for j in range(k):
+            forward[j, b] += _sum([forward[i, a] + moves[i, j] for i in range(k)])
+    for t in range(len(counts) - 1, 0, -1):
+        a, b = slice(starts[t - 1], starts[t - 1] + counts[t]), slice(starts[t], starts[t] + counts[t])
+        later = scores[:, b] + backward[:, b]
+        for i in range(k):
+            backward[i, a] = _sum([later[j] + moves[i, j] for j in range(k)])
+    at_start = slice(0, counts[0] if len(counts) else 0)
+    log_z = _sum(list(scores[:, at_start] + backward[:, at_start]))
+    place = np.arange(n) - np.repeat(starts, counts)
+    of = log_z[place]
+    later = slice(len(log_z), n)
+    before = np.repeat(starts[:-1], counts[1:]) + place[later]
+    onward = scores[:, later] + backward[:, later] - of[later]
+    come = forward[:, before]
+    pairs = np.array([[np.exp(come[i] + onward[j] + moves[i, j]).sum() for j in range(k)] for i in range(k)])
+    return log_z, np.exp(forward + backward - of), pairs
+
+
 def marginals(scores: np.ndarray, moves: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Log partition function of each chain, label marginals of each row, and the expected count of each move."""
-    forward, backward = scores.copy(), np.zeros_like(scores)
     steps = list(_steps(lengths))
-    for rows in steps[1:]:
-        forward[rows] += np.logaddexp.reduce(forward[rows - 1][:, :, None] + moves, axis=1)
-    for rows in steps[:0:-1]:
-        backward[rows - 1] = np.logaddexp.reduce(moves + (scores[rows] + backward[rows])[:, None, :], axis=2)
-    ends = np.cumsum(lengths) - 1
-    log_z = np.logaddexp.reduce(forward[ends], axis=1)
-    of = np.repeat(log_z, lengths)
-    later = np.concatenate(steps[1:]) if len(steps) > 1 else np.zeros(0, np.int64)
-    pairs = np.exp(forward[later - 1][:, :, None] + moves + (scores[later] + backward[later])[:, None, :] - of[later][:, None, None])
-    return log_z, np.exp(forward + backward - of[:, None]), pairs.sum(axis=0)
+    by = np.concatenate(steps)
+    z, q, pairs = _expected(np.ascontiguousarray(scores[by].T), moves, np.array([len(r) for r in steps], np.int64))
+    log_z, p = np.empty_like(z), np.empty_like(scores)
+    log_z[np.argsort(-lengths, kind="stable")[: len(z)]] = z
+    p[by] = q.T
+    return log_z, p, pairs
 
 
 def viterbi(scores: np.ndarray, moves: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -144,17 +215,30 @@ def _chains(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 def gradient(model: Crf, at: np.ndarray, x: np.ndarray, lengths: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
     """Negative log-likelihood of chains with labels y, and its gradient by weight."""
-    k = len(LABELS)
-    scores = model.scores(at, x)
-    log_z, p, pairs = marginals(scores, model.moves, lengths)
-    later = np.ones(len(y), bool)
-    later[np.cumsum(lengths) - lengths] = False
-    to = np.flatnonzero(later)
-    loss = log_z.sum() - scores[np.arange(len(y)), y].sum() - model.moves[y[to - 1], y[to]].sum()
-    np.subtract.at(pairs, (y[to - 1], y[to]), 1)
-    p[np.arange(len(y)), y] -= 1
-    by = np.stack([np.bincount(at.ravel(), weights=(x * p[:, [j]]).ravel(), minlength=model.buckets) for j in range(k)], axis=1)
-    return float(loss), np.concatenate([by.ravel(), pairs.ravel()])
+    return _gradient(model, packed(at, x, lengths, y))
+
+
+def _gradient(model: Crf, c: Chains) -> tuple[float, np.ndarray]:
+    """``gradient`` of packed chains: words that look alike are scored, and their gradients summed, as one."""
+    k, n = len(LABELS), len(c.y)
+    own = model.scores(c.own_at, c.own_x)
+    scores = np.stack([own[:, j][c.word] + sum(model.weights[:, j][c.near_at[:, i]] * c.near_x[:, i] for i in range(c.near_at.shape[1])) for j in range(k)])
+    log_z, p, pairs = _expected(scores, model.moves, c.counts)
+    y, to = c.y, np.arange(len(log_z), n)
+    before = y[to - np.repeat(c.counts[:-1], c.counts[1:])]
+    loss = log_z.sum() - scores[y, np.arange(n)].sum() - model.moves[before, y[to]].sum()
+    pairs -= np.bincount(before * k + y[to], minlength=k * k).reshape(k, k)
+    p[y, np.arange(n)] -= 1
+    count = lambda at, w: np.bincount(at.ravel(), weights=w.ravel(), minlength=model.buckets)
+    by = [count(c.own_at, c.own_x * np.bincount(c.word, weights=p[j], minlength=len(own))[:, None]) + count(c.near_at, c.near_x * p[j][:, None]) for j in range(k)]
+    return float(loss), np.concatenate([np.stack(by, axis=1).ravel(), pairs.ravel()])
+
+
+def _unpacked(row: tuple[pa.Scalar, ...]) -> Chains:
+    """A written row of chains."""
+    c = Chains(*[np.frombuffer(v.as_buffer(), t).astype(np.float64 if t is np.float32 else np.int64) for v, t in zip(row, _KINDS, strict=True)])
+    shaped = lambda v, width: v.reshape(-1, width)
+    return c._replace(own_at=shaped(c.own_at, OWN), own_x=shaped(c.own_x, OWN), near_at=shaped(c.near_at, WIDTH - OWN), near_x=shaped(c.near_x, WIDTH - OWN))
 
 
 def minimised(f: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, steps: int, memory: int = 7, enough: float = 1e-4) -> np.ndarray:
@@ -191,12 +275,19 @@ def minimised(f: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.nda
 def train(df: DataFrame, words: str = "words", y: str = "y", buckets: int = 1 << 15, c2: float = 0.1, steps: int = 50) -> Crf:
     """A model of the chains in df, whose y has a label's number for each token; chains without tokens say nothing.
 
-    df's features are worked out once and staged. A task gives one row for each weight it has a gradient for, at most
+    df's features are worked out once, packed and staged: a row holds the chains of one batch. A task gives one row for each weight it has a gradient for, at most
     2 x buckets + 5, and so does their sum, which the driver reads.
     """
     from ..sources.staging import staged
 
-    rows = staged(featured(df.select(F.col(words).alias("words"), F.col(y).alias("y")).where(F.size(words) > 0), "words", buckets).select("at", "x", "y"), "chains")
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, x, lengths, labels_ = _chains(b)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([v.astype(t).tobytes()], pa.binary()) for v, t in zip(packed(at, x, lengths, labels_), _KINDS, strict=True)], names=list(Chains._fields))
+
+    each = featured(df.select(F.col(words).alias("words"), F.col(y).alias("y")).where(F.size(words) > 0), "words", buckets).select("at", "x", "y")
+    rows = staged(_bounded(each).mapInArrow(pack, ", ".join(f"{f} binary" for f in Chains._fields)), "chains")
     k = len(LABELS)
     n = buckets * k + k * k
     spark = df.sparkSession
@@ -207,10 +298,10 @@ def train(df: DataFrame, words: str = "words", y: str = "y", buckets: int = 1 <<
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model, total = Crf(told.value, buckets), np.zeros(n + 1)
             for b in batches:
-                at, x, lengths, labels_ = _chains(b)
-                loss, g = gradient(model, at, x, lengths, labels_)
-                total[:n] += g
-                total[n] += loss
+                for row in zip(*b.columns, strict=True):
+                    loss, g = _gradient(model, _unpacked(row))
+                    total[:n] += g
+                    total[n] += loss
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["i", "g"])
 
