@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from .evaluate import rates
 from .mask import PLANNED, is_masked
+from .signature import folded_sql
 
 THRESHOLD = 0.75
 # The features in their order, and the shapes of suspicious spans.
 FEATURES = ("mean_token_entropy", "max_token_entropy", "high_entropy_ratio", "text_length", "token_count", "long_token_ratio", "avg_token_length", "n_digit_runs", "n_special_chars", "n_at_symbols", "n_slashes", "n_equals", "has_base64_pattern", "has_hex_run", "has_bearer_keyword", "has_akia_prefix", "has_sk_prefix")
 SPANS = (r"(?U)\bsk-[A-Za-z0-9]{6,}\b", r"(?U)\bAKIA[A-Za-z0-9]{6,}\b", r"[A-Za-z0-9+/]{20,}={0,2}", r"[0-9a-fA-F]{12,}", r"(?U)\b[A-Za-z0-9+/_\-]{16,}\b")
+NAMED, SK = r"(?iU)\b(token|key|secret|password|bearer|jwt|api)\b", r"(?U)\bsk-[A-Za-z0-9]"
 # Fixed value: the record of a flag without a span.
 NO_SPAN = "(whole-prompt signal — no specific span located; see instructions)"
 
@@ -43,8 +45,8 @@ def add_features(df: DataFrame, text: str = "normalized") -> DataFrame:
         total("_ent") / many, F.coalesce(F.array_max("_ent"), F.lit(0.0)), F.size(F.filter("_ent", lambda e: e > 3.5)) / many, F.length(t), n,
         F.size(F.filter("_tok", lambda w: F.length(w) > 15)) / many, total(F.transform("_tok", lambda w: F.length(w).cast("double"))) / many,
         F.size(F.regexp_extract_all(t, F.lit(r"(?U)\d{6,}"), F.lit(0))), F.length(F.regexp_replace(F.regexp_replace(t, f"{X._SPACE}", ""), "[a-zA-Z0-9]", "")),
-        count("@"), count("/"), count("="), flag("[A-Za-z0-9+/]{20,}={0,2}"), flag("[0-9a-fA-F]{12,}"), flag(r"(?iU)\b(token|key|secret|password|bearer|jwt|api)\b"),
-        F.contains(t, F.lit("AKIA")).cast("int"), flag(r"(?U)\bsk-[A-Za-z0-9]"),
+        count("@"), count("/"), count("="), flag("[A-Za-z0-9+/]{20,}={0,2}"), flag("[0-9a-fA-F]{12,}"), flag(NAMED),
+        F.contains(t, F.lit("AKIA")).cast("int"), flag(SK),
     )
     return df.withColumn("features", F.struct(*[v.cast("double").alias(k) for k, v in zip(FEATURES, values, strict=True)])).drop("_tok", "_ent")
 
@@ -57,6 +59,30 @@ def gate(f: Column) -> Column:
     return out
 
 
+#: A token of fewer characters has no more than 11 kinds of them, and so less than 3.5 bits.
+_LEAST = 12
+
+
+def opened(t: Column) -> Column:
+    """``gate`` of a text, the cheap evidence first: words are split only where there is none, and entropy is that of long words in texts with many."""
+    low = folded_sql("t")
+    words = "token", "key", "secret", "password", "bearer", "jwt", "api"
+    named = f"transform(array({low}), low -> {' OR '.join(f'contains(low, {X.quoted(w)})' for w in words)})[0]"
+    run = lambda c, n: f"t RLIKE {X.quoted(f'(?<![{c}])[{c}]{{{n}}}')}"
+    flags = ["contains(t, 'AKIA')", f"(contains(t, 'sk-') AND t RLIKE {X.quoted(SK)})", run("0-9a-fA-F", 12), run("A-Za-z0-9+/", 20), f"({named} AND t RLIKE {X.quoted(NAMED)})"]
+    # w: all words, the first and the last of which may be empty; long ones are few
+    n = "greatest(size(w) - cast(w[0] = '' as int) - cast(size(w) > 1 AND w[size(w) - 1] = '' as int), 1)"
+    count = f"transform(array(split(t, {X.quoted(X._SPACE + '+')}, -1)), w -> named_struct('n', {n}, 'long', filter(w, v -> length(v) >= {_LEAST})))[0]"
+    share = f"size(filter(c.long, v -> length(v) > 15)) / c.n > 0.2 OR size(c.long) / c.n > 0.3 AND size(filter(c.long, v -> {_entropy_sql('v')} > 3.5)) / c.n > 0.3"
+    return X.applied(f"t -> {' OR '.join(flags)} OR transform(array({count}), c -> {share})[0]", t)
+
+
+def _entropy_sql(v: str) -> str:
+    """``entropy`` as SQL."""
+    share = f"(length({v}) - length(replace({v}, c, ''))) / length({v})"
+    return f"-aggregate(array_distinct(filter(split({v}, '', -1), c -> c <> '')), 0.0D, (acc, c) -> acc + {share} * log2({share}))"
+
+
 def suspicious_spans(t: Column) -> Column:
     """start, end of the shapes' matches of 8 characters and more; overlapping and touching ones are one."""
     each = [F.transform(F.filter(X.find_all(t, p), lambda m: m["end"] - m["start"] >= 8), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))) for p in SPANS]

@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from maskweave.operators import anomaly
 
 DOCUMENTS = "doc_id long, text string, lang string, source string"
 TURNS = "conv_id long, turn int, role string, text string"
@@ -30,3 +32,12 @@ def test_a_turn_is_no_context_of_the_prompt_before_it(spark, tmp_path):
 def test_addresses_in_texts_as_written(spark, tmp_path, name):
     texts = ["mail a.b@x.lk of 4738745156746829 here", "%41 c@y.com and cGFzc3dvcmQ9U2VjdXJlOTk5QA== too", "1 2 3 @ y.com", "x@z.lk y@z.lk", None, ""]
     agree(spark, tmp_path, name, documents=(DOCUMENTS, [(i, t, "en", "s") for i, t in enumerate(texts)]))
+
+
+def test_the_gate_of_a_text_equals_that_of_its_features(spark, tmp_path):
+    words = ["averylongwordofprose", "abcdefghijkl", "short", "x" * 30, "q1w2e3r4t5y6u7i8", "AKIA", "tokEn", "my_token", "Key", "sk-a", "ask-a", "0123456789ab", "Abc+/" * 4, "", "é" * 14, "ñandúÉíóúäöüßçêà"]
+    texts = [f"{sep.join([a, b])}{end}" for a in words for b in words for sep, end in ((" ", ""), ("\n\n", " "), (" of the and in ", " "))] + ["", " ", "\n\n", *[f"{words[1]} " + "so " * n for n in range(6)], *[f"{words[0]} " + "so " * n for n in range(6)]]
+    rows = spark.createDataFrame([(t,) for t in texts], "normalized string")
+    got = anomaly.add_features(rows).select("normalized", anomaly.gate(F.col("features")).alias("a"), anomaly.opened(F.col("normalized")).alias("b")).collect()
+    assert [r for r in got if r.a != r.b] == [] and {r.a for r in got} == {True, False}
+    agree(spark, tmp_path, "structural_gate", documents=(DOCUMENTS, [(i, t, "en", "s") for i, t in enumerate(["so long", "averylongwordofprose", "abcdefghijkl is", None, "a token"])]))
