@@ -39,10 +39,15 @@ def relation(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     return F.broadcast(spark.sql(f"SELECT {typed} FROM VALUES {values} AS t({names})"))
 
 
+def bare_dates(rules: RuleSet) -> list[int]:
+    """Places among the named rules of those for dates whose words stand near a match, not in it."""
+    return [i for i, r in enumerate(rules.named) if r.type == "DATE_OF_BIRTH"][1:]
+
+
 def rule_table(spark: SparkSession, rules: RuleSet) -> DataFrame:
     """The rules as rows, keyed by their number: what is known of a match by its rule alone."""
     plain = rules.ordered()
-    dates = [i for i, r in enumerate(rules.named) if r.type == "DATE_OF_BIRTH"][1:]
+    dates = bare_dates(rules)
     rows = []
     for i, r in enumerate([*plain, *rules.named]):
         gate = rules.keywords.get(r.type) if r.needs_keyword and i < len(plain) else None

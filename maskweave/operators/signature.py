@@ -75,13 +75,19 @@ def signature_sql(text: str, low: str, rules: list[Rule], keywords: dict[str, tu
     return {"shape": f"concat_ws('\\n', regexp_extract_all({text}, {quoted(SHAPE)}, 0))" if any(r.shape for r in rules) else "''", "words": f"concat({', '.join(parts)})" if parts else array_of(())}
 
 
+def tests_sql(r: Rule, text: str, shape: str, words: str, keywords: dict[str, tuple[str, ...]]) -> list[str]:
+    """What a text that the rule matches passes, the cheap tests first."""
+    tests = [f"{shape} RLIKE {quoted(r.shape)}"] if r.shape else []
+    tests += [_holds(words, some) for some in (r.words, gate_words(r, keywords)) if some]
+    if r.guard:
+        tests.append(f"contains({text}, {quoted(r.guard)})" if re.fullmatch(r"[\w@:/ -]+", r.guard) else f"{text} RLIKE {quoted(r.guard)}")
+    return tests
+
+
 def hits_sql(text: str, shape: str, words: str, rules: list[Rule], keywords: dict[str, tuple[str, ...]], tried: int | None = None) -> str:
     """The numbers of the rules (the first ``tried`` of them) that match in the text, tried where the signature lets them."""
     out = []
     for i, r in enumerate(rules[:tried]):
-        tests = [f"{shape} RLIKE {quoted(r.shape)}"] if r.shape else []
-        tests += [_holds(words, some) for some in (r.words, gate_words(r, keywords)) if some]
-        if r.guard:
-            tests.append(f"contains({text}, {quoted(r.guard)})" if re.fullmatch(r"[\w@:/ -]+", r.guard) else f"{text} RLIKE {quoted(r.guard)}")
+        tests = tests_sql(r, text, shape, words, keywords)
         out.append(f"CASE WHEN {' AND '.join([*tests, f'{text} RLIKE {quoted(r.pattern)}'])} THEN {i} END")
     return f"filter(array({', '.join(out)}), h -> h IS NOT NULL)" if out else "cast(array() as array<int>)"

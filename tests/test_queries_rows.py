@@ -5,7 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from maskweave import fixtures
 from maskweave.operators import anomaly
+from maskweave.plans.rules import RuleSet
+from maskweave.sources import datagen
 
 DOCUMENTS = "doc_id long, text string, lang string, source string"
 TURNS = "conv_id long, turn int, role string, text string"
@@ -41,3 +44,16 @@ def test_the_gate_of_a_text_equals_that_of_its_features(spark, tmp_path):
     got = anomaly.add_features(rows).select("normalized", anomaly.gate(F.col("features")).alias("a"), anomaly.opened(F.col("normalized")).alias("b")).collect()
     assert [r for r in got if r.a != r.b] == [] and {r.a for r in got} == {True, False}
     agree(spark, tmp_path, "structural_gate", documents=(DOCUMENTS, [(i, t, "en", "s") for i, t in enumerate(["so long", "averylongwordofprose", "abcdefghijkl is", None, "a token"])]))
+
+
+def test_every_rule_counts_what_its_pattern_finds(spark, tmp_path):
+    table = [*RuleSet().rules, *RuleSet().named]
+    texts = [f.replace("JWTTOKEN", fixtures._JWT) for f, _ in fixtures.FORMS] + [r.prompt for r in datagen.prompts(spark, 300).collect()] + ["", "TOKEN", "４１１１ 1111"]
+    rows = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate([*texts, None])], DOCUMENTS)
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for r, n in zip(table, rows.agg(*[F.sum(F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r.pattern), F.lit(0)))) for r in table]).first(), strict=True):
+        want[r.type] = want.get(r.type, 0) + n
+    df = entry.queries()["all_rule_matches"](spark, str(tmp_path))
+    assert {r.entity_type: r.n_matches for r in df.collect()} == {k: n for k, n in want.items() if n} and len(want) > 25
+    assert "shape" in df._jdf.queryExecution().optimizedPlan().toString()  # patterns are tried by signature
