@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 
 from ..functions import text as X
-from .signature import folded_sql
+from .signature import folded_sql, trie
 
 # Patterns of context types.
 CONTEXTS = {
@@ -21,6 +21,8 @@ _HINTS = {
     "log_output": (("-",), ("info", "error", "debug", "warn", "critical", "fatal"), ("traceback",), ("at ",), ("[",)),
     "natural_language": (("please", "can you", "could you", "help me", "i need", "check", "verify", "update", "send"), ("customer", "account", "transfer", "balance", "loan", "payment")),
 }
+#: Those of them that a pattern has at the start of a word: one scan finds all.
+_STARTS = tuple(sorted(h for hints in _HINTS.values() for some in hints for h in some if h[0].isalpha() and h not in ("config.", "settings.", "traceback", "at ")))
 _SHORT = "(?:[A-Za-z0-9]{1,2}|[@\\-])"
 RUN = f"(?<![A-Za-z0-9]){_SHORT}(?:[ \\t]{_SHORT}){{2,}}(?![A-Za-z0-9])"
 DASH = r"\d-\d"
@@ -60,7 +62,8 @@ def base64_sql(t: str) -> str:
     """Runs of twenty Base64 signs and more that spell printable text; web tokens stay for their own rules."""
     bare = "regexp_replace(m, '=+$', '')"
     raw = f"try_to_binary(concat({bare}, repeat('=', (4 - length({bare}) % 4) % 4)), 'base64')"
-    return _replaced_sql(t, "[A-Za-z0-9+/]{20,}={0,2}", _decoded_sql(raw, "NOT startswith(m, 'eyJ') AND length(p) > 5"), "[A-Za-z0-9+/]{20}")
+    start = "(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{20"  # a run is tried at its start alone
+    return _replaced_sql(t, start + ",}={0,2}", _decoded_sql(raw, "NOT startswith(m, 'eyJ') AND length(p) > 5"), start + "}")
 
 
 def _obfuscated_sql(run: str) -> str:
@@ -83,11 +86,16 @@ def _picked_sql(t: str, indexes: str) -> str:
     return f"transform(array(split({t}, '')), c -> array_join(transform({indexes}, i -> c[i]), ''))[0]"
 
 
-def _type_sql(t: str, low: str) -> str:
-    """The type with most of its patterns in the text; none: natural language; a tie: mixed. low is the folded text."""
+def _starts_sql(low: str) -> str:
+    """Which words of _STARTS the folded text has."""
+    return f"array_distinct(regexp_extract_all(concat(' ', {low}), {X.quoted(trie(_STARTS, ''))}, 1))"
+
+
+def _type_sql(t: str, low: str, starts: str) -> str:
+    """The type with most of its patterns in the text; none: natural language; a tie: mixed. low is the folded text, starts its words of _STARTS."""
 
     def hit(pattern: str, hints: tuple[str, ...]) -> str:
-        some = " OR ".join(f"contains({low}, {X.quoted(h)})" for h in hints)
+        some = " OR ".join(f"array_contains({starts}, {X.quoted(h)})" if h in _STARTS else f"contains({low}, {X.quoted(h)})" for h in hints)
         return f"cast((({some}) AND {t} RLIKE {X.quoted('(?dmiU)' + pattern)}) as int)"
 
     score = ", ".join(f"'{k}', " + " + ".join(hit(p, h) for p, h in zip(ps, _HINTS[k], strict=True)) for k, ps in CONTEXTS.items())
@@ -100,7 +108,13 @@ def _type_sql(t: str, low: str) -> str:
 
 def context_type(t: Column) -> Column:
     """The type of context of a text."""
-    return X.applied(f"t -> transform(array({folded_sql('t')}), low -> {_type_sql('t', 'low')})[0]", t)
+    return X.applied(f"t -> transform(array({folded_sql('t')}), low -> transform(array({_starts_sql('low')}), w -> {_type_sql('t', 'low', 'w')})[0])[0]", t)
+
+
+def _typed(df: DataFrame, raw: str) -> DataFrame:
+    """df with context_type, a column for each step."""
+    df = df.selectExpr("*", f"{folded_sql(raw)} AS _low").selectExpr("*", f"{_starts_sql('_low')} AS _starts")
+    return df.selectExpr("*", f"{_type_sql(raw, '_low', '_starts')} AS context_type").drop("_low", "_starts")
 
 
 def normalize(df: DataFrame, text: str = "text", keep_digits: bool = False, types: bool = True, as_written: bool = False) -> DataFrame:
@@ -112,7 +126,7 @@ def normalize(df: DataFrame, text: str = "text", keep_digits: bool = False, type
     own = df.columns
     if as_written:
         df = df.selectExpr("*", f"{raw} AS normalized", "cast(NULL AS array<int>) AS despaced_map", "cast(NULL AS string) AS despaced", "cast(array() AS array<string>) AS transformations")
-        return df.selectExpr("*", f"{folded_sql(raw)} AS _low").selectExpr("*", f"{_type_sql(raw, '_low')} AS context_type").drop("_low") if types else df
+        return _typed(df, raw) if types else df
     df = df.selectExpr("*", f"{url_sql(raw)} AS _u")
     df = df.selectExpr("*", f"{hex_sql('_u', keep_digits)} AS _h")
     df = df.selectExpr("*", f"{base64_sql('_h')} AS normalized")
@@ -126,7 +140,5 @@ def normalize(df: DataFrame, text: str = "text", keep_digits: bool = False, type
     df = df.selectExpr("*", f"CASE WHEN despaced_map IS NOT NULL THEN {_picked_sql('normalized', 'despaced_map')} END AS despaced")
     steps = f"CASE WHEN _u <> {raw} THEN 'url_decoded' END, CASE WHEN _h <> _u THEN 'hex_decoded' END, CASE WHEN normalized <> _h THEN 'base64_decoded' END, CASE WHEN despaced <> normalized THEN 'adversarial_spacing_removed' END"
     columns = [*[f"`{c}`" for c in own], "normalized", "despaced_map", "despaced", f"filter(array({steps}), s -> s IS NOT NULL) AS transformations"]
-    if not types:
-        return df.selectExpr(*columns)
-    df = df.selectExpr(*columns, f"{folded_sql(raw)} AS _low")
-    return df.selectExpr("*", f"{_type_sql(raw, '_low')} AS context_type").drop("_low")
+    df = df.selectExpr(*columns)
+    return _typed(df, raw) if types else df

@@ -36,8 +36,8 @@ def gate_words(r: Rule, keywords: dict[str, tuple[str, ...]]) -> tuple[str, ...]
 
 
 @lru_cache(maxsize=64)
-def trie(words: tuple[str, ...]) -> str:
-    """A pattern of words between signs that are no letters; the sign before is part of the match."""
+def trie(words: tuple[str, ...], end: str = "(?!\\p{L})") -> str:
+    """A pattern of words between signs that are no letters (with an empty end: before anything); the sign before is part of the match."""
     root: dict = {}
     for word in words:
         at = root
@@ -46,7 +46,7 @@ def trie(words: tuple[str, ...]) -> str:
         at[""] = {}
 
     def pattern(node: dict) -> str:
-        ways = [re.escape(c) + pattern(kid) if c else "(?!\\p{L})" for c, kid in sorted(node.items(), reverse=True)]
+        ways = [re.escape(c) + pattern(kid) if c else end for c, kid in sorted(node.items(), reverse=True)]
         return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
 
     return f"\\P{{L}}({pattern(root)})"
