@@ -76,21 +76,33 @@ def analyse(df: DataFrame, text: str = "text", rules: RuleSet | None = None) ->
     return out.drop("_row", "_maybe", *_INNER)
 
 
-def protect(df: DataFrame, text: str = "text", session: str | None = None, order: str | None = None, anomaly_model=None, rules: RuleSet | None = None, instructions: bool = True, known: DataFrame | None = None) -> DataFrame:
+def risks(df: DataFrame, text: str = "text", rules: RuleSet | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns named in keep, and overall_risk, of every row of df: as ``protect`` has it, where no masked text is asked for.
+
+    Of the texts, those with a match are staged; decisions alone meet the rows again.
+    """
+    rules = rules or RuleSet()
+    some = [f"CASE WHEN _maybe THEN {c} END AS {c}" for c in ("normalized", "despaced", "despaced_map")]
+    rows = staged(_prepared(df, text, rules, types=False).selectExpr("_row", "_maybe", *[f"`{k}`" for k in keep], *some, "_hits", "_hits2"), "risks")
+    decided = mask.outcome(_planned(rows, rules, None, None)).select("_row", "overall_risk")
+    return _joined(rows.select("_row", "_maybe", *keep), decided, {"overall_risk": F.lit("LOW")}).select(*keep, "overall_risk")
+
+
+def protect(df: DataFrame, text: str = "text", session: str | None = None, order: str | None = None, anomaly_model=None, rules: RuleSet | None = None, instructions: bool = True, known: DataFrame | None = None, types: bool = True) -> DataFrame:
     """df with masked_text, masked, skipped, overall_risk, resolved, normalized, context_type, transformations (and instructions).
 
     With session and order, tokens are numbered by session; without, every row is a session of its
     own. known is a token map of earlier rows: its values keep their tokens and numbers go on from
-    it. A null text gives a null masked text, no entities and LOW. The rows with texts are staged once
+    it. A null text gives a null masked text, no entities and LOW. Without types there is no context_type. The rows with texts are staged once
     and meet the decisions about them in one join; entities alone are exchanged before.
     """
-    return protect_with_tokens(df, text, session, order, anomaly_model, rules, instructions, known)[0]
+    return protect_with_tokens(df, text, session, order, anomaly_model, rules, instructions, known, types)[0]
 
 
-def protect_with_tokens(df: DataFrame, text: str = "text", session: str | None = None, order: str | None = None, anomaly_model=None, rules: RuleSet | None = None, instructions: bool = True, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def protect_with_tokens(df: DataFrame, text: str = "text", session: str | None = None, order: str | None = None, anomaly_model=None, rules: RuleSet | None = None, instructions: bool = True, known: DataFrame | None = None, types: bool = True) -> tuple[DataFrame, DataFrame]:
     """The rows of ``protect``, and the token map of these rows' new values."""
     rules = rules or RuleSet()
-    rows = _prepared(df, text, rules)
+    rows = _prepared(df, text, rules, types)
     if anomaly_model is not None:
         rows = anomaly.with_second_layer(rows, anomaly_model)
     rows = staged(rows, "normalized")

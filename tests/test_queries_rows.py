@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from maskweave import fixtures
 from maskweave.operators import anomaly
+from maskweave.operators.protect import protect, risks
 from maskweave.plans.rules import RuleSet
 from maskweave.sources import datagen
 
@@ -57,3 +58,15 @@ def test_every_rule_counts_what_its_pattern_finds(spark, tmp_path):
     df = entry.queries()["all_rule_matches"](spark, str(tmp_path))
     assert {r.entity_type: r.n_matches for r in df.collect()} == {k: n for k, n in want.items() if n} and len(want) > 25
     assert "shape" in df._jdf.queryExecution().optimizedPlan().toString()  # patterns are tried by signature
+
+
+def test_risks_and_blocks_without_types_are_those_of_protect(spark):
+    texts = [f.replace("JWTTOKEN", fixtures._JWT) for f, _ in fixtures.FORMS] + ["", "so long", "1 9 9 0 1 2 3 4 5 V", "\nimport os\nclass A", None]
+    rows = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], DOCUMENTS)
+    whole = protect(rows, "text")
+    want = sorted((r.doc_id, r.overall_risk) for r in whole.collect())
+    assert sorted(tuple(r) for r in risks(rows, "text", keep=("doc_id",)).collect()) == want and len({r for _, r in want}) == 4
+    bare = protect(rows, "text", types=False)
+    assert "context_type" not in bare.columns
+    block = ["doc_id", "masked_text", "instructions"]
+    assert sorted(map(repr, bare.select(block).collect())) == sorted(map(repr, whole.select(block).collect()))
