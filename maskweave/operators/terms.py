@@ -29,11 +29,12 @@ def add_flags(df: DataFrame, text: str = "text") -> DataFrame:
 def vocabulary(df: DataFrame, text: str = "text", size: int = 1000) -> DataFrame:
     """term, n_rows, n, idf of the ``size`` most frequent terms over all rows, ties by term: at most ``size`` rows.
 
-    The terms of a row stand together, so partial counts by row and term are made before anything is exchanged.
+    A row gives each of its terms once and then all occurrences, both counted by term alone: a task holds the different
+    terms of its rows, whatever the number of rows, and hands on each once.
     """
-    rows = df.select(F.monotonically_increasing_id().alias("_row"), F.lower(F.coalesce(text, F.lit(""))).alias("t"))
-    each = rows.select("_row", F.explode(F.regexp_extract_all("t", F.lit(TERM), F.lit(0))).alias("term"))
-    counts = each.groupBy("_row", "term").agg(F.count(F.lit(1)).alias("n")).groupBy("term").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n").alias("n"))
+    rows = df.select(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0)).alias("t"))
+    both = rows.select(F.posexplode(F.array(F.array_distinct("t"), "t")).alias("_all", "terms"))
+    counts = both.select("_all", F.explode("terms").alias("term")).groupBy("term").agg(F.count_if(F.col("_all") == 0).alias("n_rows"), F.count_if(F.col("_all") == 1).alias("n"))
     top = counts.orderBy(F.desc("n"), "term").limit(size)
     total = df.agg(F.count(F.lit(1)).alias("_total"))
     return top.crossJoin(F.broadcast(total)).select("term", "n_rows", "n", (F.log((1 + F.col("_total")) / (1 + F.col("n_rows"))) + 1).alias("idf"))

@@ -125,6 +125,20 @@ def test_terms_equal_a_plain_version(spark):
     assert terms.weights(terms.fit(df.limit(0)), df, ("id",)).count() == 0
 
 
+def test_terms_are_counted_without_a_row_for_each_text_and_term(spark):
+    sc = spark.sparkContext
+    words = F.array(*[F.concat(F.lit(f"w{k}x"), (F.col("id") % 7).cast("string")) for k in range(20)])
+    for n in (2_000, 16_000):
+        df = spark.range(0, n, 1, 2).select(F.concat(F.lit("and and "), F.array_join(words, " ")).alias("text"))
+        sc.setJobGroup(f"terms{n}", "")
+        got = {r.term: (r.n_rows, r.n) for r in terms.vocabulary(df, size=200).collect()}
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        assert got == {"and": (n, 2 * n)} | {f"w{k}x{i}": (len(range(i, n, 7)),) * 2 for k in range(20) for i in range(7)}
+        stages = {s for j in sc.statusTracker().getJobIdsForGroup(f"terms{n}") for s in sc.statusTracker().getJobInfo(j).stageIds}
+        sent = [sc._jsc.sc().statusStore().lastStageAttempt(s).shuffleWriteRecords() for s in stages if sc.statusTracker().getStageInfo(s)]
+        assert 0 < sum(sent) <= 1_000
+
+
 @pytest.mark.parametrize("text,want", [(None, (0, 0, 0, 0, 0)), ("", (0, 0, 0, 0, 0)), ("abc d", (1, 0, 2, 0, 0)), ("aaaa, aaaa", (0, 1, 2, 0, 0)), ("id 0123456789ab", (1, 0, 2, 0, 1)), ("aaaaaaaaaaaaaaaaaaaaaaaa", (0, 0, 1, 1, 1))])
 def test_flags(spark, text, want):
     r = terms.add_flags(spark.createDataFrame([(text,)], "text string")).first()
