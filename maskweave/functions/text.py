@@ -155,8 +155,8 @@ def decoded(raw: Column) -> Column:
     return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
 
 
-#: Characters that print: none of the C and Z classes but the blank.
-PRINTABLE = "^(?:[\\P{C}&&[^\\p{Z}]]| )*\\z"
+#: Characters that print: none of the C and Z classes but the blank. A possessive loop: a long text needs no stack.
+PRINTABLE = "^(?:[\\P{C}&&[^\\p{Z}]]| )*+\\z"
 
 
 def distinct_chars(value: Column) -> Column:

@@ -24,7 +24,9 @@ _HINTS = {
 #: Those of them that a pattern has at the start of a word: one scan finds all.
 _STARTS = tuple(sorted(h for hints in _HINTS.values() for some in hints for h in some if h[0].isalpha() and h not in ("config.", "settings.", "traceback", "at ")))
 _SHORT = "(?:[A-Za-z0-9]{1,2}|[@\\-])"
-RUN = f"(?<![A-Za-z0-9]){_SHORT}(?:[ \\t]{_SHORT}){{2,}}(?![A-Za-z0-9])"
+#: Three short tokens and more. Each ends before another sign, so none is ever given back: a possessive loop, which needs no stack for a long run.
+_TOKEN = f"{_SHORT}(?![A-Za-z0-9])"
+RUN = f"(?<![A-Za-z0-9]){_TOKEN}(?:[ \\t]{_TOKEN}){{2,}}+"
 DASH = r"\d-\d"
 
 
@@ -73,8 +75,8 @@ def _obfuscated_sql(run: str) -> str:
 
 def blanks_sql(t: str) -> str:
     """Indexes of the blanks inside runs that look like spaced-out values."""
-    inside = "filter(sequence(1, length(m.value)), i -> substring(m.value, i, 1) IN (' ', '\\t'))"
-    return f"flatten(transform(filter({X.find_all_sql(t, RUN)}, m -> {_obfuscated_sql('m.value')}), m -> transform({inside}, i -> m.start + i - 1)))"
+    inside = "filter(transform(split(m.value, ''), (c, i) -> CASE WHEN c IN (' ', '\\t') THEN m.start + i END), i -> i IS NOT NULL)"
+    return f"flatten(transform(filter({X.find_all_sql(t, RUN)}, m -> {_obfuscated_sql('m.value')}), m -> {inside}))"
 
 
 def dashes_sql(t: str) -> str:

@@ -15,8 +15,8 @@ from functools import lru_cache
 from ..functions.text import array_of, quoted
 from ..plans.rules import Rule
 
-#: Numbers with single blanks or dashes between their digits, and runs of capitals.
-SHAPE = r"\p{Nd}(?:[ \-]?\p{Nd})*|[A-Z]{6,}"
+#: Numbers with single blanks or dashes between their digits, and runs of capitals. Nothing follows a loop: possessive, it needs no stack.
+SHAPE = r"\p{Nd}(?:[ \-]?\p{Nd})*+|[A-Z]{6,}"
 
 
 def folded_sql(text: str) -> str:
