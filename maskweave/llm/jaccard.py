@@ -50,7 +50,7 @@ WIDE = 2_000_000
 PIVOTS = 8
 #: Bytes of prefix rows and sets that one task sorts, about.
 TASK_BYTES = 64 << 20
-#: Rows of candidates that may be broadcast; more are joined by a shuffle.
+#: Rows of a few numbers that may be broadcast, some 10 MB in the driver; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Two linked sets of n shingles share 1 + n // SHARED of their prefixes.
 SHARED = 8
@@ -334,25 +334,40 @@ def trie_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return found
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """sig, s: the hash and the shingles of each set. With a second column sig, rows whose set isn't the one named go."""
+def _set_rows(maps: tuple | None = None):
+    """sig, s: the hash and the shingles of each set of texts.
+
+    With a second column sig, rows whose set isn't the one named go: another row may have the same id. With bitmaps of hashed ids and of
+    sigs, that column is the hash of the id, and rows that neither can be wanted nor have a wanted set go.
+    """
     schema = util.arrow_schema("sig bigint, s binary")
-    for b in batches:
-        wanted = _arrays(b, "sig")[0] if b.num_columns > 1 else None
-        sigs, sets, held, at = [], [], 0, 0
-        for c in K.chunks(b.column(0)):
-            for s in shingle_sets(c):
-                sig = set_hash(s)
-                if len(s) and (wanted is None or sig == int(wanted[at])):  # another row may have the same id
-                    sigs.append(sig)
-                    sets.append(s.tobytes())
-                    held += 8 * len(s)
-                at += 1
-            if held > 8 << 20:
-                yield K.batch(schema, sig=sigs, s=sets)
-                sigs, sets, held = [], [], 0
-        if sigs:
-            yield K.batch(schema, sig=sigs, s=sets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text, named = b.column(0), _arrays(b, b.schema.names[1])[0] if b.num_columns > 1 else None
+            if maps is not None:
+                some = util.may_hold(maps[0], named.view(np.uint64))
+                text, named = text.filter(pa.array(some)), None
+            sigs, sets, held, at = [], [], 0, 0
+            for c in K.chunks(text):
+                for s in shingle_sets(c):
+                    sig = set_hash(s)
+                    if len(s) and (named is None or sig == int(named[at])):
+                        sigs.append(sig)
+                        sets.append(s)
+                        held += 8 * len(s)
+                    at += 1
+                if held > 8 << 20:
+                    yield out(sigs, sets)
+                    sigs, sets, held = [], [], 0
+            if sigs:
+                yield out(sigs, sets)
+
+    def out(sigs: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        ok = util.may_hold(maps[1], np.array(sigs, np.int64).view(np.uint64)) if maps is not None else np.ones(len(sigs), bool)
+        return K.batch(schema, sig=[x for x, y in zip(sigs, ok, strict=True) if y], s=[x.tobytes() for x, y in zip(sets, ok, strict=True) if y])
+
+    return run
 
 
 def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,20 +436,34 @@ def class_links(rows: DataFrame, classes: DataFrame) -> DataFrame:
     shingles = classes.agg(F.coalesce(F.sum(F.col("n").cast("double") * F.col("copies")), F.lit(0.0))).first()[0]
     n = _tasks(spark, 20 * shingles / 3)
     by_word = lambda d, *keys: d.repartition(n, "w").sortWithinPartitions("w", *keys)
-    met = util.written(by_word(prefixes, "sig").mapInArrow(_met, "w bigint, sig bigint, n int"), "met")
+    met, path = util.staged(by_word(prefixes, "sig").mapInArrow(_met, "w bigint, sig bigint, n int"), "met")
     enough = met.groupBy("sig", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= 1 + F.floor(F.ceil(F.col("n") * 3 / 4) / SHARED)).select("sig")
     left = met.join(enough, "sig")
     stars = by_word(left.select("w", "n", "sig"), "n", "sig").mapInArrow(_stars, "a bigint, b bigint").distinct()
     comps = util.components(stars, "a", "b").select(F.col("node").alias("sig"), F.col("component").alias("comp"))
     cand = util.written(comps.join(classes.select("sig", "doc_id", F.col("n").cast("long").alias("n")), "sig"), "candidates")
-    total, count = cand.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    small = (lambda d: F.broadcast(d)) if count <= BROADCAST_ROWS else (lambda d: d)
-    named = rows.join(small(cand.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), "sig")), F.col("doc_id") == F.col("_id")).select("text", "sig")
+    util.delete(spark, path)
+    total = cand.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return _links_of(rows, cand, _tasks(spark, 8 * total))
+
+
+def _sets(rows: DataFrame, cand: DataFrame) -> DataFrame:
+    """cand (sig, doc_id and others) with s, the set: texts aren't exchanged. Some sets may come twice.
+
+    The texts of few classes are found by a broadcast of their ids, those of more by bitmaps, 16 MB at most, of ids and
+    sigs; the sets of texts that only the bitmaps take for wanted go in the join with cand.
+    """
+    named, kind = cand.where("doc_id IS NOT NULL"), "sig bigint, s binary"
+    if cand.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(named.select(F.col("doc_id").alias("_id"), "sig"))
+        sets = rows.join(wanted, F.col("doc_id") == F.col("_id")).select("text", "sig").mapInArrow(_set_rows(), kind)
+    else:
+        maps = util.bitmap(named.select(F.xxhash64("doc_id").alias("h")), "h"), util.bitmap(named.select("sig"), "sig")
+        sets = rows.where("doc_id IS NOT NULL").select("text", F.xxhash64("doc_id").alias("h")).mapInArrow(_set_rows(maps), kind)
     # classes that no id names are found by their hash
-    bare = rows.where("doc_id IS NULL").select("text").mapInArrow(_set_rows, "sig bigint, s binary")
-    bare = bare.join(small(cand.where("doc_id IS NULL").select("sig")), "sig", "left_semi").dropDuplicates(["sig"])
-    sets = util.written(named.mapInArrow(_set_rows, "sig bigint, s binary").unionByName(bare), "sets")
-    return _links_of(sets, cand.select("sig", "comp", "n"), _tasks(spark, 8 * total), small)
+    bare = rows.where("doc_id IS NULL").select("text").mapInArrow(_set_rows(), kind)
+    bare = bare.join(_small(cand.where("doc_id IS NULL").select("sig")), "sig", "left_semi").dropDuplicates(["sig"])
+    return sets.unionByName(bare).join(_small(cand), "sig")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -446,18 +475,20 @@ def _blocks(n, count):
     return F.greatest(F.ceil(F.sum(n) / BLOCK), F.ceil(count / BLOCK_SETS)).cast("int")
 
 
-def _links_of(sets: DataFrame, cand: DataFrame, n: int, small) -> DataFrame:
-    """Links that connect all linked sets of each component: sets are rows sig, s, cand rows sig, comp, n, one a sig."""
-    joined = lambda d: util.written(sets.join(small(d), "sig").select("comp", F.explode("g").alias("g"), "sig", "s").select("comp", "g.i", "g.j", "sig", "s").repartition(n, "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_join_blocks, "a bigint, b bigint").distinct(), "links")
+def _links_of(rows: DataFrame, cand: DataFrame, n: int) -> DataFrame:
+    """Links that connect all linked sets of each component: cand are rows sig, doc_id, comp, n, one a sig, of texts in rows."""
+    # what is broadcast has a few numbers in a row; the groups of a set are made beside it
+    joined = lambda d, g: util.written(d.select("comp", F.explode(g).alias("g"), "sig", "s").select("comp", "g.i", "g.j", "sig", "s").repartition(n, "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_join_blocks, "a bigint, b bigint").distinct(), "links")
     own = lambda blocks: F.pmod(F.shiftright("sig", 7), blocks).cast("int")
     pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
     over = lambda blocks, f: F.transform(F.sequence(F.lit(0), F.col(blocks) - 1), f)
     info = cand.groupBy("comp").agg(_blocks(F.col("n"), F.count(F.lit(1))).alias("blocks"), *[F.min(F.struct(F.xxhash64("sig", F.lit(k)), "sig"))["sig"].alias(f"p{k}") for k in range(PIVOTS)])
     # components of several blocks are few, and reach their sets without a shuffle by component
     info = util.written(info.where("blocks > 1").select("comp", "blocks", F.array(*[f"p{k}" for k in range(PIVOTS)]).alias("pivots")), "large")
-    dealt = cand.join(_small(info), "comp", "left").select("sig", "comp", "n", F.coalesce("blocks", F.lit(1)).alias("blocks"), F.coalesce(F.array_contains("pivots", F.col("sig")), F.lit(False)).alias("pivot"))
+    dealt = cand.join(_small(info), "comp", "left").select("sig", "doc_id", "comp", "n", F.coalesce("blocks", F.lit(1)).alias("blocks"), F.coalesce(F.array_contains("pivots", F.col("sig")), F.lit(False)).alias("pivot"))
     dealt = util.written(dealt, "dealt")
-    first = joined(dealt.select("sig", "comp", F.when(F.col("pivot"), over("blocks", lambda i: pair(i, F.lit(0)))).otherwise(F.array(pair(own(F.col("blocks")), F.lit(0)))).alias("g")))
+    sets, path = util.staged(_sets(rows, dealt.drop("n")).drop("doc_id"), "sets")
+    first = joined(sets, F.when(F.col("pivot"), over("blocks", lambda i: pair(i, F.lit(0)))).otherwise(F.array(pair(own(F.col("blocks")), F.lit(0)))))
 
     # components in several blocks: what is connected by now, and what isn't part of the largest such part
     linked = util.components(first, "a", "b").withColumnRenamed("node", "sig")
@@ -470,14 +501,16 @@ def _links_of(sets: DataFrame, cand: DataFrame, n: int, small) -> DataFrame:
     # little outside the main part: it goes to many small blocks of all; else all pairs of wide blocks
     wide = F.when(rest * 8 <= F.col("all"), F.greatest(fit, F.least(F.col("blocks"), F.floor(F.col("all") / rest)))).otherwise(fit).cast("int")
     main = util.written(main.select("comp", "main", wide.alias("wide"), F.ceil(rest / WIDE).cast("int").alias("others"), (rest * 8 > F.col("all")).alias("even")), "rest")
-    if main.isEmpty():
-        return first
-    again = part.select("sig", "comp", "part").join(_small(main), "comp")
-    all_ = over("others", lambda j: pair(own(F.col("wide")), j))
-    mine = over("wide", lambda i: pair(i, own(F.col("others"))))
-    even = over("wide", lambda o: pair(F.least(own(F.col("wide")), o), F.greatest(own(F.col("wide")), o)))
-    groups = F.when(F.col("even"), even).when(F.col("part") == F.col("main"), all_).otherwise(F.array_distinct(F.concat(all_, mine)))
-    return first.unionByName(joined(again.select("sig", "comp", groups.alias("g")))).distinct()
+    links = first
+    if not main.isEmpty():
+        again = sets.select("comp", "sig", "s").join(_small(main), "comp").join(_small(part.join(_small(main.select("comp")), "comp").select("sig", "part")), "sig")
+        all_ = over("others", lambda j: pair(own(F.col("wide")), j))
+        mine = over("wide", lambda i: pair(i, own(F.col("others"))))
+        even = over("wide", lambda o: pair(F.least(own(F.col("wide")), o), F.greatest(own(F.col("wide")), o)))
+        groups = F.when(F.col("even"), even).when(F.col("part") == F.col("main"), all_).otherwise(F.array_distinct(F.concat(all_, mine)))
+        links = first.unionByName(joined(again, groups)).distinct()
+    util.delete(rows.sparkSession, path)
+    return links
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
