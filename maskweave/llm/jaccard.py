@@ -10,7 +10,8 @@ shingles. The result is exact for any size and any skew (sets are held as 64-bit
    that many documents share out of the prefixes.
 3. A set's prefix is long enough that two linked sets share at least ``l`` prefix shingles
    (l grows with the set). Prefix rows meet by shingle; a set with too few shared ones has no
-   partner and goes. What is left is connected by stars and gives candidate components.
+   partner and goes. What is left is connected by stars and gives candidate components. One of more than
+   ``WIDE`` shingles holds together by chance, mostly: there the shared ones are counted for each pair.
 4. Inside a component the globally ordered sets stand in a compressed trie. Each set walks it
    once, sharing overlaps of common paths; a subtree is left when its sizes don't fit, when the
    shingles left on either side can't reach the needed overlap, or when all below it is already
@@ -46,12 +47,14 @@ BLOCK = 1 << 16
 BLOCK_SETS = 128
 #: Shingles in a block of what pivots have not connected.
 WIDE = 2_000_000
+#: Sets that hold a shingle from which their pairs are not counted one by one.
+HUB = 32
 #: Sets of a component that meet all its blocks first.
 PIVOTS = 8
 #: Bytes of prefix rows and sets that one task sorts, about.
 TASK_BYTES = 64 << 20
 #: Rows of a few numbers that may be broadcast, some 10 MB in the driver; more are joined by a shuffle.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 100_000
 #: Two linked sets of n shingles share 1 + n // SHARED of their prefixes.
 SHARED = 8
 _COUNTED = 1_500_000
@@ -230,6 +233,45 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.trim()
 
 
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by w: the pairs of sets of each w whose sizes can link (a, b, the smaller size); where more than ``HUB`` stand with it, each by itself (w, a)."""
+    schema = util.arrow_schema("w bigint, a bigint, b bigint, n int")
+
+    def hubs(w, sig, n) -> pa.RecordBatch:
+        return K.batch(schema, w=w, a=sig, b=pa.nulls(len(w), pa.int64()), n=n.astype(np.int32))
+
+    def pairs(w, sig, n) -> Iterator[pa.RecordBatch]:
+        _, back, count = np.unique(w, return_inverse=True, return_counts=True)
+        many = count[back] > HUB
+        yield hubs(w[many], sig[many], n[many])
+        w, sig, n = w[~many], sig[~many], n[~many]
+        for d in range(1, HUB):
+            if not (same := w[d:] == w[:-d]).any():
+                break
+            same &= (4 * n[d:] >= 3 * n[:-d]) & (4 * n[:-d] >= 3 * n[d:])
+            x, y = sig[:-d][same], sig[d:][same]
+            yield K.batch(schema, w=pa.nulls(len(x), pa.int64()), a=np.minimum(x, y), b=np.maximum(x, y), n=np.minimum(n[:-d], n[d:])[same].astype(np.int32))
+
+    held, hub = [np.zeros(0, np.int64)] * 3, None  # rows of the last w; its name, if they are more than HUB
+    for batch in batches:
+        held = [np.concatenate(x) for x in zip(held, (x.astype(np.int64) for x in _arrays(batch, "w", "sig", "n")), strict=True)]
+        if hub is not None:
+            more = held[0] == hub
+            yield hubs(*(x[more] for x in held))
+            held = [x[~more] for x in held]
+        if not len(held[0]):
+            continue
+        hub, last = None, held[0] == held[0][-1]
+        yield from pairs(*(x[~last] for x in held))
+        held = [x[last] for x in held]
+        if len(held[0]) > HUB:
+            hub = held[0][0]
+            yield hubs(*held)
+            held = [x[:0] for x in held]
+        K.trim()
+    yield from pairs(*held)
+
+
 class _Node:
     __slots__ = ("edge", "kids", "least", "most", "deep", "ids", "one")
 
@@ -442,11 +484,38 @@ def class_links(rows: DataFrame, classes: DataFrame) -> DataFrame:
     stars = by_word(left.select("w", "n", "sig"), "n", "sig").mapInArrow(_stars, "a bigint, b bigint").distinct()
     comps = util.components(stars, "a", "b").select(F.col("node").alias("sig"), F.col("component").alias("comp"))
     cand = util.written(comps.join(classes.select("sig", "doc_id", F.col("n").cast("long").alias("n")), "sig"), "candidates")
+    cand = _parted(cand, left, by_word)
     util.delete(spark, path)
     total = cand.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return _links_of(rows, cand, _tasks(spark, 8 * total))
 
 
+def _parted(cand: DataFrame, left: DataFrame, by_word) -> DataFrame:
+    """cand with components of over ``WIDE`` shingles taken apart, so that sets hold together by pairs that share enough, not by chance.
+
+    Two linked sets share as many prefix shingles as the smaller one's size asks for. They are counted for each pair, but for those that over ``HUB``
+    sets hold: of these a pair is taken to share as many as either set has, and sets that may link by them alone stay together.
+    """
+    giant = util.written(cand.groupBy("comp").agg(F.sum("n").alias("all")).where(F.col("all") > WIDE).select("comp"), "giant")
+    if giant.isEmpty():
+        return cand
+    mine = util.written(cand.join(_small(giant), "comp").select("sig", "doc_id", "n"), "mine")
+    found, path = util.staged(by_word(left.join(_small(mine.select("sig")), "sig").select("w", "sig", "n")).mapInArrow(_pairs, "w bigint, a bigint, b bigint, n int"), "pairs")
+    hubs = found.where("b IS NULL")
+    held = util.written(hubs.groupBy("a").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n")), "held")
+    alone = held.where(F.col("c") >= 1 + F.floor(F.ceil(F.col("n") * 3 / 4) / SHARED)).select("a")
+    stars = by_word(hubs.join(_small(alone), "a").select("w", "n", F.col("a").alias("sig")), "n", "sig").mapInArrow(_stars, "a bigint, b bigint")
+    counted = found.where("b IS NOT NULL").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
+    for end in ("a", "b"):
+        counted = counted.join(_small(held.select(F.col("a").alias(end), F.col("c").alias(f"c_{end}"))), end, "left")
+    alike = F.col("c") + F.least(F.coalesce("c_a", F.lit(0)), F.coalesce("c_b", F.lit(0))) >= 1 + F.floor(F.col("n") / SHARED)
+    comps = util.components(counted.where(alike).select("a", "b").unionByName(stars), "a", "b").select(F.col("node").alias("sig"), F.col("component").alias("comp"))
+    apart = cand.join(_small(giant), "comp", "left_anti").unionByName(mine.join(comps, "sig"), allowMissingColumns=False)
+    out = util.written(apart, "apart")
+    util.delete(cand.sparkSession, path)
+    return out
+
+
 def _sets(rows: DataFrame, cand: DataFrame) -> DataFrame:
     """cand (sig, doc_id and others) with s, the set: texts aren't exchanged. Some sets may come twice.
 
